@@ -50,7 +50,7 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) -> DataF
     left = F.sum("source_size").over(everything) - F.coalesce(F.sum(full).over(before), F.lit(0.0))
     level = weighted.withColumn("__level", left / rest)
     capped = full < F.col("__w") * F.col("__level")
-    common = F.min(F.when(~capped, F.col("__level"))).over(everything)
+    common = F.max(F.when(~capped, F.col("__level"))).over(everything)
     target = F.when(capped, full).otherwise(F.col("__w") * common)
     return level.withColumn("target", F.coalesce(target, full)).select("source", "source_size", "n_docs", "target")
 
