@@ -71,3 +71,9 @@ def gapless_rank(df: DataFrame, keys: list[str], by: list[str], out: str, bucket
 def utf8_len(text: Column) -> Column:
     """Bytes of a text in UTF-8; null has none."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+
+
+def small_batches(spark: SparkSession, rows: int = 1024, size: str = "16m") -> None:
+    """Bound what one Arrow batch of whole texts holds: rows, and bytes where Spark knows that setting."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -24,13 +24,52 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import decode, encode
+
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = encode(_docs(spark, sf_dir).select("doc_id", "text"), path, pattern).select("doc_id", "ids")
+    return decode(coded, path, pattern).select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .tokencount import count_tokens
+
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    return count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge
+
+    docs = _docs(spark, sf_dir).select("doc_id", "text", "source")
+    return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
     return mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_url_filters, op8_mixing)}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import held_out, identify, learn
+
+    docs = _docs(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", held_out(F.col("doc_id")))
+    model = learn(docs.filter(~F.col("held_out")))
+    return identify(docs, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_url_filters, op3_byte_bpe, op4_token_counts, op5_quality_rules, op8_mixing, op9_language_id)}
 
 ORACLE = {
     "op2_url_filters": """
