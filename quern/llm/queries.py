@@ -69,7 +69,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_url_filters, op3_byte_bpe, op4_token_counts, op5_quality_rules, op8_mixing, op9_language_id)}
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import remove_repeats
+
+    out = remove_repeats(_docs(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_url_filters, op3_byte_bpe, op4_token_counts, op5_quality_rules, op8_mixing, op9_language_id, op10_suffix_array)}
 
 ORACLE = {
     "op2_url_filters": """
