@@ -55,6 +55,13 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_hnsw_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hnsw import near_vectors
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return near_vectors(vectors).select("vec_id", "n_links", "component_id", "kept")
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import near_duplicates
 
@@ -82,7 +89,7 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_url_filters, op3_byte_bpe, op4_token_counts, op5_quality_rules, op7_jaccard_join, op8_mixing, op9_language_id, op10_suffix_array)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_url_filters, op3_byte_bpe, op4_token_counts, op5_quality_rules, op6_hnsw_dedup, op7_jaccard_join, op8_mixing, op9_language_id, op10_suffix_array)}
 
 ORACLE = {
     "op2_url_filters": """
