@@ -77,3 +77,9 @@ def small_batches(spark: SparkSession, rows: int = 1024, size: str = "16m") -> N
     """Bound what one Arrow batch of whole texts holds: rows, and bytes where Spark knows that setting."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def row_key(key: str = "doc_id", text: str = "text") -> Column:
+    """A string that orders like ``key`` (null last) and is equal for rows of equal key and text only."""
+    number = F.lpad(F.coalesce(F.col(key), F.lit((1 << 63) - 1)).cast("string"), 20, "0")
+    return F.concat(number, F.lit("-"), F.hex(F.xxhash64(F.col(text))), F.hex(F.crc32(F.coalesce(F.col(text), F.lit("")))))

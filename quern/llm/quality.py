@@ -20,7 +20,7 @@ from hashlib import md5
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import null_safe, small_batches, table
@@ -122,3 +122,25 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", max_docs: i
     kept = ~base & (F.col("words_left") >= F.lit(least_left) * F.col("n_words"))
     figures_ = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return out.select(*columns, *figures_, "base_failed", F.coalesce("removed", F.array().cast("array<bigint>")).alias("removed"), "words_left", kept.alias("kept"))
+
+
+def without_lines(text: str, removed: str) -> Column:
+    """The text without the lines whose hashes are in the array ``removed``."""
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, hashes in batches:
+            yield pd.Series([keep_lines(t, h) for t, h in zip(texts, hashes)], dtype=object)
+
+    return run(F.col(text), F.col(removed))
+
+
+def keep_lines(text: str | None, removed) -> str | None:
+    if text is None or removed is None or not len(removed):
+        return text
+    gone = {int(h) for h in removed}
+    return "\n".join(x for x in text.split("\n") if not normal(x) or line_hash(x) not in gone)
+
+
+def line_hash(line: str) -> int:
+    return int.from_bytes(md5(normal(line)).digest()[:8], "big", signed=True)
