@@ -1 +1,4 @@
 """Registered queries and their SQL."""
+
+from . import mail, talks, texts  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
