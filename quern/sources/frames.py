@@ -10,7 +10,7 @@ def event_frames(df: DataFrame, body: str) -> DataFrame:
     """One row for each event of a stream's text: event, data (JSON text). Comments and frames without valid data go."""
     raw = df.withColumn("__raw", F.explode(F.split(F.replace(F.col(body), F.lit("\r\n"), F.lit("\n")), "\n\n")))
     lines = F.filter(F.split("__raw", "\n"), lambda x: ~x.startswith(":"))
-    event = F.element_at(F.filter(lines, lambda x: x.startswith("event:")), -1)
+    event = F.try_element_at(F.filter(lines, lambda x: x.startswith("event:")), F.lit(-1))
     data = F.transform(F.filter(lines, lambda x: x.startswith("data:")), lambda x: F.trim(F.substring(x, 6, 1 << 30)))
     out = raw.withColumns({"event": F.coalesce(F.trim(F.substring(event, 7, 1 << 20)), F.lit("message")), "data": F.array_join(data, "\n")})
     return out.filter((F.size(data) > 0) & F.try_parse_json("data").isNotNull()).drop("__raw")
