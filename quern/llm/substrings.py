@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ BUCKET_BYTES, FILTER_BITS = 8_000_000, 1 << 28
 SLICE_BITS = 1 << 19
 LAST_KEY = (1 << 63) - 1
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_PLACE = np.uint64(0xFFFFFF)
+_PLACE, _SENT = np.uint64(0xFFFFFF), np.uint64((1 << 40) - 1)
 #: Texts are worked on in pieces of this many bytes, which overlap by a string.
 PIECE = 1 << 22
 
@@ -91,8 +92,20 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
+def pack(h: np.ndarray) -> bytes:
+    """The low 40 bits, byte by byte of all numbers: sorted ones compress well."""
+    return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :5].T).tobytes()
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8).reshape(5, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :5] = planes.T
+    return out.view(np.uint64).ravel()
+
+
 def probes(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    a = mix(h * _M1)
+    a = mix((h & _SENT) * _M1)
     return (a % np.uint64(bits)).astype(np.int64), ((a >> np.uint64(33)) % np.uint64(bits)).astype(np.int64)
 
 
@@ -132,7 +145,7 @@ def sketch(length: int, buckets: int):
             for name, rows in _by_bucket(bucket_of(h, buckets)):
                 own, place = np.unique(at[rows], return_inverse=True)
                 code = (place << 1 | many[rows]).astype("<u4")
-                yield pd.DataFrame({"bucket": [name], "h": [h[rows].tobytes()], "doc": [code.astype("<u2").tobytes() if len(own) < 32_000 else code.tobytes()], "docs": [docs[own].tobytes()]})
+                yield pd.DataFrame({"bucket": [name], "h": [pack(h[rows])], "doc": [code.astype("<u2").tobytes() if len(own) < 32_000 else code.tobytes()], "docs": [docs[own].tobytes()]})
 
     return run
 
@@ -143,7 +156,7 @@ def shared(bits: int):
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         hashes, keys, many = [], [], []
         for h, doc, docs in zip(group["h"], group["doc"], group["docs"]):
-            h, docs = np.frombuffer(h, np.uint64), np.frombuffer(docs, np.int64)
+            h, docs = unpack(h), np.frombuffer(docs, np.int64)
             code = np.frombuffer(doc, "<u2" if len(docs) < 32_000 else "<u4").astype(np.int64)
             hashes.append(h)
             keys.append(docs[code >> 1])
@@ -198,7 +211,7 @@ def surroundings(length: int, buckets: int, bits: int, given):
                 alike = np.ascontiguousarray(row[mine]).view(f"V{full + 2}").ravel()
                 once, at = np.unique(alike, return_inverse=True)
                 docs, doc = np.unique(keys[owner[mine]], return_inverse=True)
-                yield pd.DataFrame({"bucket": [name], "rows": [once.tobytes()], "at": [at.astype("<u4").tobytes()], "doc": [doc.astype("<u4").tobytes()], "start": [start[mine].astype("<i8").tobytes()], "docs": [docs.tobytes()]})
+                yield pd.DataFrame({"bucket": [name], "rows": [zstandard.ZstdCompressor(level=3).compress(once.tobytes())], "at": [at.astype("<u4").tobytes()], "doc": [doc.astype("<u4").tobytes()], "start": [start[mine].astype("<i8").tobytes()], "docs": [docs.tobytes()]})
 
     return run
 
@@ -249,7 +262,7 @@ def sort_bucket(length: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         rows, row, key, start, base = [], [], [], [], 0
         for r, at, doc, s, docs in zip(group["rows"], group["at"], group["doc"], group["start"], group["docs"]):
-            r = np.frombuffer(r, np.uint8).reshape(-1, full + 2)
+            r = np.frombuffer(zstandard.ZstdDecompressor().decompress(r), np.uint8).reshape(-1, full + 2)
             rows.append(r)
             row.append(np.frombuffer(at, "<u4").astype(np.int64) + base)
             key.append(np.frombuffer(docs, np.int64)[np.frombuffer(doc, "<u4")])
