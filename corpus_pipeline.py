@@ -23,10 +23,10 @@ from quern.llm.substrings import remove_repeats
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the others lose their host's boilerplate lines."""
     keyed = docs.withColumn("__k", row_key())
-    verdicts = judge(keyed.select("__k", "text", "source")).filter("kept").select("__k", "removed").dropDuplicates(["__k"])
+    verdicts = judge(keyed.select("__k", "text", "source")).filter("kept").select("__k", F.col("removed").alias("__removed")).dropDuplicates(["__k"])
     kept = keyed.join(verdicts, "__k")
-    changed = F.size("removed") > 0
-    text = F.when(changed, without_lines("text", "removed")).otherwise(F.col("text"))
+    changed = F.size("__removed") > 0
+    text = F.when(changed, without_lines("text", "__removed")).otherwise(F.col("text"))
     out = kept.withColumn("text", text)
     return out.withColumn("n_chars", F.when(changed, F.char_length("text")).otherwise(F.col("n_chars")).cast("long")).select(*docs.columns)
 
@@ -46,9 +46,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
         for batch in kept:
             yield batch.map(lambda b: b.decode("utf-8", "ignore"))
 
-    out = remove_repeats(docs)
-    changed = F.col("n_removed") > 0
-    out = out.withColumn("text", F.when(changed, as_text("kept")).otherwise(F.col("text")))
+    out = remove_repeats(docs, prefix="__")
+    changed = F.col("__n_removed") > 0
+    out = out.withColumn("text", F.when(changed, as_text("__kept")).otherwise(F.col("text")))
     return out.withColumn("n_chars", F.when(changed, F.char_length("text")).otherwise(F.col("n_chars")).cast("long")).select(*docs.columns)
 
 

@@ -25,7 +25,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import null_safe, small_batches
+from .common import null_safe, public, small_batches
 
 CHUNK, OVERLAP, GUARD = 65_536, 4_096, 8
 
@@ -73,17 +73,13 @@ def chunk_rows(pattern: str, chunk: int, overlap: int):
             for at, last, piece in zip(batch["at"], batch["last"], batch["piece"]):
                 found = starts(piece, pattern)
                 heads.append((found[found < overlap] + at).tolist() if at else [])
-                tail = found[(found >= step_of(chunk, overlap)) & (found <= len(piece) - GUARD)]
+                tail = found[(found >= chunk - overlap) & (found <= len(piece) - GUARD)]
                 tails.append([] if last else (tail + at).tolist())
             yield pd.DataFrame({"__key": batch["__key"], "no": batch["no"], "head": heads, "tail": tails})
 
     return cut, places
 
 
-def step_of(chunk: int, overlap: int) -> int:
-    return chunk - overlap
-
-
 def cuts_of(texts: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFrame:
     """__key, cuts: the inner cut places of each long text, or null where neighbours share none."""
     cut, places = chunk_rows(pattern, chunk, overlap)
@@ -111,6 +107,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", o
     """
     if chunk < 2 * overlap + GUARD:
         raise ValueError("a chunk must hold two overlaps")
+    docs = public(docs, out)
     small_batches(docs.sparkSession)
     encode_piece = _encoder(vocabulary, pattern)
     long_text = F.coalesce(F.char_length(F.col(text)), F.lit(0)) > chunk
@@ -135,4 +132,4 @@ def decode(coded: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", ou
         for batch in batches:
             yield pd.Series([back(np.frombuffer(x, "<u4").tolist()) if x else b"" for x in batch], dtype=object)
 
-    return coded.withColumn(out, raw(F.col(ids)))
+    return public(coded, out).withColumn(out, raw(F.col(ids)))

@@ -41,6 +41,15 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def public(df: DataFrame, *new: str) -> DataFrame:
+    """``df`` without columns that an operator is about to add, or that start with two underscores.
+
+    So a clash of names has a defined result: the operator's column replaces the input's.
+    """
+    names = {n.lower() for n in new}
+    return df.select(*[c for c in df.columns if c.lower() not in names and not c.startswith("__")])
+
+
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """An equi-join on ``keys`` in which null equals null; ``keys`` come from the left side."""
     names = {k: f"__r_{i}" for i, k in enumerate(keys)}

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import public, small_batches
 
 #: Families of languages by code; a language that isn't listed is a family of its own.
 FAMILIES = {
@@ -148,6 +148,7 @@ def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score. Nothing is shuffled."""
+    docs = public(docs, "lang_pred", "score")
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("lang_pred string, score double")

@@ -9,7 +9,7 @@ documents of equal size, and so of equal rate, are one row.
 
 Rates become whole copies for each (source, size): running sums of expected copies, from the largest size
 down, are rounded and differenced. The few words by which a source then misses its target are made up
-greedily on one size of each power of two. Copies of a (source, size) are dealt evenly over its documents
+greedily on a few sizes of each power of two. Copies of a (source, size) are dealt evenly over its documents
 by a gapless rank, so a size that holds a third of all rows is never in one task.
 
 Defined results: a null text has no words and takes none; the null source is a source, sorted last; repeated
@@ -25,6 +25,8 @@ from .common import WORD, cut, gapless_rank, null_safe
 
 CAP = 3
 WEIGHTS = (1, 2, 3)
+#: Sizes of each power of two that mend a source's miss.
+MENDERS = 6
 
 
 def word_count(text: Column) -> Column:
@@ -113,9 +115,11 @@ def round_copies(rated: DataFrame, cap: int = CAP) -> DataFrame:
     rows = rated.withColumn("__c", total)
     rows = rows.withColumn("copies", (F.col("__c") - F.coalesce(F.lag("__c").over(w), F.lit(0))).cast("long"))
     rows = rows.withColumn("copies", F.greatest(F.lit(0).cast("long"), F.least("copies", F.col("n") * cap))).drop("__c")
-    # One size of each power of two, the one with the most documents, mends what is missed.
+    # A few sizes of each power of two, those with the most documents, mend what is missed.
     power = F.floor(F.log2(F.greatest("size", F.lit(1))))
-    chosen = rows.filter("size > 0").groupBy("source", power.alias("__p")).agg(F.max_by(F.struct("size", "n", "copies"), F.struct("n", "size")).alias("s"))
+    fullest = Window.partitionBy("source", power).orderBy(F.col("n").desc(), F.col("size").desc())
+    chosen = rows.filter("size > 0").withColumn("__i", F.row_number().over(fullest)).filter(F.col("__i") <= MENDERS)
+    chosen = chosen.select("source", F.struct("size", "n", "copies").alias("s"))
     miss = rows.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("miss"))
     menders = null_safe(chosen, miss, ["source"]).groupBy("source").agg(
         F.reverse(F.array_sort(F.collect_list(F.struct("s.size", "s.n", "s.copies")))).alias("sizes"), F.first("miss").alias("miss")

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import null_safe, small_batches, table
+from .common import null_safe, public, small_batches, table
 
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\v\f\r"
@@ -33,6 +33,8 @@ MAX_DOCS, MAX_SHARE = 10, 0.01
 LEAST_LEFT = 0.5
 #: Frequent lines that are broadcast at most (24 bytes each); more are joined by a shuffle.
 BROADCAST_LINES = 200_000
+#: The columns that the operator adds; ``document`` and ``lines`` stay inside.
+NEW = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed", "words_left", "kept", "document", "lines")
 FIGURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, document binary, lines array<struct<line:bigint,words:int>>"
 
 
@@ -105,6 +107,7 @@ def frequent_lines(measured: DataFrame, host: str, max_docs: int, max_share: flo
 
 def judge(docs: DataFrame, text: str = "text", host: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, least_left: float = LEAST_LEFT) -> DataFrame:
     """``docs`` without the text, with the base figures, base_failed, removed (hashes), words_left and kept."""
+    docs = public(docs, *NEW)
     columns = [c for c in docs.columns if c != text]
     measured = table(measure(docs, text).withColumn("__row", F.monotonically_increasing_id()), "quality")
     frequent = table(frequent_lines(measured, host, max_docs, max_share), "lines")

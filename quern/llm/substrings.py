@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, utf8_len
+from .common import public, small_batches, utf8_len
 
 LENGTH, GRAM, STRIDE = 50, 16, 8
 #: Text bytes for each bucket, and the largest Bloom filter.
@@ -184,6 +184,7 @@ def surroundings(length: int, buckets: int, bits: int, given):
         passed = given.value
         for batch in batches:
             keys, found = _each(batch, length)
+            twins = batch["__twin"].to_numpy(np.int64)
             rows, owners, starts, hashes = [], [], [], []
             for i, (text, (h, place, first, last)) in enumerate(zip(batch["__text"], found)):
                 a, b = probes(h, bits)
@@ -210,8 +211,8 @@ def surroundings(length: int, buckets: int, bits: int, given):
             for name, mine in _by_bucket(bucket_of(h, buckets)):
                 alike = np.ascontiguousarray(row[mine]).view(f"V{full + 2}").ravel()
                 once, at = np.unique(alike, return_inverse=True)
-                docs, doc = np.unique(keys[owner[mine]], return_inverse=True)
-                yield pd.DataFrame({"bucket": [name], "rows": [zstandard.ZstdCompressor(level=3).compress(once.tobytes())], "at": [at.astype("<u4").tobytes()], "doc": [doc.astype("<u4").tobytes()], "start": [start[mine].astype("<i8").tobytes()], "docs": [docs.tobytes()]})
+                docs, doc = np.unique(owner[mine], return_inverse=True)
+                yield pd.DataFrame({"bucket": [name], "rows": [zstandard.ZstdCompressor(level=3).compress(once.tobytes())], "at": [at.astype("<u4").tobytes()], "doc": [doc.astype("<u4").tobytes()], "start": [start[mine].astype("<i8").tobytes()], "docs": [keys[docs].tobytes()], "twins": [twins[docs].tobytes()]})
 
     return run
 
@@ -255,20 +256,21 @@ def smallest_keys(m: np.ndarray, first: np.ndarray, last: np.ndarray, key: np.nd
 
 
 def sort_bucket(length: int):
-    """Step 3: the starts to remove, as (key, first start, mask of starts)."""
+    """Step 3: the starts to remove, as (key, hash of the text, first start, mask of starts)."""
     width = length - GRAM
     full = length + width
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows, row, key, start, base = [], [], [], [], 0
-        for r, at, doc, s, docs in zip(group["rows"], group["at"], group["doc"], group["start"], group["docs"]):
+        rows, row, key, twin, start, base = [], [], [], [], [], 0
+        for r, at, doc, s, docs, twins in zip(*(group[c] for c in ("rows", "at", "doc", "start", "docs", "twins"))):
             r = np.frombuffer(zstandard.ZstdDecompressor().decompress(r), np.uint8).reshape(-1, full + 2)
             rows.append(r)
             row.append(np.frombuffer(at, "<u4").astype(np.int64) + base)
             key.append(np.frombuffer(docs, np.int64)[np.frombuffer(doc, "<u4")])
+            twin.append(np.frombuffer(twins, np.int64)[np.frombuffer(doc, "<u4")])
             start.append(np.frombuffer(s, "<i8"))
             base += len(r)
-        m, row, key, start = map(np.concatenate, (rows, row, key, start))
+        m, row, key, twin, start = map(np.concatenate, (rows, row, key, twin, start))
         once, at = np.unique(m.view(f"V{full + 2}").ravel(), return_inverse=True)
         m = once.view(np.uint8).reshape(-1, full + 2)
         row = at[row]
@@ -280,7 +282,7 @@ def sort_bucket(length: int):
         for c in range(width + 1):
             mask |= (best[row, c] < key).astype(np.int64) << c
         mine = mask != 0
-        return pd.DataFrame({"__key": key[mine], "start": start[mine], "mask": mask[mine]})
+        return pd.DataFrame({"__key": key[mine], "__twin": twin[mine], "start": start[mine], "mask": mask[mine]})
 
     return run
 
@@ -313,12 +315,14 @@ def strip(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """``docs`` with n_bytes, n_removed, the removed spans (byte offsets) and the kept bytes."""
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, prefix: str = "") -> DataFrame:
+    """``docs`` with n_bytes, n_removed, the removed spans (byte offsets) and the kept bytes, all named with ``prefix``."""
     spark = docs.sparkSession
+    names = [prefix + n for n in ("n_bytes", "n_removed", "spans", "kept")]
+    docs = public(docs, *names)
     small_batches(spark)
     raw = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
-    slim = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST_KEY)).alias("__key"), raw.alias("__text")).filter(F.octet_length("__text") >= length)
+    slim = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST_KEY)).alias("__key"), F.xxhash64(raw).alias("__twin"), raw.alias("__text")).filter(F.octet_length("__text") >= length)
     size = docs.agg(F.sum(utf8_len(F.col(text)))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     bits = max(8, min(SLICE_BITS, FILTER_BITS // buckets) // 8 * 8)
@@ -328,10 +332,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     for s in slices:
         passed[s["bucket"] * bits // 8 : (s["bucket"] + 1) * bits // 8] = np.frombuffer(s["bits"], np.uint8)
     given = spark.sparkContext.broadcast(passed)
-    around = slim.mapInPandas(surroundings(length, buckets, bits, given), "bucket int, rows binary, at binary, doc binary, start binary, docs binary")
-    found = around.groupBy("bucket").applyInPandas(sort_bucket(length), "__key long, start long, mask long")
-    masks = found.groupBy("__key").agg(F.collect_list("start").alias("__start"), F.collect_list("mask").alias("__mask"))
-    keyed = docs.withColumns({"__own": F.coalesce(F.col(key).cast("long"), F.lit(LAST_KEY)), "__raw": raw})
-    joined = keyed.join(masks.hint("shuffle_hash"), F.col("__own") == F.col("__key"), "left")
+    around = slim.mapInPandas(surroundings(length, buckets, bits, given), "bucket int, rows binary, at binary, doc binary, start binary, docs binary, twins binary")
+    found = around.groupBy("bucket").applyInPandas(sort_bucket(length), "__key long, __twin long, start long, mask long")
+    masks = found.groupBy("__key", "__twin").agg(F.collect_list("start").alias("__start"), F.collect_list("mask").alias("__mask"))
+    keyed = docs.withColumns({"__own": F.coalesce(F.col(key).cast("long"), F.lit(LAST_KEY)), "__raw": raw, "__hash": F.xxhash64(raw)})
+    joined = keyed.join(masks.hint("shuffle_hash"), (F.col("__own") == F.col("__key")) & (F.col("__hash") == F.col("__twin")), "left")
     out = joined.withColumn("__s", strip(length)("__raw", "__start", "__mask"))
-    return out.select(*docs.columns, F.octet_length("__raw").cast("long").alias("n_bytes"), "__s.n_removed", "__s.spans", "__s.kept")
+    found = [F.octet_length("__raw").cast("long"), F.col("__s.n_removed"), F.col("__s.spans"), F.col("__s.kept")]
+    return out.select(*docs.columns, *[c.alias(n) for c, n in zip(found, names)])

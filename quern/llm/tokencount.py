@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, utf8_len
+from .common import public, small_batches, utf8_len
 
 # Fixed value: the pre-token pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -119,6 +119,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", limit: in
 
     ``vocabulary`` is the path of a byte-level BPE vocabulary that every executor can read.
     """
+    docs = public(docs, "n_bytes", "n_tokens", "over_limit")
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("long")

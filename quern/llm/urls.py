@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import public
+
 STAR, ONE = -1, -2
 
 
@@ -140,6 +142,7 @@ def path_of(url: Column) -> Column:
 
 def filter_urls(pages: DataFrame, url: str = "url", rules: tuple = PREFIX_RULES, globs: tuple = GLOB_RULES, default: str = DEFAULT) -> DataFrame:
     """``pages`` with host, path, the deciding rule's name and the verdict. Nothing is shuffled."""
+    pages = public(pages, "host", "path", "rule", "verdict")
     ranked = sorted(rules, key=lambda r: (-len(r.name.encode()), r.verdict != "block"))
     ranked += sorted(globs, key=lambda r: (-len(r.name.encode()), r.verdict != "block"))
     machine = Automaton([r.pattern() for r in ranked])
