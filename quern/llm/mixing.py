@@ -9,7 +9,7 @@ documents of equal size, and so of equal rate, are one row.
 
 Rates become whole copies for each (source, size): running sums of expected copies, from the largest size
 down, are rounded and differenced. The few words by which a source then misses its target are made up
-greedily on a few sizes of each power of two. Copies of a (source, size) are dealt evenly over its documents
+greedily on a few sizes of each power of two, then by the best change of one copy at two of them. Copies of a (source, size) are dealt evenly over its documents
 by a gapless rank, so a size that holds a third of all rows is never in one task.
 
 Defined results: a null text has no words and takes none; the null source is a source, sorted last; repeated
@@ -134,8 +134,25 @@ def round_copies(rated: DataFrame, cap: int = CAP) -> DataFrame:
             F.concat(state["done"], F.array(F.struct(s["size"].alias("size"), extra.alias("extra")))).alias("done"),
         )
 
-    mended = menders.select("source", F.explode(F.aggregate("sizes", F.struct(F.col("miss").cast("double").alias("miss"), none.alias("done")), mend)["done"]).alias("m"))
-    mended = mended.select("source", F.col("m.size").alias("size"), F.col("m.extra").alias("extra"))
+    greedy = menders.withColumn("g", F.aggregate("sizes", F.struct(F.col("miss").cast("double").alias("miss"), none.alias("done")), mend))
+    greedy = greedy.select("source", F.col("g.miss").alias("miss"), F.arrays_zip(F.col("sizes").alias("of"), F.col("g.done").alias("got")).alias("sizes"))
+
+    def moves(d: int) -> Column:
+        """The sizes whose copies can still change by d, with 0 for no change."""
+        copies = lambda s: s["of"]["copies"] + s["got"]["extra"] + F.lit(d)
+        able = F.filter("sizes", lambda s: (copies(s) >= 0) & (copies(s) <= s["of"]["n"] * cap))
+        return F.concat(F.array(F.struct(F.lit(0).cast("long").alias("size"), F.lit(0).alias("d"))), F.transform(able, lambda s: F.struct(s["of"]["size"].alias("size"), F.lit(d).alias("d"))))
+
+    def left(x: Column, y: Column) -> Column:
+        same = (x["size"] == y["size"]) & (x["size"] > 0)
+        return F.struct(F.when(~same, F.abs(F.col("miss") - x["size"] * x["d"] - y["size"] * y["d"])).otherwise(F.lit(float("inf"))).alias("left"), x.alias("x"), y.alias("y"))
+
+    both = F.concat(moves(1), moves(-1))
+    best = F.array_min(F.transform("both", lambda x: F.array_min(F.transform("both", lambda y: left(x, y)))))
+    final = greedy.withColumn("both", both).withColumn("best", best)
+    change = lambda s, x: F.when(s["of"]["size"] == F.col(f"best.{x}.size"), F.col(f"best.{x}.d")).otherwise(0)
+    last = F.transform("sizes", lambda s: F.struct(s["of"]["size"].alias("size"), (s["got"]["extra"] + change(s, "x") + change(s, "y")).alias("extra")))
+    mended = final.select("source", F.explode(last).alias("m")).select("source", F.col("m.size").alias("size"), F.col("m.extra").alias("extra"))
     out = null_safe(rows, mended, ["source", "size"], "left")
     return out.withColumn("copies", F.col("copies") + F.coalesce("extra", F.lit(0))).drop("extra")
 
