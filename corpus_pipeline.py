@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.bpe import decode, encode
-from quern.llm.common import row_key, table
+from quern.llm.common import fresh, row_key, table
 from quern.llm.jaccard import near_duplicates
 from quern.llm.mixing import mix
 from quern.llm.quality import judge, without_lines
@@ -22,20 +22,22 @@ from quern.llm.substrings import remove_repeats
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the others lose their host's boilerplate lines."""
-    keyed = docs.withColumn("__k", row_key())
-    verdicts = judge(keyed.select("__k", "text", "source")).filter("kept").select("__k", F.col("removed").alias("__removed")).dropDuplicates(["__k"])
-    kept = keyed.join(verdicts, "__k")
-    changed = F.size("__removed") > 0
-    text = F.when(changed, without_lines("text", "__removed")).otherwise(F.col("text"))
+    k, gone = fresh(docs, "row_key", "row_lines")
+    keyed = docs.withColumn(k, row_key())
+    verdicts = judge(keyed.select(k, "text", "source")).filter("kept").select(k, F.col("removed").alias(gone)).dropDuplicates([k])
+    kept = keyed.join(verdicts, k)
+    changed = F.size(gone) > 0
+    text = F.when(changed, without_lines("text", gone)).otherwise(F.col("text"))
     out = kept.withColumn("text", text)
     return out.withColumn("n_chars", F.when(changed, F.char_length("text")).otherwise(F.col("n_chars")).cast("long")).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest key stays."""
-    keyed = docs.withColumn("__k", row_key())
-    first = near_duplicates(keyed.select("__k", "text"), key="__k").filter("__k = class_id").select("__k").distinct()
-    return keyed.join(first, "__k").dropDuplicates(["__k"]).select(*docs.columns)
+    (k,) = fresh(docs, "row_key")
+    keyed = docs.withColumn(k, row_key())
+    first = near_duplicates(keyed.select(k, "text"), key=k).filter(F.col(k) == F.col("class_id")).select(k).distinct()
+    return keyed.join(first, k).dropDuplicates([k]).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +56,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target asks for."""
-    keyed = docs.withColumn("__k", row_key())
-    copies = mix(keyed.select("__k", "text", "source"), key="__k").groupBy("__k").agg(F.sum("copies").cast("int").alias("__n"))
-    once = keyed.join(copies.filter("__n > 0"), "__k").dropDuplicates(["__k"])
-    return once.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+    k, n = fresh(docs, "row_key", "row_copies")
+    keyed = docs.withColumn(k, row_key())
+    copies = mix(keyed.select(k, "text", "source"), key=k).groupBy(k).agg(F.sum("copies").cast("int").alias(n))
+    once = keyed.join(copies.filter(F.col(n) > 0), k).dropDuplicates([k])
+    return once.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

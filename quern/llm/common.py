@@ -92,3 +92,15 @@ def row_key(key: str = "doc_id", text: str = "text") -> Column:
     """A string that orders like ``key`` (null last) and is equal for rows of equal key and text only."""
     number = F.lpad(F.coalesce(F.col(key), F.lit((1 << 63) - 1)).cast("string"), 20, "0")
     return F.concat(number, F.lit("-"), F.hex(F.xxhash64(F.col(text))), F.hex(F.crc32(F.coalesce(F.col(text), F.lit("")))))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with underscores added until none is a column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
