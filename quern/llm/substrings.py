@@ -26,7 +26,6 @@ are judged on the input.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,7 +44,9 @@ LAST_KEY = (1 << 63) - 1
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _PLACE, _SENT = np.uint64(0xFFFFFF), np.uint64((1 << 40) - 1)
 #: Texts are worked on in pieces of this many bytes, which overlap by a string.
-PIECE = 1 << 22
+PIECE = 1 << 18
+#: Anchors whose surroundings are cut out together.
+TOGETHER = 1 << 13
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -196,10 +197,12 @@ def surroundings(length: int, buckets: int, bits: int, given):
                     continue
                 place, first, last = place[ok], first[ok], last[ok]
                 raw = np.frombuffer(text, np.uint8)
-                at = (place - width)[:, None] + np.arange(full)
-                inside = (at >= first[:, None]) & (at < last[:, None] + length)
                 row = np.zeros((len(place), full + 2), np.uint8)
-                row[:, :full] = np.where(inside, raw[np.clip(at, 0, len(raw) - 1)], 0)
+                for low in range(0, len(place), TOGETHER):
+                    some = slice(low, low + TOGETHER)
+                    at = (place[some] - width)[:, None] + np.arange(full)
+                    inside = (at >= first[some, None]) & (at < last[some, None] + length)
+                    row[some, :full] = np.where(inside, raw[np.clip(at, 0, len(raw) - 1)], 0)
                 row[:, full], row[:, full + 1] = first - place + width, last - place + width
                 rows.append(row)
                 hashes.append(h[ok])
@@ -234,14 +237,13 @@ def dense_rank(first: np.ndarray, then: np.ndarray) -> np.ndarray:
     return rank
 
 
-def smallest_keys(m: np.ndarray, first: np.ndarray, last: np.ndarray, key: np.ndarray, length: int) -> np.ndarray:
-    """For each row and start column, the smallest key among the rows with an equal string there."""
+def smallest_keys(m: np.ndarray, first: np.ndarray, last: np.ndarray, key: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each start column, each row's smallest key among the rows with an equal string there."""
     width, full = length - GRAM, m.shape[1]
     rank = {c: None for c in range(0, full + STRIDE, STRIDE)}
     rank[max(rank)] = np.zeros(len(m), np.int64)
     for c in sorted(rank, reverse=True)[1:]:
         rank[c] = dense_rank(words(m, c, STRIDE), rank[c + STRIDE])
-    out = np.full((len(m), width + 1), LAST_KEY, np.int64)
     for c in range(width + 1):
         rows = np.flatnonzero((first <= c) & (c <= last))
         if not len(rows):
@@ -251,8 +253,9 @@ def smallest_keys(m: np.ndarray, first: np.ndarray, last: np.ndarray, key: np.nd
         text = m[order, c : c + length]
         new = np.concatenate([[True], (text[1:] != text[:-1]).any(1)])
         start = np.flatnonzero(new)
-        out[order, c] = np.minimum.reduceat(key[order], start)[np.cumsum(new) - 1]
-    return out
+        best = np.full(len(m), LAST_KEY, np.int64)
+        best[order] = np.minimum.reduceat(key[order], start)[np.cumsum(new) - 1]
+        yield c, best
 
 
 def sort_bucket(length: int):
@@ -277,10 +280,9 @@ def sort_bucket(length: int):
         low = np.full(len(m), LAST_KEY, np.int64)
         np.minimum.at(low, row, key)
         first, last = m[:, full].astype(np.int64), m[:, full + 1].astype(np.int64)
-        best = smallest_keys(m[:, :full], first, last, low, length)
         mask = np.zeros(len(row), np.int64)
-        for c in range(width + 1):
-            mask |= (best[row, c] < key).astype(np.int64) << c
+        for c, best in smallest_keys(m[:, :full], first, last, low, length):
+            mask |= (best[row] < key).astype(np.int64) << c
         mine = mask != 0
         return pd.DataFrame({"__key": key[mine], "__twin": twin[mine], "start": start[mine], "mask": mask[mine]})
 
