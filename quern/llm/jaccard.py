@@ -47,7 +47,7 @@ _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _RNG = np.random.Generator(np.random.PCG64(7))
 _MULTIPLY = _RNG.integers(0, 1 << 63, TOKENS, np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACES = _RNG.integers(0, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -363,7 +363,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_CLASSES else wanted
     texts = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(side, F.col("__key").eqNullSafe(F.col("__rep")))
     sets = texts.withColumn("w", full("__text")).filter(F.col("w.cid") == F.col("__cid")).select(F.col("w.cid").alias("cid"), F.col("w.items").alias("items"), "copies", "group")
-    met = block_pairs(sets, "group", "cid", SET_BLOCK)
+    met = block_pairs(table(sets, "sets"), "group", "cid", SET_BLOCK)
     keys = ["group", "i", "j"]
     met = met.repartition(n, *keys).sortWithinPartitions(*keys)
     checked = cut(met.mapInPandas(groups_in_partition(verify(similarity), keys), "cid long, links long, root long"))
