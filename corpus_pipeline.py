@@ -48,10 +48,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
         for batch in kept:
             yield batch.map(lambda b: b.decode("utf-8", "ignore"))
 
-    out = remove_repeats(docs, prefix="__")
+    hidden = [c for c in docs.columns if c.startswith("__")]  # the operator would drop them
+    shown = dict(zip(hidden, fresh(docs, *[f"row{c}" for c in hidden])))
+    plain = docs.toDF(*[shown.get(c, c) for c in docs.columns])
+    out = remove_repeats(plain, prefix="__")
     changed = F.col("__n_removed") > 0
     out = out.withColumn("text", F.when(changed, as_text("__kept")).otherwise(F.col("text")))
-    return out.withColumn("n_chars", F.when(changed, F.char_length("text")).otherwise(F.col("n_chars")).cast("long")).select(*docs.columns)
+    out = out.withColumn("n_chars", F.when(changed, F.char_length("text")).otherwise(F.col("n_chars")).cast("long"))
+    return out.select(*plain.columns).toDF(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
