@@ -79,3 +79,14 @@ def test_hard_rows_pass(spark, sf):
     for _, stage in C.STAGES:
         empty = C.table(stage(spark, empty, sf), "empty")
     assert empty.count() == 0
+
+
+def test_extra_columns_stay(spark, sf):
+    from pyspark.sql import functions as F
+
+    names = ["row_key", "row_lines", "row_copies", "__key", "__n_removed", "kept", "__k"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 40").withColumns({c: F.concat(F.lit(c), "doc_id") for c in names})
+    for _, stage in C.STAGES[:-1]:
+        docs = C.table(stage(spark, docs, sf), "extra")
+        assert docs.columns[-len(names) :] == names
+    assert docs.count() and docs.filter(" or ".join(f"`{c}` <> '{c}' || doc_id" for c in names)).count() == 0
