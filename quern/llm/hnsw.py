@@ -5,7 +5,9 @@ navigable small-world graph, and every class queries the graph of every shard. A
 the best candidates and expands them until none is left. A beam that is full of matches is widened, and so is
 every beam of a shard until its audit passes: the matches of a sample of its queries, found by brute force,
 must have been found by the graph. A shard whose beam has grown to its size is compared in full, which is exact.
-Proposed pairs are verified by their cosine in double precision, and linked classes are joined to components.
+A shard returns a spanning forest of what its queries found, not the pairs. The forests' components are candidate
+groups; each group's vectors meet in blocks, where every cosine is taken in double precision. Blocks return link
+counts and a spanning forest, and the forests are united to components.
 
 Defined results: a vector that is null, empty, zero or holds null, NaN or infinite components links with nothing and
 is its own component; vectors of different lengths never link; a null id links like any other vector, but its own
@@ -22,14 +24,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .components import components
+from .components import block_pairs, components
+from .jaccard import forest, groups_in_partition
 
 SIMILARITY, RECALL = 0.95, 0.995
-#: Shards at least, and vectors of a shard at most.
-SHARDS, SHARD_ROWS = 8, 100_000
+#: Shards at least, and vectors and numbers of a shard at most.
+SHARDS, SHARD_ROWS, SHARD_NUMBERS = 8, 100_000, 12_800_000
 DEGREE, BUILD_BEAM, BEAM = 12, 48, 32
+#: A query whose beam is still full of matches at this width is compared with its whole shard.
+WIDEST = 512
 #: Queries audited in each shard, and queries searched together.
 AUDIT, TOGETHER = 256, 512
+#: Similarities held at once, and vectors of a block of a candidate group.
+CELLS, BLOCK = 16_000_000, 2_048
 
 
 class Graph:
@@ -161,15 +168,39 @@ class Shard:
         self.beam = min(BEAM, max(1, len(ids)))
         rng = np.random.Generator(np.random.PCG64(5))
         q = self.unit[rng.choice(len(ids), min(AUDIT, len(ids)), replace=False)]
-        true = (q @ self.unit.T >= similarity).sum()
+        self.parent = np.arange(len(ids))
+        true = sum(len(f) for f in self.exact(q))
         while self.beam < len(ids) and sum(len(x) for x in self.matches(q)) < recall * true:
             self.beam = min(len(ids), 2 * self.beam)
 
+    def exact(self, q: np.ndarray) -> list[np.ndarray]:
+        """The matches of each unit row by comparison with the whole shard."""
+        step = max(1, CELLS // len(self.ids))
+        return [np.flatnonzero(f) for low in range(0, len(q), step) for f in q[low : low + step] @ self.unit.T >= self.similarity]
+
+    def joined(self, ids: np.ndarray, found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Edges that connect each query with its matches, given what earlier queries have connected."""
+        left, right = [], []
+        for query, places in zip(ids, found):
+            if not len(places):
+                continue
+            roots = places
+            while len(roots) and (self.parent[roots] != roots).any():
+                roots = self.parent[roots]
+            roots = np.unique(roots)
+            self.parent[places] = self.parent[roots] = roots[0]
+            others = self.ids[roots]
+            others = others[others != query]
+            left.append(np.full(len(others), query))
+            right.append(others)
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *left]), np.concatenate([none, *right])
+
     def matches(self, q: np.ndarray) -> list[np.ndarray]:
         """For each unit row, the places in the shard at the similarity or above it, in double precision."""
         out: list = [None] * len(q)
         todo, beam = np.arange(len(q)), self.beam
-        while len(todo) and beam < len(self.ids):
+        while len(todo) and beam < len(self.ids) and (beam <= WIDEST or beam == self.beam):
             left = []
             together = max(8, min(TOGETHER, 20_000_000 // max(1, len(self.ids))))
             for low in range(0, len(todo), together):
@@ -183,16 +214,13 @@ class Shard:
                         i = i[n]
                         out[r] = i[self.unit[i] @ q[r] >= self.similarity]
             todo, beam = np.array(left, np.int64), 4 * beam
-        for low in range(0, len(todo), 256):
-            rows = todo[low : low + 256]
-            full = q[rows] @ self.unit.T >= self.similarity
-            for r, f in zip(rows, full):
-                out[r] = np.flatnonzero(f)
+        for r, f in zip(todo, self.exact(q[todo])):
+            out[r] = f
         return out
 
 
 def search_shards(similarity: float, recall: float):
-    """Rows come by shard, members (kind 0) before queries (kind 1); linked pairs go out."""
+    """Rows come by shard, members (kind 0) before queries (kind 1); a spanning forest of the links found goes out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, members, shard = None, [], None
@@ -214,16 +242,35 @@ def search_shards(similarity: float, recall: float):
                 if shard is None:
                     shard = Shard(np.concatenate([m[0] for m in members]), np.concatenate([m[1] for m in members]), similarity, recall)
                 unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-                found = shard.matches(unit)
-                left = np.repeat(ids, [len(f) for f in found])
-                right = shard.ids[np.concatenate(found).astype(np.int64)] if len(left) else left
-                other = left != right
-                yield pd.DataFrame({"a": np.minimum(left, right)[other], "b": np.maximum(left, right)[other]})
+                left, right = shard.joined(ids, shard.matches(unit))
+                yield pd.DataFrame({"a": np.minimum(left, right), "b": np.maximum(left, right)})
+
+    return run
+
+
+def verify(similarity: float):
+    """For two blocks of a candidate group: each class's weight of links, and a spanning forest of them."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates("id").sort_values("id")
+        ids, mine, copies = group["id"].to_numpy(), group["mine"].to_numpy(), group["copies"].to_numpy(np.float64)
+        x = np.stack(group["v"].to_numpy()).astype(np.float64)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        linked = np.empty((len(x), len(x)), bool)
+        for low in range(0, len(x), 512):
+            linked[low : low + 512] = x[low : low + 512] @ x.T >= similarity
+        linked |= linked.T
+        np.fill_diagonal(linked, False)
+        if group["i"].iloc[0] != group["j"].iloc[0]:
+            linked &= mine[:, None] != mine[None, :]
+        weight = np.concatenate([linked[low : low + 512] @ copies for low in range(0, len(x), 512)]).astype(np.int64)
+        some = weight > 0
+        return pd.DataFrame({"id": ids[some], "links": weight[some], "root": ids[forest(linked)][some]})
 
     return run
 
 
-def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", similarity: float = SIMILARITY, recall: float = RECALL, shards: int = SHARDS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", similarity: float = SIMILARITY, recall: float = RECALL, shards: int = SHARDS, shard_rows: int = SHARD_ROWS, block: int = BLOCK) -> DataFrame:
     """One row for each vector: key, n_links, component_id and kept."""
     spark = rows.sparkSession
     v = F.col(vector)
@@ -231,16 +278,22 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
     slim = rows.select(F.col(key).cast("long").alias("__key"), v.alias("v"), F.coalesce(solid, F.lit(False)).alias("solid"))
     grouped = slim.filter("solid").groupBy("v").agg(F.min("__key").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = cut(grouped.withColumn("id", F.monotonically_increasing_id()))
-    n = max(shards, -(-classes.count() // shard_rows))
+    count, numbers = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
+    n = max(shards, -(-count // shard_rows), -(-numbers // SHARD_NUMBERS))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     member = classes.select(F.size("v").alias("dim"), own.alias("shard"), F.lit(0).alias("kind"), "id", "v")
     query = classes.select(F.size("v").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "v")
-    met = member.union(query).repartition(max(n, int(spark.conf.get("spark.sql.shuffle.partitions"))), "dim", "shard").sortWithinPartitions("dim", "shard", "kind", "id")
-    pairs = cut(met.mapInPandas(search_shards(similarity, recall), "a long, b long").distinct())
-    ends = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    copies = classes.select(F.col("id").alias("b"), "copies")
-    links = ends.join(copies, "b").groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("links"))
-    named = cut(components(pairs)).join(classes.select("id", "rep"), "id")
+    met = member.union(query).repartition(max(n, tasks), "dim", "shard").sortWithinPartitions("dim", "shard", "kind", "id")
+    found = cut(met.mapInPandas(search_shards(similarity, recall), "a long, b long").distinct())
+    grouped = cut(components(found)).withColumnRenamed("component", "group")
+    keys = ["group", "i", "j"]
+    blocks = block_pairs(grouped.join(classes.select("id", "v", "copies"), "id"), "group", "id", block)
+    blocks = blocks.repartition(tasks, *keys).sortWithinPartitions(*keys)
+    checked = cut(blocks.mapInPandas(groups_in_partition(verify(similarity), keys), "id long, links long, root long"))
+    links = checked.groupBy("id").agg(F.sum("links").alias("links"))
+    same = cut(components(checked.select(F.col("id").alias("a"), F.col("root").alias("b"))))
+    named = same.join(classes.select("id", "rep"), "id")
     firsts = named.groupBy("component").agg(F.min("rep").alias("first"))
     joined = named.join(firsts, "component").select("id", "first")
     about = classes.join(links, "id", "left").join(joined, "id", "left")
