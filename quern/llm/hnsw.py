@@ -30,7 +30,7 @@ from .jaccard import forest, groups_in_partition
 SIMILARITY, RECALL = 0.95, 0.995
 #: Shards at least, and vectors and numbers of a shard at most.
 SHARDS, SHARD_ROWS, SHARD_NUMBERS = 8, 100_000, 12_800_000
-DEGREE, BUILD_BEAM, BEAM = 12, 48, 32
+DEGREE, BUILD_BEAM, BEAM = 12, 32, 16
 #: A query whose beam is still full of matches at this width is compared with its whole shard.
 WIDEST = 512
 #: Queries audited in each shard, and queries searched together.
@@ -84,6 +84,7 @@ class Graph:
         extra = np.full((len(node), int(count.max()) if len(count) else 0), -1)
         extra[np.repeat(np.arange(len(node)), count), np.arange(len(a)) - np.repeat(at, count)] = b
         have = self.links[lv][node]
+        extra[(extra[:, :, None] == have[:, None, :]).any(2)] = -1  # two new points may choose each other
         both = np.concatenate([have, extra], 1)
         room = (both >= 0).sum(1) <= have.shape[1]
         width = have.shape[1]
