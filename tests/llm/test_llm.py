@@ -183,7 +183,7 @@ def test_vectors(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, near]).astype(np.float32).astype(float))]
     rows += [(900, rows[0][1]), (901, rows[0][1]), (901, rows[0][1]), (None, rows[0][1]), (902, None), (903, []), (904, [0.0] * 16), (905, [float("nan")] + [1.0] * 15), (906, [None] + [1.0] * 15), (907, [1.0, 2.0]), (908, [2.0, 4.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit("clash")).withColumn("__key", F.lit(1))
-    out = hnsw.near_vectors(df, shards=3).toPandas()
+    out = hnsw.near_vectors(df, shards=3, block=2).toPandas()
     links, low = collections.Counter(), {}
     parent = list(range(len(rows)))
 
@@ -214,8 +214,30 @@ def test_graph_recall():
     x = rng.normal(size=(3000, 24))
     x[1500:] = x[:1500] + rng.normal(size=(1500, 24)) * 0.05
     shard = hnsw.Shard(np.arange(3000), x, 0.95, 0.99)
-    found = sum(len(f) for f in shard.matches(shard.unit))
-    assert found >= 0.98 * (shard.unit @ shard.unit.T >= 0.95).sum()
+    found = shard.matches(shard.unit)
+    assert all(len(f) == len(set(f)) for f in found)
+    assert sum(len(f) for f in found) >= 0.98 * (shard.unit @ shard.unit.T >= 0.95).sum()
+
+
+def test_graph_forest():
+    """One large group of near copies gives a forest, not pairs."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(900, 24))
+    x[100:] = x[0] + rng.normal(size=(800, 24)) * 0.05
+    shard = hnsw.Shard(np.arange(900), x, 0.95, 0.99)
+    found = shard.matches(shard.unit)
+    left, right = shard.joined(shard.ids, found)
+    assert sum(map(len, found)) > 600_000 and len(left) < 2 * 900 and (left != right).all()
+    parent = {i: i for i in range(900)}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in zip(left, right):
+        parent[root(a)] = root(b)
+    assert len({root(i) for i in [0, *range(100, 900)]}) == 1 and len({root(i) for i in range(900)}) == 100
 
 
 # 7
