@@ -5,8 +5,8 @@ One pass over the texts takes the base figures of each document and the hashes o
 above the host's limit are boilerplate: their words don't count for the document, and a document that keeps
 less than ``least_left`` of its words is rejected. The host is the ``source`` column.
 
-Copies aren't evidence of boilerplate: documents of a host whose smallest line hash agrees, as it does for
-exact and most near copies, count as one.
+Copies aren't evidence of boilerplate: documents of a host with the same set of normalised lines count as one.
+Near copies differ in a line, so each of them counts.
 
 Defined results: a null text has no words and fails the base rules; the null host is a host; a repeated row
 gets the verdict of its text; an empty table gives no rows; a line without a word is never counted.
@@ -80,7 +80,7 @@ def figures(text: str | None) -> tuple:
             key = md5(normal(line.decode())).digest()
             counted[key] = counted.get(key, 0) + len(bare)
     lines = [{"line": int.from_bytes(k[:8], "big", signed=True), "words": n} for k, n in counted.items()]
-    return len(words), chars, len(raw) - len(raw.translate(None, SYMBOLS)), again, repeated_words(words), min(counted, default=b""), lines
+    return len(words), chars, len(raw) - len(raw.translate(None, SYMBOLS)), again, repeated_words(words), md5(b"".join(sorted(counted))).digest(), lines
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:

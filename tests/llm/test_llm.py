@@ -173,6 +173,18 @@ def test_frequent_lines(spark):
     assert quality.repeated_words([b"a", b"b", b"c"] * 40_000) == 120_000
 
 
+def test_boilerplate_does_not_hide_itself(spark):
+    """Pages of many shared lines and one of their own are as many documents, whichever line hash is smallest."""
+    menu = [" ".join(f"m{j}x{k}" for k in range(2)) for j in range(60)]
+    rows = [(i, "\n".join([*menu, " ".join(f"w{i}x{k}" for k in range(30))]), "h") for i in range(40)]
+    rows += [(1000 + i, rows[0][1].upper(), "h") for i in range(50)]
+    rows += [(2000 + i, rows[i][1], "few") for i in range(quality.MAX_DOCS)] + [(3000 + i, rows[0][1], "few") for i in range(50)]
+    out = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas().set_index("doc_id")
+    hashes = {quality.line_hash(x) for x in menu}
+    assert all(set(r) == hashes for r in out.loc[out.index < 2000, "removed"]) and (out.loc[out.index < 2000, "words_left"] == 30).all()
+    assert not out.loc[out.index < 2000, "kept"].any() and out.loc[out.index >= 2000, "kept"].all()
+
+
 # 6
 
 
