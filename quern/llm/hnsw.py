@@ -3,8 +3,10 @@
 Equal vectors are one class. Classes are dealt over shards by a hash; each shard builds its own hierarchical
 navigable small-world graph, and every class queries the graph of every shard. A query keeps a beam of
 the best candidates and expands them until none is left. A beam that is full of matches is widened, and so is
-every beam of a shard until its audit passes: the matches of a sample of its queries, found by brute force,
-must have been found by the graph. A shard whose beam has grown to its size is compared in full, which is exact.
+every beam of a shard until its audit passes: queries are drawn from all shards and compared with the whole shard
+until enough matches with other vectors are known, and the graph must find them. A shard with too few of them to
+audit is searched with a wide beam, or compared in full where that takes no longer. A shard whose beam has grown to
+its size is compared in full, which is exact.
 A shard returns a spanning forest of what its queries found, not the pairs. The forests' components are candidate
 groups; each group's vectors meet in blocks, where every cosine is taken in double precision. Blocks return link
 counts and a spanning forest, and the forests are united to components.
@@ -33,8 +35,12 @@ SHARDS, SHARD_ROWS, SHARD_NUMBERS = 8, 100_000, 12_800_000
 DEGREE, BUILD_BEAM, BEAM = 12, 32, 16
 #: A query whose beam is still full of matches at this width is compared with its whole shard.
 WIDEST = 512
-#: Queries audited in each shard, and queries searched together.
-AUDIT, TOGETHER = 256, 512
+#: Queries of an audit compared at once and drawn at most, and queries searched together.
+AUDIT, DRAWN, TOGETHER = 256, 8_192, 512
+#: Matches with other vectors that an audit needs, and how many of them one query may count for.
+PARTNERS, EACH = 1_000, 10
+#: A shard of so many vectors at most is compared in full where it can't be audited.
+SMALL = 2 * DEGREE * WIDEST
 #: Similarities held at once, and vectors of a block of a candidate group.
 CELLS, BLOCK = 16_000_000, 2_048
 
@@ -162,17 +168,36 @@ class Graph:
 class Shard:
     """A graph with its audited beam."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, similarity: float, recall: float):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, similarity: float, recall: float, queries: tuple[np.ndarray, np.ndarray] | None = None):
         self.ids, self.similarity = ids, similarity
         self.unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
         self.graph = Graph(self.unit.astype(np.float32))
         self.beam = min(BEAM, max(1, len(ids)))
-        rng = np.random.Generator(np.random.PCG64(5))
-        q = self.unit[rng.choice(len(ids), min(AUDIT, len(ids)), replace=False)]
         self.parent = np.arange(len(ids))
-        true = sum(len(f) for f in self.exact(q))
-        while self.beam < len(ids) and sum(len(x) for x in self.matches(q)) < recall * true:
-            self.beam = min(len(ids), 2 * self.beam)
+        self.audit(*(queries or (ids, self.unit)), recall)
+
+    def audit(self, ids: np.ndarray, q: np.ndarray, recall: float) -> None:
+        """Widen the beam until the graph finds the matches of these unit rows with other vectors."""
+        order = np.random.Generator(np.random.PCG64(5)).permutation(len(ids))[:DRAWN]
+        drawn, counts, weight = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        for low in range(0, len(order), AUDIT):
+            rows = order[low : low + AUDIT]
+            n = self.partners(ids[rows], self.exact(q[rows]))
+            drawn.append(rows[n > 0])
+            counts.append(n[n > 0])
+            weight += int(np.minimum(n, EACH).sum())
+            if weight >= PARTNERS:
+                break
+        rows, true = np.concatenate(drawn), np.concatenate(counts)
+        if weight < PARTNERS:
+            self.beam = len(self.ids) if len(self.ids) <= SMALL else WIDEST
+        share = np.minimum(true, EACH) / true
+        while self.beam < len(self.ids) and (share * self.partners(ids[rows], self.matches(q[rows]))).sum() < recall * weight:
+            self.beam = min(len(self.ids), 2 * self.beam)
+
+    def partners(self, ids: np.ndarray, found: list[np.ndarray]) -> np.ndarray:
+        """How many matches each query has besides itself."""
+        return np.array([np.count_nonzero(self.ids[f] != i) for i, f in zip(ids, found)], np.int64)
 
     def exact(self, q: np.ndarray) -> list[np.ndarray]:
         """The matches of each unit row by comparison with the whole shard."""
@@ -221,10 +246,23 @@ class Shard:
 
 
 def search_shards(similarity: float, recall: float):
-    """Rows come by shard, members (kind 0) before queries (kind 1); a spanning forest of the links found goes out."""
+    """Rows come by shard, members (kind 0) before queries (kind 1) in random order; a spanning forest of the links found goes out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, members, shard = None, [], None
+        key, members, waiting, shard = None, [], [], None
+
+        def answers() -> Iterator[pd.DataFrame]:
+            nonlocal shard, waiting
+            if members and waiting:
+                both = [(i, v / np.linalg.norm(v, axis=1, keepdims=True)) for i, v in waiting]
+                if shard is None:
+                    drawn = tuple(np.concatenate(x) for x in zip(*both))
+                    shard = Shard(np.concatenate([m[0] for m in members]), np.concatenate([m[1] for m in members]), similarity, recall, drawn)
+                for ids, unit in both:
+                    left, right = shard.joined(ids, shard.matches(unit))
+                    yield pd.DataFrame({"a": np.minimum(left, right), "b": np.maximum(left, right)})
+            waiting = []
+
         for batch in batches:
             if not len(batch):
                 continue
@@ -232,19 +270,17 @@ def search_shards(similarity: float, recall: float):
             edges = [0, *[k for k in range(1, len(names)) if names[k] != names[k - 1]], len(names)]
             for a, b in zip(edges, edges[1:]):
                 if names[a][:2] != key:
+                    yield from answers()
                     key, members, shard = names[a][:2], [], None
                 ids = batch["id"].iloc[a:b].to_numpy(np.int64)
                 vectors = np.stack(batch["v"].iloc[a:b].to_numpy()).astype(np.float64)
                 if names[a][2] == 0:
                     members.append((ids, vectors))
                     continue
-                if not members:
-                    continue
-                if shard is None:
-                    shard = Shard(np.concatenate([m[0] for m in members]), np.concatenate([m[1] for m in members]), similarity, recall)
-                unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-                left, right = shard.joined(ids, shard.matches(unit))
-                yield pd.DataFrame({"a": np.minimum(left, right), "b": np.maximum(left, right)})
+                waiting.append((ids, vectors))
+                if shard is not None or sum(len(w[0]) for w in waiting) >= DRAWN:
+                    yield from answers()
+        yield from answers()
 
     return run
 
@@ -285,7 +321,7 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
     own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     member = classes.select(F.size("v").alias("dim"), own.alias("shard"), F.lit(0).alias("kind"), "id", "v")
     query = classes.select(F.size("v").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "v")
-    met = member.union(query).repartition(max(n, tasks), "dim", "shard").sortWithinPartitions("dim", "shard", "kind", "id")
+    met = member.union(query).repartition(max(n, tasks), "dim", "shard").sortWithinPartitions("dim", "shard", "kind", F.xxhash64("id", F.lit("order")), "id")
     found = cut(met.mapInPandas(search_shards(similarity, recall), "a long, b long").distinct())
     grouped = cut(components(found)).withColumnRenamed("component", "group")
     keys = ["group", "i", "j"]

@@ -231,6 +231,34 @@ def test_graph_recall():
     assert sum(len(f) for f in found) >= 0.98 * (shard.unit @ shard.unit.T >= 0.95).sum()
 
 
+class Blind(hnsw.Shard):
+    """A shard whose graph finds nothing but the query itself."""
+
+    def matches(self, q):
+        if self.beam >= len(self.ids):
+            return self.exact(q)
+        return [np.flatnonzero(f > 1 - 1e-12) for f in q @ self.unit.T]
+
+
+@pytest.mark.parametrize("pairs", [2, 1200])
+def test_audit_leaves_self_matches_out(pairs):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 24))
+    x[1500 : 1500 + pairs] = x[:pairs] + rng.normal(size=(pairs, 24)) * 0.01
+    shard = Blind(np.arange(3000), x, 0.95, 0.4)
+    found = shard.matches(shard.unit)
+    assert shard.beam == 3000 and sum(len(f) for f in found) >= 3000 + 2 * pairs
+
+
+def test_audit_draws_from_other_shards():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 24))
+    near = x + rng.normal(size=x.shape) * 0.01
+    outside = near / np.linalg.norm(near, axis=1, keepdims=True)
+    assert Blind(np.arange(3000), x, 0.95, 0.995, (np.arange(3000, 6000), outside)).beam == 3000
+    assert hnsw.Shard(np.arange(3000), x, 0.95, 0.995, (np.arange(3000, 6000), outside)).beam < 3000
+
+
 def test_graph_forest():
     """One large group of near copies gives a forest, not pairs."""
     rng = np.random.default_rng(2)
