@@ -166,7 +166,7 @@ def plain_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def folded_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = mime.html_function(mime.fold_html)
-    body = F.concat(F.substring("html", 1, 400), F.lit('<blockquote type="cite">old</blockquote>'))
+    body = F.concat("html", F.lit('<blockquote type="cite">old</blockquote>'))
     return V.bodies_html(spark, sf_dir).select("page_id", fold(body).alias("html"))
 
 

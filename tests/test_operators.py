@@ -164,3 +164,29 @@ def test_folder_roles(spark):
     rows = [(1, ["\\Inbox"]), (2, ["\\Sent"]), (3, ["\\Sent"]), (4, ["\\Noselect"]), (5, ["x"])]
     got = mailbox.folder_roles(spark.createDataFrame(rows, "seq long, flags array<string>"), {"\\Inbox": "inbox", "\\Sent": "sent"})
     assert {r["seq"]: r["role"] for r in got.collect()} == {1: "inbox", 2: "sent", 3: None, 5: None}
+
+
+def test_folded_html_takes_whole_pages(spark, tmp_path):
+    """Quotes and reply markers far into a page, against a walk over its tree."""
+    from xml.etree import ElementTree
+
+    from quern.plans import QUERIES
+
+    def walk(e, inside=False):
+        quote = not inside and (e.get("class") == "gmail_quote" or (e.tag == "blockquote" and e.get("type") == "cite"))
+        attrs = "".join(f' {k}="{v}"' for k, v in e.attrib.items())
+        body = (e.text or "") + "".join(walk(x, inside or quote) + (x.tail or "") for x in e)
+        whole = f"<{e.tag}{attrs}>{body}</{e.tag}>"
+        return f"<details>{whole}</details>" if quote else whole
+
+    long, planted = "<p>some words</p>" * 60, '<blockquote type="cite">old</blockquote>'
+    pages = [
+        f'<div>{long}<blockquote type="cite">x<div class="gmail_quote">y</div></blockquote>z</div>',
+        f'<div class="gmail_quote">a{long}<div><blockquote type="cite">b</blockquote></div></div>',
+        f"<div>{long}<b>end</b></div>",
+    ]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r["html"] for r in QUERIES["folded_html"](spark, str(tmp_path)).collect()}
+    for i, page in enumerate(pages):
+        tree = ElementTree.fromstring(f"<root>{page}{planted}</root>")
+        assert got[i] == "".join(map(walk, tree))
