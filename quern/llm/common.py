@@ -61,8 +61,8 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     return left.join(other, on, how).drop(*names.values())
 
 
-def gapless_rank(df: DataFrame, keys: list[str], by: list[str], out: str, buckets: int = 512) -> DataFrame:
-    """Number the rows of each key from 0 without gaps, however many rows one key holds.
+def gapless_rank(df: DataFrame, keys: list[str], by: list[str], out: str, buckets: int = 512, total: str | None = None) -> DataFrame:
+    """Number the rows of each key from 0 without gaps, however many rows one key holds; ``total`` names the key's count.
 
     Rows of a key are dealt over ``buckets`` by a hash of ``by``. Each bucket is ranked on its
     own and shifted by the number of rows in the buckets before it, so no task sorts a whole key.
@@ -70,7 +70,8 @@ def gapless_rank(df: DataFrame, keys: list[str], by: list[str], out: str, bucket
     rows = df.withColumn("__b", F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int"))
     counts = rows.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    sums = {"__off": F.coalesce(F.sum("__n").over(before), F.lit(0))} | ({total: F.sum("__n").over(Window.partitionBy(*keys))} if total else {})
+    offsets = counts.withColumns(sums).drop("__n")
     inner = Window.partitionBy(*keys, "__b").orderBy(*by)
     ranked = rows.withColumn("__r", F.row_number().over(inner) - 1)
     joined = null_safe(ranked, offsets, [*keys, "__b"])

@@ -1,23 +1,29 @@
 """Operator 6: near-duplicate vectors by navigable small-world graphs per shard.
 
 Equal vectors are one class. Classes are dealt over shards by a hash; each shard builds its own hierarchical
-navigable small-world graph, and every class queries the graph of every shard. A query keeps a beam of
-the best candidates and expands them until none is left. A beam that is full of matches is widened, and so is
-every beam of a shard until its audit passes: queries are drawn from all shards and compared with the whole shard
-until enough matches with other vectors are known, and the graph must find them. A shard with too few of them to
-audit is searched with a wide beam, or compared in full where that takes no longer. A shard whose beam has grown to
-its size is compared in full, which is exact.
-A shard returns a spanning forest of what its queries found, not the pairs. The forests' components are candidate
-groups; each group's vectors meet in blocks, where every cosine is taken in double precision. Blocks return link
-counts and a spanning forest, and the forests are united to components.
+navigable small-world graph, audits it and writes it to the shared folder. Then every class queries every shard:
+queries are dealt in blocks, and a task loads one graph and answers one block, so that neither holds the table.
+
+A query keeps a beam of the best candidates and expands them until none is left. A beam that is full of matches may
+hide more of them, so such a query is compared with its whole shard at once. Every beam of a shard is widened until its
+audit passes: a sample of queries of all shards is compared with the whole shard, and the graph must
+find the matches with other vectors. Where a wider beam would take longer than the comparison with the whole shard,
+that is made instead, and so it is in a small shard that has too few matches to audit; it is exact.
+
+A task returns a spanning forest of what its queries found, not the pairs. The forests' components are candidate
+groups, in which every cosine is taken in double precision: in blocks, but for vectors within half of the angle of
+a large group's pivot, which link with each other for certain and are counted as members (``link_counts``).
 
 Defined results: a vector that is null, empty, zero or holds null, NaN or infinite components links with nothing and
 is its own component; vectors of different lengths never link; a null id links like any other vector, but its own
-component is the smallest id that isn't null; repeated rows count as vectors of their own.
+component is the smallest id that isn't null; repeated rows count as vectors of their own; ties don't matter, since
+every pair at the threshold or above is a link; texts and other columns of the input, whatever their
+names, are neither read nor returned; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,31 +31,33 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-from .components import block_pairs, components
-from .jaccard import forest, groups_in_partition
+from .common import cut, table
+from .components import components, link_counts, with_group
 
 SIMILARITY, RECALL = 0.95, 0.995
 #: Shards at least, and vectors and numbers of a shard at most.
 SHARDS, SHARD_ROWS, SHARD_NUMBERS = 8, 100_000, 12_800_000
 DEGREE, BUILD_BEAM, BEAM = 12, 32, 16
-#: A query whose beam is still full of matches at this width is compared with its whole shard.
-WIDEST = 512
+#: A search of beam b takes as long as comparing with the whole shard where that has about so many times b vectors.
+SCAN = 64
 #: Queries of an audit compared at once and drawn at most, and queries searched together.
 AUDIT, DRAWN, TOGETHER = 256, 8_192, 512
 #: Matches with other vectors that an audit needs, and how many of them one query may count for.
 PARTNERS, EACH = 1_000, 10
-#: A shard of so many vectors at most is compared in full where it can't be audited.
-SMALL = 2 * DEGREE * WIDEST
-#: Similarities held at once, and vectors of a block of a candidate group.
-CELLS, BLOCK = 16_000_000, 2_048
+#: A shard of so many vectors at most is compared in full where it can't be audited; the beam of a larger one.
+SMALL, UNAUDITED = 12_288, 512
+#: Similarities held at once; vectors of a block of a candidate group, of a block of queries; numbers of a stored piece of a graph.
+CELLS, BLOCK, QUERIES, PIECE = 16_000_000, 2_048, 100_000, 1 << 18
 
 
 class Graph:
     """One shard's graph. Points are unit rows; nearer means a larger product."""
 
-    def __init__(self, points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM):
+    def __init__(self, points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, links: list[np.ndarray] | None = None, entry: int = 0):
         self.x, self.n, self.degree = points, len(points), degree
+        if links is not None:
+            self.links, self.top, self.entry = links, len(links) - 1, entry
+            return
         rng = np.random.Generator(np.random.PCG64(11))
         levels = np.floor(-np.log(1 - rng.random(self.n)) / np.log(degree)).astype(int)
         self.top = int(levels.max()) if self.n else 0
@@ -172,13 +180,16 @@ class Shard:
         self.ids, self.similarity = ids, similarity
         self.unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
         self.graph = Graph(self.unit.astype(np.float32))
-        self.beam = min(BEAM, max(1, len(ids)))
-        self.parent = np.arange(len(ids))
+        self.beam = self.fit(BEAM)
         self.audit(*(queries or (ids, self.unit)), recall)
 
+    def fit(self, beam: int) -> int:
+        """The beam, or the shard's size where the search would take longer than the comparison with all of it."""
+        return beam if beam * SCAN <= max(len(self.ids), BEAM * SCAN) and beam < len(self.ids) else max(1, len(self.ids))
+
     def audit(self, ids: np.ndarray, q: np.ndarray, recall: float) -> None:
         """Widen the beam until the graph finds the matches of these unit rows with other vectors."""
-        order = np.random.Generator(np.random.PCG64(5)).permutation(len(ids))[:DRAWN]
+        order = np.random.Generator(np.random.PCG64(5)).permutation(len(ids))
         drawn, counts, weight = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
         for low in range(0, len(order), AUDIT):
             rows = order[low : low + AUDIT]
@@ -190,10 +201,10 @@ class Shard:
                 break
         rows, true = np.concatenate(drawn), np.concatenate(counts)
         if weight < PARTNERS:
-            self.beam = len(self.ids) if len(self.ids) <= SMALL else WIDEST
+            self.beam = len(self.ids) if len(self.ids) <= SMALL else max(self.beam, UNAUDITED)
         share = np.minimum(true, EACH) / true
         while self.beam < len(self.ids) and (share * self.partners(ids[rows], self.matches(q[rows]))).sum() < recall * weight:
-            self.beam = min(len(self.ids), 2 * self.beam)
+            self.beam = self.fit(2 * self.beam)
 
     def partners(self, ids: np.ndarray, found: list[np.ndarray]) -> np.ndarray:
         """How many matches each query has besides itself."""
@@ -201,140 +212,186 @@ class Shard:
 
     def exact(self, q: np.ndarray) -> list[np.ndarray]:
         """The matches of each unit row by comparison with the whole shard."""
-        step = max(1, CELLS // len(self.ids))
+        step = max(1, CELLS // max(1, len(self.ids)))
         return [np.flatnonzero(f) for low in range(0, len(q), step) for f in q[low : low + step] @ self.unit.T >= self.similarity]
 
-    def joined(self, ids: np.ndarray, found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Edges that connect each query with its matches, given what earlier queries have connected."""
-        left, right = [], []
-        for query, places in zip(ids, found):
-            if not len(places):
-                continue
-            roots = places
-            while len(roots) and (self.parent[roots] != roots).any():
-                roots = self.parent[roots]
-            roots = np.unique(roots)
-            self.parent[places] = self.parent[roots] = roots[0]
-            others = self.ids[roots]
-            others = others[others != query]
-            left.append(np.full(len(others), query))
-            right.append(others)
-        none = np.zeros(0, np.int64)
-        return np.concatenate([none, *left]), np.concatenate([none, *right])
-
     def matches(self, q: np.ndarray) -> list[np.ndarray]:
         """For each unit row, the places in the shard at the similarity or above it, in double precision."""
+        if self.beam >= len(self.ids):
+            return self.exact(q)
         out: list = [None] * len(q)
-        todo, beam = np.arange(len(q)), self.beam
-        while len(todo) and beam < len(self.ids) and (beam <= WIDEST or beam == self.beam):
-            left = []
-            together = max(8, min(TOGETHER, 20_000_000 // max(1, len(self.ids))))
-            for low in range(0, len(todo), together):
-                rows = todo[low : low + together]
-                ids, sims = self.graph.descend(q[rows].astype(np.float32), beam)
-                near = sims >= self.similarity - 1e-5
-                for r, i, n in zip(rows, ids, near):
-                    if n.all():
-                        left.append(r)
-                    else:
-                        i = i[n]
-                        out[r] = i[self.unit[i] @ q[r] >= self.similarity]
-            todo, beam = np.array(left, np.int64), 4 * beam
-        for r, f in zip(todo, self.exact(q[todo])):
+        full = []
+        together = max(8, min(TOGETHER, 20_000_000 // len(self.ids)))
+        for low in range(0, len(q), together):
+            some = q[low : low + together]
+            ids, sims = self.graph.descend(some.astype(np.float32), self.beam)
+            near = sims >= self.similarity - 1e-5
+            for r, (i, n) in enumerate(zip(ids, near)):
+                if n.all():
+                    full.append(low + r)
+                elif n.any():
+                    i = i[n]
+                    out[low + r] = i[self.unit[i] @ some[r] >= self.similarity]
+                else:
+                    out[low + r] = i[:0]
+        for r, f in zip(full, self.exact(q[np.array(full, np.int64)])):
             out[r] = f
         return out
 
+    def stored(self) -> Iterator[dict]:
+        """The shard in pieces: beam, entry, ids, unit rows, and links by level."""
+        step = max(1, PIECE // max(1, self.unit.shape[1]))
+        for part, low in enumerate(range(0, len(self.ids), step)):
+            some = slice(low, low + step)
+            yield {
+                "part": part, "beam": self.beam, "entry": self.graph.entry, "ids": self.ids[some].tobytes(),
+                "unit": np.ascontiguousarray(self.unit[some]).tobytes(), "links": [np.ascontiguousarray(lv[some]).tobytes() for lv in self.graph.links],
+            }
+
+    @classmethod
+    def loaded(cls, parts: list[dict], similarity: float) -> Shard:
+        self = cls.__new__(cls)
+        parts = sorted(parts, key=lambda p: p["part"])
+        self.similarity, self.beam = similarity, int(parts[0]["beam"])
+        self.ids = np.concatenate([np.frombuffer(p["ids"], np.int64) for p in parts])
+        self.unit = np.concatenate([np.frombuffer(p["unit"], np.float64) for p in parts]).reshape(len(self.ids), -1)
+        levels = [np.concatenate([np.frombuffer(p["links"][lv], np.int32) for p in parts]).reshape(len(self.ids), -1) for lv in range(len(parts[0]["links"]))]
+        self.graph = Graph(self.unit.astype(np.float32), links=levels, entry=int(parts[0]["entry"]))
+        return self
+
+
+def joined(parent: np.ndarray, members: np.ndarray, ids: np.ndarray, found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect each query with its matches, given what earlier queries have connected in ``parent``."""
+    left, right = [], []
+    for query, places in zip(ids, found):
+        if not len(places):
+            continue
+        roots = places
+        while len(roots) and (parent[roots] != roots).any():
+            roots = parent[roots]
+        roots = np.unique(roots)
+        parent[places] = parent[roots] = roots[0]
+        others = members[roots]
+        others = others[others != query]
+        left.append(np.full(len(others), query))
+        right.append(others)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+GRAPHS = "dim int, shard int, part int, beam int, entry int, ids binary, unit binary, links array<binary>"
+
+
+def build(similarity: float, recall: float):
+    """A shard's members (kind 0) and the audit's queries (kind 1) to its graph in pieces."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        ids, kind = group["id"].to_numpy(np.int64), group["kind"].to_numpy()
+        vectors = np.stack(group["v"].to_numpy()).astype(np.float64)
+        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        own, asked = kind == 0, kind == 1
+        if not own.any():
+            return pd.DataFrame(columns=["dim", "shard", "part", "beam", "entry", "ids", "unit", "links"])
+        shard = Shard(ids[own], vectors[own], similarity, recall, (ids[asked], unit[asked]))
+        out = pd.DataFrame(list(shard.stored()))
+        return out.assign(dim=group["dim"].iloc[0], shard=group["shard"].iloc[0])[["dim", "shard", "part", "beam", "entry", "ids", "unit", "links"]]
 
-def search_shards(similarity: float, recall: float):
-    """Rows come by shard, members (kind 0) before queries (kind 1) in random order; a spanning forest of the links found goes out."""
+    return run
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, members, waiting, shard = None, [], [], None
 
-        def answers() -> Iterator[pd.DataFrame]:
-            nonlocal shard, waiting
-            if members and waiting:
-                both = [(i, v / np.linalg.norm(v, axis=1, keepdims=True)) for i, v in waiting]
-                if shard is None:
-                    drawn = tuple(np.concatenate(x) for x in zip(*both))
-                    shard = Shard(np.concatenate([m[0] for m in members]), np.concatenate([m[1] for m in members]), similarity, recall, drawn)
-                for ids, unit in both:
-                    left, right = shard.joined(ids, shard.matches(unit))
-                    yield pd.DataFrame({"a": np.minimum(left, right), "b": np.maximum(left, right)})
-            waiting = []
+def search(similarity: float):
+    """Rows come by (dim, shard, block), pieces of the graph (kind 0) before queries (kind 1); a spanning forest of the links found goes out."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, parts, shard, parent = None, [], None, None
         for batch in batches:
             if not len(batch):
                 continue
-            names = list(zip(batch["dim"], batch["shard"], batch["kind"]))
+            names = list(zip(batch["dim"], batch["shard"], batch["block"], batch["kind"]))
             edges = [0, *[k for k in range(1, len(names)) if names[k] != names[k - 1]], len(names)]
             for a, b in zip(edges, edges[1:]):
-                if names[a][:2] != key:
-                    yield from answers()
-                    key, members, shard = names[a][:2], [], None
-                ids = batch["id"].iloc[a:b].to_numpy(np.int64)
-                vectors = np.stack(batch["v"].iloc[a:b].to_numpy()).astype(np.float64)
-                if names[a][2] == 0:
-                    members.append((ids, vectors))
+                if names[a][:3] != key:
+                    key, parts, shard = names[a][:3], [], None
+                some = batch.iloc[a:b]
+                if names[a][3] == 0:
+                    parts += some[["part", "beam", "entry", "ids", "unit", "links"]].to_dict("records")
+                    continue
+                if not parts:
                     continue
-                waiting.append((ids, vectors))
-                if shard is not None or sum(len(w[0]) for w in waiting) >= DRAWN:
-                    yield from answers()
-        yield from answers()
+                if shard is None:
+                    shard = Shard.loaded(parts, similarity)
+                    parent = np.arange(len(shard.ids))
+                ids = some["id"].to_numpy(np.int64)
+                vectors = np.stack(some["v"].to_numpy()).astype(np.float64)
+                unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+                left, right = joined(parent, shard.ids, ids, shard.matches(unit))
+                yield pd.DataFrame({"a": np.minimum(left, right), "b": np.maximum(left, right)})
 
     return run
 
 
-def verify(similarity: float):
-    """For two blocks of a candidate group: each class's weight of links, and a spanning forest of them."""
+def relate(similarity: float):
+    """Vectors against their group's pivot: the core within half of the angle, what is near within one and a half."""
+    angle = math.acos(similarity)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("id").sort_values("id")
-        ids, mine, copies = group["id"].to_numpy(), group["mine"].to_numpy(), group["copies"].to_numpy(np.float64)
-        x = np.stack(group["v"].to_numpy()).astype(np.float64)
+    def run(pivot, loads: list) -> tuple[list, np.ndarray, np.ndarray]:
+        x, p = np.stack(loads).astype(np.float64), np.asarray(pivot, np.float64)
+        cosine = x @ p / np.linalg.norm(x, axis=1) / np.linalg.norm(p)
+        return loads, cosine >= math.cos(angle / 2 - 1e-7), cosine >= math.cos(min(math.pi, 1.5 * angle + 1e-7))
+
+    return run
+
+
+def compare(similarity: float):
+    """Which of these vectors link, in double precision."""
+
+    def run(loads: list) -> np.ndarray:
+        x = np.stack(loads).astype(np.float64)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         linked = np.empty((len(x), len(x)), bool)
         for low in range(0, len(x), 512):
             linked[low : low + 512] = x[low : low + 512] @ x.T >= similarity
-        linked |= linked.T
-        np.fill_diagonal(linked, False)
-        if group["i"].iloc[0] != group["j"].iloc[0]:
-            linked &= mine[:, None] != mine[None, :]
-        weight = np.concatenate([linked[low : low + 512] @ copies for low in range(0, len(x), 512)]).astype(np.int64)
-        some = weight > 0
-        return pd.DataFrame({"id": ids[some], "links": weight[some], "root": ids[forest(linked)][some]})
+        return linked | linked.T
 
     return run
 
 
+def candidates(classes: DataFrame, count: int, numbers: int, similarity: float, recall: float, shards: int, shard_rows: int) -> DataFrame:
+    """Edges (a, b) of spanning forests of the links that the shards' graphs find between classes (id, v)."""
+    tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(shards, -(-count // shard_rows), -(-numbers // SHARD_NUMBERS))
+    dim, everywhere = F.size("v").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("shard")
+    member = classes.select(dim, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", "v")
+    drawn = classes.filter(F.pmod(F.xxhash64("id", F.lit("audit")), F.lit(max(1, count // DRAWN))) == 0).select(dim, everywhere, F.lit(1).alias("kind"), "id", "v")
+    graphs = table(member.union(drawn).groupBy("dim", "shard").applyInPandas(build(similarity, recall), GRAPHS), "graphs")
+    blocks = -(-count // QUERIES) or 1
+    empty = {"part": "int", "beam": "int", "entry": "int", "ids": "binary", "unit": "binary", "links": "array<binary>"}
+    held = graphs.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(0).alias("kind"), *empty, F.lit(None).cast("long").alias("id"), F.lit(None).cast(classes.schema["v"].dataType).alias("v"))
+    block = F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int")
+    asked = classes.select(dim, everywhere, block.alias("block"), F.lit(1).alias("kind"), *[F.lit(None).cast(t).alias(c) for c, t in empty.items()], "id", "v")
+    keys = ["dim", "shard", "block"]
+    met = held.union(asked).repartition(max(n * blocks, tasks), *keys).sortWithinPartitions(*keys, "kind")
+    return met.mapInPandas(search(similarity), "a long, b long").distinct()
+
+
 def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", similarity: float = SIMILARITY, recall: float = RECALL, shards: int = SHARDS, shard_rows: int = SHARD_ROWS, block: int = BLOCK) -> DataFrame:
     """One row for each vector: key, n_links, component_id and kept."""
-    spark = rows.sparkSession
     v = F.col(vector)
     solid = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
     slim = rows.select(F.col(key).cast("long").alias("__key"), v.alias("v"), F.coalesce(solid, F.lit(False)).alias("solid"))
     grouped = slim.filter("solid").groupBy("v").agg(F.min("__key").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = cut(grouped.withColumn("id", F.monotonically_increasing_id()))
     count, numbers = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
-    n = max(shards, -(-count // shard_rows), -(-numbers // SHARD_NUMBERS))
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    member = classes.select(F.size("v").alias("dim"), own.alias("shard"), F.lit(0).alias("kind"), "id", "v")
-    query = classes.select(F.size("v").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "v")
-    met = member.union(query).repartition(max(n, tasks), "dim", "shard").sortWithinPartitions("dim", "shard", "kind", F.xxhash64("id", F.lit("order")), "id")
-    found = cut(met.mapInPandas(search_shards(similarity, recall), "a long, b long").distinct())
-    grouped = cut(components(found)).withColumnRenamed("component", "group")
-    keys = ["group", "i", "j"]
-    blocks = block_pairs(grouped.join(classes.select("id", "v", "copies"), "id"), "group", "id", block)
-    blocks = blocks.repartition(tasks, *keys).sortWithinPartitions(*keys)
-    checked = cut(blocks.mapInPandas(groups_in_partition(verify(similarity), keys), "id long, links long, root long"))
+    found = cut(candidates(classes, count, numbers, similarity, recall, shards, shard_rows))
+    grouped = components(found).withColumnRenamed("component", "group")
+    sets = grouped.join(classes.select("id", "rep", "copies", F.col("v").alias("load")), "id")
+    checked = cut(link_counts(sets, "", relate(similarity), compare(similarity), block, block))
     links = checked.groupBy("id").agg(F.sum("links").alias("links"))
-    same = cut(components(checked.select(F.col("id").alias("a"), F.col("root").alias("b"))))
-    named = same.join(classes.select("id", "rep"), "id")
-    firsts = named.groupBy("component").agg(F.min("rep").alias("first"))
-    joined = named.join(firsts, "component").select("id", "first")
-    about = classes.join(links, "id", "left").join(joined, "id", "left")
-    about = about.select("v", F.coalesce("first", "rep").alias("first"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    same = components(checked.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    named = cut(same.join(classes.select("id", "rep"), "id"))
+    joined_ = with_group(named, "component", F.min("rep").alias("first")).select("id", "first")
+    about = classes.join(links, "id", "left").join(joined_, "id", "left")
+    about = table(about.select("v", F.coalesce("first", "rep").alias("first"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")), "about")
     good = slim.filter("solid").join(about, "v").select("__key", "links", "first")
     bad = slim.filter("not solid").select("__key", F.lit(0).cast("long").alias("links"), F.col("__key").alias("first"))
     out = good.union(bad)
