@@ -12,12 +12,15 @@ threshold survives a run of that depth with a known chance, and runs are repeate
 all of them is below 1 - ``RECALL``.
 
 Sketches only propose. Classes joined by proposals form candidate groups; each group's full sets meet in
-blocks, where every pair of the group is compared exactly. Blocks return link counts and a spanning
-forest, not pairs.
+blocks, where every pair of the group is compared exactly. In a group above ``SET_BLOCK`` classes each set is sent
+as its difference to the group's pivot, and sets that share nine tenths with the pivot link with each other for
+certain and are counted as members (``link_counts``). Blocks return link counts and a spanning forest, not pairs.
 
 Defined results: a null text or one without words is in no pair and is its own class; a null key counts as a
 document, and a class of null keys only has a null id; repeated rows are documents of one class; a class's id is
-its smallest key; an empty table gives no rows.
+its smallest key; texts are read whole, however long (a set takes 8 bytes for each word); ties don't matter, since
+every pair at the threshold or above is a link; other columns of the input, whatever their names, are neither read
+nor returned; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,15 +33,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, null_safe, small_batches, table
-from .components import block_pairs, components
+from .common import cut, small_batches, table
+from .components import block_pairs, components, groups_in_partition, link_counts, with_group
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.999
 TOKENS, LEAF, DEPTH = 64, 64, 4
 #: Sketch agreement from which a pair is proposed: four standard deviations below the threshold.
 PROPOSE = 0.6
-#: Rows of a block: of sketches, and of whole sets.
-SKETCH_BLOCK, SET_BLOCK = 2_048, 192
+#: Rows of a block: of sketches, of whole sets, and of differences to a pivot.
+SKETCH_BLOCK, SET_BLOCK, CORE_BLOCK = 2_048, 192, 768
 #: Candidate classes that are broadcast at most (about 40 bytes each); more are joined by a shuffle.
 BROADCAST_CLASSES = 400_000
 _P, _P_BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
@@ -128,6 +131,16 @@ def class_of(s: np.ndarray) -> int:
     return int(np.bitwise_xor.reduce(h).astype(np.int64))
 
 
+def packed(base: int, added: np.ndarray, removed: np.ndarray) -> bytes:
+    """A set as its difference to a pivot of ``base`` items; without a pivot all its items are added."""
+    return np.array([base, len(added)], np.uint64).tobytes() + added.tobytes() + removed.tobytes()
+
+
+def unpacked(raw: bytes) -> tuple[int, np.ndarray, np.ndarray]:
+    x = np.frombuffer(raw, np.uint64)
+    return int(x[0]), x[2 : 2 + int(x[1])], x[2 + int(x[1]) :]
+
+
 def signature(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Each text's class, set size and embedding."""
     for batch in texts:
@@ -142,21 +155,32 @@ def whole_set(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Each text's class and its whole set."""
     for batch in texts:
         sets = [shingles(t) for t in batch]
-        yield pd.DataFrame({"cid": [class_of(s) for s in sets], "items": [s.tobytes() for s in sets]})
+        yield pd.DataFrame({"cid": [class_of(s) for s in sets], "items": [packed(0, s, s[:0]) for s in sets]})
 
 
-def survival(similarity: float, depth: int) -> float:
-    """The chance that a pair of that similarity stays together on some path of a run."""
+def survival(share: float, similarity: float, depth: int) -> float:
+    """The chance that a pair with that share of equal coordinates stays together on some path of a run."""
     extra = 1 / similarity - 1
     lost = 0.0
     for _ in range(depth):
-        apart = 1 - similarity * (1 - lost)
+        apart = 1 - share * (1 - lost)
         lost = (1 - extra) * apart + extra * apart**2
     return 1 - lost
 
 
+def missed(runs: int, similarity: float, depth: int) -> float:
+    """The chance to miss a pair at the threshold in so many runs, over the number of coordinates that it happens to share."""
+    total = 0.0
+    for k in range(TOKENS + 1):
+        chance = math.comb(TOKENS, k) * similarity**k * (1 - similarity) ** (TOKENS - k)
+        total += chance * (1.0 if k < PROPOSE * TOKENS else (1 - survival(k / TOKENS, similarity, depth)) ** runs)
+    return total
+
+
 def runs_for(recall: float, similarity: float, depth: int) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - survival(similarity, depth)))
+    """The runs that reach the recall, but for what no number of runs would find (pairs whose sketches differ)."""
+    least = missed(1 << 20, similarity, depth)
+    return next(n for n in range(1, 1 << 20) if missed(n, similarity, depth) <= max(1 - recall, 1.01 * least))
 
 
 def children(similarity: float):
@@ -211,22 +235,6 @@ def compare(rows: pd.DataFrame, propose: float, similarity: float) -> pd.DataFra
     return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
 
 
-def forest(linked: np.ndarray) -> np.ndarray:
-    """The smallest index reachable from each index of a symmetric boolean matrix."""
-    label = np.arange(len(linked))
-    todo = np.ones(len(linked), bool)
-    for i in range(len(linked)):
-        if not todo[i]:
-            continue
-        front = np.zeros(len(linked), bool)
-        front[i] = True
-        while front.any():
-            todo &= ~front
-            label[front] = i
-            front = linked[front].any(0) & todo
-    return label
-
-
 def sketch_blocks(propose: float, similarity: float):
     """Proposals inside a large node, for two of its blocks: a spanning forest of them."""
 
@@ -272,45 +280,35 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def verify(similarity: float):
-    """For two blocks of a candidate group: each class's weight of links, and a spanning forest of them."""
+def relate(similarity: float):
+    """Sets as differences to their group's pivot; the core within half of the distance, what is near within one and a half."""
+    apart = 1 - similarity
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("cid").sort_values("cid")
-        cid, copies, mine = (group[c].to_numpy() for c in ("cid", "copies", "mine"))
-        sets = [np.frombuffer(x, np.uint64) for x in group["items"]]
-        size = np.array([len(s) for s in sets], np.float64)
-        both = shared_counts(sets)
-        linked = both >= similarity * (size[:, None] + size[None, :] - both) - 1e-9
-        np.fill_diagonal(linked, False)
-        if group["i"].iloc[0] != group["j"].iloc[0]:
-            linked &= mine[:, None] != mine[None, :]
-        weight = linked @ copies.astype(np.int64)
-        some = weight > 0
-        return pd.DataFrame({"cid": cid[some], "links": weight[some], "root": cid[forest(linked)][some]})
+    def run(pivot: bytes, loads: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        _, base, _ = unpacked(pivot)
+        out, share = [], []
+        for raw in loads:
+            _, s, _ = unpacked(raw)
+            added, removed = np.setdiff1d(s, base, True), np.setdiff1d(base, s, True)
+            out.append(packed(len(base), added, removed))
+            share.append((len(s) - len(added)) / (len(base) + len(added)))
+        share = np.array(share)
+        return out, share >= 1 - apart / 2, share >= 1 - 1.5 * apart - 1e-9
 
     return run
 
 
-def groups_in_partition(work, columns: list[str]):
-    """Apply ``work`` to each run of rows with equal ``columns``; rows come sorted by them."""
+def compare_sets(similarity: float):
+    """Which of these sets link, exactly."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: list[pd.DataFrame] = []
-        key = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            names = list(zip(*[batch[c] for c in columns]))
-            edges = [0, *[k for k in range(1, len(names)) if names[k] != names[k - 1]], len(names)]
-            for a, b in zip(edges, edges[1:]):
-                if rest and names[a] != key:
-                    yield work(pd.concat(rest, ignore_index=True))
-                    rest = []
-                key = names[a]
-                rest.append(batch.iloc[a:b])
-        if rest:
-            yield work(pd.concat(rest, ignore_index=True))
+    def run(loads: list[bytes]) -> np.ndarray:
+        base, added, removed = zip(*map(unpacked, loads))
+        base = np.array(base, np.float64)
+        n_added, n_removed = (np.array([len(x) for x in part], np.float64) for part in (added, removed))
+        size = base - n_removed + n_added
+        # Both hold what the pivot has and neither lacks, and what both add.
+        both = base[:, None] - (n_removed[:, None] + n_removed[None, :] - shared_counts(list(removed))) + shared_counts(list(added))
+        return both >= similarity * (size[:, None] + size[None, :] - both) - 1e-9
 
     return run
 
@@ -344,10 +342,9 @@ def propose(classes: DataFrame, similarity: float = SIMILARITY, recall: float =
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """One row for each document: key, class_id (smallest key of its group), n_links, n_words5 (its set's size)."""
+    """One row for each document: key, class_id (smallest key of its group), n_links, set_size."""
     spark = docs.sparkSession
     small_batches(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sign = F.pandas_udf(signature, "cid long, size int, tokens binary")
     full = F.pandas_udf(whole_set, "cid long, items binary")
     signed = table(docs.select(F.col(key).alias("__key"), sign(F.col(text)).alias("s")).select("__key", "s.*"), "signed")
@@ -357,23 +354,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     )
     classes = table(classes.withColumn("sketch", F.aggregate(sketch, F.lit(b""), lambda a, x: F.concat(a, x))), "classes")
     proposed = propose(classes, similarity, recall)
-    grouped = cut(components(proposed))
-    wanted = grouped.join(classes.select("cid", "rep", "copies"), F.col("id") == F.col("cid")).select(F.col("cid").alias("__cid"), F.col("rep").alias("__rep"), "copies", F.col("component").alias("group"))
-    wanted = cut(wanted)
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_CLASSES else wanted
+    grouped = components(proposed)
+    wanted = grouped.join(classes.select("cid", "rep", "copies"), F.col("id") == F.col("cid"))
+    wanted = cut(wanted.select(F.col("cid").alias("__cid"), F.col("rep").alias("__rep"), "copies", F.col("component").alias("group")))
+    count = wanted.count()
+    side = F.broadcast(wanted) if count <= BROADCAST_CLASSES else wanted
     texts = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(side, F.col("__key").eqNullSafe(F.col("__rep")))
-    sets = texts.withColumn("w", full("__text")).filter(F.col("w.cid") == F.col("__cid")).select(F.col("w.cid").alias("cid"), F.col("w.items").alias("items"), "copies", "group")
-    met = block_pairs(table(sets, "sets"), "group", "cid", SET_BLOCK)
-    keys = ["group", "i", "j"]
-    met = met.repartition(n, *keys).sortWithinPartitions(*keys)
-    checked = cut(met.mapInPandas(groups_in_partition(verify(similarity), keys), "cid long, links long, root long"))
-    links = checked.groupBy("cid").agg(F.sum("links").alias("links"))
-    same = cut(components(checked.select(F.col("cid").alias("a"), F.col("root").alias("b"))))
-    named = same.join(classes.select(F.col("cid").alias("id"), "rep"), "id")
-    firsts = named.groupBy("component").agg(F.min("rep").alias("class_id"))
-    joined = named.join(firsts, "component").select(F.col("id").alias("cid"), "class_id")
+    sets = texts.withColumn("w", full("__text")).filter(F.col("w.cid") == F.col("__cid"))
+    # A repeated row, or a key that stands for several rows, gives its class once.
+    sets = sets.select(F.col("w.cid").alias("id"), F.col("__rep").alias("rep"), "copies", "group", F.col("w.items").alias("load")).dropDuplicates(["id"])
+    checked = cut(link_counts(sets, "binary", relate(similarity), compare_sets(similarity), SET_BLOCK, CORE_BLOCK))
+    links = checked.groupBy(F.col("id").alias("cid")).agg(F.sum("links").alias("links"))
+    same = components(checked.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    named = cut(same.join(classes.select(F.col("cid").alias("id"), "rep"), "id"))
+    joined = with_group(named, "component", F.min("rep").alias("class_id")).select(F.col("id").alias("cid"), "class_id")
     about = classes.select("cid", "rep", "copies").join(links, "cid", "left").join(joined, "cid", "left")
-    about = about.select("cid", F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    about = table(about.select("cid", F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "about")
     empty = F.col("size") == 0
     out = signed.select("__key", "cid", "size").join(about, "cid", "left")
     return out.select(

@@ -266,7 +266,7 @@ def test_graph_forest():
     x[100:] = x[0] + rng.normal(size=(800, 24)) * 0.05
     shard = hnsw.Shard(np.arange(900), x, 0.95, 0.99)
     found = shard.matches(shard.unit)
-    left, right = shard.joined(shard.ids, found)
+    left, right = hnsw.joined(np.arange(900), shard.ids, shard.ids, found)
     assert sum(map(len, found)) > 600_000 and len(left) < 2 * 900 and (left != right).all()
     parent = {i: i for i in range(900)}
 
@@ -308,7 +308,60 @@ def test_word_hashes_over_pieces():
 
 
 def test_runs_reach_the_recall():
-    assert (1 - jaccard.survival(0.8, jaccard.DEPTH)) ** jaccard.runs_for(0.999, 0.8, jaccard.DEPTH) <= 0.001
+    """By simulation of embeddings and runs, not by the formula."""
+    rng = np.random.default_rng(8)
+    runs, pairs, extra = jaccard.runs_for(0.999, 0.8, jaccard.DEPTH), 20_000, 0.25
+    equal = rng.random((pairs, jaccard.TOKENS)) < 0.8
+    lost = np.ones(pairs, bool)
+    for _ in range(runs):
+        paths = np.ones(pairs, int)  # places of the tree where the pair still is together
+        for _ in range(jaccard.DEPTH):
+            share = equal.mean(1)
+            draws = paths + rng.binomial(paths, extra)
+            paths = rng.binomial(draws, share)
+        lost &= paths == 0
+    lost |= equal.sum(1) < jaccard.PROPOSE * jaccard.TOKENS
+    assert lost.mean() <= 0.0015
+
+
+def test_repeated_rows_count_once(spark):
+    """Near copies over several blocks, each row five times, some far from the pivot."""
+    import random
+
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(400):
+        w = list(words)
+        at = rng.randrange(100)
+        for k in range(rng.randrange(0, 9)):
+            w[at + k] = f"z{i}x{k}"
+        rows += [(i, " ".join(w))] * (5 if i % 3 else 1)
+    out = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert collections.Counter((k, c, n) for k, c, n in zip(out.doc_id, out.class_id, out.n_links)) == near_brute(rows)
+
+
+def test_core_counts_as_members(spark):
+    """A large group of near vectors with a ring around its core, and many copies."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=32)
+    x = np.concatenate([base + rng.normal(size=(300, 32)) * 0.05, base + rng.normal(size=(200, 32)) * 0.22, rng.normal(size=(50, 32))])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, x[i].tolist()) for i in range(0, 500, 7)]
+    out = hnsw.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shards=2, block=40).toPandas().set_index("vec_id")
+    y = np.array([v for _, v in rows])
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    want = (y @ y.T >= 0.95).sum(1) - 1
+    assert want.max() > 300 and all(out.loc[k, "n_links"] == n for (k, _), n in zip(rows, want))
+
+
+def test_graphs_survive_storage():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2500, 16))
+    x[1200:2400] = x[:1200] + rng.normal(size=(1200, 16)) * 0.02
+    shard = hnsw.Shard(np.arange(2500), x, 0.95, 0.99)
+    again = hnsw.Shard.loaded([{**p} for p in shard.stored()][::-1], 0.95)
+    assert again.beam == shard.beam < 2500
+    assert all((a == b).all() for a, b in zip(shard.matches(shard.unit), again.matches(again.unit)))
 
 
 def test_components(spark):
