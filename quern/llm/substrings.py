@@ -2,26 +2,30 @@
 
 A byte goes if it lies in a string of ``length`` bytes that also starts in a document with a smaller key.
 All places where such a string could start are suffixes of the corpus cut to ``length`` bytes; equal ones
-are neighbours in suffix order. The suffixes are sorted one bucket at a time, in four steps:
+are neighbours in suffix order. The suffixes are sorted one bucket at a time. Rows are dealt into parts of some
+megabytes by their place, so that neither a key nor a passage makes a part large, and the steps are:
 
 1. *Anchors.* In each string of ``length`` bytes the 16-byte window with the smallest hash is its anchor. Equal
    strings have equal anchors at equal offsets, so an anchor's hash names a bucket of suffixes that holds all
-   copies of its strings. Each batch of documents sends each anchor's hash once, with its smallest key.
-2. *Shared anchors.* A bucket notes which hashes more than one document has, in its slice of a Bloom filter.
-   The filter has ``FILTER_BITS`` bits at most; where more anchors are shared than that separates, more
-   unshared ones pass on to step 3, which is exact.
-3. *Suffix sorting.* The surroundings of each anchor that passes go to its bucket; what is equal in a batch goes
-   once. The surroundings are aligned at their anchors. Every eighth column is in the cover sample, whose
+   copies of its strings. Each part sends each anchor's hash once, with its smallest key.
+2. *Shared anchors.* A bucket tells each part which of its hashes more than one document has.
+3. *Suffix sorting.* Each part sends what stands around its shared anchors, each different surrounding once with its
+   smallest key, so that a passage in very many documents is few rows for each part. A bucket sorts the suffixes in
+   its surroundings, which are aligned at their anchors. Every eighth column is in the cover sample, whose
    suffixes are ranked first, each from eight bytes and the rank of the next sample. A suffix at any other column
    is ordered by the bytes up to the next sample column and that sample's rank, so that long ties are never
    compared byte by byte. (A difference cover must give any two suffixes a common distance to the sample;
    aligned at anchors, suffixes that can be equal always stand in the same column, where the plain cover
    of every eighth column does that.) Runs of neighbours equal in all ``length`` bytes share their smallest key.
-4. *Removal.* The starts to be removed come back as bit masks to their documents.
-
-Defined results: a null text is empty; texts shorter than ``length`` lose nothing; a null key comes after all
-others; rows with equal keys don't remove from each other; repeats inside one document stay; all strings
-are judged on the input.
+   The bucket answers each surrounding with a mask of the starts that a smaller key than its own has too.
+4. *Removal.* Each part finds its occurrences again: one with a larger key than its surrounding's smallest loses all
+   strings around the anchor, another the masked ones.
+
+Defined results: a null text is empty; texts shorter than ``length`` lose nothing; texts are read whole, however long,
+in pieces that overlap; a null key comes after all others, with 2^63 - 1; rows with equal keys, so repeated rows,
+don't remove from each other; repeats inside one document stay; all strings are judged on the input; extra
+columns stay, but for those named like a new column or with two leading underscores, which go; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,16 +34,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from .common import public, small_batches, utf8_len
+from .common import public, utf8_len
 
 LENGTH, GRAM, STRIDE = 50, 16, 8
-#: Text bytes for each bucket, and the largest Bloom filter.
-BUCKET_BYTES, FILTER_BITS = 8_000_000, 1 << 28
-SLICE_BITS = 1 << 19
+#: Text bytes for each bucket and each part, and parts for each task at least.
+BUCKET_BYTES, PART_BYTES, PARTS_A_TASK = 8_000_000, 8_000_000, 4
 LAST_KEY = (1 << 63) - 1
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _PLACE, _SENT = np.uint64(0xFFFFFF), np.uint64((1 << 40) - 1)
@@ -105,11 +110,6 @@ def unpack(raw: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def probes(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    a = mix((h & _SENT) * _M1)
-    return (a % np.uint64(bits)).astype(np.int64), ((a >> np.uint64(33)) % np.uint64(bits)).astype(np.int64)
-
-
 def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(bucket, kind="stable")
     names, at = np.unique(bucket[order], return_index=True)
@@ -117,105 +117,133 @@ def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(name), rows
 
 
-def _each(batch: pd.DataFrame, length: int) -> tuple[np.ndarray, list]:
-    keys = batch["__key"].to_numpy(np.int64)
-    return keys, [anchors(t, length) for t in batch["__text"]]
-
-
-def sketch(length: int, buckets: int):
-    """Step 1: (bucket, hashes, keys): each hash of a batch once, its smallest key, -1 - key if two documents have it."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keys, found = _each(batch, length)
-            h = np.concatenate([f[0] for f in found] or [np.zeros(0, np.uint64)])
-            owner = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
-            by_key = np.argsort(keys, kind="stable")
-            rank = np.empty_like(by_key)
-            rank[by_key] = np.arange(len(keys))
-            order = np.lexsort((rank[owner], h))
-            h, key = h[order], keys[owner[order]]
-            if not len(h):
-                continue
-            start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            end = np.concatenate([start[1:], [len(h)]]) - 1
-            low = np.where(key[start] != key[end], -1 - start, start)
-            h = h[start]
-            docs, at = np.unique(key[start], return_inverse=True)
-            many = low < 0
-            for name, rows in _by_bucket(bucket_of(h, buckets)):
-                own, place = np.unique(at[rows], return_inverse=True)
-                code = (place << 1 | many[rows]).astype("<u4")
-                yield pd.DataFrame({"bucket": [name], "h": [pack(h[rows])], "doc": [code.astype("<u2").tobytes() if len(own) < 32_000 else code.tobytes()], "docs": [docs[own].tobytes()]})
-
-    return run
-
-
-def shared(bits: int):
-    """Step 2: a bucket's slice of the filter of hashes that two documents or more have."""
-
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        hashes, keys, many = [], [], []
-        for h, doc, docs in zip(group["h"], group["doc"], group["docs"]):
-            h, docs = unpack(h), np.frombuffer(docs, np.int64)
-            code = np.frombuffer(doc, "<u2" if len(docs) < 32_000 else "<u4").astype(np.int64)
-            hashes.append(h)
-            keys.append(docs[code >> 1])
-            many.append((code & 1).astype(bool))
-        h, k, m = np.concatenate(hashes), np.concatenate(keys), np.concatenate(many)
-        order = np.argsort(h, kind="stable")
-        h, k, m = h[order], k[order], m[order]
+class Part:
+    """The rows of a part in the order of their places, with their anchors."""
+
+    def __init__(self, rows: pa.Table, text: str, length: int):
+        self.rows = rows.sort_by("__row")
+        self.keys = self.rows["__key"].to_numpy()
+        self.texts = [(t or "").encode() for t in self.rows[text].to_pylist()]
+        self.bytes = np.frombuffer(b"".join(self.texts), np.uint8)
+        self.offset = np.concatenate([[0], np.cumsum([len(t) for t in self.texts])])
+        found = [anchors(t, length) for t in self.texts]
+        self.owner = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+        self.hash, self.place, self.first, self.last = (np.concatenate(x) for x in zip(*found))
+
+    def surroundings(self, length: int, shared: dict[int, np.ndarray], buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each bucket: the different surroundings of shared anchors, and each occurrence's surrounding and anchor."""
+        width = length - GRAM
+        full = length + width
+        of = bucket_of(self.hash, buckets)
+        known = np.sort(np.concatenate([np.zeros(0, np.uint64), *[h | np.uint64(b & 0xFFFFFF) << np.uint64(40) for b, h in shared.items()]]))
+        mine = self.hash & _SENT | (of.astype(np.uint64) & np.uint64(0xFFFFFF)) << np.uint64(40)
+        at = np.searchsorted(known, mine)
+        picked = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == mine) if len(known) else np.zeros(0, np.int64)
+        for name, rows in _by_bucket(of[picked]):
+            which = picked[rows]
+            cuts = np.zeros((len(which), full + 2), np.uint8)
+            for low in range(0, len(which), TOGETHER):
+                some = which[low : low + TOGETHER]
+                self._cut(some, cuts[low : low + TOGETHER], length)
+            once, back = np.unique(cuts.view(f"V{full + 2}").ravel(), return_inverse=True)
+            yield name, once.view(np.uint8).reshape(-1, full + 2), back, which
+
+    def _cut(self, which: np.ndarray, out: np.ndarray, length: int) -> None:
+        """What stands around these anchors, zero outside their strings, and their first and last start's column."""
+        width = length - GRAM
+        full = length + width
+        place, first, last = self.place[which], self.first[which], self.last[which]
+        at = (place - width)[:, None] + np.arange(full)
+        inside = (at >= first[:, None]) & (at < last[:, None] + length)
+        at += self.offset[self.owner[which]][:, None]
+        out[:, :full] = np.where(inside, self.bytes[np.clip(at, 0, len(self.bytes) - 1)], 0)
+        out[:, full], out[:, full + 1] = first - place + width, last - place + width
+
+
+def squeezed(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(raw)
+
+
+def opened(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw)
+
+
+ANCHORS = "bucket int, part int, h binary, code binary, docs binary"
+SHARED = "part int, bucket int, h binary"
+AROUND = "bucket int, part int, rows binary, doc binary, docs binary"
+MASKS = "part int, bucket int, mask binary"
+
+
+def table_of(schema: str, rows: list[tuple]) -> pa.Table:
+    kinds = {"int": pa.int32(), "binary": pa.binary()}
+    names = [f.split() for f in schema.split(", ")]
+    return pa.table({n: pa.array([r[k] for r in rows], kinds[t]) for k, (n, t) in enumerate(names)})
+
+
+def sketch(text: str, length: int, buckets: int):
+    """Step 1: each hash of a part once, its smallest key, and whether two documents of the part have it."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        part, number = Part(rows, text, length), rows["__part"][0].as_py()
+        by_key = np.argsort(part.keys, kind="stable")
+        rank = np.empty_like(by_key)
+        rank[by_key] = np.arange(len(by_key))
+        order = np.lexsort((rank[part.owner], part.hash))
+        h, key = part.hash[order], part.keys[part.owner[order]]
+        if not len(h):
+            return table_of(ANCHORS, [])
         start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        two = np.maximum.reduceat(k, start) != np.minimum.reduceat(k, start)
-        two |= np.logical_or.reduceat(m, start)
-        part = np.zeros(bits, bool)
-        for p in probes(h[start][two], bits):
-            part[p] = True
-        return pd.DataFrame({"bucket": [key[0]], "bits": [np.packbits(part).tobytes()]})
+        end = np.concatenate([start[1:], [len(h)]]) - 1
+        many = key[start] != key[end]
+        h, low = h[start], key[start]
+        out = []
+        for name, mine in _by_bucket(bucket_of(h, buckets)):
+            docs, place = np.unique(low[mine], return_inverse=True)
+            code = (place << 1 | many[mine]).astype("<u2" if len(docs) < 32_000 else "<u4")
+            out.append((name, number, pack(h[mine]), code.tobytes(), docs.tobytes()))
+        return table_of(ANCHORS, out)
 
     return run
 
 
-def surroundings(length: int, buckets: int, bits: int, given):
-    """Step 3, map side: what stands around the anchors that pass, once for each batch and bucket."""
-    width = length - GRAM
-    full = length + width
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        passed = given.value
-        for batch in batches:
-            keys, found = _each(batch, length)
-            twins = batch["__twin"].to_numpy(np.int64)
-            rows, owners, starts, hashes = [], [], [], []
-            for i, (text, (h, place, first, last)) in enumerate(zip(batch["__text"], found)):
-                a, b = probes(h, bits)
-                base = bucket_of(h, buckets) * bits
-                ok = np.ones(len(h), bool)
-                for p in (base + a, base + b):
-                    ok &= (passed[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1).astype(bool)
-                if not ok.any():
-                    continue
-                place, first, last = place[ok], first[ok], last[ok]
-                raw = np.frombuffer(text, np.uint8)
-                row = np.zeros((len(place), full + 2), np.uint8)
-                for low in range(0, len(place), TOGETHER):
-                    some = slice(low, low + TOGETHER)
-                    at = (place[some] - width)[:, None] + np.arange(full)
-                    inside = (at >= first[some, None]) & (at < last[some, None] + length)
-                    row[some, :full] = np.where(inside, raw[np.clip(at, 0, len(raw) - 1)], 0)
-                row[:, full], row[:, full + 1] = first - place + width, last - place + width
-                rows.append(row)
-                hashes.append(h[ok])
-                owners.append(np.full(len(place), i))
-                starts.append(place - width)
-            if not rows:
-                continue
-            row, h, owner, start = map(np.concatenate, (rows, hashes, owners, starts))
-            for name, mine in _by_bucket(bucket_of(h, buckets)):
-                alike = np.ascontiguousarray(row[mine]).view(f"V{full + 2}").ravel()
-                once, at = np.unique(alike, return_inverse=True)
-                docs, doc = np.unique(owner[mine], return_inverse=True)
-                yield pd.DataFrame({"bucket": [name], "rows": [zstandard.ZstdCompressor(level=3).compress(once.tobytes())], "at": [at.astype("<u4").tobytes()], "doc": [doc.astype("<u4").tobytes()], "start": [start[mine].astype("<i8").tobytes()], "docs": [keys[docs].tobytes()], "twins": [twins[docs].tobytes()]})
+def shared(group: pd.DataFrame) -> pd.DataFrame:
+    """Step 2: for each part the hashes that another document has as well."""
+    hashes, keys, many = [], [], []
+    for h, code, docs in zip(group["h"], group["code"], group["docs"]):
+        h, docs = unpack(h), np.frombuffer(docs, np.int64)
+        code = np.frombuffer(code, "<u2" if len(docs) < 32_000 else "<u4").astype(np.int64)
+        hashes.append(h)
+        keys.append(docs[code >> 1])
+        many.append((code & 1).astype(bool))
+    h, k, m = np.concatenate(hashes), np.concatenate(keys), np.concatenate(many)
+    order = np.argsort(h, kind="stable")
+    start = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+    two = np.maximum.reduceat(k[order], start) != np.minimum.reduceat(k[order], start)
+    two |= np.logical_or.reduceat(m[order], start)
+    good = np.empty(len(h), bool)
+    good[order] = np.repeat(two, np.diff(np.concatenate([start, [len(h)]])))
+    ends = np.cumsum([len(x) for x in hashes])
+    out = [(p, b, pack(x[g])) for p, b, x, g in zip(group["part"], group["bucket"], hashes, np.split(good, ends[:-1])) if g.any()]
+    return pd.DataFrame(out, columns=["part", "bucket", "h"])
+
+
+def received(answers: pa.Table, name: str) -> dict[int, bytes]:
+    return {b: x for b, x in zip(answers["bucket"].to_pylist(), answers[name].to_pylist()) if x is not None}
+
+
+def around(text: str, length: int, buckets: int):
+    """Step 3 in the parts: each different surrounding once for each bucket, with its smallest key."""
+
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        if not rows.num_rows or not answers.num_rows:
+            return table_of(AROUND, [])
+        part, number, out = Part(rows, text, length), rows["__part"][0].as_py(), []
+        for name, once, back, which in part.surroundings(length, {b: unpack(h) for b, h in received(answers, "h").items()}, buckets):
+            low = np.full(len(once), LAST_KEY, np.int64)
+            np.minimum.at(low, back, part.keys[part.owner[which]])
+            docs, doc = np.unique(low, return_inverse=True)
+            out.append((name, number, squeezed(once.tobytes()), squeezed(doc.astype("<u4").tobytes()), docs.tobytes()))
+        return table_of(AROUND, out)
 
     return run
 
@@ -259,60 +287,79 @@ def smallest_keys(m: np.ndarray, first: np.ndarray, last: np.ndarray, key: np.nd
 
 
 def sort_bucket(length: int):
-    """Step 3: the starts to remove, as (key, hash of the text, first start, mask of starts)."""
-    width = length - GRAM
-    full = length + width
+    """Step 3 in the buckets: for each part's surroundings the masks of starts that a smaller key has too."""
+    full = 2 * length - GRAM
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows, row, key, twin, start, base = [], [], [], [], [], 0
-        for r, at, doc, s, docs, twins in zip(*(group[c] for c in ("rows", "at", "doc", "start", "docs", "twins"))):
-            r = np.frombuffer(zstandard.ZstdDecompressor().decompress(r), np.uint8).reshape(-1, full + 2)
-            rows.append(r)
-            row.append(np.frombuffer(at, "<u4").astype(np.int64) + base)
-            key.append(np.frombuffer(docs, np.int64)[np.frombuffer(doc, "<u4")])
-            twin.append(np.frombuffer(twins, np.int64)[np.frombuffer(doc, "<u4")])
-            start.append(np.frombuffer(s, "<i8"))
-            base += len(r)
-        m, row, key, twin, start = map(np.concatenate, (rows, row, key, twin, start))
-        once, at = np.unique(m.view(f"V{full + 2}").ravel(), return_inverse=True)
+        rows = [np.frombuffer(opened(r), np.uint8).reshape(-1, full + 2) for r in group["rows"]]
+        low = np.concatenate([np.frombuffer(docs, np.int64)[np.frombuffer(opened(doc), "<u4")] for doc, docs in zip(group["doc"], group["docs"])])
+        once, at = np.unique(np.concatenate(rows).view(f"V{full + 2}").ravel(), return_inverse=True)
         m = once.view(np.uint8).reshape(-1, full + 2)
-        row = at[row]
-        low = np.full(len(m), LAST_KEY, np.int64)
-        np.minimum.at(low, row, key)
-        first, last = m[:, full].astype(np.int64), m[:, full + 1].astype(np.int64)
-        mask = np.zeros(len(row), np.int64)
-        for c, best in smallest_keys(m[:, :full], first, last, low, length):
-            mask |= (best[row] < key).astype(np.int64) << c
-        mine = mask != 0
-        return pd.DataFrame({"__key": key[mine], "__twin": twin[mine], "start": start[mine], "mask": mask[mine]})
+        least = np.full(len(m), LAST_KEY, np.int64)
+        np.minimum.at(least, at, low)
+        mask = np.zeros(len(at), np.int64)
+        for c, best in smallest_keys(m[:, :full], m[:, full].astype(np.int64), m[:, full + 1].astype(np.int64), least, length):
+            mask |= (best[at] < low).astype(np.int64) << c
+        ends = np.cumsum([len(r) for r in rows])
+        parts = np.split(mask, ends[:-1])
+        out = [(p, b, squeezed(x.view(np.uint8).reshape(-1, 8).T.tobytes())) for p, b, x in zip(group["part"], group["bucket"], parts) if x.any()]
+        return pd.DataFrame(out, columns=["part", "bucket", "mask"])
 
     return run
 
 
-def strip(length: int):
-    """Step 4: spans, what is left and its hash for each text and its masks."""
-    width = length - GRAM
+def stripped(raw: bytes, start: np.ndarray, mask: np.ndarray, length: int) -> tuple[int, list[dict], bytes]:
+    """Bytes removed, spans and what is left of a text, given starts of surroundings and masks of strings to remove."""
+    if not len(start):
+        return 0, [], raw
+    depth = np.zeros(len(raw) + 1, np.int32)
+    for c in range(length - GRAM + 1):
+        s = start[(mask >> c) & 1 == 1] + c
+        np.add.at(depth, s, 1)
+        np.add.at(depth, s + length, -1)
+    gone = np.cumsum(depth[:-1]) > 0
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
+    spans = [{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2])]
+    return int(gone.sum()), spans, np.frombuffer(raw, np.uint8)[~gone].tobytes()
+
 
-    @F.pandas_udf("n_removed long, spans array<struct<start:bigint,end:bigint>>, kept binary")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, starts, masks in batches:
-            out = []
-            for raw, start, mask in zip(texts, starts, masks):
-                if start is None or not len(start):
-                    out.append((0, [], raw))
-                    continue
-                start, mask = np.asarray(start, np.int64), np.asarray(mask, np.int64)
-                depth = np.zeros(len(raw) + 1, np.int64)
-                for c in range(width + 1):
-                    s = start[(mask >> c) & 1 == 1] + c
-                    s = s[s + length <= len(raw)]
-                    np.add.at(depth, s, 1)
-                    np.add.at(depth, s + length, -1)
-                gone = np.cumsum(depth[:-1]) > 0
-                edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-                spans = [{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2])]
-                out.append((int(gone.sum()), spans, np.frombuffer(raw, np.uint8)[~gone].tobytes()))
-            yield pd.DataFrame(out, columns=["n_removed", "spans", "kept"])
+SPANS = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))
+
+
+def strip(text: str, length: int, buckets: int, names: list[str], columns: list[str]):
+    """Step 4: the rows of a part with what is removed and what is left."""
+    width = length - GRAM
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
+
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        part = Part(rows, text, length) if rows.num_rows else None
+        at, masks = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if part and answers.num_rows:
+            told = received(answers, "mask")
+            for name, once, back, which in part.surroundings(length, {b: unpack(h) for b, h in received(answers, "h").items()}, buckets):
+                key = part.keys[part.owner[which]]
+                low = np.full(len(once), LAST_KEY, np.int64)
+                np.minimum.at(low, back, key)
+                first, last = once[:, -2].astype(np.int64), once[:, -1].astype(np.int64)
+                whole = (np.int64(1) << (last + 1)) - (np.int64(1) << first)
+                some = np.zeros(len(once), np.int64)
+                if name in told:
+                    some = np.ascontiguousarray(np.frombuffer(opened(told[name]), np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+                mask = np.where(key > low[back], whole[back], some[back])
+                at.append(which[mask != 0])
+                masks.append(mask[mask != 0])
+        out = []
+        if part:
+            at, masks = np.concatenate(at), np.concatenate(masks)
+            order = np.argsort(at, kind="stable")
+            at, masks = at[order], masks[order]
+            ends = np.searchsorted(part.owner[at], np.arange(len(part.texts) + 1))
+            for k, raw in enumerate(part.texts):
+                mine = slice(ends[k], ends[k + 1])
+                out.append((len(raw), *stripped(raw, part.place[at[mine]] - width, masks[mine], length)))
+        new = [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]
+        source = part.rows if part else rows
+        return pa.table([*[source[c] for c in columns], *new], names=[*columns, *names])
 
     return run
 
@@ -322,23 +369,17 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     spark = docs.sparkSession
     names = [prefix + n for n in ("n_bytes", "n_removed", "spans", "kept")]
     docs = public(docs, *names)
-    small_batches(spark)
-    raw = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
-    slim = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST_KEY)).alias("__key"), F.xxhash64(raw).alias("__twin"), raw.alias("__text")).filter(F.octet_length("__text") >= length)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = docs.agg(F.sum(utf8_len(F.col(text)))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    bits = max(8, min(SLICE_BITS, FILTER_BITS // buckets) // 8 * 8)
-    sent = slim.mapInPandas(sketch(length, buckets), "bucket int, h binary, doc binary, docs binary")
-    slices = sent.groupBy("bucket").applyInPandas(shared(bits), "bucket int, bits binary").collect()
-    passed = np.zeros(buckets * bits // 8, np.uint8)
-    for s in slices:
-        passed[s["bucket"] * bits // 8 : (s["bucket"] + 1) * bits // 8] = np.frombuffer(s["bits"], np.uint8)
-    given = spark.sparkContext.broadcast(passed)
-    around = slim.mapInPandas(surroundings(length, buckets, bits, given), "bucket int, rows binary, at binary, doc binary, start binary, docs binary, twins binary")
-    found = around.groupBy("bucket").applyInPandas(sort_bucket(length), "__key long, __twin long, start long, mask long")
-    masks = found.groupBy("__key", "__twin").agg(F.collect_list("start").alias("__start"), F.collect_list("mask").alias("__mask"))
-    keyed = docs.withColumns({"__own": F.coalesce(F.col(key).cast("long"), F.lit(LAST_KEY)), "__raw": raw, "__hash": F.xxhash64(raw)})
-    joined = keyed.join(masks.hint("shuffle_hash"), (F.col("__own") == F.col("__key")) & (F.col("__hash") == F.col("__twin")), "left")
-    out = joined.withColumn("__s", strip(length)("__raw", "__start", "__mask"))
-    found = [F.octet_length("__raw").cast("long"), F.col("__s.n_removed"), F.col("__s.spans"), F.col("__s.kept")]
-    return out.select(*docs.columns, *[c.alias(n) for c, n in zip(found, names)])
+    buckets, n_parts = max(tasks, -(-size // BUCKET_BYTES)), max(PARTS_A_TASK * tasks, -(-size // PART_BYTES))
+    placed = docs.withColumns({"__row": F.monotonically_increasing_id(), "__key": F.coalesce(F.col(key).cast("long"), F.lit(LAST_KEY))})
+    # The same shuffle of the parts serves all three steps.
+    parts = placed.withColumn("__part", F.pmod(F.xxhash64("__row"), F.lit(n_parts)).cast("int"))
+    sent = parts.groupBy("__part").applyInArrow(sketch(text, length, buckets), ANCHORS)
+    told = sent.groupBy("bucket").applyInPandas(shared, SHARED)
+    cuts = parts.groupBy("__part").cogroup(told.groupBy("part")).applyInArrow(around(text, length, buckets), AROUND)
+    masks = cuts.groupBy("bucket").applyInPandas(sort_bucket(length), MASKS)
+    none = F.lit(None).cast("binary")
+    answers = told.select("part", "bucket", "h", none.alias("mask")).union(masks.select("part", "bucket", none.alias("h"), "mask"))
+    schema = StructType([*docs.schema.fields, *[StructField(n, t) for n, t in zip(names, (LongType(), LongType(), SPANS, BinaryType()))]])
+    return parts.groupBy("__part").cogroup(answers.groupBy("part")).applyInArrow(strip(text, length, buckets, names, docs.columns), schema)
