@@ -5,11 +5,12 @@ from its own start. The pattern never looks back, so once two neighbours start a
 place of their overlap, they agree from there on: the first such place is where the text is cut. Cuts are only
 made after a character that isn't blank and not near a chunk's end, where the pattern could have looked
 further. The pieces between cuts are then encoded in parallel and their ids put together in order.
-A text whose overlap holds no common place is encoded in one piece, which is exact as well. Decoding
-concatenates the raw bytes of the ids.
+From the first overlap of a text that holds no common place on, nothing is known of its later chunks, so the rest
+of that text is one piece, which is exact as well. Decoding concatenates the raw bytes of the ids.
 
 Defined results: null is the empty text, with no ids; equal rows each get their ids; special tokens
-are ordinary text. ``ids`` is binary: little-endian unsigned 32-bit integers, one for each token.
+are ordinary text; texts are encoded whole, however long; an empty table gives no rows; extra columns stay, but for
+those named like the new column or with two leading underscores, which go. ``ids`` is binary: little-endian unsigned 32-bit integers, one for each token.
 """
 
 from __future__ import annotations
@@ -81,15 +82,16 @@ def chunk_rows(pattern: str, chunk: int, overlap: int):
 
 
 def cuts_of(texts: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFrame:
-    """__key, cuts: the inner cut places of each long text, or null where neighbours share none."""
+    """__key, cuts: the inner cut places of each long text, up to the first neighbours that share none."""
     cut, places = chunk_rows(pattern, chunk, overlap)
     chunks = texts.mapInPandas(cut, "__key string, no int, at int, last boolean, piece string")
     n = texts.sparkSession.conf.get("spark.sql.shuffle.partitions")
     found = chunks.repartition(int(n), "__key", "no").mapInPandas(places, "__key string, no int, head array<int>, tail array<int>")
     w = Window.partitionBy("__key").orderBy("no")
     shared = found.withColumn("cut", F.array_min(F.array_intersect(F.lag("tail").over(w), F.col("head")))).filter("no > 0")
-    grouped = shared.groupBy("__key").agg(F.bool_and(F.col("cut").isNotNull()).alias("ok"), F.array_sort(F.collect_set("cut")).alias("cuts"))
-    return grouped.select("__key", F.when(F.col("ok"), F.col("cuts")).alias("cuts"))
+    upto = Window.partitionBy("__key").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
+    proven = shared.withColumn("ok", F.bool_and(F.col("cut").isNotNull()).over(upto)).filter("ok")
+    return proven.groupBy("__key").agg(F.array_sort(F.collect_set("cut")).alias("cuts"))
 
 
 def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -16,13 +16,15 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
     It is read from ``spark.checkpoint.dir``; a folder of our own is made only where that is
-    unset, as in local tests.
+    unset and the master is local, as in tests. Elsewhere a folder of one machine would lose data.
     """
     given = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
     if given:
         return given
-    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quern-"))
     return sc.getCheckpointDir()
 
@@ -84,15 +86,22 @@ def utf8_len(text: Column) -> Column:
 
 
 def small_batches(spark: SparkSession, rows: int = 1024, size: str = "16m") -> None:
-    """Bound what one Arrow batch of whole texts holds: rows, and bytes where Spark knows that setting."""
+    """Bound what one Arrow batch of whole texts holds: rows, and bytes where Spark knows that setting.
+
+    The settings are read when a plan is run, which is after the operator has returned, so they stay set for the
+    session. They bound memory and change no result.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def row_key(key: str = "doc_id", text: str = "text") -> Column:
-    """A string that orders like ``key`` (null last) and is equal for rows of equal key and text only."""
-    number = F.lpad(F.coalesce(F.col(key), F.lit((1 << 63) - 1)).cast("string"), 20, "0")
-    return F.concat(number, F.lit("-"), F.hex(F.xxhash64(F.col(text))), F.hex(F.crc32(F.coalesce(F.col(text), F.lit("")))))
+    """A string that orders like ``key`` (null last) and is equal for rows of equal key and text only.
+
+    The key's sign bit is turned, so that its hexadecimal digits order like the number.
+    """
+    place = F.lpad(F.hex(F.col(key).cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat(F.coalesce(F.concat(F.lit("0"), place), F.lit("1")), F.lit("-"), F.hex(F.xxhash64(F.col(text))), F.hex(F.crc32(F.coalesce(F.col(text), F.lit("")))))
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -9,7 +9,9 @@ The machines are fitted on a bounded sample: about ``per_language`` labelled tex
 hash of the key among the rows given for learning, and never more than twice that. Prediction reads the text only.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; equal texts get equal answers;
-without any labelled row everything is ``und``; if only one language is known, all texts with a letter get it.
+without any labelled row everything is ``und``; if only one language is known, all texts with a letter get it; texts
+are read whole, however long; votes and margins that tie go to the language that is first by code; an empty table
+gives no rows; extra columns stay, but for those named like a new one or with two leading underscores, which go.
 """
 
 from __future__ import annotations
@@ -143,6 +145,7 @@ def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     rows = sample.mapInPandas(vectors, "lang string, x binary").limit(2 * per_language * len(counts)).collect()
     if not rows:
         return Model()
+    rows.sort(key=lambda r: (r["lang"], r["x"]))  # the fit doesn't depend on where the rows came from
     return fit(np.stack([np.frombuffer(r["x"], np.float32) for r in rows]), [r["lang"] for r in rows])
 
 

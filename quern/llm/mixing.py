@@ -13,7 +13,9 @@ greedily on a few sizes of each power of two, then by the best change of one cop
 by a gapless rank, so a size that holds a third of all rows is never in one task.
 
 Defined results: a null text has no words and takes none; the null source is a source, sorted last; repeated
-rows count as often as they are there; a source without words has the target 0; an empty table gives no rows.
+rows count as often as they are there, and which of rows with equal keys, source and size gets a copy more doesn't
+matter; texts are counted whole, however long; a source without words has the target 0; an empty table gives no rows;
+other columns of the input, whatever their names, are neither read nor returned.
 """
 
 from __future__ import annotations

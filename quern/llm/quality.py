@@ -9,7 +9,9 @@ Copies aren't evidence of boilerplate: documents of a host with the same set of
 Near copies differ in a line, so each of them counts.
 
 Defined results: a null text has no words and fails the base rules; the null host is a host; a repeated row
-gets the verdict of its text; an empty table gives no rows; a line without a word is never counted.
+gets the verdict of its text; texts are read whole, however long; a line exactly at its host's limit isn't above it, and
+a document that keeps exactly the least share stays; a line without a word is never counted; an empty table gives
+no rows; extra columns stay, but for those named like a new one or with two leading underscores, which go.
 """
 
 from __future__ import annotations

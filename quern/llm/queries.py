@@ -113,4 +113,45 @@ ORACLE = {
               OR starts_with(host, 'ads.') OR ends_with(host, '.doubleclick.net') OR host = 'doubleclick.net' THEN 'block'
             ELSE 'allow' END AS verdict
         FROM r""",
+    # Documents of a host with the same set of normalised lines are one; lines are compared as texts, not by hash.
+    "op5_quality_rules": r"""
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, source, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        w AS (SELECT rid, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM d),
+        tri AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM (
+          SELECT rid, i, w AS a, lead(w) OVER o AS b, lead(w, 2) OVER o AS c FROM w WINDOW o AS (PARTITION BY rid ORDER BY i)) WHERE c IS NOT NULL),
+        rep AS (SELECT rid, count(DISTINCT i + k) AS n FROM tri, (VALUES (0), (1), (2)) x(k) WHERE tri.n > 1 GROUP BY rid),
+        lines AS (SELECT rid, source, line, lower(array_to_string(words, ' ')) AS norm, len(words) AS n FROM (
+          SELECT rid, source, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS words FROM (SELECT rid, source, unnest(string_split(t, chr(10))) AS line FROM d)) WHERE len(words) > 0),
+        docs AS (SELECT rid, source, md5(array_to_string(list_sort(list_distinct(list(norm))), chr(10))) AS sig FROM lines GROUP BY rid, source),
+        hosts AS (SELECT source, count(DISTINCT sig) AS n FROM docs GROUP BY source),
+        often AS (SELECT l.source, l.norm FROM lines l JOIN docs s ON s.rid = l.rid JOIN hosts h ON h.source IS NOT DISTINCT FROM l.source
+          GROUP BY l.source, l.norm, h.n HAVING count(DISTINCT sig) > 10 AND count(DISTINCT sig) > 0.01 * h.n),
+        gone AS (SELECT rid, sum(n) AS n FROM lines l JOIN often o ON o.source IS NOT DISTINCT FROM l.source AND o.norm = l.norm GROUP BY rid),
+        dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY rid),
+        f AS (SELECT d.rid, doc_id, len(words) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+          length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS gone
+          FROM d LEFT JOIN rep ON rep.rid = d.rid LEFT JOIN dup ON dup.rid = d.rid LEFT JOIN gone ON gone.rid = d.rid)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+          NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - gone >= 0.5 * n_words AS kept FROM f""",
+    # Every pair's cosine, and everything that is reached by links.
+    "op6_hnsw_dedup": """
+        WITH RECURSIVE e AS (SELECT row_number() OVER () AS rid, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+        s AS (SELECT * FROM e WHERE len(v) > 0 AND list_count(v) = len(v) AND len(list_filter(v, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+        l AS (SELECT a.rid AS a, b.rid AS b FROM s a JOIN s b ON a.rid <> b.rid AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+        r AS (SELECT rid, rid AS t FROM e UNION SELECT r.rid, l.b FROM r JOIN l ON l.a = r.t)
+        SELECT e.vec_id, coalesce(n, 0) AS n_links, c.low AS component_id, coalesce(e.vec_id = c.low, false) AS kept
+        FROM e LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) x ON x.a = e.rid
+        JOIN (SELECT r.rid, min(o.vec_id) AS low FROM r JOIN e o ON o.rid = r.t GROUP BY r.rid) c ON c.rid = e.rid""",
+    # Bytes as hexadecimal digits; texts are cut in pieces of 100 bytes first, so that no place is sought from a text's start.
+    "op10_suffix_array": """
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        c AS (SELECT rid, doc_id, k, substring(h, 200 * k + 1, 298) AS piece, length(h) // 2 AS n FROM (SELECT *, unnest(range(0, greatest(1, (length(h) // 2 + 99) // 100))) AS k FROM d)),
+        b AS (SELECT rid, doc_id, n, 100 * k + j AS p, substring(piece, 2 * j + 1, 2) AS byte, CASE WHEN 100 * k + j + 50 <= n THEN substring(piece, 2 * j + 1, 100) END AS str
+          FROM (SELECT *, unnest(range(0, least(100, n - 100 * k))) AS j FROM c)),
+        f AS (SELECT str, min(coalesce(doc_id, 9223372036854775807)) AS low FROM b WHERE str IS NOT NULL GROUP BY str HAVING count(*) > 1),
+        g AS (SELECT b.rid, p, byte, coalesce(max(CASE WHEN low < coalesce(doc_id, 9223372036854775807) THEN p END) OVER (PARTITION BY b.rid ORDER BY p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), -1) >= 0 AS gone
+          FROM b LEFT JOIN f ON f.str = b.str),
+        s AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY rid ORDER BY p), false) AS starts FROM g),
+        t AS (SELECT rid, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_spans, coalesce(string_agg(byte, '' ORDER BY p) FILTER (NOT gone), '') AS kept FROM s GROUP BY rid)
+        SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN t ON t.rid = d.rid""",
 }

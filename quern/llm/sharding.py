@@ -8,7 +8,9 @@ All of it is column arithmetic. Spark checks 64-bit multiplication for overflow,
 state is kept as two 32-bit halves and multiplied by 16-bit pieces.
 
 Defined results: a null key is the key 0; a null text has no bytes and the checksum 0; rows with the
-same key share a shard and get different slots; an empty table gives no rows.
+same key share a shard and get different slots; ties of key are ordered by checksum and size, and rows equal in all
+three may swap slots, which changes no result as a whole; texts are measured whole, however long; an empty table
+gives no rows; other columns of the input, whatever their names, are neither read nor returned.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ The count is the bytes minus the merges; identifiers are never written out. Coun
 are kept in a bounded table of each worker.
 
 Defined results: a null or empty text has no tokens and no bytes; the vocabulary's own special strings in a
-text count as one token each, as the library counts them by default; equal texts have equal counts.
+text count as one token each, as the library counts them by default; equal texts have equal counts; texts are counted
+whole, however long; an empty table gives no rows; extra columns stay, but for those named like a new one or with two
+leading underscores, which go.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ the host cannot run into the path. A rule whose host is ``org`` and path ``/`` i
 
 Defined results: a null url, or one without ``://``, has an empty host and path, which only a glob for
 empty hosts can match; equal urls are judged alike; of several rules that match, the longest decides,
-and among equally long ones the first blocks before the first allows.
+and among equally long ones the first blocks before the first allows; urls are read whole, however long; an empty table
+gives no rows; extra columns stay, but for those named like a new one or with two leading underscores, which go.
 """
 
 from __future__ import annotations
