@@ -17,6 +17,54 @@ WEEKDAYS = ("вс", "пн", "вт", "ср", "чт", "пт", "сб")
 MONTHS = ("янв", "февр", "мар", "апр", "мая", "июн", "июл", "авг", "сент", "окт", "нояб", "дек")
 
 
+FULL_MONTHS = ("января", "февраля", "марта", "апреля", "мая", "июня", "июля", "августа", "сентября", "октября", "ноября", "декабря")
+# The order of roles, icons by role, and by words in the names of other folders.
+ROLE_ICONS = {"inbox": "inbox", "flagged": "star", "drafts": "draft", "sent": "send", "archive": "archive", "all": "layers", "junk": "spam", "trash": "trash"}
+ROLE_ORDER = ("inbox", "flagged", "drafts", "sent", "archive", "all", "junk", "trash")
+NAME_ICONS = {"работ|work|job|office": "briefcase", "путеш|travel|trip|билет": "plane"}
+
+
+def to_iso(text: Column, as_of: Column) -> Column:
+    """A date text in ISO form; what is missing or no date becomes ``as_of``, since no clock is read."""
+    return iso(F.coalesce(F.try_to_timestamp(text), as_of))
+
+
+def start_of_day(ts: Column) -> Column:
+    return F.date_trunc("day", ts)
+
+
+def ago(minutes: Column, as_of: Column) -> Column:
+    return as_of - F.make_dt_interval(mins=minutes.cast("int"))
+
+
+def long_date(ts: Column, as_of: Column) -> Column:
+    """A relative day or a date with its weekday, then the time; the year only where it is another one."""
+    days = F.datediff(as_of, ts)
+    weekday = F.element_at(F.array(*map(F.lit, WEEKDAYS)), F.dayofweek(ts))
+    date = F.concat(weekday, F.lit(", "), F.day(ts).cast("string"), F.lit(" "), F.element_at(F.array(*map(F.lit, FULL_MONTHS)), F.month(ts)))
+    date = F.when(F.year(ts) == F.year(as_of), date).otherwise(F.concat(date, F.lit(" "), F.year(ts).cast("string"), F.lit(" г.")))
+    return F.concat(F.when(days <= 0, "сегодня").when(days == 1, "вчера").otherwise(date), F.lit(", "), F.date_format(ts, "HH:mm"))
+
+
+def folder_icon(role: Column, name: Column) -> Column:
+    known = F.create_map(*[F.lit(x) for kv in ROLE_ICONS.items() for x in kv])
+    named = F.lit("folder")
+    for pattern, icon in reversed(NAME_ICONS.items()):
+        named = F.when(F.lower(name).rlike(pattern), icon).otherwise(named)
+    return F.when(F.coalesce(role, F.lit("")) == "", named).otherwise(F.coalesce(F.element_at(known, role), F.lit("folder")))
+
+
+def opens_inline(content_type: Column, download: Column) -> Column:
+    """Whether a browser may show a file: common images and PDF, unless a download is asked for."""
+    kind = F.lower(F.coalesce(content_type, F.lit("application/octet-stream")))
+    return kind.rlike(r"^image/(?:png|jpe?g|gif|webp|avif|svg\+xml)\z|^application/pdf\z") & ~F.coalesce(download, F.lit(False))
+
+
+def palette_score(title: Column, keywords: Column, query: str) -> Column:
+    """The better of the title's score and four fifths of the keywords'."""
+    return F.greatest(fuzzy_score(title, query).cast("double"), F.coalesce(fuzzy_score(keywords, query) * 0.8, F.lit(0.0)))
+
+
 def iso(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 

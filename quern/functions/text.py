@@ -14,7 +14,22 @@ OUTSIDE = ("ext", "external")
 ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " "}
 # The words around a quoted reply.
 QUOTE_LEADS, QUOTE_VERBS = ("On", "В", "Le", "Am"), ("wrote", "написал", "a écrit", "schrieb")
+# Patterns whose form is their meaning.
 EMAIL = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
+LINK = r"(https?://[^\s<]+[^\s<.,;:!?)\]])"
+LINK_IN_MAIL = r"(https?://[^\s<]+[^\s<.,;:!?)\]'\"])"
+MAIL_IN_TEXT = r"(^|[\s(])([\w.+-]+@[\w-]+\.[\w.-]+)"
+REMOTE = r"""(?i)<img[^>]+src\s*=\s*["']?\s*(?:https?:)?//|url\(\s*["']?\s*(?:https?:)?//|\sbackground\s*=\s*["']?\s*https?:"""
+DESIGNED, COLOR = r"(?i)<table|bgcolor|background(?:-color)?\s*:|<style", r"(?i)color\s*:"
+REFRESH, BASE, SCRIPT = r"(?i)<meta[^>]+http-equiv\s*=\s*[\"']?refresh[^>]*>", r"(?i)<base[^>]*>", r"(?is)<script.*?</script>"
+ATTACHMENT_WORDS = r"(?iu)прикреп|влож|attach|во вложении"
+QUOTE_HEAD = r"(?iu)^(?:On|В|Le|Am)\s.{4,160}(?:wrote|написал|написала|написал\(а\)|a écrit|schrieb):?\s*$"
+QUOTE_DIVIDER = r"(?iu)^-{2,}\s*(?:Original Message|Исходное сообщение|Пересылаемое сообщение)"
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, also where ``use`` is evaluated for each element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def trim_all(s: Column) -> Column:
@@ -75,7 +90,7 @@ def escape_html(s: Column) -> Column:
 
 
 def text_to_html(s: Column) -> Column:
-    linked = F.regexp_replace(escape_html(s), r"(https?://[^\s<]+[^\s<.,;:!?)\]])", '<a href="$1">$1</a>')
+    linked = F.regexp_replace(escape_html(s), LINK, '<a href="$1">$1</a>')
     return F.regexp_replace(linked, r"\r?\n", "<br>")
 
 
@@ -83,17 +98,12 @@ def snippet(s: Column, most: int = 180) -> Column:
     """One line of preview: quoted lines are skipped, a signature or the head of a quoted reply ends it."""
     lead = rf"(?iu)^(?:{'|'.join(QUOTE_LEADS)}) .{{4,120}}(?:{'|'.join(QUOTE_VERBS)})"
     lines = F.split(F.coalesce(s, F.lit("")), r"\r?\n")
-    start = F.struct(F.lit(False).alias("stop"), F.array().cast("array<string>").alias("kept"))
-
-    def step(acc: Column, line: Column) -> Column:
-        quoted = line.rlike(rf"^[{BLANK}]*>")
-        stop = acc["stop"] | (~quoted & (line.rlike(rf"^--[{BLANK}]*$") | line.rlike(lead)))
-        keep = F.when(quoted | stop, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(line)))
-        return F.struct(stop.alias("stop"), keep.alias("kept"))
-
-    flat = trim_all(collapse(F.aggregate(lines, start, step, lambda acc: F.array_join(acc["kept"], " "))))
-    cut = F.concat(F.regexp_replace(F.substring(flat, 1, most - 1), rf"[{BLANK}]+\z", ""), F.lit("…"))
-    return F.when(F.length(flat) > most, cut).otherwise(flat)
+    quoted = lambda x: x.rlike(rf"^[{BLANK}]*>")
+    stops = F.transform(lines, lambda x: ~quoted(x) & (x.rlike(rf"^--[{BLANK}]*$") | x.rlike(lead)))
+    end = F.coalesce(F.nullif(F.array_position(stops, True), F.lit(0)) - 1, F.size(lines))
+    flat = trim_all(collapse(F.array_join(F.filter(F.slice(lines, F.lit(1), end.cast("int")), lambda x: ~quoted(x)), " ")))
+    cut = lambda f: F.concat(F.regexp_replace(F.substring(f, 1, most - 1), rf"[{BLANK}]+\z", ""), F.lit("…"))
+    return let(flat, lambda f: F.when(F.length(f) > most, cut(f)).otherwise(f))
 
 
 def parse_recipients(s: Column) -> Column:
@@ -160,23 +170,23 @@ def highlight(s: Column, query: str) -> Column:
 
 
 def is_remote(html: Column) -> Column:
-    return F.coalesce(html, F.lit("")).rlike(r"""(?i)<img[^>]+src\s*=\s*["']?\s*(?:https?:)?//|url\(\s*["']?\s*(?:https?:)?//|\sbackground\s*=\s*["']?\s*https?:""")
+    return F.coalesce(html, F.lit("")).rlike(REMOTE)
 
 
 def is_designed(html: Column) -> Column:
     html = F.coalesce(html, F.lit(""))
-    return html.rlike(r"(?i)<table|bgcolor|background(?:-color)?\s*:|<style") | (F.regexp_count(html, F.lit(r"(?i)color\s*:")) > 3)
+    return html.rlike(DESIGNED) | (F.regexp_count(html, F.lit(COLOR)) > 3)
 
 
 def clean_html(html: Column) -> Column:
     """Without meta refresh, base and script tags."""
-    s = F.regexp_replace(html, r"(?i)<meta[^>]+http-equiv\s*=\s*[\"']?refresh[^>]*>", "")
-    s = F.regexp_replace(s, r"(?i)<base[^>]*>", "")
-    return F.regexp_replace(s, r"(?is)<script.*?</script>", "")
+    for pattern in (REFRESH, BASE, SCRIPT):
+        html = F.regexp_replace(html, pattern, "")
+    return html
 
 
 def misses_attachment(text: Column, attachments: Column) -> Column:
-    return text.rlike(r"(?iu)прикреп|влож|attach|во вложении") & (F.size(attachments) == 0)
+    return F.coalesce(text, F.lit("")).rlike(ATTACHMENT_WORDS) & (F.size(attachments) == 0)
 
 
 def pieces(s: Column, width: int = 14) -> Column:
@@ -186,28 +196,80 @@ def pieces(s: Column, width: int = 14) -> Column:
 
 def quote_start(lines: Column) -> Column:
     """Index from 0 of the first line of quoted history, or -1: a head line, a divider, or only quotes from there on."""
-    head = r"(?iu)^(?:On|В|Le|Am)\s.{4,160}(?:wrote|написал|написала|написал\(а\)|a écrit|schrieb):?\s*$"
-    divider = r"(?iu)^-{2,}\s*(?:Original Message|Исходное сообщение|Пересылаемое сообщение)"
-    tail = F.reverse(
-        F.aggregate(
-            F.reverse(lines),
-            F.struct(F.lit(True).alias("ok"), F.array().cast("array<boolean>").alias("all")),
-            lambda a, x: F.struct((a["ok"] & x.rlike(r"^\s*(?:>|$)")).alias("ok"), F.concat(a["all"], F.array(a["ok"] & x.rlike(r"^\s*(?:>|$)"))).alias("all")),
-            lambda a: a["all"],
-        )
-    )
-    marks = F.transform(F.arrays_zip(lines.alias("l"), tail.alias("t")), lambda z: trim_all(z["l"]).rlike(head) | trim_all(z["l"]).rlike(divider) | (z["l"].rlike(r"^\s*>") & z["t"]))
-    at = F.array_position(marks, True).cast("int") - 1
-    return F.when(at <= 0, -1).otherwise(at)
+    own = F.transform(lines, lambda x, i: F.when(~x.rlike(r"^\s*(?:>|$)"), i))
+    last_own = F.coalesce(F.array_max(own), F.lit(-1))
+
+    def marks(last: Column) -> Column:
+        head = lambda x: x.rlike(QUOTE_HEAD) | x.rlike(QUOTE_DIVIDER)
+        return F.array_min(F.transform(lines, lambda x, i: F.when(head(trim_all(x)) | ((i > last) & x.rlike(r"^\s*>")), i)))
+
+    at = F.coalesce(let(last_own, marks), F.lit(-1))
+    return F.when(at == 0, -1).otherwise(at).cast("int")
 
 
 def plain_parts(text: Column) -> Column:
     """(body, quoted): a plain message split where quoted history starts; one quote mark goes from each line."""
     lines = F.split(F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n")), "\n")
-    at = quote_start(lines)
-    body = F.when(at > 0, F.slice(lines, F.lit(1), F.greatest(at, F.lit(0)))).otherwise(lines)
-    quoted = F.when(at > 0, F.transform(F.slice(lines, at + 1, F.size(lines)), lambda x: F.regexp_replace(x, r"^\s*>\s?", "")))
-    return F.struct(F.regexp_replace(F.array_join(body, "\n"), r"\n+\z", "").alias("body"), F.array_join(quoted, "\n").alias("quoted"))
+
+    def parts(z: Column) -> Column:
+        ls, at = z["lines"], z["at"]
+        body = F.when(at > 0, F.slice(ls, F.lit(1), F.greatest(at, F.lit(0)))).otherwise(ls)
+        quoted = F.when(at > 0, F.transform(F.slice(ls, at + 1, F.size(ls)), lambda x: F.regexp_replace(x, r"^\s*>\s?", "")))
+        return F.struct(F.regexp_replace(F.array_join(body, "\n"), r"\n+\z", "").alias("body"), F.array_join(quoted, "\n").alias("quoted"))
+
+    return let(let(lines, lambda ls: F.struct(ls.alias("lines"), quote_start(ls).alias("at"))), parts)
+
+
+def mail_html(part: Column) -> Column:
+    """A piece of a plain message as HTML: escaped, with links for addresses of the web and of mail."""
+    linked = F.regexp_replace(escape_html(part), LINK_IN_MAIL, '<a href="$1">$1</a>')
+    return F.regexp_replace(linked, MAIL_IN_TEXT, '$1<a href="mailto:$2">$2</a>')
+
+
+def plain_to_html(text: Column) -> Column:
+    """A plain message as HTML; quoted history is folded away."""
+
+    def whole(p: Column) -> Column:
+        body = F.concat(F.lit('<div class="plain">'), mail_html(p["body"]), F.lit("</div>"))
+        fold = F.concat(F.lit('<details class="aq"><summary title="Показать цитату">•••</summary><div class="plain quoted">'), mail_html(p["quoted"]), F.lit("</div></details>"))
+        return F.when(p["quoted"].isNull(), body).otherwise(F.concat(body, fold))
+
+    return let(plain_parts(text), whole)
+
+
+def shown_body(plain: Column, text: Column, html: Column) -> Column:
+    """(body, remote, themed): the plain text as HTML where there is no other, and what the frame must know of it."""
+    as_plain = F.coalesce(plain, F.lit(False)) | (F.coalesce(html, F.lit("")) == "")
+    body = F.when(as_plain, plain_to_html(text)).otherwise(html)
+    return F.struct(body.alias("body"), (~as_plain & is_remote(html)).alias("remote"), (as_plain | ~is_designed(html)).alias("themed"))
+
+
+def person_line(p: Column) -> Column:
+    name = F.coalesce(p["name"], F.lit(""))
+    return F.when(name != "", F.concat(name, F.lit(" <"), p["address"], F.lit(">"))).otherwise(p["address"])
+
+
+def breaks(text: Column) -> Column:
+    return F.replace(escape_html(text), F.lit("\n"), F.lit("<br>"))
+
+
+def quote_block(sender: Column, when: Column, text: Column) -> Column:
+    """What a reply holds of its original; ``when`` is the shown date."""
+    return F.concat(F.lit('<div class="attrib"><br>'), escape_html(when), F.lit(", "), escape_html(person_line(sender)), F.lit(' пишет:</div><blockquote type="cite">'), breaks(text), F.lit("</blockquote>"))
+
+
+def forward_block(sender: Column, when: Column, subject: Column, to: Column, cc: Column, text: Column) -> Column:
+    """What a forwarded message holds of its original; empty rows go."""
+
+    def row(label: str, value: Column) -> Column:
+        value = F.coalesce(value, F.lit(""))
+        return F.when(value == "", "").otherwise(F.concat(F.lit(f"<b>{label}:</b> "), escape_html(value), F.lit("<br>")))
+
+    listed = lambda people: F.array_join(F.transform(people, person_line), ", ")
+    return F.concat(
+        F.lit('<div class="fwd"><br>---------- Пересланное сообщение ----------<br>'), row("От", person_line(sender)), row("Дата", when), row("Тема", subject),
+        row("Кому", listed(to)), row("Копия", listed(cc)), F.lit("<br>"), breaks(text), F.lit("</div>"),
+    )
 
 
 def sse_frame(event: Column, data: Column) -> Column:

@@ -62,6 +62,45 @@ def latest_drafts(log: DataFrame) -> DataFrame:
     return last.select("key", "d.*").filter("not deleted").orderBy(F.col("saved_at").desc(), "key")
 
 
+def read_all(messages: DataFrame, shown: DataFrame) -> DataFrame:
+    """Everything that is shown and unread becomes seen."""
+    return set_flags(messages, shown.filter(~F.col("seen")), add=("seen",))
+
+
+def is_empty_draft(lead: Column, attachments: Column, answers: Column, recipients: Column, subject: Column) -> Column:
+    """Nothing written or attached; recipients and a subject count unless they come from the message answered."""
+    written = (F.trim(F.coalesce(lead, F.lit(""))) != "") | (F.size(attachments) > 0)
+    given = (F.size(recipients) > 0) | (F.trim(F.coalesce(subject, F.lit(""))) != "")
+    return ~written & (answers | ~given)
+
+
+def kept_files(attachments: Column, draft: bool, most: int = 3 * 1024 * 1024 // 2) -> Column:
+    """The attachments that are loaded; a draft keeps only small ones."""
+    return F.filter(attachments, lambda a: a["loaded"] & (a["size"] < most if draft else F.lit(True)))
+
+
+def discarded(log: DataFrame, keys: DataFrame, at: Column) -> DataFrame:
+    """The log of drafts with a tombstone for each of these keys."""
+    return log.unionByName(_again(log, keys, at, True))
+
+
+def restored(log: DataFrame, keys: DataFrame, at: Column) -> DataFrame:
+    """The log of drafts with the last state before deletion written again for each of these keys."""
+    return log.unionByName(_again(log.filter("not deleted"), keys, at, False))
+
+
+def _again(log: DataFrame, keys: DataFrame, at: Column, deleted: bool) -> DataFrame:
+    rest = [c for c in log.columns if c not in ("key", "saved_at", "deleted")]
+    last = log.join(keys.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.max_by(F.struct(*rest), F.col("saved_at")).alias("d"))
+    return last.select("key", at.alias("saved_at"), F.lit(deleted).alias("deleted"), "d.*").select(*log.columns)
+
+
+def cleared(history: DataFrame, started: DataFrame) -> DataFrame:
+    """History without what was said before the last new start of its conversation (conv_id, turn)."""
+    last = started.groupBy("conv_id").agg(F.max("turn").alias("__start"))
+    return history.join(last, "conv_id", "left").filter(F.col("__start").isNull() | (F.col("turn") >= F.col("__start"))).drop("__start")
+
+
 def merged_settings(defaults: DataFrame, stored: DataFrame) -> DataFrame:
     """(key, value): stored values over the defaults."""
     s = stored.select("key", F.col("value").alias("__v"))

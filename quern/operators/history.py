@@ -18,6 +18,12 @@ def tail(df: DataFrame, n: int = 40, most: int = 4000) -> DataFrame:
     return last_of_each(valid(df), ["conv_id"], [F.col("turn").desc()], n).withColumn("text", F.substring("text", 1, most))
 
 
+def ledger(df: DataFrame, them: str, me: str) -> DataFrame:
+    """The sitting read back: who said what, in order."""
+    who = F.when(F.col("role") == "assistant", them).otherwise(me)
+    return df.select("conv_id", "turn", who.alias("who"), F.col("text").alias("content"))
+
+
 def turn_numbers(df: DataFrame) -> DataFrame:
     return df.groupBy("conv_id").agg((F.count_if(F.col("role") == "user") + 1).alias("turn_number"))
 

@@ -77,31 +77,50 @@ def bounds(points: DataFrame, keys: list[str], width: float) -> DataFrame:
     return points.groupBy(*keys).agg(*[v.alias(k) for k, v in sides.items()], F.count(F.lit(1)).alias("n_points"))
 
 
-def eased(points: DataFrame, keys: list[str], order: list[str], ease: float = EASE) -> DataFrame:
-    """Pressure that follows its input by a share of the difference; a fold over each stroke."""
-    rows = points.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, "p"))).alias("r"))
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("all"))
+def eased(points: DataFrame, keys: list[str], order: list[str], ease: float = EASE, piece: int = 256) -> DataFrame:
+    """Pressure that follows its input by a share of the difference, from the first point of a stroke on.
+
+    A stroke is folded in pieces. What a piece starts from is the end of the one before, folded alone: after
+    ``piece`` steps its own start has shrunk by (1 - ease) ** piece, far below what a double holds.
+    """
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+    placed = points.withColumn("__n", n).withColumn("__piece", F.floor(F.col("__n") / piece))
+    rows = placed.groupBy(*keys, "__piece").agg(F.array_sort(F.collect_list(F.struct("__n", *order, "p"))).alias("r"))
+
+    def follow(last: Column, p: Column) -> Column:
+        return F.when(last.isNull(), p).otherwise(last + (p - last) * ease)
+
+    alone = F.aggregate("r", F.when(F.col("__piece") > 0, F.lit(0.0)), lambda last, r: follow(last, r["p"].cast("double")))
+    start = F.lag("__end").over(Window.partitionBy(*keys).orderBy("__piece"))
+    begun = rows.withColumn("__end", alone).withColumn("__start", start)
+    first = F.struct(F.col("__start").alias("last"), F.array().cast("array<double>").alias("all"))
 
     def step(acc: Column, r: Column) -> Column:
-        p = r["p"].cast("double")
-        value = F.when(acc["last"].isNull(), p).otherwise(acc["last"] + (p - acc["last"]) * ease)
+        value = follow(acc["last"], r["p"].cast("double"))
         return F.struct(value.alias("last"), F.concat(acc["all"], F.array(value)).alias("all"))
 
-    folded = rows.withColumn("e", F.aggregate("r", start, step, lambda a: a["all"]))
+    folded = begun.withColumn("e", F.aggregate("r", first, step, lambda a: a["all"]))
     return folded.select(*keys, F.explode(F.arrays_zip("r", "e")).alias("z")).select(*keys, *[F.col(f"z.r.{c}").alias(c) for c in order], F.col("z.e").alias("eased"))
 
 
 def steady(points: DataFrame, keys: list[str], order: list[str], least: float = TREMOR) -> DataFrame:
-    """Points that lie far enough (in squared distance) from the last one kept; a fold over each stroke."""
-    names = [f.name for f in points.schema.fields]
-
-    def keep(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order)
-        kept, last = [], None
-        for p in zip(group["x"], group["y"]):
-            far = last is None or (p[0] - last[0]) ** 2 + (p[1] - last[1]) ** 2 >= least
-            kept.append(far)
-            last = p if far else last
-        return group[kept][names]
-
-    return points.groupBy(*keys).applyInPandas(keep, points.schema)
+    """Points that lie far enough (in squared distance) from the last one kept; sorted rows are walked with one point of memory."""
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stroke, x, y = None, 0.0, 0.0
+        for batch in batches:
+            kept = []
+            for key, a, b in zip(zip(*[batch[k] for k in keys]), batch["x"], batch["y"]):
+                far = key != stroke or (a - x) ** 2 + (b - y) ** 2 >= least
+                kept.append(far)
+                if far:
+                    stroke, x, y = key, a, b
+            yield batch[kept] if kept else batch
+
+    return points.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(walk, points.schema)
+
+
+def advances(chars: DataFrame, keys: list[str], order: str, width: str) -> DataFrame:
+    """How far each character of a line has come: the widths before it, its own included."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return chars.withColumn("advance", F.sum(width).over(w))

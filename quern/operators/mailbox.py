@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import html_to_text, snippet, strip_subject, thread_subject, trim_all
+
 FLAGGED = "flagged"
 HIDDEN = ("trash", "junk")
 
@@ -50,6 +52,69 @@ def with_attachments(messages: DataFrame, attachments: DataFrame) -> DataFrame:
     return messages.join(some, "id", "left").withColumn("has_attachments", F.coalesce("has_attachments", F.lit(False)))
 
 
+def criteria(fields: list[Column], query: str, kind: str, content_type: Column) -> Column:
+    """The server-side form of a listing's conditions: any one field has the query; attachments show in the content type."""
+    out = any_field_contains(fields, query) if query else F.lit(True)
+    terms = {"unread": ~F.col("seen"), "flagged": F.col("flagged"), "attachments": F.contains(F.lower(F.coalesce(content_type, F.lit(""))), F.lit("multipart/mixed"))}
+    return out & terms[kind] if kind in terms else out
+
+
+def summaries(messages: DataFrame, attachments: DataFrame) -> DataFrame:
+    """Rows of a listing: no bodies, but a snippet and whether there are attachments that aren't inline."""
+    marked = with_attachments(messages, attachments)
+    body = F.when(F.coalesce("text", F.lit("")) != "", F.col("text")).otherwise(html_to_text(F.col("html"))) if "html" in messages.columns else F.col("text")
+    return marked.withColumn("snippet", snippet(body)).drop("text", "html")
+
+
+def full(messages: DataFrame, attachments: DataFrame) -> DataFrame:
+    """Messages with the list of their attachments in order, without contents."""
+    about = [c for c in attachments.columns if c not in ("message_id", "content")]
+    files = attachments.groupBy(F.col("message_id").alias("__m")).agg(F.array_sort(F.collect_list(F.struct("index", *[c for c in about if c != "index"]))).alias("attachments"))
+    none = F.array().cast(files.schema["attachments"].dataType)
+    return messages.join(files, F.col("id") == F.col("__m"), "left").withColumn("attachments", F.coalesce("attachments", none)).drop("__m")
+
+
+def shown_person(folder: Column, sender: Column, to: Column, me: str) -> Column:
+    """Whom a row names: the first recipient of what I wrote, else the sender."""
+    mine = folder.isin("sent", "drafts") | (F.lower(sender["address"]) == F.lit(me.lower()))
+    return F.when(mine, F.coalesce(F.try_element_at(to, F.lit(1)), sender)).otherwise(sender)
+
+
+def expanded(thread_rows: DataFrame, key: str, toggled: DataFrame) -> DataFrame:
+    """Marks the messages of threads that stand open: the last, unread ones, and what a reader has toggled (folder, id, open)."""
+    last = F.row_number().over(Window.partitionBy(key).orderBy(F.col("date").desc(), F.col("id").desc())) == 1
+    marked = thread_rows.withColumn("__open", last | ~F.col("seen"))
+    chosen = toggled.select(F.col("folder").alias("__f"), F.col("id").alias("__i"), F.col("open").alias("__o"))
+    joined = marked.join(chosen, (F.col("folder") == F.col("__f")) & (F.col("id") == F.col("__i")), "left")
+    return joined.withColumn("open", F.coalesce("__o", "__open")).drop("__open", "__f", "__i", "__o")
+
+
+def forced_open(thread_rows: DataFrame, unread: DataFrame) -> DataFrame:
+    """Marks rows that were unread when their thread was opened, and so stay open."""
+    known = unread.select("folder", "id").distinct().withColumn("forced", F.lit(True))
+    return thread_rows.join(known, ["folder", "id"], "left").withColumn("forced", F.coalesce("forced", F.lit(False)))
+
+
+def thread_search(messages: DataFrame, folder: str, message_id, sent: str = "sent", each: int = 12, last: int = 15) -> DataFrame:
+    """The thread of a message by its subject, in its folder and among the sent ones, oldest first.
+
+    ``messages`` have folder, id, subject, message_id and date. In each folder the newest hits are taken whose subject
+    contains the root's bare one, then those of the same thread subject stay; of copies with one message id the
+    first wins, the root's folder before the sent one. The root is in any case part of the result, once.
+    """
+    is_root = (F.col("folder") == folder) & (F.col("id") == message_id)
+    root = messages.filter(is_root)
+    base = root.select(thread_subject(F.col("subject")).alias("__base"), F.substring(strip_subject(F.col("subject")), 1, 80).alias("__needle"))
+    places = messages.filter(F.col("folder").isin(folder, sent))
+    hits = places.crossJoin(F.broadcast(base.limit(1))).filter((F.col("__base") != "") & F.contains(F.lower("subject"), F.lower("__needle")))
+    newest = last_of_each(hits, ["folder"], [F.col("id").desc()], each).filter(thread_subject(F.col("subject")) == F.col("__base"))
+    key = F.coalesce(F.nullif(F.col("message_id"), F.lit("")), F.concat("folder", F.lit(":"), F.col("id").cast("string")))
+    ranked = newest.withColumns({"__key": key, "__place": (F.col("folder") != folder).cast("int")})
+    once = first_of_each(ranked, ["__key"], [F.col("__place").asc(), F.col("id").desc()]).drop("__key", "__place", "__base", "__needle")
+    missing = root.join(once.select("folder", "id"), ["folder", "id"], "left_anti").select(*once.columns)
+    return once.unionByName(missing).orderBy(F.col("date").desc(), F.col("id").desc()).limit(last).orderBy("date", "id")
+
+
 def clamp(offset, limit, query: str | None = None) -> tuple[int, int, str]:
     """Request values made safe: offset from 0, limit from 1 to 100 (50 if missing), 200 characters of query."""
 
@@ -62,6 +127,14 @@ def clamp(offset, limit, query: str | None = None) -> tuple[int, int, str]:
     return max(0, number(offset)), min(100, max(1, number(limit) or 50)), (query or "").strip()[:200]
 
 
+def clamped(offset: Column, limit: Column, query: Column) -> tuple[Column, Column, Column]:
+    """The same for columns of request values."""
+    whole = lambda x: F.when(x.isNull() | F.isnan(x), F.lit(0)).otherwise(x).cast("long")
+    n = whole(limit)
+    size = F.when(n == 0, F.lit(50)).otherwise(F.least(F.lit(100), F.greatest(F.lit(1), n))).cast("long")
+    return F.greatest(F.lit(0), whole(offset)).cast("long"), size, F.substring(trim_all(F.coalesce(query, F.lit(""))), 1, 200)
+
+
 def page(df: DataFrame, offset: int = 0, limit: int = 50) -> DataFrame:
     """One page, newest first; rows of equal date in order of arrival."""
     return df.orderBy(F.col("date").desc(), F.col("seq").asc()).offset(offset).limit(limit)
@@ -80,9 +153,10 @@ def arrival_page(df: DataFrame, offset: int, limit: int) -> DataFrame:
 
 
 def folder_counts(messages: DataFrame, folders: DataFrame) -> DataFrame:
-    """total and unread of each folder, empty and virtual ones too."""
-    virtual = in_folder(messages, FLAGGED).withColumn("folder", F.lit(FLAGGED))
-    rows = messages.select("folder", "seen").union(virtual.select("folder", "seen"))
+    """total and unread of each folder, empty and virtual ones too; the messages are read once."""
+    own = F.array("folder")
+    places = F.when(F.col("flagged") & ~F.col("folder").isin(*HIDDEN), F.concat(own, F.array(F.lit(FLAGGED)))).otherwise(own)
+    rows = messages.select(F.explode(places).alias("folder"), "seen")
     counts = rows.groupBy("folder").agg(F.count(F.lit(1)).alias("total"), F.count_if(~F.col("seen")).alias("unread"))
     out = folders.join(counts, folders["id"] == counts["folder"], "left")
     return out.select("id", "name", "role", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "unread")])
@@ -101,6 +175,68 @@ def conversations(messages: DataFrame) -> DataFrame:
     )
 
 
+def conversation_items(messages: DataFrame) -> DataFrame:
+    """Each message with its conversation and its place in it, newest first, and the newest one's id.
+
+    Rows, not lists: a conversation of any size stays spread over rows.
+    """
+    key = F.coalesce(F.nullif(F.col("thread_key").cast("string"), F.lit("")), F.concat("folder", F.lit(":"), F.col("id").cast("string")))
+    w = Window.partitionBy("thread").orderBy(F.col("date").desc(), "seq")
+    rows = messages.withColumn("thread", key)
+    return rows.withColumns({"item": F.row_number().over(w) - 1, "latest_id": F.first("id").over(w)})
+
+
+def ids_by_folder(messages: DataFrame, size: int = 1000) -> DataFrame:
+    """(folder, batch, ids): the ids to be changed, by folder, in batches of neighbouring ids."""
+    return messages.groupBy("folder", F.floor(F.col("id") / size).alias("batch")).agg(F.array_sort(F.collect_list("id")).alias("ids"))
+
+
+def toggles(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """What a key press does to the chosen rows: read them if any is unread, unflag them if all are flagged."""
+    flags = rows.groupBy(*keys).agg(F.bool_or(~F.col("seen")).alias("any_unread"), F.bool_and("flagged").alias("all_flagged"), F.bool_or("has_attachments").alias("attach"))
+    return flags.withColumns({"set_seen": F.col("any_unread"), "set_flagged": ~F.col("all_flagged")})
+
+
+def status_line(count: Column, unread: Column, selected: Column) -> Column:
+    """How many rows there are, how many unread and how many chosen; empty parts go."""
+    part = lambda label, n: F.when(n > 0, F.concat(F.lit(f"{label}: "), n.cast("string")))
+    return F.concat_ws(" · ", F.concat(F.lit("Элементов: "), F.coalesce(count, F.lit(0)).cast("string")), part("Не прочитано", unread), part("Выделено", selected))
+
+
+def folder_badges(counts: DataFrame, local_drafts: int) -> DataFrame:
+    """The number at each folder: unread ones; for drafts all, local ones too; none for folders that are only kept."""
+    n = F.when(F.col("role") == "drafts", F.col("total") + local_drafts).when(F.col("role").isin("sent", "trash", "all", "flagged"), 0).otherwise(F.col("unread"))
+    return counts.withColumn("badge", n)
+
+
+def move_targets(folders: DataFrame, current: str) -> DataFrame:
+    """Folders that messages may be moved to from the open one."""
+    return folders.filter((F.col("id") != current) & ~F.coalesce("role", F.lit("")).isin("flagged", "drafts", "sent", "all"))
+
+
+def targets(rows: DataFrame, selected: Column, open_key: Column, cursor: Column) -> DataFrame:
+    """The rows an action is meant for: the chosen ones; if there are none the open one; else the one at the cursor."""
+    meant = F.when(F.size(selected) > 0, F.array_contains(selected, F.col("key"))).when(open_key.isNotNull(), F.col("key") == open_key).otherwise(F.col("key") == cursor)
+    return rows.filter(F.coalesce(meant, F.lit(False)))
+
+
+def clean_ids(ids: Column) -> Column:
+    """Ids as strings; what isn't a list has none, and empty ones go."""
+    return F.filter(F.transform(F.coalesce(ids, F.array().cast("array<string>")), lambda x: F.coalesce(x.cast("string"), F.lit(""))), lambda x: x != "")
+
+
+def palette(commands: DataFrame, query: str) -> DataFrame:
+    """Commands that fit a query, best first and else in their order (``seq``); without one all, marked where a section starts."""
+    from ..functions.labels import palette_score
+
+    q = query.strip().lower()
+    scored = commands.withColumn("score", palette_score(F.col("title"), F.col("keywords"), q)).filter("score > 0")
+    if q:
+        return scored.withColumn("starts_section", F.lit(False)).orderBy(F.col("score").desc(), "seq")
+    before = F.lag("section").over(Window.orderBy("seq"))
+    return scored.withColumn("starts_section", ~F.col("section").eqNullSafe(before)).orderBy("seq")
+
+
 def thread(messages: DataFrame, message_id, last: int | None = None) -> DataFrame:
     """All messages of the thread of a message, trash excluded, oldest first; or its last ones."""
     root = messages.filter(F.col("id") == message_id).select(F.col("thread_key").alias("__t")).distinct()
@@ -147,8 +283,17 @@ def between_rows(df: DataFrame, order: list[Column], within: list[str], a, b) ->
 
 def ranked_folders(folders: DataFrame, roles: tuple[str, ...]) -> DataFrame:
     """Folders by the rank of their role, then by name in Russian order."""
+    return folders.orderBy(*_folder_order(roles))
+
+
+def placed_folders(folders: DataFrame, roles: tuple[str, ...]) -> DataFrame:
+    """Folders with their place in that order, from 1."""
+    return folders.withColumn("place", F.row_number().over(Window.orderBy(*_folder_order(roles))))
+
+
+def _folder_order(roles: tuple[str, ...]) -> list[Column]:
     rank = F.array_position(F.array(*map(F.lit, roles)), F.coalesce("role", F.lit("")))
-    return folders.orderBy(F.when(rank > 0, rank).otherwise(len(roles) + 1), F.collate(F.col("name"), "ru"))
+    return [F.when(rank > 0, rank).otherwise(len(roles) + 1), F.collate(F.col("name"), "ru")]
 
 
 def attachment(attachments: DataFrame, message_id, index: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import display_name
@@ -71,13 +71,16 @@ def promoted(to: Column, cc: Column) -> Column:
 
 
 def first_names(messages: DataFrame, key: str, order: list[str], me: str, most: int = 3) -> DataFrame:
-    """The last distinct first names of a thread, oldest first; mine is a word of its own."""
+    """The last distinct first names of a thread by their first mention, oldest first, and its messages; mine is a word of its own.
+
+    Each name is one row before a thread's names are ranked, so that no thread's messages meet in one row.
+    """
     shown = F.when(F.lower("from.address") == me.lower(), "я").otherwise(F.get(F.split(display_name(F.col("from.name"), F.col("from.address")), r"\s+"), F.lit(0)))
-    rows = messages.select(key, F.struct(*order, shown.alias("who")).alias("r"))
-    lists = rows.groupBy(key).agg(F.array_sort(F.collect_list("r")).alias("all"))
-    names = F.array_distinct(F.transform("all", lambda r: r["who"]))
-    last = F.slice(names, F.greatest(F.lit(1), F.size(names) - most + 1), F.lit(most))
-    return lists.select(key, F.array_join(last, ", ").alias("who"), F.size("all").alias("n"))
+    names = messages.select(key, F.struct(*order).alias("at"), shown.alias("who")).groupBy(key, "who").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n"))
+    counts = names.groupBy(key).agg(F.sum("n").alias("n"))
+    last = names.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(F.col("at").desc()))).filter(F.col("__r") <= most)
+    lists = last.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "who"))).alias("r"))
+    return lists.join(counts, key).select(key, F.array_join(F.transform("r", lambda x: x["who"]), ", ").alias("who"), "n")
 
 
 def people_line(to: Column, cc: Column, me: str) -> Column:

@@ -142,3 +142,28 @@ def stroke_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     box = L.crop_box(x - 3, F.lit(100.0), x + 3, F.lit(120.0), 800, 600)
     rows = V.strokes(spark, sf_dir).select("event_id", F.round(L.stroke_width(2.6, x / 100, F.col("event_type") == "click"), 6).alias("width"), box.alias("b"))
     return rows.filter("b is not null").select("event_id", "width", F.col("b.x").cast("double").alias("x"), F.col("b.w").cast("double").alias("w"))
+
+
+@query(
+    sql=r"""SELECT stream_id, string_agg(w, '' ORDER BY stream_id) AS text FROM (SELECT conv_id * 1000 + turn AS stream_id, text AS w FROM conversations WHERE role = 'assistant') GROUP BY stream_id"""
+)
+def gated_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole words only are let through; together they are the whole text."""
+    return _gated(spark, sf_dir).groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "let_through"))), lambda x: x["let_through"]), "").alias("text"))
+
+
+@query(
+    sql=r"""WITH p AS (SELECT conv_id * 1000 + turn AS stream_id, unnest(c) AS t, generate_subscripts(c, 1) - 1 AS seq, len(c) AS n FROM (SELECT *, regexp_extract_all(text, '(?s).{1,14}') AS c FROM conversations WHERE role = 'assistant')),
+        s AS (SELECT stream_id, seq, n, string_agg(t, '') OVER (PARTITION BY stream_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS sofar FROM p),
+        u AS (SELECT stream_id, seq, CASE WHEN seq = n - 1 THEN length(sofar) ELSE length(regexp_extract(sofar, '(?s)\A(.*\s)', 1)) END AS until FROM s)
+        SELECT stream_id, seq, until - coalesce(lag(until) OVER (PARTITION BY stream_id ORDER BY seq), 0) AS n_chars FROM u QUALIFY n_chars > 0"""
+)
+def gated_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gated(spark, sf_dir).select("stream_id", "seq", F.char_length("let_through").cast("long").alias("n_chars"))
+
+
+def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = V.history(spark, sf_dir).filter("role = 'assistant'").withColumn("c", F.regexp_extract_all("text", F.lit(r"(?s)(.{1,14})"), 1))
+    parts = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("stream_id"), F.size("c").alias("n"), F.posexplode("c").alias("seq", "piece"))
+    parts = parts.withColumns({"last": F.col("seq") == F.col("n") - 1, "seq": F.col("seq").cast("long")})
+    return sessions.gated(parts, ["stream_id"], "seq", "piece", "last")

@@ -32,35 +32,47 @@ def subject_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUOTED = "text || ['', chr(10) || '> quoted' || chr(10) || 'more', chr(10) || '-- ' || chr(10) || 'Sig', chr(10) || 'On Tue, somebody wrote:' || chr(10) || 'old'][id % 4 + 1]"
 
 
-@query(
-    sql=rf"""SELECT id, CASE WHEN length(f) > 180 THEN regexp_replace(f[1:179], '{_S}+\z', '') || '…' ELSE f END AS snippet FROM (
-        SELECT id, {_trim(f"regexp_replace(array_to_string(list_filter(l[1:n], lambda x: NOT regexp_matches(x, '^{_S}*>')), ' '), '{_S}+', ' ', 'g')")} AS f FROM (
-          SELECT id, l, coalesce(list_position(list_transform(l, lambda x: NOT regexp_matches(x, '^{_S}*>') AND (regexp_matches(x, '^--{_S}*$') OR regexp_matches(x, '(?i)^(?:On|В|Le|Am) .{{4,120}}(?:wrote|написал|a écrit|schrieb)'))), true), len(l) + 1) - 1 AS n
-          FROM (SELECT id, regexp_split_to_array({_QUOTED}, '\r?\n') AS l FROM d)))""",
-    views="d",
-)
+def snippet_sql(text: str, columns: str = "id, ") -> str:
+    """SQL of the snippet of an expression over view d."""
+    return rf"""SELECT {columns}CASE WHEN length(f) > 180 THEN regexp_replace(f[1:179], '{_S}+\z', '') || '…' ELSE f END AS snippet FROM (
+        SELECT *, {_trim(f"regexp_replace(array_to_string(list_filter(l[1:n], lambda x: NOT regexp_matches(x, '^{_S}*>')), ' '), '{_S}+', ' ', 'g')")} AS f FROM (
+          SELECT *, coalesce(list_position(list_transform(l, lambda x: NOT regexp_matches(x, '^{_S}*>') AND (regexp_matches(x, '^--{_S}*$') OR regexp_matches(x, '(?i)^(?:On|В|Le|Am) .{{4,120}}(?:wrote|написал|a écrit|schrieb)'))), true), len(l) + 1) - 1 AS n
+          FROM (SELECT *, regexp_split_to_array({text}, '\r?\n') AS l FROM d)))"""
+
+
+@query(sql=snippet_sql(_QUOTED), views="d")
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = F.array(*map(F.lit, ["", "\n> quoted\nmore", "\n-- \nSig", "\nOn Tue, somebody wrote:\nold"]))
     return V.messages_doc(spark, sf_dir).select("id", T.snippet(F.concat("text", F.element_at(ends, (F.col("id") % 4 + 1).cast("int")))).alias("snippet"))
 
 
+def entities_sql(text: str) -> str:
+    """SQL that reads each entity of a text once."""
+    named = " ".join(f"WHEN lower(p) = '&{k};' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in T.ENTITIES.items())
+    number = r"CAST(CASE WHEN p[3:3] IN ('x', 'X') THEN CASE WHEN length(ltrim(p[4:-2], '0')) <= 6 THEN '0x' || p[4:-2] END WHEN length(ltrim(p[3:-2], '0')) <= 7 THEN p[3:-2] END AS BIGINT)"
+    return rf"""array_to_string(list_transform(regexp_extract_all({text}, '(?s)&(?:#[xX][0-9a-fA-F]+|#\d+|[a-zA-Z]+);|[^&]+|&'), lambda p: CASE WHEN p[1:1] <> '&' OR length(p) < 3 THEN p {named}
+        WHEN p[2:2] = '#' AND {number} BETWEEN 1 AND 1114111 AND NOT {number} BETWEEN 55296 AND 57343 THEN chr(CAST({number} AS INTEGER)) ELSE p END), '')"""
+
+
 _UNROLLED = "html"
-for _tag in ("script", "style", "head", "title"):
+for _tag in ("head", "script", "style", "title"):
     _UNROLLED = rf"regexp_replace({_UNROLLED}, '(?is)<{_tag}[^>]*>.*?</{_tag}>', ' ', 'g')"
+_BARE = rf"regexp_replace(regexp_replace(regexp_replace({_UNROLLED}, '(?s)<!--.*?-->', ' ', 'g'), '(?i)<br\s*/?>|</(?:p|div|li|tr|h[1-6]|blockquote)>', chr(10), 'g'), '<[^>]+>', ' ', 'g')"
+_LINES = rf"regexp_replace(regexp_replace({entities_sql('b')}, '[ \t\x{{A0}}]+', ' ', 'g'), '{_S}*\n{_S}*', chr(10), 'g')"
 
 
-@query()
+@query(sql=f"SELECT page_id, {_trim(_LINES)} AS text FROM (SELECT page_id, {_BARE} AS b FROM pages)")
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested tags are taken in order of their start, which needs a backreference: rows only."""
+    """The SQL takes one tag after the other, which is the same where none of them holds another's end."""
     return V.bodies_html(spark, sf_dir).select("page_id", T.html_to_text(F.col("html")).alias("text"))
 
 
-@query(
-    sql="""SELECT p_partkey AS id, 'a & b < c > d " e '' f' || chr(160) || 'x' AS plain, '&unknown; &#0; &lt;' AS odd FROM part"""
-)
+_ODD = "'&amp;lt; &#0; &#x1F600; &#128516; &unknown; &AMP; &#xD800; &#99999999; & &;'"
+
+
+@query(sql=f"SELECT page_id, {entities_sql('h')} AS plain FROM (SELECT page_id, {_ODD} || html AS h FROM pages)")
 def decoded_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V.read(spark, sf_dir, "part")
-    return rows.select(F.col("p_partkey").alias("id"), T.decode_entities(F.lit("a &amp; b &LT; c &gt; d &quot; e &#39; f&#xA0;x")).alias("plain"), T.decode_entities(F.lit("&unknown; &#0; &amp;lt;")).alias("odd"))
+    return V.bodies_html(spark, sf_dir).select("page_id", T.decode_entities(F.concat(F.lit(_ODD.strip("'")), "html")).alias("plain"))
 
 
 @query(
@@ -156,11 +168,32 @@ def reply_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", T.reply_subject(F.col("s")).alias("reply"), T.forward_subject(F.col("s")).alias("forward"), T.highlight(F.col("s"), "THE").alias("marked"))
 
 
-@query()
+_HEAD = r"(?i)^(?:On|В|Le|Am)\s.{4,160}(?:wrote|написал|написала|написал\(а\)|a écrit|schrieb):?\s*$"
+_DIVIDER = r"(?i)^-{2,}\s*(?:Original Message|Исходное сообщение|Пересылаемое сообщение)"
+
+
+def quotes_sql(text: str) -> str:
+    """SQL of (id, body, quoted) of an expression over view d."""
+    return rf"""SELECT id, regexp_replace(array_to_string(CASE WHEN cut > 1 THEN l[1:cut - 1] ELSE l END, chr(10)), '\n+\z', '') AS body,
+          CASE WHEN cut > 1 THEN array_to_string(list_transform(l[cut:], lambda x: regexp_replace(x, '^\s*>\s?', '')), chr(10)) END AS quoted
+        FROM (SELECT id, l, list_min(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN regexp_matches({_trim("l[i]")}, '{_HEAD}') OR regexp_matches({_trim("l[i]")}, '{_DIVIDER}') OR (i > own AND regexp_matches(l[i], '^\s*>')) THEN i END)) AS cut
+          FROM (SELECT id, l, coalesce(list_max(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN NOT regexp_matches(l[i], '^\s*(?:>|$)') THEN i END)), 0) AS own
+            FROM (SELECT id, string_split(replace({text}, chr(13) || chr(10), chr(10)), chr(10)) AS l FROM d)))"""
+
+
+_ENDED = "text || ['', chr(10) || '> a' || chr(10) || '>b' || chr(10) || chr(10) || '> c', chr(10) || '-- Original Message --' || chr(10) || 'old', chr(10) || 'On Monday, Ann wrote:' || chr(10) || '> x' || chr(10) || 'y'][id % 4 + 1]"
+ENDINGS = ("", "\n> a\n>b\n\n> c", "\n-- Original Message --\nold", "\nOn Monday, Ann wrote:\n> x\ny")
+
+
+@query(sql=quotes_sql(_ENDED), views="d")
 def plain_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ends = F.array(*map(F.lit, ["", "\n> a\n>b\n\n> c", "\n-- Original Message --\nold"]))
-    rows = V.messages_doc(spark, sf_dir).select("id", F.concat("text", F.element_at(ends, (F.col("id") % 3 + 1).cast("int"))).alias("t"))
-    return rows.select("id", T.plain_parts(F.col("t")).alias("p")).select("id", "p.body", "p.quoted")
+    return ended(spark, sf_dir).select("id", T.plain_parts(F.col("t")).alias("p")).select("id", "p.body", "p.quoted")
+
+
+def ended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, most of them with quoted history at their end."""
+    end = F.element_at(F.array(*map(F.lit, ENDINGS)), (F.col("id") % 4 + 1).cast("int"))
+    return V.messages_doc(spark, sf_dir).select("id", F.concat("text", end).alias("t"))
 
 
 @query()
@@ -199,10 +232,12 @@ def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.event_frames(V.read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), body.alias("body")), "body").select("id", "event", "data")
 
 
-@query(sql="SELECT doc_id AS id, 'image/png' AS media_type, octet_length(encode(text)) AS n_bytes FROM documents WHERE doc_id % 3 = 0")
+@query(sql="SELECT doc_id AS id, ['image/png', 'image/jpeg', 'image/webp', NULL][doc_id % 4 + 1] AS media_type, CASE WHEN doc_id % 4 < 3 THEN octet_length(encode(text)) END AS n_bytes FROM documents")
 def data_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    url = F.concat(F.when(F.col("doc_id") % 3 == 0, "data:image/png;base64,").otherwise("data:text/plain;base64,"), F.base64(F.encode("text", "UTF-8")))
-    rows = V.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), frames.data_url(url).alias("u")).filter("u is not null")
+    """Every text as the content of an image, or of what isn't one and is refused; lines of the code are broken."""
+    kind = F.element_at(F.array(*map(F.lit, ["image/png", "image/jpeg", "image/webp", "text/plain"])), (F.col("doc_id") % 4 + 1).cast("int"))
+    url = F.concat(F.lit("data:"), kind, F.lit(";base64,"), F.base64(F.encode("text", "UTF-8")), F.lit("\n"))
+    rows = V.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), frames.data_url(url).alias("u"))
     return rows.select("id", "u.media_type", F.octet_length("u.content").cast("long").alias("n_bytes"))
 
 
@@ -229,7 +264,13 @@ def smooth_midpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.round("from_x", 6).alias("from_x"), F.round("to_x", 6).alias("to_x"))
 
 
-@query()
+@query(
+    sql="""WITH RECURSIVE p AS (SELECT user_id, event_id, value / 100 AS x, CAST(event_id % 3 / 10 AS DOUBLE) AS y, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+        k AS (SELECT user_id, event_id, n, x AS kx, y AS ky, true AS far FROM p WHERE n = 1 UNION ALL
+          SELECT p.user_id, p.event_id, p.n, CASE WHEN f THEN p.x ELSE kx END, CASE WHEN f THEN p.y ELSE ky END, f FROM k JOIN p ON p.user_id = k.user_id AND p.n = k.n + 1,
+            LATERAL (SELECT (p.x - kx) * (p.x - kx) + (p.y - ky) * (p.y - ky) >= 0.35 AS f))
+        SELECT event_id, user_id AS pointer_id FROM k WHERE far"""
+)
 def steady_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = V.strokes(spark, sf_dir).select("event_id", "pointer_id", "ts", (F.col("x") / 100).alias("x"), (F.col("event_id") % 3 / 10).cast("double").alias("y"))
     return layout.steady(points, ["pointer_id"], ["ts", "event_id"]).select("event_id", "pointer_id")

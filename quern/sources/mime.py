@@ -8,7 +8,6 @@ import re
 from collections.abc import Iterator
 from email import message_from_bytes, policy
 from email.utils import getaddresses
-from html import escape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -81,6 +80,46 @@ def parsed_messages(df: DataFrame, raw: str) -> DataFrame:
     return df.withColumn("__m", run(F.col(raw))).select(*df.columns, "__m.*")
 
 
+PART = "part string, ord int, type string, disposition string, filename string, body binary, encoding string, charset string, binary boolean"
+
+
+def numbered_parts(message) -> list[dict]:
+    """The leaves of a message's tree with their numbers: a.b for the b-th child of part a, and 1 for a lone part."""
+    leaves: list[dict] = []
+    todo = [(message, "")]
+    while todo:
+        node, number = todo.pop()
+        children = node.get_payload() if node.is_multipart() else []
+        if children:
+            todo += [(c, f"{number}.{k}" if number else str(k)) for k, c in reversed([*enumerate(children, 1)])]
+            continue
+        body = node.get_payload() if not node.is_multipart() else ""
+        encoding = str(node["content-transfer-encoding"] or "7bit").lower()
+        leaves.append({
+            "part": number or "1", "ord": len(leaves), "type": node.get_content_type(), "disposition": node.get_content_disposition(), "filename": node.get_filename(),
+            "body": body.encode("utf-8", "surrogateescape"), "encoding": encoding, "charset": node.get_content_charset(), "binary": encoding == "binary",
+        })
+    return leaves
+
+
+def message_parts(df: DataFrame, key: str, raw: str) -> DataFrame:
+    """One row for each leaf of a raw message's MIME tree: key, its number, place, type, disposition, name and body as sent."""
+
+    @F.pandas_udf(f"array<struct<{PART.replace(' ', ':').replace(',:', ',')}>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda x: numbered_parts(message_from_bytes(x or b"", policy=policy.default)))
+
+    return df.select(key, F.explode(run(F.col(raw))).alias("p")).select(key, "p.*")
+
+
+def previews(parts: DataFrame, key: str, most: int = 3000) -> DataFrame:
+    """The decoded start of each message's text part: key, part, type, preview; only its first bytes are looked at."""
+    first = text_part(parts, key).select(F.col(key).alias("__k"), F.col("part").alias("__p"))
+    mine = parts.join(first, (F.col(key) == F.col("__k")) & (F.col("part") == F.col("__p"))).drop("__k", "__p")
+    return mine.select(key, "part", "type", decode_part(F.substring("body", 1, most), F.col("encoding"), F.col("charset"), F.col("binary")).alias("preview"))
+
+
 def text_part(parts: DataFrame, key: str) -> DataFrame:
     """The part to preview of each message: its first text leaf in order that isn't an attachment.
 
@@ -234,8 +273,3 @@ def inline_images(bodies: DataFrame, attachments: DataFrame, link: str = "/attac
         return F.when(F.lower(p).startswith("cid:") & at.isNotNull(), F.concat(F.lit(a), F.col("id").cast("string"), F.lit(b), at.cast("string"), F.lit(c))).otherwise(p)
 
     return joined.withColumn("html", F.when(F.col("cids").isNull(), F.col("html")).otherwise(F.array_join(F.transform(pieces, one), ""))).drop("cids")
-
-
-def quote_block(who: str, when: str, text: str) -> str:
-    body = escape(text).replace("\n", "<br>")
-    return f'<div class="attrib"><br>{escape(when)}, {escape(who)}:</div><blockquote type="cite">{body}</blockquote>'

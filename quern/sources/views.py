@@ -54,6 +54,17 @@ def messages_rel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def message_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What counts need of the same messages, without the join to who wrote them."""
+    rows = read(spark, sf_dir, "orders").filter("o_custkey is not null")
+    return rows.select(
+        F.col("o_orderkey").alias("id"),
+        F.when(F.col("o_orderstatus") == "O", "inbox").when(F.col("o_orderstatus") == "F", "archive").otherwise("work").alias("folder"),
+        (F.col("o_orderpriority") != "4-NOT SPECIFIED").alias("seen"),
+        (F.col("o_orderpriority") == "1-URGENT").alias("flagged"),
+    )
+
+
 def attachments_rel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as attachments: one row each, in a stated order, with their index in the message."""
     from pyspark.sql import Window

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 
 def _seconds(ts: str) -> Column:
@@ -66,8 +67,53 @@ def live_rows(stream: DataFrame, folder: str, late: str = "1 hour") -> DataFrame
     return visible(stream, folder, "", "all").withWatermark("date", late).dropDuplicatesWithinWatermark(["folder", "id"])
 
 
+def watched(spark: SparkSession, path: str, schema: str, at_once: int = 100) -> DataFrame:
+    """New messages as they arrive: a stream over Parquet files that are added to a folder."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", at_once).parquet(path)
+
+
+def keep_view(stream: DataFrame, view: str, checkpoint: str) -> DataStreamWriter:
+    """A sink that adds to a Parquet view what it doesn't hold yet by (folder, id), batch by batch."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        new = batch.dropDuplicates(["folder", "id"]).withColumn("batch", F.lit(number))
+        spark = batch.sparkSession
+        # A batch that is run again after a loss replaces what it had written.
+        old = spark.read.schema(new.schema).option("basePath", view).parquet(view) if number else new.limit(0)
+        fresh = new.join(old.filter(F.col("batch") != number).select("folder", "id"), ["folder", "id"], "left_anti").select(*new.columns)
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(view)
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+
+
+def inserted(new: DataFrame, shown: DataFrame) -> DataFrame:
+    """New rows that the view doesn't hold yet, in front of it: each (folder, id) once."""
+    return new.dropDuplicates(["folder", "id"]).join(shown.select("folder", "id"), ["folder", "id"], "left_anti")
+
+
+def gated(parts: DataFrame, keys: list[str], order: str, text: str, last: str) -> DataFrame:
+    """Pieces of a text with only whole words let through: each piece gives what it completes, the last one the rest.
+
+    What is let through up to a piece ends at the last blank so far, so it is the text between two such places;
+    their pieces are found by a window, and no stream is gathered in one row.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    blank = F.col(text).rlike(r"\s")
+    until = F.regexp_extract(F.col(text), r"(?s)\A(.*\s)", 1)
+    rest = F.when(blank, F.substring(F.col(text), F.char_length(until) + 1, F.char_length(text))).otherwise(F.col(text))
+    # Pieces between two that hold a blank belong to the word that the later one completes.
+    group = F.coalesce(F.sum(blank.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    marked = parts.withColumns({"__rest": rest, "__until": until, "__opens": blank | F.col(last), "__group": group})
+    held = marked.groupBy(*keys, "__group").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"), "__opens", "__until", F.col(last).alias("l"))) ).alias("p"))
+    before = marked.filter(F.col("__until") != "").select(*keys, (F.col("__group") + 1).alias("__group"), F.col("__rest").alias("__lead"))
+    joined = held.join(before, [*keys, "__group"], "left").withColumn("__lead", F.coalesce("__lead", F.lit("")))
+    end = F.element_at("p", -1)
+    whole = F.concat("__lead", F.array_join(F.transform(F.slice("p", F.lit(1), F.size("p") - 1), lambda x: x["t"]), ""), F.when(end["l"], end["t"]).otherwise(end["__until"]))
+    return joined.filter(end["__opens"]).select(*keys, end["o"].alias(order), whole.alias("let_through")).filter("let_through <> ''")
+
+
 def live_scores(stream: DataFrame) -> DataFrame:
-    """Contact scores as a running aggregate."""
+    """Contact scores as a running aggregate; its state holds one row for each address that ever wrote."""
     return stream.groupBy(F.lower("address").alias("address")).agg(F.sum("weight").alias("score"))
 
 

@@ -1,24 +1,29 @@
 """Token streams: published cases, every way to cut one, batch against streaming."""
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from quern.streaming import replies, sessions
-from quern.streaming.replies import Cleaner, Reader
+from quern.streaming.replies import FRESH, fed
 
 
 def read(*chunks):
-    reader, out = Reader(), []
+    state, out = {**FRESH}, []
     for c in chunks:
-        out += reader.feed(c)
-    out += reader.finish()
+        out += fed(state, c)
+    out += fed(state, "", True)
     return next((t for k, t in out if k == "transcript"), None), "".join(t for k, t in out if k == "text")
 
 
+def cleaner():
+    """A stream whose heading is over; its leading blanks count."""
+    state = {**FRESH, "heading": None, "begun": True}
+    return lambda chunk, last=False: "".join(t for _, t in fed(state, chunk, last))
+
+
 def clean(*chunks):
-    c = Cleaner()
-    return "".join(c.feed(x) for x in chunks) + c.finish()
+    feed = cleaner()
+    return "".join(feed(x) for x in chunks) + feed("", True)
 
 
 def test_transcript():
@@ -50,13 +55,22 @@ def test_clean(chunks, out):
 
 
 def test_runaway_block():
-    c = Cleaner()
-    assert c.feed("<scratchpad>" + "x" * 5000) == "" and c.feed("visible tail") == "visible tail"
+    feed = cleaner()
+    assert feed("<scratchpad>" + "x" * 5000) == "" and feed("visible tail") == "visible tail"
 
 
 def test_held_bracket():
-    c = Cleaner()
-    assert c.feed("done <") == "done " and c.finish() == "<"
+    feed = cleaner()
+    assert feed("done <") == "done " and feed("", True) == "<"
+
+
+def test_names_of_hiding_tags():
+    assert clean("a<Thoughts >x</thoughts>y</Thoughts>b") == "ab" and clean("a<thoughtful>x</thoughtful>b") == "axb"
+    assert clean("a</thought>b") == "ab" and clean("< thought>x</thought>b") == "b" and clean("<thinking k='1'>x</thinking>b") == "b"
+
+
+def test_long_open_bracket():
+    assert read("⟦" + "x" * 3999, "yy") == (None, "x" * 3999 + "yy") and read("⟦" + "x" * 4000, "⟧z") == ("x" * 4000, "z")
 
 
 def test_batch_equals_stream(spark, tmp_path):
@@ -93,6 +107,8 @@ def test_live_view(spark, tmp_path):
     assert sessions.visible(rows, "inbox", "x", "all").count() == 0
 
 
-def test_read_stream_orders():
-    got = replies.read_stream(pd.DataFrame({"stream_id": [1, 1], "seq": [1, 0], "chunk": ["b", "a"]}))
-    assert "".join(got["text"]) == "ab"
+def test_split_orders_chunks(spark):
+    df = spark.createDataFrame([(1, 1, "b"), (2, 0, "<x"), (1, 0, "a"), (2, 1, None), (3, 0, "")], "stream_id long, seq long, chunk string")
+    got = replies.joined(replies.split_streams(df)).collect()
+    assert {r["stream_id"]: r["text"] for r in got} == {1: "ab", 2: "<x"}
+    assert replies.split_streams(df.limit(0)).count() == 0
