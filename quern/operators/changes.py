@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import trim_all
+
 FLAGS = ("seen", "flagged", "answered")
 
 
@@ -69,8 +71,8 @@ def read_all(messages: DataFrame, shown: DataFrame) -> DataFrame:
 
 def is_empty_draft(lead: Column, attachments: Column, answers: Column, recipients: Column, subject: Column) -> Column:
     """Nothing written or attached; recipients and a subject count unless they come from the message answered."""
-    written = (F.trim(F.coalesce(lead, F.lit(""))) != "") | (F.size(attachments) > 0)
-    given = (F.size(recipients) > 0) | (F.trim(F.coalesce(subject, F.lit(""))) != "")
+    written = (trim_all(F.coalesce(lead, F.lit(""))) != "") | (F.size(attachments) > 0)
+    given = (F.size(recipients) > 0) | (trim_all(F.coalesce(subject, F.lit(""))) != "")
     return ~written & (answers | ~given)
 
 

@@ -115,7 +115,8 @@ def parsed_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
 def inlined_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = V.bodies_html(spark, sf_dir)
     bodies = pages.select(F.col("page_id").alias("id"), F.concat(F.lit('<img src="CID:First"><a href="cid:none"><img src="cid:Second%20One">'), "html").alias("html"))
-    cids = F.when(F.col("page_id") % 2 == 0, F.array(F.struct(F.lit(0).alias("index"), F.lit("<first>").alias("cid")), F.struct(F.lit(3), F.lit("second one")))).otherwise(F.array(F.struct(F.lit(0), F.lit("FIRST"))))
+    file = lambda n, cid: F.struct(F.lit(n).alias("index"), F.lit(cid).alias("cid"))
+    cids = F.when(F.col("page_id") % 2 == 0, F.array(file(0, "<first>"), file(3, "second one"))).otherwise(F.array(file(0, "FIRST")))
     files = pages.select(F.col("page_id").alias("message_id"), F.inline(cids))
     return mime.inline_images(bodies, files)
 
@@ -134,7 +135,7 @@ def lead_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def typed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     name, mail = F.col("c_name"), F.concat("c_name", F.lit("@X.org"))
     raw = F.when(F.col("c_custkey") % 10 == 0, "").otherwise(F.concat("c_name", F.lit('\r"'), "c_mktsegment", F.lit("\\")))
-    typed = T.typed_recipient(F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit(' "'), name, F.lit('" <'), mail, F.lit(">,;"))).otherwise(F.concat(F.lit(" "), mail, F.lit(" ;"))))
+    typed = T.typed_recipient(F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit(' "'), name, F.lit('" <'), mail, F.lit(">,;"))).otherwise(F.concat(F.lit(" "), mail, F.lit(";"))))
     person = lambda n, a: F.struct(n.alias("name"), a.alias("address"))
     groups = F.array(F.array(person(F.lit("A"), F.lit("A@X.org")), person(F.lit(""), F.lit(""))), F.array(person(name, mail)), F.array(person(F.lit("only a name"), F.lit(None).cast("string"))))
     listed = F.array_join(F.transform(T.address_list(groups), lambda a: a["address"]), "|")

@@ -299,7 +299,8 @@ def long_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     as_of, ts = F.lit(AS_OF).cast("timestamp"), F.col("o_orderdate")
     text = F.when(F.col("o_orderkey") % 8 == 0, "no date").when(F.col("o_orderkey") % 8 != 4, ts.cast("string"))
     day = L.start_of_day(L.ago(F.lit(90), ts))
-    minutes = ((ts.cast("double") - day.cast("double")) / 60).cast("long")
+    seconds = lambda x: x.cast("timestamp").cast("double")
+    minutes = ((seconds(ts) - seconds(day)) / 60).cast("long")
     return V.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), L.long_date(ts, as_of).alias("long_date"), L.to_iso(text, as_of).alias("iso"), minutes.alias("minutes"))
 
 
