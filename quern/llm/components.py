@@ -100,11 +100,16 @@ def groups_in_partition(work: Callable, columns: list[str]):
     return run
 
 
+def ranked_groups(grouped: DataFrame) -> DataFrame:
+    """``grouped`` (id, group, ...) with each row's rank in its group and the group's size n, as ``link_counts`` needs them."""
+    return gapless_rank(grouped, ["group"], ["id"], "rank", 64, total="n")
+
+
 def link_counts(rows: DataFrame, load: str, relate: Callable, compare: Callable, block: int, core_block: int) -> DataFrame:
     """(id, links, root): the summed copies of all that each row links with, and edges of a spanning forest.
 
-    ``rows`` have group, id (once), rep, copies and ``load`` (of that type), what the comparison needs. Only rows
-    of one group can link. A group within ``block`` rows is compared as it is. A larger one has a pivot, its row of
+    ``rows``, a table, have group, rank, n (``ranked_groups``), id (once), rep, copies and ``load``, what the comparison
+    needs. ``load`` names the type of related loads if it is another one. Only rows of one group can link. A group within ``block`` rows is compared as it is. A larger one has a pivot, its row of
     the smallest rep:
 
     * ``relate(pivot's load, loads)`` gives each row's load relative to the pivot, whether it is *core*, so near the
@@ -137,10 +142,8 @@ def link_counts(rows: DataFrame, load: str, relate: Callable, compare: Callable,
         met = pairs.select(*keys, "side", "id", "copies", "load").repartition(tasks, *keys).sortWithinPartitions(*keys)
         return met.mapInPandas(groups_in_partition(work, keys), out)
 
-    ranked = gapless_rank(rows, ["group"], ["id"], "rank", 64, total="n")
-    ranked = table(ranked.select("group", "id", "rep", "copies", "rank", "n", "load"), "ranked")
-    parts = counted(ranked.filter(F.col("n") <= block).withColumns({k: F.lit(0) for k in ("i", "j", "side")}))
-    big = ranked.filter(F.col("n") > block).withColumn("i", F.floor(F.col("rank") / block).cast("int"))
+    parts = counted(rows.filter(F.col("n") <= block).withColumns({k: F.lit(0) for k in ("i", "j", "side")}))
+    big = rows.filter(F.col("n") > block).withColumn("i", F.floor(F.col("rank") / block).cast("int"))
     if big.isEmpty():
         return parts
     pivots = big.groupBy("group", "n").agg(F.min_by("id", F.struct(F.col("rep").isNull(), "rep", "id")).alias("id"))

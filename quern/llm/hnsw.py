@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, table
-from .components import components, link_counts, with_group
+from .components import components, link_counts, ranked_groups, with_group
 
 SIMILARITY, RECALL = 0.95, 0.995
 #: Shards at least, and vectors and numbers of a shard at most.
@@ -383,8 +383,8 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
     classes = cut(grouped.withColumn("id", F.monotonically_increasing_id()))
     count, numbers = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
     found = cut(candidates(classes, count, numbers, similarity, recall, shards, shard_rows))
-    grouped = components(found).withColumnRenamed("component", "group")
-    sets = grouped.join(classes.select("id", "rep", "copies", F.col("v").alias("load")), "id")
+    grouped = ranked_groups(cut(components(found)).withColumnRenamed("component", "group"))
+    sets = table(grouped.join(classes.select("id", "rep", "copies", F.col("v").alias("load")), "id"), "groups")
     checked = cut(link_counts(sets, "", relate(similarity), compare(similarity), block, block))
     links = checked.groupBy("id").agg(F.sum("links").alias("links"))
     same = components(checked.select(F.col("id").alias("a"), F.col("root").alias("b")))

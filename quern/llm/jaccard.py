@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, small_batches, table
-from .components import block_pairs, components, groups_in_partition, link_counts, with_group
+from .components import block_pairs, components, groups_in_partition, link_counts, ranked_groups, with_group
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.999
 TOKENS, LEAF, DEPTH = 64, 64, 4
@@ -42,7 +42,7 @@ TOKENS, LEAF, DEPTH = 64, 64, 4
 PROPOSE = 0.6
 #: Rows of a block: of sketches, of whole sets, and of differences to a pivot.
 SKETCH_BLOCK, SET_BLOCK, CORE_BLOCK = 2_048, 192, 768
-#: Candidate classes that are broadcast at most (about 40 bytes each); more are joined by a shuffle.
+#: Candidate classes that are broadcast at most (about 56 bytes each); more are joined by a shuffle.
 BROADCAST_CLASSES = 400_000
 _P, _P_BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _BLANK = np.zeros(256, bool)
@@ -323,8 +323,7 @@ def propose(classes: DataFrame, similarity: float = SIMILARITY, recall: float =
     rows = cut(roots.select("cid", F.explode(child("node", "tokens")).alias("node")))
     pairs = None
     for level in range(1, depth + 1):
-        counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        live = cut(rows.join(counts, "node"))
+        live = cut(with_group(rows, "node", F.count(F.lit(1)).alias("n")).filter("n > 1"))
         small = live.filter(F.col("n") <= leaf).select("node", "cid").join(slim, "cid")
         near = small.repartition(n, "node").sortWithinPartitions("node").mapInPandas(leaf_pairs(PROPOSE, similarity), "a long, b long")
         pairs = near if pairs is None else pairs.union(near)
@@ -354,16 +353,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     )
     classes = table(classes.withColumn("sketch", F.aggregate(sketch, F.lit(b""), lambda a, x: F.concat(a, x))), "classes")
     proposed = propose(classes, similarity, recall)
-    grouped = components(proposed)
+    grouped = ranked_groups(cut(components(proposed)).withColumnRenamed("component", "group"))
     wanted = grouped.join(classes.select("cid", "rep", "copies"), F.col("id") == F.col("cid"))
-    wanted = cut(wanted.select(F.col("cid").alias("__cid"), F.col("rep").alias("__rep"), "copies", F.col("component").alias("group")))
+    wanted = cut(wanted.select(F.col("cid").alias("__cid"), F.col("rep").alias("__rep"), "copies", "group", "rank", "n"))
     count = wanted.count()
     side = F.broadcast(wanted) if count <= BROADCAST_CLASSES else wanted
     texts = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(side, F.col("__key").eqNullSafe(F.col("__rep")))
     sets = texts.withColumn("w", full("__text")).filter(F.col("w.cid") == F.col("__cid"))
     # A repeated row, or a key that stands for several rows, gives its class once.
-    sets = sets.select(F.col("w.cid").alias("id"), F.col("__rep").alias("rep"), "copies", "group", F.col("w.items").alias("load")).dropDuplicates(["id"])
-    checked = cut(link_counts(sets, "binary", relate(similarity), compare_sets(similarity), SET_BLOCK, CORE_BLOCK))
+    sets = sets.select(F.col("w.cid").alias("id"), F.col("__rep").alias("rep"), "copies", "group", "rank", "n", F.col("w.items").alias("load")).dropDuplicates(["id"])
+    checked = cut(link_counts(table(sets, "sets"), "binary", relate(similarity), compare_sets(similarity), SET_BLOCK, CORE_BLOCK))
     links = checked.groupBy(F.col("id").alias("cid")).agg(F.sum("links").alias("links"))
     same = components(checked.select(F.col("id").alias("a"), F.col("root").alias("b")))
     named = cut(same.join(classes.select(F.col("cid").alias("id"), "rep"), "id"))
