@@ -67,12 +67,15 @@ def gram_hashes(b: np.ndarray) -> np.ndarray:
     return mix(h)
 
 
-def anchors(raw: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """hash, place, first and last start of the strings of each anchor of a text, ordered by start."""
-    hashes, places, firsts, lasts = [], [], [], []
+def anchors(whole: np.ndarray, offset: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """hash, place, first and last start of the strings of each anchor, and its text, of texts that lie one after the other.
+
+    Texts begin at ``offset``, whose last is the end of all; strings never cross from one to the next.
+    """
+    found: list[tuple] = []
     width = length - GRAM + 1
-    whole = np.frombuffer(raw, np.uint8)
-    for at in range(0, max(0, len(raw) - length + 1), PIECE):
+    owner = np.repeat(np.arange(len(offset) - 1, dtype=np.int32), np.diff(offset))
+    for at in range(0, max(0, len(whole) - length + 1), PIECE):
         h = gram_hashes(whole[at : at + PIECE + length - 1])
         low = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
         span = 1
@@ -81,17 +84,18 @@ def anchors(raw: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, n
             span *= 2
         if span < width:
             low = np.minimum(low[: len(low) - (width - span)], low[width - span :])
-        place = (low & _PLACE).astype(np.int64)
-        first = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
-        last = np.concatenate([first[1:] - 1, [len(place) - 1]])
-        hashes.append(h[place[first]])
-        places.append(place[first] + at)
-        firsts.append(first + at)
-        lasts.append(last + at)
-    if not hashes:
+        mine = owner[at : at + len(low)]
+        start = np.flatnonzero(offset[mine + 1] >= np.arange(at + length, at + length + len(low)))
+        if not len(start):
+            continue
+        place, mine = (low[start] & _PLACE).astype(np.int64), mine[start]
+        new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (mine[1:] != mine[:-1])]))
+        end = np.concatenate([new[1:], [len(start)]]) - 1
+        found.append((h[place[new]], place[new] + at, start[new] + at, start[end] + at, mine[new]))
+    if not found:
         none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), none, none, none
-    return np.concatenate(hashes), np.concatenate(places), np.concatenate(firsts), np.concatenate(lasts)
+        return np.zeros(0, np.uint64), none, none, none, none
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -118,17 +122,17 @@ def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 class Part:
-    """The rows of a part in the order of their places, with their anchors."""
+    """The rows of a part in the order of their places, their texts one after the other, and their anchors."""
 
     def __init__(self, rows: pa.Table, text: str, length: int):
         self.rows = rows.sort_by("__row")
         self.keys = self.rows["__key"].to_numpy()
-        self.texts = [(t or "").encode() for t in self.rows[text].to_pylist()]
-        self.bytes = np.frombuffer(b"".join(self.texts), np.uint8)
-        self.offset = np.concatenate([[0], np.cumsum([len(t) for t in self.texts])])
-        found = [anchors(t, length) for t in self.texts]
-        self.owner = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
-        self.hash, self.place, self.first, self.last = (np.concatenate(x) for x in zip(*found))
+        texts = self.rows[text].cast(pa.large_string()).combine_chunks().fill_null("")
+        _, ends, data = texts.buffers()
+        ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        self.bytes = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data else np.zeros(0, np.uint8)
+        self.offset = ends - ends[0]
+        self.hash, self.place, self.first, self.last, self.owner = anchors(self.bytes, self.offset, length)
 
     def surroundings(self, length: int, shared: dict[int, np.ndarray], buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """For each bucket: the different surroundings of shared anchors, and each occurrence's surrounding and anchor."""
@@ -155,7 +159,6 @@ class Part:
         place, first, last = self.place[which], self.first[which], self.last[which]
         at = (place - width)[:, None] + np.arange(full)
         inside = (at >= first[:, None]) & (at < last[:, None] + length)
-        at += self.offset[self.owner[which]][:, None]
         out[:, :full] = np.where(inside, self.bytes[np.clip(at, 0, len(self.bytes) - 1)], 0)
         out[:, full], out[:, full + 1] = first - place + width, last - place + width
 
@@ -308,19 +311,35 @@ def sort_bucket(length: int):
     return run
 
 
-def stripped(raw: bytes, start: np.ndarray, mask: np.ndarray, length: int) -> tuple[int, list[dict], bytes]:
-    """Bytes removed, spans and what is left of a text, given starts of surroundings and masks of strings to remove."""
-    if not len(start):
-        return 0, [], raw
-    depth = np.zeros(len(raw) + 1, np.int32)
+def removed(part: Part, at: np.ndarray, masks: np.ndarray, length: int) -> np.ndarray:
+    """Which bytes of a part go, given anchors and the masks of their strings to remove.
+
+    Strings that start one after the other cover one run; only its two ends are noted.
+    """
+    depth = np.zeros(len(part.bytes) + 1, np.int32)
+    start = part.place[at] - (length - GRAM)
+    first, last = masks & ~(masks << 1), masks & ~(masks >> 1)
     for c in range(length - GRAM + 1):
-        s = start[(mask >> c) & 1 == 1] + c
-        np.add.at(depth, s, 1)
-        np.add.at(depth, s + length, -1)
-    gone = np.cumsum(depth[:-1]) > 0
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-    spans = [{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2])]
-    return int(gone.sum()), spans, np.frombuffer(raw, np.uint8)[~gone].tobytes()
+        np.add.at(depth, start[(first >> c) & 1 == 1] + c, 1)
+        np.add.at(depth, start[(last >> c) & 1 == 1] + c + length, -1)
+    return np.cumsum(depth[:-1]) > 0
+
+
+def left_over(part: Part, gone: np.ndarray) -> list[pa.Array]:
+    """n_bytes, n_removed, spans and kept bytes of each text."""
+    offset = part.offset
+    total = np.concatenate([[0], np.cumsum(gone)])
+    edge = np.zeros(len(gone) + 1, bool)  # a run ends with its text
+    edge[offset] = True
+    before, after = np.concatenate([[False], gone[:-1]]), np.concatenate([gone[1:], [False]])
+    start = np.flatnonzero(gone & (~before | edge[:-1]))
+    end = np.flatnonzero(gone & (~after | edge[1:])) + 1
+    owner = np.searchsorted(offset, start, "right") - 1
+    counts = np.searchsorted(start, offset)
+    spans = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.StructArray.from_arrays([pa.array(start - offset[owner]), pa.array(end - offset[owner])], ["start", "end"]))
+    kept, cuts = part.bytes[~gone].tobytes(), offset - total[offset]
+    n_removed = np.diff(total[offset])
+    return [pa.array(np.diff(offset)), pa.array(n_removed), spans, pa.array([kept[a:b] for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())]
 
 
 SPANS = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))
@@ -328,38 +347,25 @@ SPANS = ArrayType(StructType([StructField("start", LongType()), StructField("end
 
 def strip(text: str, length: int, buckets: int, names: list[str], columns: list[str]):
     """Step 4: the rows of a part with what is removed and what is left."""
-    width = length - GRAM
-    kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
 
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        part = Part(rows, text, length) if rows.num_rows else None
+        part = Part(rows, text, length)
         at, masks = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        if part and answers.num_rows:
-            told = received(answers, "mask")
-            for name, once, back, which in part.surroundings(length, {b: unpack(h) for b, h in received(answers, "h").items()}, buckets):
-                key = part.keys[part.owner[which]]
-                low = np.full(len(once), LAST_KEY, np.int64)
-                np.minimum.at(low, back, key)
-                first, last = once[:, -2].astype(np.int64), once[:, -1].astype(np.int64)
-                whole = (np.int64(1) << (last + 1)) - (np.int64(1) << first)
-                some = np.zeros(len(once), np.int64)
-                if name in told:
-                    some = np.ascontiguousarray(np.frombuffer(opened(told[name]), np.uint8).reshape(8, -1).T).view(np.int64).ravel()
-                mask = np.where(key > low[back], whole[back], some[back])
-                at.append(which[mask != 0])
-                masks.append(mask[mask != 0])
-        out = []
-        if part:
-            at, masks = np.concatenate(at), np.concatenate(masks)
-            order = np.argsort(at, kind="stable")
-            at, masks = at[order], masks[order]
-            ends = np.searchsorted(part.owner[at], np.arange(len(part.texts) + 1))
-            for k, raw in enumerate(part.texts):
-                mine = slice(ends[k], ends[k + 1])
-                out.append((len(raw), *stripped(raw, part.place[at[mine]] - width, masks[mine], length)))
-        new = [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]
-        source = part.rows if part else rows
-        return pa.table([*[source[c] for c in columns], *new], names=[*columns, *names])
+        told = received(answers, "mask")
+        for name, once, back, which in part.surroundings(length, {b: unpack(h) for b, h in received(answers, "h").items()}, buckets):
+            key = part.keys[part.owner[which]]
+            low = np.full(len(once), LAST_KEY, np.int64)
+            np.minimum.at(low, back, key)
+            first, last = once[:, -2].astype(np.int64), once[:, -1].astype(np.int64)
+            whole = (np.int64(1) << (last + 1)) - (np.int64(1) << first)
+            some = np.zeros(len(once), np.int64)
+            if name in told:
+                some = np.ascontiguousarray(np.frombuffer(opened(told[name]), np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+            mask = np.where(key > low[back], whole[back], some[back])
+            at.append(which[mask != 0])
+            masks.append(mask[mask != 0])
+        new = left_over(part, removed(part, np.concatenate(at), np.concatenate(masks), length))
+        return pa.table([*[part.rows[c] for c in columns], *new], names=[*columns, *names])
 
     return run
 

@@ -455,10 +455,19 @@ def test_anchors_are_local(seed):
     rng = np.random.default_rng(seed)
     raw = rng.integers(97, 100, 2000).astype(np.uint8).tobytes()
     chosen = {}
-    for h, p, a, b in zip(*substrings.anchors(raw)):
+    plain = lambda x: (np.frombuffer(x, np.uint8), np.array([0, len(x)]))
+    for h, p, a, b, _ in zip(*substrings.anchors(*plain(raw))):
         for s in range(a, b + 1):
             chosen[s] = (h, p - s)
     assert sorted(chosen) == list(range(len(raw) - 49))
     for s in range(0, len(raw) - 49, 37):
-        h, p, _, _ = substrings.anchors(raw[s : s + 50])
+        h, p, *_ = substrings.anchors(*plain(raw[s : s + 50]))
         assert (h[0], p[0]) == chosen[s]
+
+
+def test_strings_stay_in_their_texts():
+    texts = [b"", b"x" * 49, b"abc" * 40, b"", b"y" * 50, b"z" * 10]
+    offset = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    _, _, first, last, owner = substrings.anchors(np.frombuffer(b"".join(texts), np.uint8), offset)
+    starts = sorted((int(o), s - offset[o]) for a, b, o in zip(first, last, owner) for s in range(a, b + 1))
+    assert starts == [(2, k) for k in range(71)] + [(4, 0)]
