@@ -142,6 +142,16 @@ ORACLE = {
         SELECT e.vec_id, coalesce(n, 0) AS n_links, c.low AS component_id, coalesce(e.vec_id = c.low, false) AS kept
         FROM e LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) x ON x.a = e.rid
         JOIN (SELECT r.rid, min(o.vec_id) AS low FROM r JOIN e o ON o.rid = r.t GROUP BY r.rid) c ON c.rid = e.rid""",
+    # All pairs that share a run of five words, and everything that is reached by links.
+    "op7_jaccard_join": r"""
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        sh AS (SELECT DISTINCT rid, array_to_string(words[i:i + 4], ' ') AS s FROM (SELECT rid, words, unnest(range(1, greatest(1, len(words) - 4) + 1)) AS i FROM d WHERE len(words) > 0)),
+        n AS (SELECT rid, count(*) AS n FROM sh GROUP BY rid),
+        p AS (SELECT a.rid AS a, b.rid AS b, count(*) AS met FROM sh a JOIN sh b ON a.s = b.s AND a.rid <> b.rid GROUP BY 1, 2),
+        l AS (SELECT a, b FROM p JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE met >= 0.8 * (x.n + y.n - met) - 1e-9),
+        r AS (SELECT rid, rid AS t FROM d UNION SELECT r.rid, l.b FROM r JOIN l ON l.a = r.t)
+        SELECT d.doc_id, c.low AS class_id, coalesce(k.n, 0) AS n_links FROM d LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) k ON k.a = d.rid
+        JOIN (SELECT r.rid, min(o.doc_id) AS low FROM r JOIN d o ON o.rid = r.t GROUP BY r.rid) c ON c.rid = d.rid""",
     # Bytes as hexadecimal digits; texts are cut in pieces of 100 bytes first, so that no place is sought from a text's start.
     "op10_suffix_array": """
         WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),

@@ -72,6 +72,21 @@ def test_sharding_hard_rows(hard):
     assert sharding.shard_documents(hard.limit(0)).count() == 0
 
 
+def test_sharding_query(spark, sf):
+    import zlib
+
+    out = QUERIES["op1_sharding"](spark, sf).collect()
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert sorted(r["doc_id"] for r in out) == sorted(texts)
+    for r in out:
+        raw = texts[r["doc_id"]]
+        assert (r["size"], r["text_crc32"], r["law"]) == (len(raw) + 8, zlib.crc32(raw), "key")
+        assert (r["shard"], r["grown_shard"]) == (jump(r["doc_id"], 24), jump(r["doc_id"], 25)) and r["grown_shard"] in (r["shard"], 24)
+    for shard in range(24):
+        slots = sorted(r["slot"] for r in out if r["shard"] == shard)
+        assert slots == list(range(len(slots)))
+
+
 # 2
 
 
@@ -420,6 +435,36 @@ def test_targets(spark):
     assert got == pytest.approx(want)
 
 
+def test_rates_solve_the_dual(spark):
+    """Rates hit the targets, lie between 0 and the cap, and are bounded tilts of one multiplier for each source."""
+    rows = spark.createDataFrame([(s, n) for s, k in (("a", 40), ("b", 9), (None, 25)) for n in [*range(1, k), 500] for _ in range(3)], "source string, size long")
+    histogram = rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
+    wanted = mixing.targets(rows)
+    out = mixing.balance(histogram, wanted).toPandas()
+    for _, g in out.groupby("source", dropna=False):
+        target, size = g["target"].iloc[0], g["source_size"].iloc[0]
+        assert (g["rate"] * g["n"] * g["size"]).sum() == pytest.approx(min(target, 3 * size), rel=1e-4) and g["rate"].between(0, 3).all()
+        x = g["size"] * g["n_docs"].iloc[0] / size
+        tilt = np.log(2 * g["rate"] / (3 - g["rate"]).clip(lower=1e-12)) / x
+        if target < 2.99 * size:
+            assert tilt.max() - tilt.min() < 1e-4 * max(1, abs(tilt).max())
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rounding_misses_little(spark, seed):
+    """Copies are whole, within the cap, and no change of one copy at one size brings a source nearer to its target."""
+    rng = np.random.default_rng(seed)
+    rows = [(s, int(z)) for s in ("a", "b", "c") for z in rng.choice([0, 1, 3, 7, 20, 55, 400], 30)]
+    sizes = spark.createDataFrame(rows, "source string, size long")
+    histogram = sizes.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
+    out = mixing.round_copies(mixing.balance(histogram, mixing.targets(sizes))).toPandas()
+    assert (out["copies"] >= 0).all() and (out["copies"] <= 3 * out["n"]).all()
+    for _, g in out.groupby("source"):
+        miss = g["target"].iloc[0] - (g["copies"] * g["size"]).sum()
+        better = [abs(miss - d * z) for z, c, n in zip(g["size"], g["copies"], g["n"]) if z for d in (1, -1) if 0 <= c + d <= 3 * n]
+        assert abs(miss) <= min(better, default=abs(miss)) + 1e-6
+
+
 # 9
 
 
@@ -436,6 +481,31 @@ def test_languages(spark, docs, hard):
     assert one.predict("anything") == ("xx", 1.0) and one.predict("1 2") == ("und", 0.0)
 
 
+def test_votes():
+    """Families before languages; the most votes win, ties go to the larger summed margin, then to the first by code."""
+    x = np.zeros((12, langid.SIZE), np.float32)
+    names = ["de", "en", "es", "fr", "it", "zz"] * 2
+    for i, name in enumerate(names):
+        x[i, sorted(set(names)).index(name)] = 1
+    model = langid.fit(x, names)
+    assert {frozenset(p) for p in model.machines} >= {frozenset(("germanic", "romance")), frozenset(("de", "en")), frozenset(("fr", "it"))}
+    assert frozenset(("de", "fr")) not in model.machines
+    again = langid.fit(x[::-1].copy(), names[::-1])
+    assert set(again.machines) == set(model.machines)
+
+
+def test_ties_of_votes():
+    one = np.zeros(langid.SIZE, np.float32)
+    machine = lambda yes, no, bias: langid.Svm(yes, no, one, bias)
+    ring = {frozenset("ab"): machine("a", "b", 1.0), frozenset("bc"): machine("b", "c", 2.0), frozenset("ca"): machine("c", "a", 3.0)}
+    model = langid.Model({"f": ["a", "b", "c"]}, ring)
+    assert model.predict("text")[0] == model._choose(["a", "b", "c"], one)[0]
+    margins = {"a": 1.0 - 3.0, "b": 2.0 - 1.0, "c": 3.0 - 2.0}
+    assert model._choose(["a", "b", "c"], one)[0] == max("abc", key=lambda n: margins[n])
+    even = {k: langid.Svm(m.yes, m.no, one, 1.0) for k, m in ring.items()}
+    assert langid.Model({"f": ["a", "b", "c"]}, even)._choose(["a", "b", "c"], one)[0] == "a"
+
+
 # 10
 
 
