@@ -43,8 +43,8 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, Stru
 from .common import public, utf8_len
 
 LENGTH, GRAM, STRIDE = 50, 16, 8
-#: Text bytes for each bucket and each part, and parts for each task at least.
-BUCKET_BYTES, PART_BYTES, PARTS_A_TASK = 8_000_000, 8_000_000, 4
+#: Text bytes for each bucket and each part at most on average; and at least, where there are more tasks than that gives.
+MOST_BYTES, LEAST_BYTES, PARTS_A_TASK = 8_000_000, 1_000_000, 4
 LAST_KEY = (1 << 63) - 1
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _PLACE, _SENT = np.uint64(0xFFFFFF), np.uint64((1 << 40) - 1)
@@ -377,7 +377,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     docs = public(docs, *names)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = docs.agg(F.sum(utf8_len(F.col(text)))).first()[0] or 0
-    buckets, n_parts = max(tasks, -(-size // BUCKET_BYTES)), max(PARTS_A_TASK * tasks, -(-size // PART_BYTES))
+    # Each part sends a row to each bucket, so neither is made smaller than that is worth.
+    buckets, n_parts = (max(1, -(-size // MOST_BYTES), min(n, -(-size // LEAST_BYTES))) for n in (tasks, PARTS_A_TASK * tasks))
     placed = docs.withColumns({"__row": F.monotonically_increasing_id(), "__key": F.coalesce(F.col(key).cast("long"), F.lit(LAST_KEY))})
     # The same shuffle of the parts serves all three steps.
     parts = placed.withColumn("__part", F.pmod(F.xxhash64("__row"), F.lit(n_parts)).cast("int"))
