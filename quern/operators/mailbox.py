@@ -152,6 +152,25 @@ def arrival_page(df: DataFrame, offset: int, limit: int) -> DataFrame:
     return df.orderBy(F.col("seq").desc()).offset(offset).limit(limit).orderBy(F.col("date").desc(), F.col("seq").desc())
 
 
+def envelope_scan(df: DataFrame, folder: str, first: int | None = None, last: int | None = None, ids: DataFrame | None = None) -> DataFrame:
+    """The envelopes of a folder's messages by a range of their places in it, counted from 1 in order of arrival, or by ids."""
+    own = df.filter(F.col("folder") == folder)
+    if ids is not None:
+        return own.join(ids.select("id").distinct(), "id", "left_semi")
+    placed = gapless_places(own)
+    return placed.filter(F.col("place").between(first or 1, last if last is not None else (1 << 62)))
+
+
+def gapless_places(df: DataFrame, piece: int = 100_000) -> DataFrame:
+    """Rows of a folder with their ``place`` from 1 in order of arrival; pieces of ``seq`` are counted first, so that no task ranks a whole folder."""
+    rows = df.withColumn("__piece", F.floor(F.col("seq") / piece))
+    counts = rows.groupBy("folder", "__piece").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("folder").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = rows.join(counts.withColumn("__off", before).drop("__n"), ["folder", "__piece"])
+    rank = F.row_number().over(Window.partitionBy("folder", "__piece").orderBy("seq"))
+    return joined.withColumn("place", (rank + F.col("__off")).cast("long")).drop("__piece", "__off")
+
+
 def folder_counts(messages: DataFrame, folders: DataFrame) -> DataFrame:
     """total and unread of each folder, empty and virtual ones too; the messages are read once."""
     own = F.array("folder")
@@ -272,13 +291,13 @@ def neighbours(df: DataFrame, order: list[Column], within: list[str], gone: str)
     return df.withColumns({"prev_id": F.lag("id").over(w), "next_id": F.lead("id").over(w), "advance_to": F.coalesce(after, before)})
 
 
-def between_rows(df: DataFrame, order: list[Column], within: list[str], a, b) -> DataFrame:
-    """The rows from one id to another, both included, whichever comes first."""
-    w = Window.partitionBy(*within).orderBy(*order)
-    ranked = df.withColumn("__n", F.row_number().over(w))
+def between_rows(df: DataFrame, order: list[Column], within: list[str], *ends) -> DataFrame:
+    """The rows from one of these ids to another, both included, whichever comes first; only lists that hold one are ranked."""
+    held = df.join(df.filter(F.col("id").isin(*ends)).select(*within).distinct(), within, "left_semi")
     whole = Window.partitionBy(*within)
-    ends = F.when(F.col("id").isin(a, b), F.col("__n"))
-    return ranked.withColumns({"__a": F.min(ends).over(whole), "__b": F.max(ends).over(whole)}).filter("__n between __a and __b").drop("__n", "__a", "__b")
+    ranked = held.withColumn("__n", F.row_number().over(whole.orderBy(*order)))
+    end = F.when(F.col("id").isin(*ends), F.col("__n"))
+    return ranked.withColumns({"__a": F.min(end).over(whole), "__b": F.max(end).over(whole)}).filter("__n between __a and __b").drop("__n", "__a", "__b")
 
 
 def ranked_folders(folders: DataFrame, roles: tuple[str, ...]) -> DataFrame:

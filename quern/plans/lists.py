@@ -54,7 +54,7 @@ def displayed_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     views="m",
 )
 def expanded_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V.messages_rel(spark, sf_dir)
+    rows = V.messages_slim(spark, sf_dir)
     toggled = rows.filter("id % 11 = 0").select("folder", "id", (F.col("id") % 2 == 0).alias("open"))
     marked = mailbox.expanded(rows, "thread_key", toggled)
     return mailbox.forced_open(marked, rows.filter("id % 13 = 0 and not seen")).select("id", "open", "forced")
@@ -88,12 +88,12 @@ def thread_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     views="m",
 )
 def conversation_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mailbox.conversation_items(V.messages_rel(spark, sf_dir)).select("id", "thread", "item", "latest_id")
+    return mailbox.conversation_items(V.messages_slim(spark, sf_dir)).select("id", "thread", "item", "latest_id")
 
 
 @query(sql="SELECT folder, id // 1000 AS batch, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM m GROUP BY folder, id // 1000", views="m")
 def ids_by_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mailbox.ids_by_folder(V.messages_rel(spark, sf_dir))
+    rows = mailbox.ids_by_folder(V.messages_slim(spark, sf_dir))
     return rows.select("folder", "batch", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
@@ -103,7 +103,7 @@ def ids_by_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     views="ma",
 )
 def row_toggles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mailbox.toggles(mailbox.with_attachments(V.messages_rel(spark, sf_dir), V.attachments_rel(spark, sf_dir)), ["thread_key"])
+    return mailbox.toggles(mailbox.with_attachments(V.messages_slim(spark, sf_dir), V.attachments_rel(spark, sf_dir)), ["thread_key"])
 
 
 @query(
@@ -112,7 +112,7 @@ def row_toggles(spark: SparkSession, sf_dir: str) -> DataFrame:
     views="m",
 )
 def status_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = V.messages_rel(spark, sf_dir).groupBy("folder").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("seen")).alias("u"), F.count_if(F.col("answered") & F.col("flagged")).alias("s"))
+    counts = V.messages_slim(spark, sf_dir).groupBy("folder").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("seen")).alias("u"), F.count_if(F.col("answered") & F.col("flagged")).alias("s"))
     return counts.select("folder", mailbox.status_line(F.col("n"), F.col("u"), F.col("s")).alias("line"))
 
 
@@ -126,7 +126,7 @@ _FOLDERS = "(VALUES ('inbox','Inbox','inbox'), ('flagged','Flagged','flagged'),
     views="m",
 )
 def folder_badges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = mailbox.folder_counts(V.message_flags(spark, sf_dir), V.folders(spark))
+    counts = mailbox.folder_counts(V.messages_slim(spark, sf_dir), V.folders(spark))
     return mailbox.folder_badges(counts, 3).select("id", F.col("badge").cast("long").alias("badge"), L.folder_icon(F.col("role"), F.col("name")).alias("icon"))
 
 
@@ -164,7 +164,7 @@ def ranked_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reference_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("id").cast("string")
     refs = F.when(F.col("id") % 9 == 0, F.lit(None).cast("array<string>")).otherwise(F.array(F.concat(F.lit("r"), i), F.lit("")))
-    rows = V.messages_rel(spark, sf_dir).select("id", refs.alias("refs"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("m"), i)).otherwise("").alias("message_id"))
+    rows = V.messages_slim(spark, sf_dir).select("id", refs.alias("refs"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("m"), i)).otherwise("").alias("message_id"))
     return mailbox.references(rows).select("id", F.array_join("references", "|").alias("chain"))
 
 
@@ -197,7 +197,7 @@ def request_clamps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql="SELECT id, folder FROM m WHERE folder = 'inbox' AND id % 2 = 0 AND id NOT IN (SELECT id FROM m WHERE id % 4 = 0)", views="m")
 def live_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that arrive twice or are shown already come once or not at all."""
-    rows = V.messages_rel(spark, sf_dir).select("id", "folder")
+    rows = V.messages_slim(spark, sf_dir).select("id", "folder")
     new = sessions.visible(rows.filter("id % 2 = 0"), "inbox", "", "unread")
     return sessions.inserted(new.union(new), rows.filter("id % 4 = 0")).select("id", "folder")
 
@@ -252,7 +252,7 @@ def draft_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql="SELECT id, CASE WHEN id % 3 = 0 THEN id % 9 = 0 WHEN id % 3 = 1 THEN id = 7 ELSE id = 5 END AS meant FROM m", views="m")
 def action_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chosen rows, else the open one, else the one at the cursor."""
-    rows = V.messages_rel(spark, sf_dir).select("id", F.col("id").alias("key"))
+    rows = V.messages_slim(spark, sf_dir).select("id", F.col("id").alias("key"))
     i = F.col("id")
     selected = F.when(i % 3 == 0, F.when(i % 9 == 0, F.array("key")).otherwise(F.array(F.lit(-1).cast("long")))).otherwise(F.array().cast("array<long>"))
     meant = mailbox.targets(rows, selected, F.when(i % 3 == 1, F.lit(7)), F.lit(5)).select("id", F.lit(True).alias("m"))
@@ -266,7 +266,7 @@ def ledger_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql="SELECT id, seen OR folder = 'work' AS seen FROM m", views="m")
 def mark_all_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V.messages_rel(spark, sf_dir)
+    rows = V.messages_slim(spark, sf_dir)
     return changes.read_all(rows, rows.filter("folder = 'work'")).select("id", "seen")
 
 
@@ -320,3 +320,11 @@ def server_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("id") % 3 == 0, "Multipart/Mixed; boundary=x").otherwise("text/plain")
     rows = V.messages_doc(spark, sf_dir).withColumn("kind", kind)
     return rows.filter(mailbox.criteria([F.col("subject"), F.col("text")], "EN", "attachments", F.col("kind"))).select("id")
+
+
+@query(sql="SELECT id, place FROM (SELECT id, row_number() OVER (ORDER BY seq) AS place FROM m WHERE folder = 'inbox') WHERE place BETWEEN 100 AND 400 UNION ALL SELECT id, -1 FROM m WHERE folder = 'work' AND id % 3 = 0", views="m")
+def envelope_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One folder by a range of places, another by ids."""
+    rows = V.messages_slim(spark, sf_dir)
+    some = mailbox.envelope_scan(rows, "work", ids=rows.filter("id % 3 = 0")).select("id", F.lit(-1).cast("long").alias("place"))
+    return mailbox.envelope_scan(rows, "inbox", 100, 400).select("id", "place").union(some)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
@@ -31,7 +31,7 @@ def list_unread_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     views="m",
 )
 def list_page_with_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mailbox.in_folder(V.messages_rel(spark, sf_dir), "work").select("id", "date", "seq")
+    rows = mailbox.in_folder(V.messages_slim(spark, sf_dir), "work").select("id", "date", "seq")
     return mailbox.page_with_total(rows, 50, 25).select("id", "date", "total", "next")
 
 
@@ -66,13 +66,13 @@ def search_any_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     views="ma",
 )
 def filter_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mailbox.in_folder(V.messages_rel(spark, sf_dir), "archive")
+    rows = mailbox.in_folder(V.messages_slim(spark, sf_dir), "archive")
     return mailbox.narrowed(mailbox.with_attachments(rows, V.attachments_rel(spark, sf_dir)), "attachments").select("id", "folder")
 
 
 @query(sql="SELECT id, folder, date FROM m WHERE flagged AND folder NOT IN ('trash', 'junk')", views="m")
 def virtual_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mailbox.in_folder(V.messages_rel(spark, sf_dir), "flagged").select("id", "folder", "date")
+    return mailbox.in_folder(V.messages_slim(spark, sf_dir), "flagged").select("id", "folder", "date")
 
 
 @query(
@@ -84,7 +84,7 @@ def virtual_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     views="m",
 )
 def folder_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mailbox.folder_counts(V.message_flags(spark, sf_dir), V.folders(spark))
+    return mailbox.folder_counts(V.messages_slim(spark, sf_dir), V.folders(spark))
 
 
 @query(
@@ -93,22 +93,22 @@ def folder_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     views="m",
 )
 def conversation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mailbox.conversations(V.messages_rel(spark, sf_dir))
+    return mailbox.conversations(V.messages_slim(spark, sf_dir))
 
 
 @query(sql="SELECT id, date, folder FROM m WHERE thread_key = (SELECT thread_key FROM m WHERE id = 7)", views="m")
 def thread_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mailbox.thread(V.messages_rel(spark, sf_dir), 7).select("id", "date", "folder")
+    return mailbox.thread(V.messages_slim(spark, sf_dir), 7).select("id", "date", "folder")
 
 
 @query(sql="SELECT id, date FROM m WHERE thread_key = (SELECT thread_key FROM m WHERE id = 7) ORDER BY date DESC, id DESC LIMIT 5", views="m")
 def thread_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mailbox.thread(V.messages_rel(spark, sf_dir), 7, last=5).select("id", "date")
+    return mailbox.thread(V.messages_slim(spark, sf_dir), 7, last=5).select("id", "date")
 
 
 @query(sql="SELECT id, thread_key, date FROM m QUALIFY row_number() OVER (PARTITION BY thread_key ORDER BY date DESC, id DESC) <= 15", views="m")
 def last_of_each_thread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mailbox.last_of_each(V.messages_rel(spark, sf_dir).select("id", "thread_key", "date"), ["thread_key"], [F.col("date").desc(), F.col("id").desc()], 15)
+    return mailbox.last_of_each(V.messages_slim(spark, sf_dir).select("id", "thread_key", "date"), ["thread_key"], [F.col("date").desc(), F.col("id").desc()], 15)
 
 
 _GROUP = """CASE WHEN date_diff('day', CAST(date AS DATE), DATE '2001-08-02') <= 0 THEN 'Сегодня' WHEN date_diff('day', CAST(date AS DATE), DATE '2001-08-02') = 1 THEN 'Вчера'
@@ -118,7 +118,7 @@ _GROUP = """CASE WHEN date_diff('day', CAST(date AS DATE), DATE '2001-08-02') <=
 @query(sql=f"SELECT folder, {_GROUP} AS date_group, count(*) AS n FROM m GROUP BY ALL", views="m")
 def date_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     group = L.date_group(F.col("date"), F.lit(AS_OF).cast("timestamp"))
-    return V.messages_rel(spark, sf_dir).groupBy("folder", group.alias("date_group")).agg(F.count(F.lit(1)).alias("n"))
+    return V.messages_slim(spark, sf_dir).groupBy("folder", group.alias("date_group")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -126,7 +126,7 @@ def date_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     views="m",
 )
 def group_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V.messages_rel(spark, sf_dir).withColumn("date_group", L.date_group(F.col("date"), F.lit(AS_OF).cast("timestamp")))
+    rows = V.messages_slim(spark, sf_dir).withColumn("date_group", L.date_group(F.col("date"), F.lit(AS_OF).cast("timestamp")))
     return mailbox.breaks(rows, "date_group", [F.col("date").desc(), F.col("id").asc()], ["thread_key"]).select("id", "thread_key", "date_group", "is_break")
 
 
@@ -139,7 +139,7 @@ def group_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def row_navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = [F.col("date").desc(), F.col("id").asc()]
-    return mailbox.neighbours(V.messages_rel(spark, sf_dir), order, ["thread_key"], "flagged").select("id", "prev_id", "next_id", "advance_to")
+    return mailbox.neighbours(V.messages_slim(spark, sf_dir), order, ["thread_key"], "flagged").select("id", "prev_id", "next_id", "advance_to")
 
 
 @query(
@@ -149,12 +149,7 @@ def row_navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def range_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = [F.col("date").desc(), F.col("id").asc()]
-    rows = V.messages_rel(spark, sf_dir).withColumn("__w", F.lit(0))
-    ends = rows.filter(F.col("id").isin(2, 1001, 2002)).select("thread_key").distinct()
-    w = Window.partitionBy("thread_key")
-    ranked = rows.join(ends, "thread_key", "left_semi").withColumn("n", F.row_number().over(w.orderBy(*order)))
-    end = F.when(F.col("id").isin(2, 1001, 2002), F.col("n"))
-    return ranked.withColumns({"a": F.min(end).over(w), "b": F.max(end).over(w)}).filter("n between a and b").select("id", "thread_key")
+    return mailbox.between_rows(V.messages_slim(spark, sf_dir), order, ["thread_key"], 2, 1001, 2002).select("id", "thread_key")
 
 
 @query(
@@ -174,7 +169,7 @@ def participants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def attachment_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = V.attachments_rel(spark, sf_dir).select("message_id", "size", "inline")
     sums = files.groupBy("message_id").agg(F.count_if(~F.col("inline")).alias("n"), F.sum("size").alias("s"))
-    rows = V.messages_rel(spark, sf_dir).select("id", "thread_key").join(sums, F.col("id") == F.col("message_id"), "left")
+    rows = V.messages_slim(spark, sf_dir).select("id", "thread_key").join(sums, F.col("id") == F.col("message_id"), "left")
     out = rows.groupBy("thread_key").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_attachments"), F.coalesce(F.sum("s"), F.lit(0)).alias("total_bytes"))
     return out.withColumn("too_large", F.col("total_bytes") > 25 * 1024 * 1024)
 
@@ -218,14 +213,14 @@ def contacts_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     views="m",
 )
 def page_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mailbox.in_folder(V.messages_rel(spark, sf_dir), "inbox").select("id", "folder", "date", "seq")
+    rows = mailbox.in_folder(V.messages_slim(spark, sf_dir), "inbox").select("id", "folder", "date", "seq")
     return mailbox.not_shown(mailbox.page(rows, 20, 60), mailbox.page(rows, 0, 40), ["folder", "id"]).select("id", "folder")
 
 
 @query(sql="SELECT id, folder FROM m WHERE id NOT IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 400000)", views="m")
 def bulk_destroy(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = V.read(spark, sf_dir, "orders").filter("o_totalprice > 400000").select(F.col("o_orderkey").alias("id"))
-    return changes.destroy(V.messages_rel(spark, sf_dir), ids).select("id", "folder")
+    return changes.destroy(V.messages_slim(spark, sf_dir), ids).select("id", "folder")
 
 
 @query(
@@ -242,13 +237,13 @@ def apply_flags_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql="SELECT id, seen OR amount > 300000 AS seen, flagged AND NOT (amount > 300000) AS flagged FROM m", views="m")
 def set_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V.messages_rel(spark, sf_dir)
+    rows = V.messages_slim(spark, sf_dir)
     return changes.set_flags(rows, rows.filter("amount > 300000"), ("seen", "flagged"), ("flagged",)).select("id", "seen", "flagged")
 
 
 @query(sql="SELECT CASE WHEN amount < 50000 THEN 'archive' ELSE folder END AS folder, count(*) AS n FROM m GROUP BY 1", views="m")
 def move_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V.messages_rel(spark, sf_dir)
+    rows = V.messages_slim(spark, sf_dir)
     moved = changes.move(rows, rows.filter("amount < 50000"), V.folders(spark), "archive")
     return moved.groupBy("folder").agg(F.count(F.lit(1)).alias("n"))
 
@@ -258,7 +253,7 @@ def move_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     views="m",
 )
 def key_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V.messages_rel(spark, sf_dir)
+    rows = V.messages_slim(spark, sf_dir)
     return rows.select("id", changes.action("archive", F.col("folder"))["target"].alias("archive_to"), changes.action("delete", F.col("folder"))["action"].alias("delete_action"))
 
 
@@ -268,7 +263,7 @@ def key_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     views="m",
 )
 def send_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V.messages_rel(spark, sf_dir).withColumns({"message_id": F.concat(F.lit("m"), F.col("id").cast("string")), "in_reply_to": F.lit(None).cast("string"), "subject": F.lit("")})
+    rows = V.messages_slim(spark, sf_dir).withColumns({"message_id": F.concat(F.lit("m"), F.col("id").cast("string")), "in_reply_to": F.lit(None).cast("string"), "subject": F.lit("")})
     mail = rows.filter("id % 50 = 0").withColumns({"in_reply_to": F.col("message_id"), "id": F.col("id") + 10_000_000, "thread_key": F.lit(-1).cast("long"), "answered": F.lit(False)})
     mail = mail.withColumn("message_id", F.concat(F.lit("m"), F.col("id").cast("string")))
     return changes.send(rows, mail).select("id", "folder", "thread_key", "answered")
@@ -305,7 +300,7 @@ def known_recipients(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reply_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.history import reply_source
 
-    rows = V.messages_rel(spark, sf_dir).withColumn("ord", F.struct("date", "id"))
+    rows = V.messages_slim(spark, sf_dir).withColumn("ord", F.struct("date", "id"))
     return reply_source(rows, "thread_key", F.col("answered"), "ord")
 
 

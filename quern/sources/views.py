@@ -38,31 +38,29 @@ def address(name: Column, mail: Column) -> Column:
 def messages_rel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as messages from their customers."""
     orders, customers = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer")
-    folder = F.when(F.col("o_orderstatus") == "O", "inbox").when(F.col("o_orderstatus") == "F", "archive").otherwise("work")
-    joined = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
-    return joined.select(
+    sender = address(F.col("c_name"), F.concat(F.lower("c_name"), F.lit("@example.com"))).alias("from")
+    return orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(*_own_columns(), sender)
+
+
+def _own_columns() -> list[Column]:
+    """What an order says of its message."""
+    return [
         F.col("o_orderkey").alias("id"),
-        folder.alias("folder"),
+        F.when(F.col("o_orderstatus") == "O", "inbox").when(F.col("o_orderstatus") == "F", "archive").otherwise("work").alias("folder"),
         F.col("o_custkey").alias("thread_key"),
-        address(F.col("c_name"), F.concat(F.lower("c_name"), F.lit("@example.com"))).alias("from"),
         F.col("o_orderdate").alias("date"),
         (F.col("o_orderpriority") != "4-NOT SPECIFIED").alias("seen"),
         (F.col("o_orderpriority") == "1-URGENT").alias("flagged"),
         (F.col("o_orderpriority") == "5-LOW").alias("answered"),
         F.col("o_totalprice").alias("amount"),
         F.col("o_orderkey").alias("seq"),
-    )
+    ]
 
 
-def message_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What counts need of the same messages, without the join to who wrote them."""
+def messages_slim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same messages without who wrote them, and so without a join; every order has its customer."""
     rows = read(spark, sf_dir, "orders").filter("o_custkey is not null")
-    return rows.select(
-        F.col("o_orderkey").alias("id"),
-        F.when(F.col("o_orderstatus") == "O", "inbox").when(F.col("o_orderstatus") == "F", "archive").otherwise("work").alias("folder"),
-        (F.col("o_orderpriority") != "4-NOT SPECIFIED").alias("seen"),
-        (F.col("o_orderpriority") == "1-URGENT").alias("flagged"),
-    )
+    return rows.select(*_own_columns())
 
 
 def attachments_rel(spark: SparkSession, sf_dir: str) -> DataFrame:
