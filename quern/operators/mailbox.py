@@ -205,9 +205,9 @@ def conversation_items(messages: DataFrame) -> DataFrame:
     return rows.withColumns({"item": F.row_number().over(w) - 1, "latest_id": F.first("id").over(w)})
 
 
-def ids_by_folder(messages: DataFrame, size: int = 1000) -> DataFrame:
-    """(folder, batch, ids): the ids to be changed, by folder, in batches of neighbouring ids."""
-    return messages.groupBy("folder", F.floor(F.col("id") / size).alias("batch")).agg(F.array_sort(F.collect_list("id")).alias("ids"))
+def ids_by(rows: DataFrame, key: str, size: int = 1000) -> DataFrame:
+    """(key, batch, ids): ids to be changed or fetched together, by folder or body part, in batches of neighbouring ids."""
+    return rows.groupBy(key, F.floor(F.col("id") / size).alias("batch")).agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
 def toggles(rows: DataFrame, keys: list[str]) -> DataFrame:

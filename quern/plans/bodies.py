@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import text as T
-from ..operators import layout
+from ..operators import layout, mailbox
 from ..sources import frames, mime
 from ..sources import views as V
 from .mail import AS_OF
@@ -99,6 +99,13 @@ def part_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mime.attached(parts, "id").join(shown, "id").select("id", "part", "has_attachments", "preview")
 
 
+@query(sql="SELECT CASE id % 3 WHEN 2 THEN '1.1' ELSE '1' END AS part, id // 1000 AS batch, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM d GROUP BY 1, 2", views="d")
+def ids_by_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages whose preview is fetched from the same part."""
+    first = mime.text_part(mime.message_parts(raw_messages(spark, sf_dir), "id", "raw"), "id")
+    return mailbox.ids_by(first, "part").select("part", "batch", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+
+
 @query(
     sql="""SELECT id, 'Part' AS subject, 'ann@x.org' AS sender, 2 AS n_to, '<m' || id || '@x>' AS message_id, 2 AS n_refs, CASE WHEN id % 3 = 0 THEN NULL ELSE text END AS text, text AS html, CASE WHEN id % 3 = 2 THEN 'a.pdf:4' ELSE '' END AS files FROM d""",
     views="d",

@@ -93,7 +93,7 @@ def conversation_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql="SELECT folder, id // 1000 AS batch, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM m GROUP BY folder, id // 1000", views="m")
 def ids_by_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mailbox.ids_by_folder(V.messages_slim(spark, sf_dir))
+    rows = mailbox.ids_by(V.messages_slim(spark, sf_dir), "folder")
     return rows.select("folder", "batch", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+TURNS = "turn long, role string, text string"
 
 
 def _seconds(ts: str) -> Column:
@@ -33,6 +39,34 @@ def debounced(events: DataFrame, key: str, ts: str, wait_seconds: float) -> Data
     return events.withColumn("__next", following).filter(F.col("__next").isNull() | (F.col("__next") - _seconds(ts) >= wait_seconds)).drop("__next")
 
 
+def live_debounced(events: DataFrame, key: str, ts: str, wait: str, late: str = "1 hour") -> DataFrame:
+    """The streaming form: the last event of each burst, once its wait and the allowed lateness are over."""
+    rest = F.struct(*[c for c in events.columns if c != key])
+    bursts = events.withWatermark(ts, late).groupBy(key, F.session_window(ts, wait).alias("s")).agg(F.max_by(rest, F.struct(ts, "event_id")).alias("e"))
+    return bursts.select(key, "e.*")
+
+
+def live_history(turns: DataFrame, kept: int = 60) -> DataFrame:
+    """(conv_id, turn, role, text) to the turns that each conversation keeps after every batch: its last ones, in a state of that size."""
+
+    class Kept(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.turns = handle.getListState("turns", TURNS)
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            held = [tuple(t) for t in self.turns.get()] if self.turns.exists() else []
+            for batch in rows:
+                held += zip(batch["turn"].tolist(), batch["role"].tolist(), batch["text"].tolist())
+            held = sorted(held)[-kept:]
+            self.turns.put(held)
+            yield pd.DataFrame([(key[0], *t) for t in held], columns=["conv_id", "turn", "role", "text"])
+
+        def close(self) -> None:
+            pass
+
+    return turns.groupBy("conv_id").transformWithStateInPandas(Kept(), outputStructType=f"conv_id long, {TURNS}", outputMode="Append", timeMode="None")
+
+
 def chords(events: DataFrame, key: str, ts: str, first: Column, within_seconds: float) -> DataFrame:
     """Events right after a ``first`` one of the same key, soon enough."""
     w = Window.partitionBy(key).orderBy(ts, "event_id")

@@ -112,3 +112,36 @@ def test_split_orders_chunks(spark):
     got = replies.joined(replies.split_streams(df)).collect()
     assert {r["stream_id"]: r["text"] for r in got} == {1: "ab", 2: "<x"}
     assert replies.split_streams(df.limit(0)).count() == 0
+
+
+def drained(stream, name, path, mode="append"):
+    stream.writeStream.format("memory").queryName(name).option("checkpointLocation", path).trigger(availableNow=True).outputMode(mode).start().awaitTermination(120)
+    return stream.sparkSession.table(name).collect()
+
+
+def test_live_scores(spark, tmp_path):
+    df = spark.createDataFrame([("A@x.org", 1), ("a@X.org", 3), ("b@x.org", 2)], "address string, weight long")
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    assert {r["address"]: r["score"] for r in drained(sessions.live_scores(stream), "scores", str(tmp_path / "cp"), "complete")} == {"a@x.org": 4, "b@x.org": 2}
+
+
+def test_live_bursts(spark, tmp_path):
+    rows = [(1, 1, 0), (2, 1, 1), (3, 1, 5), (4, 2, 5), (5, 3, 9000)]
+    df = spark.createDataFrame(rows, "event_id long, k long, s long").withColumn("ts", F.timestamp_seconds("s"))
+    want = {r["event_id"] for r in sessions.debounced(df, "k", "ts", 3).collect()}
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    got = {r["event_id"] for r in drained(sessions.live_debounced(stream, "k", "ts", "3 seconds", "1 second"), "bursts", str(tmp_path / "cp"))}
+    assert got == want - {5} and want == {2, 3, 4, 5}  # the last burst may still go on
+
+
+def test_live_history(spark, tmp_path):
+    rows = [(c, t, "user", f"{c}-{t}") for c in (1, 2) for t in range(5 * c)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for half in (0, 1):
+        df.filter(f"turn {'<' if half == 0 else '>='} 3").coalesce(1).write.parquet(str(tmp_path / f"in/{half}"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    out = drained(sessions.live_history(stream, 4), "kept", str(tmp_path / "cp"))
+    last = {c: sorted({r["turn"] for r in out if r["conv_id"] == c})[-4:] for c in (1, 2)}
+    assert last == {1: [1, 2, 3, 4], 2: [6, 7, 8, 9]} and len(out) == 3 + 3 + 4 + 4
