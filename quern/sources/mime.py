@@ -6,7 +6,9 @@ import base64
 import quopri
 import re
 from collections.abc import Iterator
-from email import message_from_bytes, policy
+from email import message_from_bytes
+from email.header import decode_header, make_header
+from email.message import Message
 from email.utils import getaddresses
 from html.parser import HTMLParser
 
@@ -44,25 +46,36 @@ def decode_part(raw: Column, encoding: Column, charset: Column, binary: Column)
     return run(raw, encoding, charset, binary)
 
 
-def _people(message, name: str) -> list[dict]:
-    return [{"name": n, "address": a.lower()} for n, a in getaddresses([str(x) for x in message.get_all(name, [])]) if n or a]
+def _shown(value) -> str:
+    """A header's value on one line, with encoded words read."""
+    return str(make_header(decode_header(re.sub(r"[\r\n]+", "", str(value)))))
+
+
+def _people(message: Message, name: str) -> list[dict]:
+    values = [re.sub(r"[\r\n]+", "", str(x)) for x in message.get_all(name, [])]
+    return [{"name": _shown(n), "address": a.lower()} for n, a in getaddresses(values) if n or a]
+
+
+def _text(part: Message) -> str:
+    return decode_bytes(part.get_payload(decode=True), None, part.get_content_charset() or "ascii")
 
 
 def parse_message(raw: bytes | None) -> dict:
-    m = message_from_bytes(raw or b"", policy=policy.default)
+    m = message_from_bytes(raw or b"")
     files, text, html = [], None, None
     for part in m.walk():
         if part.is_multipart():
             continue
         kind, place = part.get_content_type(), part.get_content_disposition()
         if place != "attachment" and kind == "text/plain" and text is None:
-            text = part.get_content()
+            text = _text(part)
         elif place != "attachment" and kind == "text/html" and html is None:
-            html = part.get_content()
+            html = _text(part)
         elif place or part.get_filename():
             body = part.get_payload(decode=True) or b""
-            files.append({"index": len(files), "filename": part.get_filename(), "content_type": kind, "size": len(body), "cid": (part["content-id"] or "").strip("<>") or None, "inline": place == "inline"})
-    lone = lambda name: str(m[name]).strip() if m[name] else None
+            name = part.get_filename()
+            files.append({"index": len(files), "filename": name and _shown(name), "content_type": kind, "size": len(body), "cid": str(part["content-id"] or "").strip("<> ") or None, "inline": place == "inline"})
+    lone = lambda name: _shown(m[name]).strip() if m[name] else None
     return {
         "subject": lone("subject"), "sender": (_people(m, "from") or [None])[0], "to": _people(m, "to"), "cc": _people(m, "cc"), "message_id": lone("message-id"),
         "in_reply_to": lone("in-reply-to"), "refs": (lone("references") or "").split(), "date": lone("date"), "text": text, "html": html, "attachments": files,
@@ -83,7 +96,7 @@ def parsed_messages(df: DataFrame, raw: str) -> DataFrame:
 PART = "part string, ord int, type string, disposition string, filename string, body binary, encoding string, charset string, binary boolean"
 
 
-def numbered_parts(message) -> list[dict]:
+def numbered_parts(message: Message) -> list[dict]:
     """The leaves of a message's tree with their numbers: a.b for the b-th child of part a, and 1 for a lone part."""
     leaves: list[dict] = []
     todo = [(message, "")]
@@ -108,7 +121,7 @@ def message_parts(df: DataFrame, key: str, raw: str) -> DataFrame:
     @F.pandas_udf(f"array<struct<{PART.replace(' ', ':').replace(',:', ',')}>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(lambda x: numbered_parts(message_from_bytes(x or b"", policy=policy.default)))
+            yield batch.map(lambda x: numbered_parts(message_from_bytes(x or b"")))
 
     return df.select(key, F.explode(run(F.col(raw))).alias("p")).select(key, "p.*")
 

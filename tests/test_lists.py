@@ -1,7 +1,7 @@
 """Threads by subject, MIME trees, gated pieces, folds over long strokes, views that are kept, drafts."""
 
 import random
-from email import message_from_string, policy
+from email import message_from_string
 
 import pytest
 from pyspark.sql import functions as F
@@ -28,7 +28,7 @@ def test_thread_by_subject(spark):
 
 
 def parts_of(raw):
-    return mime.numbered_parts(message_from_string(raw, policy=policy.default))
+    return mime.numbered_parts(message_from_string(raw))
 
 
 LONE = "Content-Type: text/html\n\n<p>x"

@@ -129,6 +129,14 @@ def test_raw_mail(spark):
     assert got["subject"] == "Hi" and got["sender"]["address"] == "a@x.io" and len(got["to"]) == 2 and got["refs"] == ["<0@x>", "<00@x>"] and got["text"].strip() == "body"
 
 
+def test_raw_mail_in_other_charsets():
+    head = "From: =?utf-8?B?0JDQvdC90LA=?= <A@x.ru>\r\nTo: b@x.org,\r\n \"C, D\" <c@x.org>\r\nSubject: =?utf-8?Q?caf=C3=A9?=\r\n =?utf-8?Q?_ok?=\r\nContent-Type: text/plain; charset={}\r\n\r\n"
+    got = mime.parse_message(head.format("windows-1251").encode() + "При".encode("cp1251"))
+    assert got["sender"] == {"name": "Анна", "address": "a@x.ru"} and got["subject"] == "café ok" and got["text"] == "При"
+    assert [p["name"] for p in got["to"]] == ["", "C, D"]
+    assert mime.parse_message(head.format("no-such-charset").encode() + "caf\u00e9".encode())["text"] == "café" and mime.parse_message(None)["subject"] is None
+
+
 def test_html_trees():
     assert mime.fold_html('a<blockquote type="cite">x<div class="gmail_quote">y</div></blockquote>b') == 'a<details><blockquote type="cite">x<div class="gmail_quote">y</div></blockquote></details>b'
     assert mime.fold_html('<div>a<div id="appendonsend"></div>rest<p>x</p></div>') == '<div>a<details><div id="appendonsend"></div>rest<p>x</p></details></div>'
