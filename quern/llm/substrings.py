@@ -38,7 +38,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from .common import public, utf8_len
 
@@ -325,8 +325,8 @@ def removed(part: Part, at: np.ndarray, masks: np.ndarray, length: int) -> np.nd
     return np.cumsum(depth[:-1]) > 0
 
 
-def left_over(part: Part, gone: np.ndarray) -> list[pa.Array]:
-    """n_bytes, n_removed, spans and kept bytes of each text."""
+def left_over(part: Part, gone: np.ndarray, as_text: bool) -> list[pa.Array]:
+    """n_bytes, n_removed, spans and kept bytes of each text; or, as text, without the stray bytes of cut characters."""
     offset = part.offset
     total = np.concatenate([[0], np.cumsum(gone)])
     edge = np.zeros(len(gone) + 1, bool)  # a run ends with its text
@@ -339,13 +339,15 @@ def left_over(part: Part, gone: np.ndarray) -> list[pa.Array]:
     spans = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.StructArray.from_arrays([pa.array(start - offset[owner]), pa.array(end - offset[owner])], ["start", "end"]))
     kept, cuts = part.bytes[~gone].tobytes(), offset - total[offset]
     n_removed = np.diff(total[offset])
-    return [pa.array(np.diff(offset)), pa.array(n_removed), spans, pa.array([kept[a:b] for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())]
+    left = [kept[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+    left = pa.array([x.decode("utf-8", "ignore") for x in left], pa.string()) if as_text else pa.array(left, pa.binary())
+    return [pa.array(np.diff(offset)), pa.array(n_removed), spans, left]
 
 
 SPANS = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))
 
 
-def strip(text: str, length: int, buckets: int, names: list[str], columns: list[str]):
+def strip(text: str, length: int, buckets: int, names: list[str], columns: list[str], as_text: bool):
     """Step 4: the rows of a part with what is removed and what is left."""
 
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
@@ -364,14 +366,17 @@ def strip(text: str, length: int, buckets: int, names: list[str], columns: list[
             mask = np.where(key > low[back], whole[back], some[back])
             at.append(which[mask != 0])
             masks.append(mask[mask != 0])
-        new = left_over(part, removed(part, np.concatenate(at), np.concatenate(masks), length))
+        new = left_over(part, removed(part, np.concatenate(at), np.concatenate(masks), length), as_text)
         return pa.table([*[part.rows[c] for c in columns], *new], names=[*columns, *names])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, prefix: str = "") -> DataFrame:
-    """``docs`` with n_bytes, n_removed, the removed spans (byte offsets) and the kept bytes, all named with ``prefix``."""
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, prefix: str = "", as_text: bool = False) -> DataFrame:
+    """``docs`` with n_bytes, n_removed, the removed spans (byte offsets) and the kept bytes, all named with ``prefix``.
+
+    With ``as_text`` what is kept is a text, without the stray bytes of characters that were cut.
+    """
     spark = docs.sparkSession
     names = [prefix + n for n in ("n_bytes", "n_removed", "spans", "kept")]
     docs = public(docs, *names)
@@ -388,5 +393,5 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     masks = cuts.groupBy("bucket").applyInPandas(sort_bucket(length), MASKS)
     none = F.lit(None).cast("binary")
     answers = told.select("part", "bucket", "h", none.alias("mask")).union(masks.select("part", "bucket", none.alias("h"), "mask"))
-    schema = StructType([*docs.schema.fields, *[StructField(n, t) for n, t in zip(names, (LongType(), LongType(), SPANS, BinaryType()))]])
-    return parts.groupBy("__part").cogroup(answers.groupBy("part")).applyInArrow(strip(text, length, buckets, names, docs.columns), schema)
+    schema = StructType([*docs.schema.fields, *[StructField(n, t) for n, t in zip(names, (LongType(), LongType(), SPANS, StringType() if as_text else BinaryType()))]])
+    return parts.groupBy("__part").cogroup(answers.groupBy("part")).applyInArrow(strip(text, length, buckets, names, docs.columns, as_text), schema)
