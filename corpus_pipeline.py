@@ -6,9 +6,6 @@ one a row of digests for each document. A row is known by its key and text, so n
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,17 +40,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 bytes or more go from all but their first document; stray bytes of cut characters go too."""
 
-    @F.pandas_udf("string")
-    def as_text(kept: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in kept:
-            yield batch.map(lambda b: b.decode("utf-8", "ignore"))
-
     hidden = [c for c in docs.columns if c.startswith("__")]  # the operator would drop them
     shown = dict(zip(hidden, fresh(docs, *[f"row{c}" for c in hidden])))
     plain = docs.toDF(*[shown.get(c, c) for c in docs.columns])
-    out = remove_repeats(plain, prefix="__")
+    out = remove_repeats(plain, prefix="__", as_text=True)
     changed = F.col("__n_removed") > 0
-    out = out.withColumn("text", F.when(changed, as_text("__kept")).otherwise(F.col("text")))
+    out = out.withColumn("text", F.when(changed, F.col("__kept")).otherwise(F.col("text")))
     out = out.withColumn("n_chars", F.when(changed, F.char_length("text")).otherwise(F.col("n_chars")).cast("long"))
     return out.select(*plain.columns).toDF(*docs.columns)
 
@@ -68,11 +60,14 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of what they decode to."""
+    """Token counts and digests of the ids and of what they decode to.
+
+    The ids are written in between, so that a task has one Python worker with its vocabulary, not two.
+    """
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = encode(docs.select("doc_id", "source", "text"), path, pattern).select("doc_id", "source", "ids")
+    coded = table(encode(docs.select("doc_id", "source", "text"), path, pattern).select("doc_id", "source", "ids"), "ids")
     return decode(coded, path, pattern).select(
         "doc_id",
         "source",
