@@ -41,7 +41,7 @@ TOKENS, LEAF, DEPTH = 64, 64, 4
 #: Sketch agreement from which a pair is proposed: four standard deviations below the threshold.
 PROPOSE = 0.6
 #: Rows of a block: of sketches, of whole sets, and of differences to a pivot.
-SKETCH_BLOCK, SET_BLOCK, CORE_BLOCK = 2_048, 192, 768
+SKETCH_BLOCK, SET_BLOCK, CORE_BLOCK = 2_048, 192, 256
 #: Candidate classes that are broadcast at most (about 56 bytes each); more are joined by a shuffle.
 BROADCAST_CLASSES = 400_000
 _P, _P_BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
