@@ -89,7 +89,17 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_url_filters, op3_byte_bpe, op4_token_counts, op5_quality_rules, op6_hnsw_dedup, op7_jaccard_join, op8_mixing, op9_language_id, op10_suffix_array)}
+def op11_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packed import fresh_folder, read_ids, write_ids
+
+    folder = fresh_folder(spark)
+    write_ids(_docs(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), folder, end=2)
+    return read_ids(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_url_filters, op3_byte_bpe, op4_token_counts, op5_quality_rules, op6_hnsw_dedup, op7_jaccard_join, op8_mixing, op9_language_id, op10_suffix_array, op11_packed_ids)}
 
 ORACLE = {
     "op2_url_filters": """
