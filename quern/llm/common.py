@@ -43,6 +43,17 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Delete the folder of a ``table`` that nothing reads any more; only folders inside the shared one are touched."""
+    spark = df.sparkSession
+    jvm = spark._jvm
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        root = jvm.org.apache.hadoop.fs.Path(shared_dir(spark)).toUri().getPath()
+        if path.getParent().toUri().getPath() == root:
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def public(df: DataFrame, *new: str) -> DataFrame:
     """``df`` without columns that an operator is about to add, or that start with two underscores.
 

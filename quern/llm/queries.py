@@ -99,9 +99,44 @@ def op11_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_url_filters, op3_byte_bpe, op4_token_counts, op5_quality_rules, op6_hnsw_dedup, op7_jaccard_join, op8_mixing, op9_language_id, op10_suffix_array, op11_packed_ids)}
+def op12_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sortmeans import sort_means
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return sort_means(vectors).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_groups, words_of
+
+    words = words_of(_docs(spark, sf_dir).select("doc_id", "text"))
+    return spelling_groups(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_url_filters, op3_byte_bpe, op4_token_counts, op5_quality_rules, op6_hnsw_dedup, op7_jaccard_join, op8_mixing, op9_language_id, op10_suffix_array, op11_packed_ids, op12_sort_means, op13_spelling)}
+
+
+
+def _sort_means_sql(rounds: int = 3) -> str:
+    """Every distance of every round, without a scan order."""
+    parts = [
+        """k AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+          WHERE len(embedding) = 64 AND list_count(embedding) = 64 AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0)""",
+        """c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v FROM (SELECT sha256('1:' || vec_id) AS h, v FROM k ORDER BY h LIMIT 16))""",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (SELECT rid, arg_min(c, 16 * d + c) AS c, min(d) AS d FROM (
+          SELECT rid, c, CAST(list_sum(list_transform(range(1, 65), lambda i: (k.v[i] - m.v[i]) * (k.v[i] - m.v[i]))) AS BIGINT) AS d FROM k, c{r} m) GROUP BY rid)""")
+        if r < rounds:
+            parts.append(f"""c{r + 1} AS MATERIALIZED (SELECT o.c, coalesce(n.v, o.v) AS v FROM c{r} o LEFT JOIN (
+              SELECT c, list(x ORDER BY i) AS v FROM (SELECT c, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS x FROM (SELECT a.c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r} a JOIN k ON k.rid = a.rid) GROUP BY c, i) GROUP BY c) n ON n.c = o.c)""")
+    return f"""WITH {", ".join(parts)}
+        SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m.v, ',')) AS centroid_sha256
+        FROM a{rounds} a JOIN k ON k.rid = a.rid JOIN c{rounds} m ON m.c = a.c"""
+
 
 ORACLE = {
+    "op12_sort_means": _sort_means_sql(),
     "op2_url_filters": """
         WITH p AS (
           SELECT page_id,
