@@ -21,9 +21,11 @@ gives a manifest without rows, and no rows; other columns of the input, whatever
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,12 +43,14 @@ WIDTHS = np.array([64, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 BLOCK, BUFFER = 4_096, 1 << 20
 MAGIC, TAIL = b"QS8BLK01", struct.Struct("<QQQQQ8s")
 #: Pieces of a generation that a worker keeps (two generations), and the longest that is kept.
-KEPT, KEPT_CHARS = 300_000, 40
+KEPT, KEPT_CHARS = 500_000, 40
 MANIFEST = "part int, file string, docs long, ids long, bytes long"
 
-# A piece starts where the vocabulary's own splitting always starts a new run: before a blank that a solid character
-# follows, and around the last of other white space. So pieces are encoded apart.
-_PIECES = re.compile(r" ?\S+|\s+(?=\s\S)|\s+")
+# A piece starts where byte-level splitting always starts a new run: before a blank that a solid character follows, around the
+# last of other white space, and behind Latin letters that end at white space or ASCII punctuation. So pieces are encoded apart.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_PIECES = re.compile(rf" ?[{_LETTERS}]+(?=[\s!-/:-@\[-`{{-~]|$)| ?\S+|\s+(?=\s\S)|\s+")
+_RUN, _CONTROL = re.compile(rf" ?[{_LETTERS}]+").fullmatch, re.compile("[\x1c-\x1f]").search
 _SMALL = np.searchsorted(np.left_shift(np.uint64(1), WIDTHS[1:].astype(np.uint64)), np.arange(1 << 16, dtype=np.uint64), side="right").astype(np.uint8)
 
 
@@ -146,9 +150,14 @@ class Pieces(dict):
 
         self.old: dict[str, bytes] = {}
         self.library = Tokenizer.from_file(path)
-        special = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
-        # Where special strings stand, or control characters that not every table of white space has, the whole text goes to the library.
-        self.whole = re.compile("|".join(["[\x1c-\x1f]", *special])).search
+        spec = json.loads(self.library.to_str())
+        split = spec["pre_tokenizer"] or {}
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.apart = spec["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split["add_prefix_space"]
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        other = [b for b in range(256) if b not in plain]
+        self.shown = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+        self.model = self.library.model.tokenize
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
@@ -162,13 +171,17 @@ class Pieces(dict):
         return ids
 
     def plain(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if self.apart and _RUN(text):  # one run of letters is split no further, so the library's model has it at once
+            shown = text.replace(" ", self.shown[32]) if text.isascii() else text.encode().decode("latin-1").translate(self.shown)
+            return array("I", [t.id for t in self.model(shown)]).tobytes()
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: str | None) -> bytes:
+        """A whole text's ids; one with special strings, or with control characters that not every table of white space has, goes to the library as it is."""
         if not text:
             return b""
-        if self.whole(text):
-            return self.plain(text)
+        if not self.apart or any(s in text for s in self.special) or _CONTROL(text):
+            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.__getitem__, _PIECES.findall(text)))
 
 
