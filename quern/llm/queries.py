@@ -137,6 +137,24 @@ def _sort_means_sql(rounds: int = 3) -> str:
 
 ORACLE = {
     "op12_sort_means": _sort_means_sql(),
+    # The checksum byte by byte; near words by what is left when a character goes.
+    "op13_spelling": """
+        WITH RECURSIVE tab AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM (
+          SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+        runs AS MATERIALIZED (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{7,}')) AS run FROM documents)),
+        keyed AS (SELECT run, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS h FROM runs),
+        bytes AS (SELECT run, list_transform(range(length(h) // 2), lambda i: CAST('0x' || substring(h, 2 * i + 1, 2) AS BIGINT)) AS b FROM keyed),
+        sums AS MATERIALIZED (SELECT run, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(tab.t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) AS h FROM bytes, tab),
+        counted AS MATERIALIZED (SELECT word, count(*) AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word FROM sums)
+          WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+        less AS MATERIALIZED (SELECT word, i, substring(word, 1, i) || substring(word, i + 2) AS v FROM (SELECT word, unnest(range(length(word))) AS i FROM counted)),
+        pairs AS MATERIALIZED (
+          SELECT a.word AS a, b.word AS b FROM less a JOIN less b ON a.i = b.i AND a.v = b.v AND a.word <> b.word
+          UNION SELECT l.word, c.word FROM less l JOIN counted c ON c.word = l.v UNION SELECT c.word, l.word FROM less l JOIN counted c ON c.word = l.v),
+        best AS (SELECT a AS word, count(*) AS n_near, arg_min(b, (-n, b)) AS form, max(n) AS form_n FROM pairs JOIN counted c ON c.word = b GROUP BY a),
+        formed AS MATERIALIZED (SELECT c.word, c.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * c.n THEN form END AS form, CASE WHEN form_n >= 10 * c.n THEN form_n END AS form_n FROM counted c LEFT JOIN best ON best.word = c.word),
+        walk AS (SELECT word, word AS root, 0 AS depth FROM formed UNION ALL SELECT w.word, f.form, depth + 1 FROM walk w JOIN formed f ON f.word = w.root WHERE f.form IS NOT NULL)
+        SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM formed f JOIN (SELECT word, arg_max(root, depth) AS root FROM walk GROUP BY word) r ON r.word = f.word""",
     "op2_url_filters": """
         WITH p AS (
           SELECT page_id,

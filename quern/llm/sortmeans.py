@@ -109,7 +109,8 @@ def totals(dim: int):
             for k in np.unique(c).tolist():
                 sums[k] = sums.get(k, 0) + x[c == k].sum(0)
                 count[k] = count.get(k, 0) + int((c == k).sum())
-        yield pd.DataFrame({"cluster": list(sums), "n": list(count.values()), "sums": [s.tolist() for s in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"cluster": list(sums), "n": list(count.values()), "sums": [s.tolist() for s in sums.values()]})
 
     return run
 
