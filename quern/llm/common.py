@@ -74,21 +74,26 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     return left.join(other, on, how).drop(*names.values())
 
 
-def gapless_rank(df: DataFrame, keys: list[str], by: list[str], out: str, buckets: int = 512, total: str | None = None) -> DataFrame:
+def gapless_rank(df: DataFrame, keys: list[str], by: list[str], out: str, buckets: int = 512, total: str | None = None, weight: Column | None = None) -> DataFrame:
     """Number the rows of each key from 0 without gaps, however many rows one key holds; ``total`` names the key's count.
 
     Rows of a key are dealt over ``buckets`` by a hash of ``by``. Each bucket is ranked on its
-    own and shifted by the number of rows in the buckets before it, so no task sorts a whole key.
+    own and shifted by the number of rows in the buckets before it, so no task sorts a whole key. With a ``weight`` a row's
+    number is the sum of the weights before it, and the total that of all.
     """
     rows = df.withColumn("__b", F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int"))
-    counts = rows.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    inner = Window.partitionBy(*keys, "__b").orderBy(*by)
+    size, place = F.count(F.lit(1)), F.row_number().over(inner) - 1
+    if weight is not None:
+        rows = rows.withColumn("__w", weight.cast("long"))
+        size, place = F.sum("__w"), F.sum("__w").over(inner.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__w")
+    counts = rows.groupBy(*keys, "__b").agg(size.alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     sums = {"__off": F.coalesce(F.sum("__n").over(before), F.lit(0))} | ({total: F.sum("__n").over(Window.partitionBy(*keys))} if total else {})
     offsets = counts.withColumns(sums).drop("__n")
-    inner = Window.partitionBy(*keys, "__b").orderBy(*by)
-    ranked = rows.withColumn("__r", F.row_number().over(inner) - 1)
+    ranked = rows.withColumn("__r", place)
     joined = null_safe(ranked, offsets, [*keys, "__b"])
-    return joined.withColumn(out, (F.col("__r") + F.col("__off")).cast("long")).drop("__b", "__r", "__off")
+    return joined.withColumn(out, (F.col("__r") + F.col("__off")).cast("long")).drop("__b", "__r", "__off", "__w")
 
 
 def utf8_len(text: Column) -> Column:

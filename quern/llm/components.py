@@ -49,13 +49,13 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     return pairs.select(F.col("u").alias("id"), F.col("v").alias("component")).union(pairs.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def block_pairs(rows: DataFrame, group: str, by: str, block: int, buckets: int = 64) -> DataFrame:
+def block_pairs(rows: DataFrame, group: str, by: str, block: int, buckets: int = 64, weight: Column | None = None) -> DataFrame:
     """``rows`` dealt so that any two rows of a group meet in one (group, i, j) with i <= j.
 
-    A group of n rows is cut into blocks of ``block`` rows; a row of block k goes to every pair with k.
-    A group within one block has the single pair (0, 0) and is not copied. ``mine`` is the row's block.
+    A group of n rows is cut into blocks of ``block`` rows, or of that sum of weights and one row more at most; a row of block k
+    goes to every pair with k. A group within one block has the single pair (0, 0) and is not copied. ``mine`` is the row's block.
     """
-    ranked = gapless_rank(rows, [group], [by], "__rank", buckets, total="__total")
+    ranked = gapless_rank(rows, [group], [by], "__rank", buckets, total="__total", weight=weight)
     blocks = F.ceil(F.col("__total") / block).cast("int")
     met = ranked.withColumns({"mine": F.floor(F.col("__rank") / block).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
     return met.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).drop("__rank", "__total", "other")
@@ -100,22 +100,23 @@ def groups_in_partition(work: Callable, columns: list[str]):
     return run
 
 
-def ranked_groups(grouped: DataFrame) -> DataFrame:
-    """``grouped`` (id, group, ...) with each row's rank in its group and the group's size n, as ``link_counts`` needs them."""
-    return gapless_rank(grouped, ["group"], ["id"], "rank", 64, total="n")
+def ranked_groups(grouped: DataFrame, weight: Column) -> DataFrame:
+    """``grouped`` (id, group, ...) with the weight before each row of its group and the group's weight n, as ``link_counts`` needs them."""
+    return gapless_rank(grouped, ["group"], ["id"], "rank", 64, total="n", weight=weight)
 
 
-def link_counts(rows: DataFrame, load: str, relate: Callable, compare: Callable, block: int, core_block: int) -> DataFrame:
+def link_counts(rows: DataFrame, load: str, relate: Callable, compare: Callable, weight: Column, block: int) -> DataFrame:
     """(id, links, root): the summed copies of all that each row links with, and edges of a spanning forest.
 
     ``rows``, a table, have group, rank, n (``ranked_groups``), id (once), rep, copies and ``load``, what the comparison
-    needs. ``load`` names the type of related loads if it is another one. Only rows of one group can link. A group within ``block`` rows is compared as it is. A larger one has a pivot, its row of
-    the smallest rep:
+    needs. ``load`` names the type of related loads if it is another one. ``weight`` is a load's share of the memory of a
+    comparison: a block is as many rows as weigh ``block`` together, and one more at most. Only rows of one group can
+    link. A group within one block is compared as it is. A larger one has a pivot, its row of the smallest rep:
 
     * ``relate(pivot's load, loads)`` gives each row's load relative to the pivot, whether it is *core*, so near the
       pivot that any two core rows link, and whether it is *near* enough to link with a core row at all.
     * Core rows link with each other by membership: the group's core is summed up, not paired.
-    * Near rows meet the core, and all rows outside the core each other, in blocks of ``core_block`` rows.
+    * Near rows meet the core, and all rows outside the core each other, in blocks.
 
     ``compare(loads)`` gives the symmetric matrix of links between rows. So a group of near copies of one text costs
     in proportion to its size; what is quadratic is the part of it outside the core.
@@ -161,18 +162,17 @@ def link_counts(rows: DataFrame, load: str, relate: Callable, compare: Callable,
 
     met = heads.union(members).repartition(tasks, *keys).sortWithinPartitions(*keys)
     placed = table(met.mapInPandas(groups_in_partition(related, keys), f"group long, pivot long, id long, copies long, load {load or kind}, core boolean, near boolean"), "placed")
-    count = F.count(F.lit(1))
     core = placed.filter("core")
     own = with_group(core.select("group", "pivot", "id", "copies"), "group", F.sum("copies").alias("all"))
     parts = parts.union(own.select("id", (F.col("all") - F.col("copies")).alias("links"), F.col("pivot").alias("root")))
-    parts = parts.union(counted(block_pairs(placed.filter("not core"), "group", "id", core_block).withColumnRenamed("mine", "side")))
+    parts = parts.union(counted(block_pairs(placed.filter("not core"), "group", "id", block, weight=weight).withColumnRenamed("mine", "side")))
     # The core against what is near it: each block of one side meets each block of the other.
     edge = placed.filter("near and not core")
-    width = lambda df, name: df.groupBy("group").agg(F.ceil(count / core_block).cast("int").alias(name))
+    width = lambda df, name: df.groupBy("group").agg(F.ceil(F.sum(weight) / block).cast("int").alias(name))
     both = width(core, "cores").join(width(edge, "edges"), "group")
     if both.isEmpty():
         return parts
-    numbered = [gapless_rank(df, ["group"], ["id"], "rank", 64, total="n").withColumn("b", F.floor(F.col("rank") / core_block).cast("int")) for df in (core, edge)]
+    numbered = [gapless_rank(df, ["group"], ["id"], "rank", 64, weight=weight).withColumn("b", F.floor(F.col("rank") / block).cast("int")) for df in (core, edge)]
     sized = [on_groups(df, both) for df in numbered]
     left = sized[0].select("group", F.col("b").alias("i"), F.explode(F.sequence(F.lit(1), F.col("edges"))).alias("j"), F.lit(0).alias("side"), "id", "copies", "load")
     right = sized[1].select("group", F.explode(F.sequence(F.lit(0), F.col("cores") - 1)).alias("i"), (F.col("b") + 1).alias("j"), F.lit(1).alias("side"), "id", "copies", "load")

@@ -5,10 +5,11 @@ navigable small-world graph, audits it and writes it to the shared folder. Then
 queries are dealt in blocks, and a task loads one graph and answers one block, so that neither holds the table.
 
 A query keeps a beam of the best candidates and expands them until none is left. A beam that is full of matches may
-hide more of them, so such a query is compared with its whole shard at once. Every beam of a shard is widened until its
-audit passes: a sample of queries of all shards is compared with the whole shard, and the graph must
-find the matches with other vectors. Where a wider beam would take longer than the comparison with the whole shard,
-that is made instead, and so it is in a small shard that has too few matches to audit; it is exact.
+hide more of them, so such a query is searched again with a beam twice as wide, and compared with its whole shard once that
+costs less than the search. The beam of a shard is widened until its audit passes: members of the shard, turned by a random
+angle so that their cosine is at the threshold or little above it, are compared with the whole shard, and the graph must find
+their matches. So every shard has matches to be measured by, however few its vectors have among themselves. The recall
+reached stands in the table of graphs.
 
 A task returns a spanning forest of what its queries found, not the pairs. The forests' components are candidate
 groups, in which every cosine is taken in double precision: in blocks, but for vectors within half of the angle of
@@ -37,17 +38,14 @@ from .components import components, link_counts, ranked_groups, with_group
 SIMILARITY, RECALL = 0.95, 0.995
 #: Shards at least, and vectors and numbers of a shard at most.
 SHARDS, SHARD_ROWS, SHARD_NUMBERS = 8, 100_000, 12_800_000
-DEGREE, BUILD_BEAM, BEAM = 12, 32, 16
+DEGREE, BUILD_BEAM, BEAM = 12, 32, 32
 #: A search of beam b takes as long as comparing with the whole shard where that has about so many times b vectors.
 SCAN = 64
-#: Queries of an audit compared at once and drawn at most, and queries searched together.
-AUDIT, DRAWN, TOGETHER = 256, 8_192, 512
-#: Matches with other vectors that an audit needs, and how many of them one query may count for.
-PARTNERS, EACH = 1_000, 10
-#: A shard of so many vectors at most is compared in full where it can't be audited; the beam of a larger one.
-SMALL, UNAUDITED = 12_288, 512
-#: Similarities held at once; vectors of a block of a candidate group, of a block of queries; numbers of a stored piece of a graph.
-CELLS, BLOCK, QUERIES, PIECE = 16_000_000, 2_048, 100_000, 1 << 18
+#: Planted queries of an audit, how many of its matches one may count for, and queries searched together.
+PLANTED, EACH, TOGETHER = 1_024, 10, 512
+#: Similarities held at once; numbers of a block of a candidate group, and what a short vector counts for, so that a block is
+#: 1,024 vectors at most; vectors of a block of queries; numbers of a stored piece of a graph.
+CELLS, BLOCK, LEAST, QUERIES, PIECE = 16_000_000, 1 << 16, 64, 100_000, 1 << 18
 
 
 class Graph:
@@ -176,39 +174,35 @@ class Graph:
 class Shard:
     """A graph with its audited beam."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, similarity: float, recall: float, queries: tuple[np.ndarray, np.ndarray] | None = None):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, similarity: float, recall: float):
         self.ids, self.similarity = ids, similarity
         self.unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
         self.graph = Graph(self.unit.astype(np.float32))
-        self.beam = self.fit(BEAM)
-        self.audit(*(queries or (ids, self.unit)), recall)
-
-    def fit(self, beam: int) -> int:
-        """The beam, or the shard's size where the search would take longer than the comparison with all of it."""
-        return beam if beam * SCAN <= max(len(self.ids), BEAM * SCAN) and beam < len(self.ids) else max(1, len(self.ids))
-
-    def audit(self, ids: np.ndarray, q: np.ndarray, recall: float) -> None:
-        """Widen the beam until the graph finds the matches of these unit rows with other vectors."""
-        order = np.random.Generator(np.random.PCG64(5)).permutation(len(ids))
-        drawn, counts, weight = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-        for low in range(0, len(order), AUDIT):
-            rows = order[low : low + AUDIT]
-            n = self.partners(ids[rows], self.exact(q[rows]))
-            drawn.append(rows[n > 0])
-            counts.append(n[n > 0])
-            weight += int(np.minimum(n, EACH).sum())
-            if weight >= PARTNERS:
-                break
-        rows, true = np.concatenate(drawn), np.concatenate(counts)
-        if weight < PARTNERS:
-            self.beam = len(self.ids) if len(self.ids) <= SMALL else max(self.beam, UNAUDITED)
-        share = np.minimum(true, EACH) / true
-        while self.beam < len(self.ids) and (share * self.partners(ids[rows], self.matches(q[rows]))).sum() < recall * weight:
-            self.beam = self.fit(2 * self.beam)
-
-    def partners(self, ids: np.ndarray, found: list[np.ndarray]) -> np.ndarray:
-        """How many matches each query has besides itself."""
-        return np.array([np.count_nonzero(self.ids[f] != i) for i, f in zip(ids, found)], np.int64)
+        self.beam = BEAM
+        self.recall = self.audit(recall)
+
+    def planted(self, n: int) -> np.ndarray:
+        """Unit rows whose cosine with a member is at the similarity, or up to two fifths of the way from it to one."""
+        rng = np.random.Generator(np.random.PCG64(5))
+        u = self.unit[rng.permutation(len(self.ids))[:n] if n <= len(self.ids) else rng.integers(0, len(self.ids), n)]
+        w = rng.normal(size=u.shape)
+        w -= (w * u).sum(1, keepdims=True) * u
+        w /= np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-30)
+        cosine = self.similarity + (1 - self.similarity) * rng.uniform(0, 0.4, (n, 1))
+        q = cosine * u + np.sqrt(1 - cosine**2) * w
+        return q / np.linalg.norm(q, axis=1, keepdims=True)
+
+    def audit(self, recall: float) -> float:
+        """Widen the beam until the graph finds that share of the planted queries' matches; the share that it finds."""
+        q = self.planted(PLANTED)
+        true = np.array([len(f) for f in self.exact(q)], np.int64)
+        weight = np.minimum(true, EACH) / np.maximum(true, 1)
+        while True:
+            found = np.array([len(f) for f in self.matches(q)], np.int64)
+            share = float((weight * found).sum() / max(1e-9, (weight * true).sum()))
+            if share >= recall or self.beam >= len(self.ids):
+                return share
+            self.beam *= 2
 
     def exact(self, q: np.ndarray) -> list[np.ndarray]:
         """The matches of each unit row by comparison with the whole shard."""
@@ -217,25 +211,25 @@ class Shard:
 
     def matches(self, q: np.ndarray) -> list[np.ndarray]:
         """For each unit row, the places in the shard at the similarity or above it, in double precision."""
-        if self.beam >= len(self.ids):
-            return self.exact(q)
         out: list = [None] * len(q)
-        full = []
-        together = max(8, min(TOGETHER, 20_000_000 // len(self.ids)))
-        for low in range(0, len(q), together):
-            some = q[low : low + together]
-            ids, sims = self.graph.descend(some.astype(np.float32), self.beam)
-            near = sims >= self.similarity - 1e-5
-            for r, (i, n) in enumerate(zip(ids, near)):
-                if n.all():
-                    full.append(low + r)
-                elif n.any():
-                    i = i[n]
-                    out[low + r] = i[self.unit[i] @ some[r] >= self.similarity]
-                else:
-                    out[low + r] = i[:0]
-        for r, f in zip(full, self.exact(q[np.array(full, np.int64)])):
-            out[r] = f
+        rows, beam = np.arange(len(q)), self.beam
+        while len(rows) and beam < len(self.ids) and beam * SCAN <= max(len(self.ids), self.beam * SCAN):
+            full = []
+            together = max(8, min(TOGETHER, 20_000_000 // len(self.ids)))
+            for low in range(0, len(rows), together):
+                some = rows[low : low + together]
+                ids, sims = self.graph.descend(q[some].astype(np.float32), beam)
+                near = sims >= self.similarity - 1e-5
+                for r, i, n in zip(some, ids, near):
+                    if n.all():
+                        full.append(r)
+                    else:
+                        i = i[n]
+                        out[r] = i[self.unit[i] @ q[r] >= self.similarity]
+            rows, beam = np.array(full, np.int64), 2 * beam
+        if len(rows):
+            for r, f in zip(rows, self.exact(q[rows])):
+                out[r] = f
         return out
 
     def stored(self) -> Iterator[dict]:
@@ -244,7 +238,7 @@ class Shard:
         for part, low in enumerate(range(0, len(self.ids), step)):
             some = slice(low, low + step)
             yield {
-                "part": part, "beam": self.beam, "entry": self.graph.entry, "ids": self.ids[some].tobytes(),
+                "part": part, "beam": self.beam, "recall": self.recall, "entry": self.graph.entry, "ids": self.ids[some].tobytes(),
                 "unit": np.ascontiguousarray(self.unit[some]).tobytes(), "links": [np.ascontiguousarray(lv[some]).tobytes() for lv in self.graph.links],
             }
 
@@ -252,7 +246,7 @@ class Shard:
     def loaded(cls, parts: list[dict], similarity: float) -> Shard:
         self = cls.__new__(cls)
         parts = sorted(parts, key=lambda p: p["part"])
-        self.similarity, self.beam = similarity, int(parts[0]["beam"])
+        self.similarity, self.beam, self.recall = similarity, int(parts[0]["beam"]), float(parts[0]["recall"])
         self.ids = np.concatenate([np.frombuffer(p["ids"], np.int64) for p in parts])
         self.unit = np.concatenate([np.frombuffer(p["unit"], np.float64) for p in parts]).reshape(len(self.ids), -1)
         levels = [np.concatenate([np.frombuffer(p["links"][lv], np.int32) for p in parts]).reshape(len(self.ids), -1) for lv in range(len(parts[0]["links"]))]
@@ -279,22 +273,16 @@ def joined(parent: np.ndarray, members: np.ndarray, ids: np.ndarray, found: list
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-GRAPHS = "dim int, shard int, part int, beam int, entry int, ids binary, unit binary, links array<binary>"
+GRAPHS = "dim int, shard int, part int, beam int, recall double, entry int, ids binary, unit binary, links array<binary>"
 
 
 def build(similarity: float, recall: float):
-    """A shard's members (kind 0) and the audit's queries (kind 1) to its graph in pieces."""
+    """A shard's members to its audited graph in pieces."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        ids, kind = group["id"].to_numpy(np.int64), group["kind"].to_numpy()
-        vectors = np.stack(group["v"].to_numpy()).astype(np.float64)
-        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-        own, asked = kind == 0, kind == 1
-        if not own.any():
-            return pd.DataFrame(columns=["dim", "shard", "part", "beam", "entry", "ids", "unit", "links"])
-        shard = Shard(ids[own], vectors[own], similarity, recall, (ids[asked], unit[asked]))
+        shard = Shard(group["id"].to_numpy(np.int64), np.stack(group["v"].to_numpy()).astype(np.float64), similarity, recall)
         out = pd.DataFrame(list(shard.stored()))
-        return out.assign(dim=group["dim"].iloc[0], shard=group["shard"].iloc[0])[["dim", "shard", "part", "beam", "entry", "ids", "unit", "links"]]
+        return out.assign(dim=group["dim"].iloc[0], shard=group["shard"].iloc[0])[["dim", "shard", "part", "beam", "recall", "entry", "ids", "unit", "links"]]
 
     return run
 
@@ -314,7 +302,7 @@ def search(similarity: float):
                     key, parts, shard = names[a][:3], [], None
                 some = batch.iloc[a:b]
                 if names[a][3] == 0:
-                    parts += some[["part", "beam", "entry", "ids", "unit", "links"]].to_dict("records")
+                    parts += some[["part", "beam", "recall", "entry", "ids", "unit", "links"]].to_dict("records")
                     continue
                 if not parts:
                     continue
@@ -361,11 +349,10 @@ def candidates(classes: DataFrame, count: int, numbers: int, similarity: float,
     tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = max(shards, -(-count // shard_rows), -(-numbers // SHARD_NUMBERS))
     dim, everywhere = F.size("v").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("shard")
-    member = classes.select(dim, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", "v")
-    drawn = classes.filter(F.pmod(F.xxhash64("id", F.lit("audit")), F.lit(max(1, count // DRAWN))) == 0).select(dim, everywhere, F.lit(1).alias("kind"), "id", "v")
-    graphs = table(member.union(drawn).groupBy("dim", "shard").applyInPandas(build(similarity, recall), GRAPHS), "graphs")
+    member = classes.select(dim, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("shard"), "id", "v")
+    graphs = table(member.groupBy("dim", "shard").applyInPandas(build(similarity, recall), GRAPHS), "graphs")
     blocks = -(-count // QUERIES) or 1
-    empty = {"part": "int", "beam": "int", "entry": "int", "ids": "binary", "unit": "binary", "links": "array<binary>"}
+    empty = {"part": "int", "beam": "int", "recall": "double", "entry": "int", "ids": "binary", "unit": "binary", "links": "array<binary>"}
     held = graphs.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(0).alias("kind"), *empty, F.lit(None).cast("long").alias("id"), F.lit(None).cast(classes.schema["v"].dataType).alias("v"))
     block = F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int")
     asked = classes.select(dim, everywhere, block.alias("block"), F.lit(1).alias("kind"), *[F.lit(None).cast(t).alias(c) for c, t in empty.items()], "id", "v")
@@ -383,9 +370,11 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
     classes = cut(grouped.withColumn("id", F.monotonically_increasing_id()))
     count, numbers = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
     found = cut(candidates(classes, count, numbers, similarity, recall, shards, shard_rows))
-    grouped = ranked_groups(cut(components(found)).withColumnRenamed("component", "group"))
+    grouped = cut(components(found)).withColumnRenamed("component", "group")
+    width = grouped.join(classes.select("id", F.size("v").alias("dim")), "id")
+    grouped = ranked_groups(width, F.greatest("dim", F.lit(LEAST))).drop("dim")
     sets = table(grouped.join(classes.select("id", "rep", "copies", F.col("v").alias("load")), "id"), "groups")
-    checked = cut(link_counts(sets, "", relate(similarity), compare(similarity), block, block))
+    checked = cut(link_counts(sets, "", relate(similarity), compare(similarity), F.greatest(F.size("load"), F.lit(LEAST)), block))
     links = checked.groupBy("id").agg(F.sum("links").alias("links"))
     same = components(checked.select(F.col("id").alias("a"), F.col("root").alias("b")))
     named = cut(same.join(classes.select("id", "rep"), "id"))

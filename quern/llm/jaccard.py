@@ -12,7 +12,7 @@ threshold survives a run of that depth with a known chance, and runs are repeate
 all of them is below 1 - ``RECALL``.
 
 Sketches only propose. Classes joined by proposals form candidate groups; each group's full sets meet in
-blocks, where every pair of the group is compared exactly. In a group above ``SET_BLOCK`` classes each set is sent
+blocks of ``SET_ITEMS`` items, where every pair of the group is compared exactly. In a group of more than a block each set is sent
 as its difference to the group's pivot, and sets that share nine tenths with the pivot link with each other for
 certain and are counted as members (``link_counts``). Blocks return link counts and a spanning forest, not pairs.
 
@@ -40,8 +40,9 @@ WORDS, SIMILARITY, RECALL = 5, 0.8, 0.999
 TOKENS, LEAF, DEPTH = 64, 64, 4
 #: Sketch agreement from which a pair is proposed: four standard deviations below the threshold.
 PROPOSE = 0.6
-#: Rows of a block: of sketches, of whole sets, and of differences to a pivot.
-SKETCH_BLOCK, SET_BLOCK, CORE_BLOCK = 2_048, 192, 256
+#: Rows of a block of sketches. Items of a block of sets, or of differences to a pivot; what a small set counts for, so that
+#: a block is 256 rows at most; and items of a range of hashes that are counted at once.
+SKETCH_BLOCK, SET_ITEMS, SET_LEAST, RANGE = 2_048, 1 << 20, 1 << 12, 1 << 18
 #: Candidate classes that are broadcast at most (about 56 bytes each); more are joined by a shuffle.
 BROADCAST_CLASSES = 400_000
 _P, _P_BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
@@ -262,21 +263,29 @@ def sketch_blocks(propose: float, similarity: float):
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """Matrix of intersection sizes, from products of 0/1 matrices over the items that two sets have."""
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    items, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.cumsum(count > 1) - 1
-    use = count[at] > 1
-    owner, at = owner[use], rank[at[use]]
-    order = np.argsort(at, kind="stable")
-    owner, at = owner[order], at[order]
+    """Matrix of intersection sizes of sorted sets, from products of 0/1 matrices over the items that two sets have.
+
+    Hashes are spread evenly, so the sets are cut at the same hashes into ranges that are counted one after the other.
+    """
     total = np.zeros((len(sets), len(sets)), np.float64)
-    wide = max(256, 4_000_000 // max(1, len(sets)))
-    for low in range(0, int(at[-1]) + 1 if len(at) else 0, wide):
-        a, b = np.searchsorted(at, [low, low + wide])
-        m = np.zeros((len(sets), min(wide, int(at[-1]) + 1 - low)), np.float32)
-        m[owner[a:b], at[a:b] - low] = 1
-        total += m @ m.T
+    ranges = -(-sum(map(len, sets)) // RANGE)
+    ends = [np.uint64((k << 64) // ranges) for k in range(1, ranges)]
+    cuts = [np.concatenate([[0], np.searchsorted(s, ends), [len(s)]]).astype(np.int64) for s in sets]
+    wide = max(256, 1_000_000 // max(1, len(sets)))
+    for k in range(ranges):
+        parts = [s[c[k] : c[k + 1]] for s, c in zip(sets, cuts)]
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in parts])
+        _, at, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        rank = np.cumsum(count > 1) - 1
+        use = count[at] > 1
+        owner, at = owner[use], rank[at[use]]
+        order = np.argsort(at, kind="stable")
+        owner, at = owner[order], at[order]
+        for low in range(0, int(at[-1]) + 1 if len(at) else 0, wide):
+            a, b = np.searchsorted(at, [low, low + wide])
+            m = np.zeros((len(sets), min(wide, int(at[-1]) + 1 - low)), np.float32)
+            m[owner[a:b], at[a:b] - low] = 1
+            total += m @ m.T
     return total
 
 
@@ -353,8 +362,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     )
     classes = table(classes.withColumn("sketch", F.aggregate(sketch, F.lit(b""), lambda a, x: F.concat(a, x))), "classes")
     proposed = propose(classes, similarity, recall)
-    grouped = ranked_groups(cut(components(proposed)).withColumnRenamed("component", "group"))
-    wanted = grouped.join(classes.select("cid", "rep", "copies"), F.col("id") == F.col("cid"))
+    grouped = cut(components(proposed)).withColumnRenamed("component", "group")
+    wanted = grouped.join(classes.select("cid", "rep", "copies", "size"), F.col("id") == F.col("cid"))
+    wanted = ranked_groups(wanted, F.greatest("size", F.lit(SET_LEAST)))
     wanted = cut(wanted.select(F.col("cid").alias("__cid"), F.col("rep").alias("__rep"), "copies", "group", "rank", "n"))
     count = wanted.count()
     side = F.broadcast(wanted) if count <= BROADCAST_CLASSES else wanted
@@ -362,7 +372,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     sets = texts.withColumn("w", full("__text")).filter(F.col("w.cid") == F.col("__cid"))
     # A repeated row, or a key that stands for several rows, gives its class once.
     sets = sets.select(F.col("w.cid").alias("id"), F.col("__rep").alias("rep"), "copies", "group", "rank", "n", F.col("w.items").alias("load")).dropDuplicates(["id"])
-    checked = cut(link_counts(table(sets, "sets"), "binary", relate(similarity), compare_sets(similarity), SET_BLOCK, CORE_BLOCK))
+    weight = F.greatest(F.octet_length("load") / 8, F.lit(SET_LEAST))
+    checked = cut(link_counts(table(sets, "sets"), "binary", relate(similarity), compare_sets(similarity), weight, SET_ITEMS))
     links = checked.groupBy(F.col("id").alias("cid")).agg(F.sum("links").alias("links"))
     same = components(checked.select(F.col("id").alias("a"), F.col("root").alias("b")))
     named = cut(same.join(classes.select(F.col("cid").alias("id"), "rep"), "id"))

@@ -2,9 +2,11 @@
 
 import collections
 import hashlib
+import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from quern.llm.components import block_pairs, components
 from quern.llm.queries import ORACLE, QUERIES
 from tests_llm_brute import HARD, SCHEMA, near_brute, strip_brute
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 CLASH = ["shard", "size", "ids", "kept", "n_words", "__key", "rule", "spans", "removed", "lang_pred", "__row", "N_TOKENS", "lines"]
 MULTI, RANKS = P.path("byte_bpe_multi_50k.tiktoken"), P.path("byte_bpe_50k.json")
 
@@ -33,7 +36,7 @@ def whole(v):
 
 
 def test_queries_are_complete():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == {*range(1, 11)}
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == {*range(1, 14)}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -42,7 +45,8 @@ def test_sql(spark, sf, name):
     for t in ("documents", "pages", "embeddings"):
         con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     got, want = QUERIES[name](spark, sf).toPandas(), con.sql(ORACLE[name]).df()
-    rows = lambda df: sorted(map(str, df[sorted(want.columns)].replace({np.nan: None}).itertuples(index=False)))
+    cell = lambda v: None if pd.isna(v) else int(v) if isinstance(v, (float, np.integer)) and v == int(v) else v
+    rows = lambda df: sorted(str([cell(v) for v in row]) for row in df[sorted(want.columns)].itertuples(index=False))
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
 
 
@@ -210,7 +214,7 @@ def test_vectors(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, near]).astype(np.float32).astype(float))]
     rows += [(900, rows[0][1]), (901, rows[0][1]), (901, rows[0][1]), (None, rows[0][1]), (902, None), (903, []), (904, [0.0] * 16), (905, [float("nan")] + [1.0] * 15), (906, [None] + [1.0] * 15), (907, [1.0, 2.0]), (908, [2.0, 4.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit("clash")).withColumn("__key", F.lit(1))
-    out = hnsw.near_vectors(df, shards=3, block=2).toPandas()
+    out = hnsw.near_vectors(df, shards=3, block=2 * hnsw.LEAST).toPandas()
     links, low = collections.Counter(), {}
     parent = list(range(len(rows)))
 
@@ -247,31 +251,65 @@ def test_graph_recall():
 
 
 class Blind(hnsw.Shard):
-    """A shard whose graph finds nothing but the query itself."""
+    """A shard whose graph finds one match of each query at most."""
 
     def matches(self, q):
         if self.beam >= len(self.ids):
             return self.exact(q)
-        return [np.flatnonzero(f > 1 - 1e-12) for f in q @ self.unit.T]
+        return [f[:1] for f in self.exact(q)]
 
 
-@pytest.mark.parametrize("pairs", [2, 1200])
-def test_audit_leaves_self_matches_out(pairs):
+def test_audit_needs_no_near_vectors():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(3000, 24))
-    x[1500 : 1500 + pairs] = x[:pairs] + rng.normal(size=(pairs, 24)) * 0.01
-    shard = Blind(np.arange(3000), x, 0.95, 0.4)
-    found = shard.matches(shard.unit)
-    assert shard.beam == 3000 and sum(len(f) for f in found) >= 3000 + 2 * pairs
+    shard = hnsw.Shard(np.arange(3000), x, 0.95, 0.995)
+    q = shard.planted(500)
+    assert shard.beam < 3000 and shard.recall >= 0.995
+    best = (q @ shard.unit.T).max(1)
+    assert best.min() > 0.95 - 1e-9 and np.median(best) < 0.98 and all(len(f) for f in shard.exact(q * (1 + 1e-12)))
+    x[1500:] = x[:1500] + rng.normal(size=(1500, 24)) * 0.01
+    blind = Blind(np.arange(3000), x, 0.95, 0.9)
+    assert blind.beam >= 3000 and blind.recall == 1
 
 
-def test_audit_draws_from_other_shards():
-    rng = np.random.default_rng(3)
-    x = rng.normal(size=(3000, 24))
-    near = x + rng.normal(size=x.shape) * 0.01
-    outside = near / np.linalg.norm(near, axis=1, keepdims=True)
-    assert Blind(np.arange(3000), x, 0.95, 0.995, (np.arange(3000, 6000), outside)).beam == 3000
-    assert hnsw.Shard(np.arange(3000), x, 0.95, 0.995, (np.arange(3000, 6000), outside)).beam < 3000
+class Searching(hnsw.Shard):
+    """A shard that may compare with all its vectors in its audit only."""
+
+    inside = False
+
+    def audit(self, recall):
+        self.inside = True
+        try:
+            return super().audit(recall)
+        finally:
+            self.inside = False
+
+    def exact(self, q):
+        assert self.inside
+        return super().exact(q)
+
+
+@pytest.mark.parametrize("sparse", [False, True])
+def test_graphs_find_the_links(sparse):
+    """Near pairs among the table's own vectors over eight shards, or in one sparse shard of 20,000: the graphs' links are all there are."""
+    rng = np.random.default_rng(8)
+    if sparse:
+        x, shards = rng.normal(size=(20_000, 32)), 1
+    else:
+        rows = duckdb.sql("select embedding from '/root/testdata/sf0.1/embeddings.parquet' order by vec_id").fetchall()
+        x, shards = np.array([v for (v,) in rows], np.float64), 8
+    x = np.concatenate([x, x[:400] + rng.normal(size=(400, x.shape[1])) * 0.25 * np.linalg.norm(x[:400], axis=1, keepdims=True) / np.sqrt(x.shape[1])])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = [np.flatnonzero(r) for r in unit[-400:] @ unit.T >= 0.95]
+    assert sum(map(len, want)) > 600
+    found = [set() for _ in want]
+    for s in range(shards):
+        ids = np.arange(s, len(x), shards)
+        shard = Searching(ids, x[ids], 0.95, 0.995)
+        assert shard.recall >= 0.995 and shard.beam < len(ids)
+        for have, places in zip(found, shard.matches(unit[-400:])):
+            have.update(ids[places].tolist())
+    assert sum(map(len, found)) >= 0.995 * sum(map(len, want)) and all(f <= {*w.tolist()} for f, w in zip(found, want))
 
 
 def test_graph_forest():
@@ -362,7 +400,7 @@ def test_core_counts_as_members(spark):
     base = rng.normal(size=32)
     x = np.concatenate([base + rng.normal(size=(300, 32)) * 0.05, base + rng.normal(size=(200, 32)) * 0.22, rng.normal(size=(50, 32))])
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, x[i].tolist()) for i in range(0, 500, 7)]
-    out = hnsw.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shards=2, block=40).toPandas().set_index("vec_id")
+    out = hnsw.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shards=2, block=40 * hnsw.LEAST).toPandas().set_index("vec_id")
     y = np.array([v for _, v in rows])
     y /= np.linalg.norm(y, axis=1, keepdims=True)
     want = (y @ y.T >= 0.95).sum(1) - 1
@@ -386,6 +424,51 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_heavy_rows_fill_their_blocks(spark):
+    rng = np.random.default_rng(9)
+    weight = {i: int(w) for i, w in enumerate(np.minimum(5_000, 10 * rng.pareto(0.7, 300) + 1))}
+    rows = spark.createDataFrame([("g", i, w) for i, w in weight.items()], "grp string, id long, w long")
+    met = block_pairs(rows, "grp", "id", 1_000, 8, weight=F.col("w")).toPandas()
+    blocks = met[met.i == met.j].groupby("i").id.apply(list)
+    assert sorted(sum(blocks, [])) == sorted(weight)
+    assert all(sum(weight[k] for k in ids) - max(weight[k] for k in ids) < 1_000 for ids in blocks)
+    assert len(met) == len(weight) * -(-sum(weight.values()) // 1_000)
+
+
+def test_shared_counts_by_ranges(monkeypatch):
+    rng = np.random.default_rng(10)
+    pool = np.unique(rng.integers(0, 1 << 63, 4_000, np.uint64) * np.uint64(2))
+    sets = [np.sort(rng.choice(pool, n, replace=False)) for n in (0, 1, 7, 900, 2_500, 3_000)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    for size in (1 << 18, 1_000, 50):
+        monkeypatch.setattr(jaccard, "RANGE", size)
+        got = jaccard.shared_counts(sets)
+        assert all(got[i, j] == want[i][j] for i in range(6) for j in range(6) if i != j)
+
+
+def test_a_block_of_long_texts_is_small():
+    """Blocks of the longest texts, compared in a process whose memory is limited."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, numpy as np
+from quern.llm import jaccard as J
+rng = np.random.default_rng(1)
+base = np.unique(rng.integers(0, 1 << 63, 200_000, np.uint64) * np.uint64(2))
+rows = 2 * (J.SET_ITEMS // len(base) + 1)  # two blocks of sets of 200,000 items, and one set more in each
+loads = []
+for _ in range(rows):
+    s = base.copy()
+    s[rng.choice(len(s), 5_000, replace=False)] += np.uint64(1)
+    loads.append(J.packed(0, np.unique(s), s[:0]))
+now = int(open('/proc/self/statm').read().split()[0]) * 4096
+resource.setrlimit(resource.RLIMIT_AS, (now + 160_000_000, now + 160_000_000))
+assert J.compare_sets(0.8)(loads).all()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=ROOT, env={**os.environ, "OPENBLAS_NUM_THREADS": "1", "OMP_NUM_THREADS": "1"})
+
+
 def test_block_pairs_meet_once(spark):
     rows = spark.createDataFrame([("g", i) for i in range(23)] + [("h", 100), ("h", 101)], "grp string, id long")
     pairs = collections.Counter()
