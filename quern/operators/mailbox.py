@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import html_to_text, snippet, strip_subject, thread_subject, trim_all
+from .ranges import breaks as breaks_ranged
 
 FLAGGED = "flagged"
 HIDDEN = ("trash", "junk")
@@ -252,8 +253,7 @@ def palette(commands: DataFrame, query: str) -> DataFrame:
     scored = commands.withColumn("score", palette_score(F.col("title"), F.col("keywords"), q)).filter("score > 0")
     if q:
         return scored.withColumn("starts_section", F.lit(False)).orderBy(F.col("score").desc(), "seq")
-    before = F.lag("section").over(Window.orderBy("seq"))
-    return scored.withColumn("starts_section", ~F.col("section").eqNullSafe(before)).orderBy("seq")
+    return breaks_ranged(scored, "section", [F.col("seq").asc()], [], "starts_section").orderBy("seq")
 
 
 def thread(messages: DataFrame, message_id, last: int | None = None) -> DataFrame:

@@ -1,4 +1,4 @@
 """Registered queries and their SQL."""
 
-from . import bodies, lists, mail, talks, texts  # noqa: F401
+from . import bodies, indexes, lists, mail, talks, texts  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import text as T
 from ..operators import history, layout
 from ..sources import views as V
-from ..streaming import replies, sessions
+from ..streaming import replies, sessions, timers
 from .registry import query
 
 #: Canned answers; the first three are given once.
@@ -124,13 +124,40 @@ def latest_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.latest_answers(V.read(spark, sf_dir, "events").select("user_id", "event_id", "value"), "user_id", "event_id")
 
 
+#: Delays of sends and pauses of pens by user, in milliseconds; 0 can't be undone, and never ends a session.
+DELAYS, PAUSES = (0, 1_800_000, 7_200_000, 14_400_000), (43_200_000, 21_600_000, 86_400_000, 0)
+
+
 @query(
-    sql="""SELECT event_id FROM (SELECT *, lead(event_type) OVER w AS k, date_diff('microsecond', ts, lead(ts) OVER w) AS g FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-        WHERE event_type <> 'error' AND NOT coalesce(k = 'error' AND g <= 7200000000, false)"""
+    sql=f"""WITH e AS (SELECT event_id, user_id, ts, event_type <> 'error' AS sent, [{", ".join(map(str, DELAYS))}][user_id % 4 + 1] AS delay,
+          max(CASE WHEN event_type <> 'error' THEN (ts, event_id) END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events)
+        SELECT s.event_id, s.ts + s.delay * INTERVAL 1 MILLISECOND AS due FROM e s
+        WHERE sent AND NOT EXISTS (SELECT 1 FROM e c WHERE NOT c.sent AND c.user_id = s.user_id AND c.before = (s.ts, s.event_id) AND c.ts < s.ts + s.delay * INTERVAL 1 MILLISECOND)"""
 )
 def undone_sends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V.strokes(spark, sf_dir).withColumn("kind", F.when(F.col("event_type") == "error", "cancel").otherwise("send"))
-    return sessions.delayed(rows, "pointer_id", "ts", 7200).select("event_id")
+    """Errors cancel the user's send before them; what isn't cancelled in time goes out."""
+    rows = V.strokes(spark, sf_dir)
+    sent = F.col("event_type") != "error"
+    before = Window.partitionBy("pointer_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    named = rows.withColumn("send_id", F.when(sent, F.col("event_id")).otherwise(F.last(F.when(sent, F.col("event_id")), ignorenulls=True).over(before)))
+    delay = F.element_at(F.array(*map(F.lit, DELAYS)), (F.col("pointer_id") % 4 + 1).cast("int"))
+    actions = named.filter("send_id is not null").select("send_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.when(sent, "send").otherwise("cancel").alias("kind"), delay.alias("number"))
+    return timers.sends(actions).select("event_id", "due")
+
+
+@query(
+    sql=f"""WITH e AS (SELECT *, [{", ".join(map(str, PAUSES))}][user_id % 4 + 1] AS pause FROM events),
+        m AS (SELECT *, coalesce(lag(event_type) OVER w = 'signup', false) OR coalesce(pause > 0 AND date_diff('microsecond', lag(ts) OVER w, ts) >= 1000::BIGINT * pause, false) AS starts FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+        s AS (SELECT *, sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM m),
+        g AS (SELECT user_id, session, pause, min(ts) AS started, max(ts) AS ended, count(*) AS n, bool_or(event_type = 'signup') AS forced FROM s GROUP BY user_id, session, pause)
+        SELECT user_id AS pointer_id, started, ended, n, forced FROM g WHERE forced OR pause > 0"""
+)
+def pause_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions by each user's own pause; a sign-up commits at once, and a pause of 0 waits for one."""
+    pause = F.element_at(F.array(*map(F.lit, PAUSES)), (F.col("pointer_id") % 4 + 1).cast("int"))
+    rows = V.strokes(spark, sf_dir).select("pointer_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind"), pause.alias("number"))
+    out = timers.pauses(rows, "pointer_id", "signup")
+    return out.select("pointer_id", F.col("start").alias("started"), F.col("end").alias("ended"), "n", "forced")
 
 
 @query(

@@ -13,14 +13,19 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 TURNS = "turn long, role string, text string"
 
 
-def _seconds(ts: str) -> Column:
-    return F.col(ts).cast("timestamp").cast("double")
+def _micros(ts: str) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
+def _seconds(later: Column, earlier: Column) -> Column:
+    """Seconds between two moments, from whole microseconds, so that a gap of just the limit counts as that."""
+    return (later - earlier) / 1_000_000
 
 
 def sessions(events: DataFrame, key: str, ts: str, pause_seconds: float, commit: Column | None = None) -> DataFrame:
     """Number the sessions of each key from 0: a new one starts after a pause, or after an event that commits."""
     w = Window.partitionBy(key).orderBy(ts, "event_id")
-    gap = (_seconds(ts) - F.lag(_seconds(ts)).over(w)) >= pause_seconds
+    gap = _seconds(_micros(ts), F.lag(_micros(ts)).over(w)) >= pause_seconds
     new = F.coalesce(gap, F.lit(False))
     if commit is not None:
         new = new | F.coalesce(F.lag(commit).over(w), F.lit(False))
@@ -35,8 +40,8 @@ def live_sessions(events: DataFrame, key: str, ts: str, pause: str, late: str =
 def debounced(events: DataFrame, key: str, ts: str, wait_seconds: float) -> DataFrame:
     """The last event of each burst: no other of its key follows within the wait."""
     w = Window.partitionBy(key).orderBy(ts, "event_id")
-    following = F.lead(_seconds(ts)).over(w)
-    return events.withColumn("__next", following).filter(F.col("__next").isNull() | (F.col("__next") - _seconds(ts) >= wait_seconds)).drop("__next")
+    following = F.lead(_micros(ts)).over(w)
+    return events.withColumn("__next", following).filter(F.col("__next").isNull() | (_seconds(F.col("__next"), _micros(ts)) >= wait_seconds)).drop("__next")
 
 
 def live_debounced(events: DataFrame, key: str, ts: str, wait: str, late: str = "1 hour") -> DataFrame:
@@ -70,7 +75,7 @@ def live_history(turns: DataFrame, kept: int = 60) -> DataFrame:
 def chords(events: DataFrame, key: str, ts: str, first: Column, within_seconds: float) -> DataFrame:
     """Events right after a ``first`` one of the same key, soon enough."""
     w = Window.partitionBy(key).orderBy(ts, "event_id")
-    soon = _seconds(ts) - F.lag(_seconds(ts)).over(w) <= within_seconds
+    soon = _seconds(_micros(ts), F.lag(_micros(ts)).over(w)) <= within_seconds
     marked = events.withColumns({"__f": F.lag(first).over(w), "__s": soon})
     return marked.filter("__f and __s").drop("__f", "__s")
 
@@ -149,13 +154,3 @@ def gated(parts: DataFrame, keys: list[str], order: str, text: str, last: str) -
 def live_scores(stream: DataFrame) -> DataFrame:
     """Contact scores as a running aggregate; its state holds one row for each address that ever wrote."""
     return stream.groupBy(F.lower("address").alias("address")).agg(F.sum("weight").alias("score"))
-
-
-def delayed(actions: DataFrame, key: str, ts: str, seconds: float) -> DataFrame:
-    """Sends that no cancellation of their key follows within the delay; (key, ts, kind)."""
-    w = Window.partitionBy(key).orderBy(ts, "event_id")
-    after = F.lead("kind").over(w)
-    when = F.lead(_seconds(ts)).over(w) - _seconds(ts)
-    undone = (after == "cancel") & (when <= seconds)
-    marked = actions.withColumn("__u", F.coalesce(undone, F.lit(False)))
-    return marked.filter((F.col("kind") == "send") & ~F.col("__u")).drop("__u")
