@@ -102,7 +102,7 @@ def part_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql="SELECT CASE id % 3 WHEN 2 THEN '1.1' ELSE '1' END AS part, id // 1000 AS batch, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM d GROUP BY 1, 2", views="d")
 def ids_by_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The messages whose preview is fetched from the same part."""
-    first = mime.text_part(mime.message_parts(raw_messages(spark, sf_dir), "id", "raw"), "id")
+    first = mime.text_part(mime.message_parts(raw_messages(spark, sf_dir), "id", "raw", bodies=False), "id")
     return mailbox.ids_by(first, "part").select("part", "batch", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 

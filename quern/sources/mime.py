@@ -115,13 +115,17 @@ def numbered_parts(message: Message) -> list[dict]:
     return leaves
 
 
-def message_parts(df: DataFrame, key: str, raw: str) -> DataFrame:
-    """One row for each leaf of a raw message's MIME tree: key, its number, place, type, disposition, name and body as sent."""
+def message_parts(df: DataFrame, key: str, raw: str, bodies: bool = True) -> DataFrame:
+    """One row for each leaf of a raw message's MIME tree: key, its number, place, type, disposition, name and body as sent.
 
-    @F.pandas_udf(f"array<struct<{PART.replace(' ', ':').replace(',:', ',')}>>")
+    Without ``bodies`` the tree alone leaves the Python worker, which is all that numbers and types need.
+    """
+    kind = PART if bodies else PART.replace("body binary, ", "")
+
+    @F.pandas_udf(f"array<struct<{kind.replace(' ', ':').replace(',:', ',')}>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(lambda x: numbered_parts(message_from_bytes(x or b"")))
+            yield batch.map(lambda x: [p if bodies else {k: v for k, v in p.items() if k != "body"} for p in numbered_parts(message_from_bytes(x or b""))])
 
     return df.select(key, F.explode(run(F.col(raw))).alias("p")).select(key, "p.*")
 

@@ -30,3 +30,29 @@ def table(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def storage(path: str):
+    """pyarrow's file system of a URI or a plain path, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+
+
+def names(path: str) -> list[tuple[str, bool]]:
+    """(name, is a folder) of what a folder holds, in order; a missing one holds nothing."""
+    from pyarrow import fs
+
+    disk, at = storage(path)
+    found = disk.get_file_info(fs.FileSelector(at, allow_not_found=True))
+    return sorted((f.base_name, f.type == fs.FileType.Directory) for f in found)
+
+
+def put(path: str, name: str, raw: bytes) -> None:
+    """Write a file that is either there as a whole or not at all; an older one of that name is replaced."""
+    disk, at = storage(path)
+    disk.create_dir(at, recursive=True)
+    hidden = f"{at}/.{name}-{uuid.uuid4().hex}"
+    with disk.open_output_stream(hidden) as out:
+        out.write(raw)
+    disk.move(hidden, f"{at}/{name}")

@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 TURNS = "turn long, role string, text string"
@@ -111,20 +110,6 @@ def watched(spark: SparkSession, path: str, schema: str, at_once: int = 100) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", at_once).parquet(path)
 
 
-def keep_view(stream: DataFrame, view: str, checkpoint: str) -> DataStreamWriter:
-    """A sink that adds to a Parquet view what it doesn't hold yet by (folder, id), batch by batch."""
-
-    def add(batch: DataFrame, number: int) -> None:
-        new = batch.dropDuplicates(["folder", "id"]).withColumn("batch", F.lit(number))
-        spark = batch.sparkSession
-        # A batch that is run again after a loss replaces what it had written.
-        old = spark.read.schema(new.schema).option("basePath", view).parquet(view) if number else new.limit(0)
-        fresh = new.join(old.filter(F.col("batch") != number).select("folder", "id"), ["folder", "id"], "left_anti").select(*new.columns)
-        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(view)
-
-    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
-
-
 def inserted(new: DataFrame, shown: DataFrame) -> DataFrame:
     """New rows that the view doesn't hold yet, in front of it: each (folder, id) once."""
     return new.dropDuplicates(["folder", "id"]).join(shown.select("folder", "id"), ["folder", "id"], "left_anti")

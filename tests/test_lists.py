@@ -98,22 +98,6 @@ def test_wrap_keeps_words(seed):
     assert all(len(x.rstrip(" ")) <= 20 for x in lines) and "".join("".join(lines).split()) == "".join(whole.split())
 
 
-def test_kept_view(spark, tmp_path):
-    rows = [(1, "inbox"), (1, "inbox"), (2, "work"), (3, "inbox")]
-    source, view = str(tmp_path / "in"), str(tmp_path / "view")
-    df = spark.createDataFrame(rows, "id long, folder string")
-    df.filter("id < 3").coalesce(1).write.parquet(source)
-
-    def run():
-        stream = sessions.watched(spark, source, "id long, folder string")
-        sessions.keep_view(stream, view, str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
-        return sorted((r["id"], r["folder"]) for r in spark.read.parquet(view).collect())
-
-    assert run() == [(1, "inbox"), (2, "work")]
-    df.coalesce(1).write.mode("append").parquet(source)
-    assert run() == [(1, "inbox"), (2, "work"), (3, "inbox")]
-
-
 def test_bodies(spark):
     row = spark.range(1).select(
         text.plain_to_html(F.lit("Hi <me@x.org>, see http://a.b/c.\n\n> old\n> http://d.e")).alias("both"), text.plain_to_html(F.lit("> all\n> quoted")).alias("all"),
