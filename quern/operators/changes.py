@@ -27,8 +27,9 @@ def flags_from_log(log: DataFrame) -> DataFrame:
 
 
 def move(messages: DataFrame, ids: DataFrame, folders: DataFrame, to: str) -> DataFrame:
-    """The named messages in the folder whose role or id is ``to``; virtual and unknown targets change nothing."""
-    target = folders.filter(((F.col("role") == to) | (F.col("id") == to)) & ~F.col("virtual")).agg(F.first("id").alias("t")).scalar()
+    """The named messages in the folder whose role or id is ``to``, the first by ``seq`` (or id); virtual and unknown targets change nothing."""
+    place = F.col("seq") if "seq" in folders.columns else F.col("id")
+    target = folders.filter(((F.col("role") == to) | (F.col("id") == to)) & ~F.col("virtual")).agg(F.min_by("id", place).alias("t")).scalar()
     marked = messages.join(ids.select("id").distinct().withColumn("__hit", F.lit(True)), "id", "left")
     return marked.withColumn("folder", F.when(F.col("__hit"), F.coalesce(target, F.col("folder"))).otherwise(F.col("folder"))).select(*messages.columns)
 
@@ -47,7 +48,8 @@ def action(kind: str, folder: Column) -> Column:
 def send(messages: DataFrame, mail: DataFrame, no_subject: str = "(без темы)") -> DataFrame:
     """Messages with the sent ones added: a reply joins the thread of its original, which is then answered.
 
-    Both have message_id, in_reply_to and thread_key; ``mail`` brings the same columns.
+    Both have message_id, in_reply_to and thread_key; ``mail`` brings the same columns. Answers to mails that are sent with them
+    join their thread by ``threads.threaded``.
     """
     originals = messages.select(F.col("message_id").alias("__o"), F.col("thread_key").alias("__t")).dropDuplicates(["__o"])
     sent = mail.join(originals, F.col("in_reply_to") == F.col("__o"), "left")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from ..operators import mailbox, ranges
+from ..operators import mailbox, ranges, threads
 from ..operators.postings import Postings
+from ..sources import mailbox as mailfiles
 from ..sources import views as V
+from ..sources.keyed import Keyed
 from ..sources.shared import fresh_path
 from .mail import _FIELDS, _GROUP, AS_OF
 from .registry import query
@@ -96,3 +98,60 @@ def criteria_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = ranges.Pages.build(rows, [F.col("seq").desc()], fresh_path(spark, "pages"))
     where = mailbox.criteria([F.col("from.name"), F.col("from.address")], "1", "unread", F.lit(None).cast("string"))
     return pages.page("inbox", 40, 20, where=where).orderBy(F.col("date").desc(), F.col("seq").desc()).select("id", "date")
+
+
+#: Chains of about fifty replies; in every tenth the first answers the last, in the next the first answers what isn't there.
+_CHAINED = "SELECT id, seq // 200 AS chain, lag(id) OVER (PARTITION BY seq // 200 ORDER BY id) AS before, max(id) OVER (PARTITION BY seq // 200) AS last FROM m"
+
+
+@query(
+    sql=f"""SELECT * FROM (WITH RECURSIVE l AS MATERIALIZED (SELECT id, chain, CASE WHEN before IS NOT NULL THEN 'm' || before WHEN chain % 10 = 0 AND last <> id THEN 'm' || last WHEN chain % 10 = 1 THEN 'gone' END AS parent FROM ({_CHAINED})),
+        r AS (SELECT id, 'm' || id AS root, 0 AS depth FROM l WHERE parent IS NULL OR parent = 'gone' UNION ALL SELECT l.id, r.root, r.depth + 1 FROM r JOIN l ON l.parent = 'm' || r.id),
+        rings AS (SELECT chain, min('m' || id) AS root FROM l WHERE chain NOT IN (SELECT chain FROM l WHERE parent IS NULL OR parent = 'gone') GROUP BY chain)
+        SELECT id, root, CAST(depth AS BIGINT) AS depth FROM r UNION ALL SELECT id, root, NULL FROM l JOIN rings USING (chain))""",
+    views="m",
+)
+def reply_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The oldest ancestor of each message, through all replies."""
+    w = Window.partitionBy("chain").orderBy("id")
+    name = lambda c: F.concat(F.lit("m"), c.cast("string"))
+    rows = V.messages_slim(spark, sf_dir).withColumn("chain", F.floor(F.col("seq") / 200))
+    rows = rows.withColumns({"before": F.lag("id").over(w), "last": F.max("id").over(Window.partitionBy("chain"))})
+    first = F.when((F.col("chain") % 10 == 0) & (F.col("last") != F.col("id")), name(F.col("last"))).when(F.col("chain") % 10 == 1, F.lit("gone"))
+    mails = rows.select("id", name(F.col("id")).alias("message_id"), F.coalesce(name(F.col("before")), first).alias("in_reply_to"))
+    return threads.roots(mails).select(F.substring("message_id", 2, 30).cast("long").alias("id"), "root", "depth")
+
+
+@query(sql="""SELECT key, value FROM (SELECT user_id AS key, arg_max(value, event_id) AS value, arg_max(event_type, event_id) AS t FROM events GROUP BY user_id) WHERE t <> 'error'""")
+def keyed_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last state of each draft, from a table that takes the log in four changes, with a compaction between them."""
+    log = V.read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("saved_at"), F.col("event_type").alias("t"), "value")
+    drafts = Keyed(spark, fresh_path(spark, "drafts"), "key", "key long, saved_at long, value double", 32)
+    cuts = [r[0] for r in log.agg(F.explode(F.percentile("saved_at", F.array(F.lit(0.0), F.lit(0.25), F.lit(0.5), F.lit(0.75), F.lit(1.0))))).collect()]
+    for i, (low, high) in enumerate(zip(cuts, cuts[1:])):
+        part = log.filter((F.col("saved_at") >= low) & ((F.col("saved_at") < high) if i < 3 else F.lit(True)))
+        last = part.groupBy("key").agg(F.max_by(F.struct("saved_at", "t", "value"), "saved_at").alias("r")).select("key", "r.*")
+        drafts.upsert(last.filter("t <> 'error'").select("key", "saved_at", "value"))
+        drafts.delete(last.filter("t = 'error'").select("key"))
+        if i == 1:
+            drafts.compact()
+    return drafts.read().select("key", "value")
+
+
+@query(
+    sql="""SELECT folder, id AS uid, 'No ' || id || ' of ' || folder AS subject, from_address AS sender, '<m' || id || '@x>' AS message_id, md5(coalesce(text, '')) AS body FROM d
+        WHERE folder IN (SELECT min(folder) FROM d UNION SELECT max(folder) FROM d) AND id BETWEEN 30 AND 900""",
+    views="d",
+)
+def mailbox_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages as raw mail in a mailbox; of two folders a range of numbers is read."""
+    rows = V.messages_doc(spark, sf_dir)
+    number = F.col("id").cast("string")
+    head = F.concat(F.lit("From: "), F.col("from.address"), F.lit("\r\nSubject: No "), number, F.lit(" of "), "folder", F.lit("\r\nMessage-ID: <m"), number, F.lit("@x>\r\nContent-Type: text/plain; charset=utf-8\r\n\r\n"))
+    path = fresh_path(spark, "mailbox")
+    written = mailfiles.write_mail(rows.select("folder", F.col("id").alias("uid"), F.encode(F.concat(head, F.coalesce("text", F.lit(""))), "UTF-8").alias("raw")), path, 100)
+    folders = [r["folder"] for r in written.groupBy("folder").agg(F.sum("n").alias("n")).orderBy("folder").collect()]
+    mails = mailfiles.read_mail(spark, path, bodies=True, folders=[folders[0], folders[-1]], low=30, high=900)
+    text = F.decode("raw", "UTF-8")
+    body = F.substring(text, F.instr(text, "\r\n\r\n") + 4, F.char_length(text))
+    return mails.select("folder", "uid", "subject", "sender", "message_id", F.md5(F.encode(body, "UTF-8")).alias("body"))
