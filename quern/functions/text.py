@@ -23,8 +23,8 @@ REMOTE = r"""(?i)<img[^>]+src\s*=\s*["']?\s*(?:https?:)?//|url\(\s*["']?\s*(?:ht
 DESIGNED, COLOR = r"(?i)<table|bgcolor|background(?:-color)?\s*:|<style", r"(?i)color\s*:"
 REFRESH, BASE, SCRIPT = r"(?i)<meta[^>]+http-equiv\s*=\s*[\"']?refresh[^>]*>", r"(?i)<base[^>]*>", r"(?is)<script.*?</script>"
 ATTACHMENT_WORDS = r"(?iu)прикреп|влож|attach|во вложении"
-QUOTE_HEAD = r"(?iu)^(?:On|В|Le|Am)\s.{4,160}(?:wrote|написал|написала|написал\(а\)|a écrit|schrieb):?\s*$"
-QUOTE_DIVIDER = r"(?iu)^-{2,}\s*(?:Original Message|Исходное сообщение|Пересылаемое сообщение)"
+QUOTE_HEAD = r"(?:On|В|Le|Am)\s.{4,160}(?:wrote|написал|написала|написал\(а\)|a écrit|schrieb):?"
+QUOTE_DIVIDER = r"-{2,}\s*(?:Original Message|Исходное сообщение|Пересылаемое сообщение)"
 
 
 def let(value: Column, use) -> Column:
@@ -95,15 +95,28 @@ def text_to_html(s: Column) -> Column:
 
 
 def snippet(s: Column, most: int = 180) -> Column:
-    """One line of preview: quoted lines are skipped, a signature or the head of a quoted reply ends it."""
+    """One line of preview: quoted lines are skipped, a signature or the head of a quoted reply ends it.
+
+    The first characters of a text decide it where they give enough; else the whole text is looked at.
+    """
     lead = rf"(?iu)^(?:{'|'.join(QUOTE_LEADS)}) .{{4,120}}(?:{'|'.join(QUOTE_VERBS)})"
-    lines = F.split(F.coalesce(s, F.lit("")), r"\r?\n")
+    sign = rf"^--[{BLANK}]*$"
     quoted = lambda x: x.rlike(rf"^[{BLANK}]*>")
-    stops = F.transform(lines, lambda x: ~quoted(x) & (x.rlike(rf"^--[{BLANK}]*$") | x.rlike(lead)))
-    end = F.coalesce(F.nullif(F.array_position(stops, True), F.lit(0)) - 1, F.size(lines))
-    flat = trim_all(collapse(F.array_join(F.filter(F.slice(lines, F.lit(1), end.cast("int")), lambda x: ~quoted(x)), " ")))
+
+    def flat(lines: Column) -> Column:
+        stops = F.transform(lines, lambda x: (x.rlike(sign) | x.rlike(lead)) & ~quoted(x))
+        end = F.coalesce(F.nullif(F.array_position(stops, True), F.lit(0)) - 1, F.size(lines))
+        return trim_all(collapse(F.array_join(F.filter(F.slice(lines, F.lit(1), end.cast("int")), lambda x: ~quoted(x)), " ")))
+
+    text = F.coalesce(s, F.lit(""))
+    first = F.split(F.substring(text, 1, 8 * most), r"\r?\n")
+    # The last line of these may go on: it counts if what is there of it says what kind of line it is.
+    told = lambda lines: (F.length(F.element_at(lines, -1)) > most) & ~F.element_at(lines, -1).rlike(sign)
+    start = let(first, lambda lines: flat(F.when(told(lines), lines).otherwise(F.slice(lines, F.lit(1), F.size(lines) - 1))))
+    enough = F.when(F.length(text) > 8 * most, start)
     cut = lambda f: F.concat(F.regexp_replace(F.substring(f, 1, most - 1), rf"[{BLANK}]+\z", ""), F.lit("…"))
-    return let(flat, lambda f: F.when(F.length(f) > most, cut(f)).otherwise(f))
+    line = let(enough, lambda f: F.when(F.length(f) > most, f).otherwise(let(F.split(text, r"\r?\n"), flat)))
+    return let(line, lambda f: F.when(F.length(f) > most, cut(f)).otherwise(f))
 
 
 def parse_recipients(s: Column) -> Column:
@@ -199,9 +212,11 @@ def quote_start(lines: Column) -> Column:
     own = F.transform(lines, lambda x, i: F.when(~x.rlike(r"^\s*(?:>|$)"), i))
     last_own = F.coalesce(F.array_max(own), F.lit(-1))
 
+    # One look at each line: blanks around a head line are part of the pattern, so that no line is trimmed for it.
+    head = rf"(?iu)^[{BLANK}]*(?:{QUOTE_HEAD}[{BLANK}]*$|{QUOTE_DIVIDER})"
+
     def marks(last: Column) -> Column:
-        head = lambda x: x.rlike(QUOTE_HEAD) | x.rlike(QUOTE_DIVIDER)
-        return F.array_min(F.transform(lines, lambda x, i: F.when(head(trim_all(x)) | ((i > last) & x.rlike(r"^\s*>")), i)))
+        return F.array_min(F.transform(lines, lambda x, i: F.when(x.rlike(head) | ((i > last) & x.rlike(r"^\s*>")), i)))
 
     at = F.coalesce(let(last_own, marks), F.lit(-1))
     return F.when(at == 0, -1).otherwise(at).cast("int")

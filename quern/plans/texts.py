@@ -43,7 +43,7 @@ def snippet_sql(text: str, columns: str = "id, ") -> str:
 @query(sql=snippet_sql(_QUOTED), views="d")
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = F.array(*map(F.lit, ["", "\n> quoted\nmore", "\n-- \nSig", "\nOn Tue, somebody wrote:\nold"]))
-    return V.messages_doc(spark, sf_dir).select("id", T.snippet(F.concat("text", F.element_at(ends, (F.col("id") % 4 + 1).cast("int")))).alias("snippet"))
+    return V.spread(V.messages_doc(spark, sf_dir)).select("id", T.snippet(F.concat("text", F.element_at(ends, (F.col("id") % 4 + 1).cast("int")))).alias("snippet"))
 
 
 def entities_sql(text: str) -> str:
@@ -64,7 +64,7 @@ _LINES = rf"regexp_replace(regexp_replace({entities_sql('b')}, '[ \t\x{{A0}}]+',
 @query(sql=f"SELECT page_id, {_trim(_LINES)} AS text FROM (SELECT page_id, {_BARE} AS b FROM pages)")
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The SQL takes one tag after the other, which is the same where none of them holds another's end."""
-    return V.bodies_html(spark, sf_dir).select("page_id", T.html_to_text(F.col("html")).alias("text"))
+    return V.spread(V.bodies_html(spark, sf_dir)).select("page_id", T.html_to_text(F.col("html")).alias("text"))
 
 
 _ODD = "'&amp;lt; &#0; &#x1F600; &#128516; &unknown; &AMP; &#xD800; &#99999999; & &;'"
@@ -193,7 +193,7 @@ def plain_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ended(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, most of them with quoted history at their end."""
     end = F.element_at(F.array(*map(F.lit, ENDINGS)), (F.col("id") % 4 + 1).cast("int"))
-    return V.messages_doc(spark, sf_dir).select("id", F.concat("text", end).alias("t"))
+    return V.spread(V.messages_doc(spark, sf_dir)).select("id", F.concat("text", end).alias("t"))
 
 
 @query()
@@ -243,7 +243,7 @@ def data_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def wrap_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.placed(layout.wrapped(V.messages_doc(spark, sf_dir).select("id", "text"), "id", "text", 60), 25)
+    return layout.placed(layout.wrapped(V.spread(V.messages_doc(spark, sf_dir)).select("id", "text"), "id", "text", 60), 25)
 
 
 @query(

@@ -27,6 +27,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of few files dealt over all cores, for work that takes long for each row; many files stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def folders(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(FOLDERS, FOLDER_SCHEMA)
 

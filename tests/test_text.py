@@ -93,3 +93,28 @@ def test_fnv(spark):
         return x
 
     assert one(spark, L.fnv1a, "a@b.c") == fnv("a@b.c")
+
+
+def test_snippets_of_long_texts(spark):
+    """The first characters decide a snippet where they can; it is that of the whole text in any case."""
+    import random
+    import re
+
+    blank = "[\\s ﻿]"
+
+    def plain(s, most=180):
+        kept = []
+        for x in re.split(r"\r?\n", s):
+            quoted = re.match(rf"{blank}*>", x)
+            if not quoted and (re.fullmatch(rf"--{blank}*", x) or re.match(r"(?i)(?:On|В|Le|Am) .{4,120}(?:wrote|написал|a écrit|schrieb)", x)):
+                break
+            kept += [] if quoted else [x]
+        flat = re.sub(rf"^{blank}+|{blank}+$", "", re.sub(rf"{blank}+", " ", " ".join(kept)))
+        return flat if len(flat) <= most else re.sub(rf"{blank}+$", "", flat[: most - 1]) + "…"
+
+    rng = random.Random(4)
+    parts = ["word", "a b", "> quoted " * 40, "", " ", "--", "-- ", "--" + " " * 400, "-- x", "On Monday Ann wrote:", "On " + "y" * 200 + " wrote", "long " * 60, "z" * 700, " " * 500, " ", "> x"]
+    texts = ["\n".join(rng.choices(parts[:1] * 4 + parts, k=rng.randint(0, 30))) for _ in range(400)]
+    texts += ["x" * n + end + "y" * 900 for n in (150, 178, 179, 180, 181, 1438, 1439, 1440, 1441) for end in ("", "\n--\n", "\r\n--\r\n", "\n> ", " ")]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string").select("id", T.snippet(F.col("t")).alias("s"))
+    assert {r["id"]: r["s"] for r in df.collect()} == {i: plain(t) for i, t in enumerate(texts)}
