@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from ..operators import mailbox, ranges, threads
+from ..operators import folds, layout, mailbox, ranges, threads
 from ..operators.postings import Postings
 from ..sources import mailbox as mailfiles
 from ..sources import views as V
@@ -155,3 +155,16 @@ def mailbox_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.decode("raw", "UTF-8")
     body = F.substring(text, F.instr(text, "\r\n\r\n") + 4, F.char_length(text))
     return mails.select("folder", "uid", "subject", "sender", "message_id", F.md5(F.encode(body, "UTF-8")).alias("body"))
+
+
+@query(
+    sql="""WITH RECURSIVE p AS (SELECT user_id % 3 AS pen, event_id, value / 100 AS x, CAST(event_id % 3 / 10 AS DOUBLE) AS y, row_number() OVER (PARTITION BY user_id % 3 ORDER BY ts, event_id) AS n FROM events),
+        k AS (SELECT pen, event_id, n, x AS kx, y AS ky, true AS far FROM p WHERE n = 1 UNION ALL
+          SELECT p.pen, p.event_id, p.n, CASE WHEN f THEN p.x ELSE kx END, CASE WHEN f THEN p.y ELSE ky END, f FROM k JOIN p ON p.pen = k.pen AND p.n = k.n + 1,
+            LATERAL (SELECT (p.x - kx) * (p.x - kx) + (p.y - ky) * (p.y - ky) >= 0.35 AS f))
+        SELECT event_id, pen FROM k WHERE far"""
+)
+def steady_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three strokes that hold all events, walked in pieces at once."""
+    points = V.strokes(spark, sf_dir).select("event_id", (F.col("pointer_id") % 3).alias("pen"), "ts", (F.col("x") / 100).alias("x"), (F.col("event_id") % 3 / 10).cast("double").alias("y"))
+    return folds.steady(points, ["pen"], ["ts", "event_id"], layout.TREMOR).select("event_id", "pen")
