@@ -2,33 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 #: A word is a run of bytes other than the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is read from ``spark.checkpoint.dir``; a folder of our own is made only where that is
-    unset and the master is local, as in tests. Elsewhere a folder of one machine would lose data.
-    """
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if given:
-        return given
-    if sc.getCheckpointDir() is None:
-        if sc.master != "local" and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quern-"))
-    return sc.getCheckpointDir()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
@@ -43,6 +29,14 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released() -> None:
+    """Give back to the system what numpy and Arrow have freed, so that a worker that waits for its next task doesn't hold it."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the folder of a ``table`` that nothing reads any more; only folders inside the shared one are touched."""
     spark = df.sparkSession

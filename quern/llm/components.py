@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, gapless_rank, table
+from .common import cut, gapless_rank, released, table
 
 
 def with_group(rows: DataFrame, key: str, *aggregates: Column) -> DataFrame:
@@ -96,6 +96,7 @@ def groups_in_partition(work: Callable, columns: list[str]):
                 rest.append(batch.iloc[a:b])
         if rest:
             yield work(pd.concat(rest, ignore_index=True))
+        released()
 
     return run
 

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table
+from .common import cut, released, small_batches, table
 from .components import block_pairs, components, groups_in_partition, link_counts, ranked_groups, with_group
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.999
@@ -150,6 +150,7 @@ def signature(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             s = shingles(t)
             out.append((class_of(s), len(s), embed(s).tobytes() if len(s) else b""))
         yield pd.DataFrame(out, columns=["cid", "size", "tokens"])
+    released()
 
 
 def whole_set(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -157,6 +158,7 @@ def whole_set(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in texts:
         sets = [shingles(t) for t in batch]
         yield pd.DataFrame({"cid": [class_of(s) for s in sets], "items": [packed(0, s, s[:0]) for s in sets]})
+    released()
 
 
 def survival(share: float, similarity: float, depth: int) -> float:
@@ -215,6 +217,7 @@ def leaf_pairs(propose: float, similarity: float):
             yield compare(whole[whole["node"] != last], propose, similarity)
         if rest is not None:
             yield compare(rest, propose, similarity)
+        released()
 
     return run
 

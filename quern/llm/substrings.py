@@ -13,8 +13,8 @@ megabytes by their place, so that neither a key nor a passage makes a part large
    smallest key, so that a passage in very many documents is few rows for each part. A bucket sorts the suffixes in
    its surroundings, which are aligned at their anchors. Every eighth column is in the cover sample, whose
    suffixes are ranked first, each from eight bytes and the rank of the next sample. A suffix at any other column
-   is ordered by the bytes up to the next sample column and that sample's rank, so that long ties are never
-   compared byte by byte. (A difference cover must give any two suffixes a common distance to the sample;
+   is ordered by the bytes up to the next sample column and that sample's rank, so that sorting never compares long
+   ties byte by byte; whether two neighbours are equal in ``length`` bytes is then read from these bytes. (A difference cover must give any two suffixes a common distance to the sample;
    aligned at anchors, suffixes that can be equal always stand in the same column, where the plain cover
    of every eighth column does that.) Runs of neighbours equal in all ``length`` bytes share their smallest key.
    The bucket answers each surrounding with a mask of the starts that a smaller key than its own has too.

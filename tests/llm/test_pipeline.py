@@ -68,19 +68,54 @@ def test_token_stage(stages):
     assert got == want
 
 
-def test_hard_rows_pass(spark, sf):
-    from tests_llm_brute import HARD, SCHEMA
-
-    docs = spark.createDataFrame(HARD, SCHEMA)
+def test_hard_rows_pass(spark):
+    """Which of the hard rows each stage keeps, alone and one after the other."""
+    from tests_llm_brute import HARD, LONG, SCHEMA
+
+    solid = [(20 + i, " ".join(f"w{(7 * i + 3 * k) % 97}x{i}" for k in range(60)), "en", ["a", "b", None][i % 3], 1) for i in range(12)]
+    docs = spark.createDataFrame(HARD + solid, SCHEMA)
+    keys = lambda df: collections.Counter(None if r["doc_id"] is None else int(r["doc_id"]) for r in df.collect())
+    alone = [keys(stage(spark, docs, "")) for _, stage in C.STAGES]
+    own = collections.Counter(r[0] for r in solid)
+    everything = collections.Counter(r[0] for r in HARD) + own
+    assert alone[0] == own  # the hard ones have too few words, or words that repeat all through the text
+    # Of the three long texts that are equal the smallest key stays; all others are groups of their own.
+    assert alone[1] == everything - collections.Counter({4: 2})
+    assert alone[2] == everything and set(alone[3]) <= set(everything) and set(alone[4]) == set(everything)
+    passages = {r["doc_id"]: r["text"] for r in C.repeated_passages(spark, docs, "").filter("doc_id in (3, 4, 5, 7)").collect()}
+    assert passages[3] == LONG and passages[4] == "" and passages[5] == "x" * 70_000 and passages[7] == HARD[8][1]
     for _, stage in C.STAGES:
-        docs = C.table(stage(spark, docs, sf), "hard")
-    assert docs.count() >= 0
+        docs = C.table(stage(spark, docs, ""), "hard")
+    assert 0 < len(keys(docs)) <= 12 and set(keys(docs)) <= set(own)
     empty = spark.createDataFrame([], SCHEMA)
     for _, stage in C.STAGES:
-        empty = C.table(stage(spark, empty, sf), "empty")
+        empty = C.table(stage(spark, empty, ""), "empty")
     assert empty.count() == 0
 
 
+def test_quality_stage_against_plain_rules(spark):
+    """Lines of a host that too many documents have go, and with them documents of which too little is left."""
+    menu = [" ".join(f"menu{k}n{j}" for j in range(5)) for k in range(30)]
+    usual = {"Subscribe to our letter now", "All rights reserved by the house", *menu}
+    rows = []
+    for i in range(40):
+        own = [" ".join(f"q{i}x{k}y{j}" for j in range(10)) for k in range(8)]
+        rows.append((i, "\n".join(own + (menu if i % 3 == 0 else []) + sorted(usual - {*menu})), "en", "h", 1))
+    rows += [(100 + i, "short text", "en", "h", 1) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in C.quality(spark, docs, "").collect()}
+    want = {}
+    for k, text, *_ in rows:
+        words, lines = text.split(), text.split("\n")
+        grams = collections.Counter(zip(words, words[1:], words[2:]))
+        hit = {j + d for j, g in enumerate(zip(words, words[1:], words[2:])) if grams[g] > 1 for d in range(3)}
+        left = [x for x in lines if x not in usual]
+        if len(words) >= 50 and 2 * len(hit) <= len(words) and sum(len(x.split()) for x in left) >= 0.5 * len(words):
+            want[k] = "\n".join(left)
+    assert set(got) == set(want) == {i for i in range(40) if i % 3}
+    assert all(got[k].split() == want[k].split() for k in want)
+
+
 def test_extra_columns_stay(spark, sf):
     from pyspark.sql import functions as F
 
