@@ -2,6 +2,13 @@
 
 Each stage takes what its predecessor kept and gives back documents with the columns of the table, the last
 one a row of digests for each document. A row is known by its key and text, so null and repeated keys pass.
+
+Defined results, stage by stage: a null or empty text has too few words and goes in the first stage; a later stage that gets one
+keeps it, as one that is its own group, loses nothing, weighs nothing (so that the mixture takes it once or not at all) and
+has no tokens. Texts are read whole, however long. Rows of equal key and text are one document: the first stage keeps
+each of them, the second one of them, as of any group; of a group's ties the smallest key stays (null last). Null sources
+are a source of their own. An empty table gives an empty table in every stage. Columns beyond those of the table stay as
+they are, whatever their names, in all stages but the last, which returns its own columns alone.
 """
 
 from __future__ import annotations
