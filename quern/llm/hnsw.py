@@ -37,15 +37,15 @@ from .components import components, link_counts, ranked_groups, with_group
 
 SIMILARITY, RECALL = 0.95, 0.995
 #: Shards at least, and vectors and numbers of a shard at most.
-SHARDS, SHARD_ROWS, SHARD_NUMBERS = 8, 100_000, 12_800_000
-DEGREE, BUILD_BEAM, BEAM = 12, 32, 32
+SHARDS, SHARD_ROWS, SHARD_NUMBERS = 4, 100_000, 12_800_000
+DEGREE, BUILD_BEAM, BEAM = 12, 32, 8
 #: A search of beam b takes as long as comparing with the whole shard where that has about so many times b vectors.
 SCAN = 64
 #: Planted queries of an audit, how many of its matches one may count for, and queries searched together.
 PLANTED, EACH, TOGETHER = 1_024, 10, 512
 #: Similarities held at once; numbers of a block of a candidate group, and what a short vector counts for, so that a block is
-#: 1,024 vectors at most; vectors of a block of queries; numbers of a stored piece of a graph.
-CELLS, BLOCK, LEAST, QUERIES, PIECE = 16_000_000, 1 << 16, 64, 100_000, 1 << 18
+#: 1,024 vectors at most; vectors of a block of queries at most; numbers of a stored piece of a graph.
+CELLS, BLOCK, LEAST, QUERIES, PIECE = 16_000_000, 1 << 16, 64, 1_000_000, 1 << 18
 
 
 class Graph:
@@ -351,7 +351,7 @@ def candidates(classes: DataFrame, count: int, numbers: int, similarity: float,
     dim, everywhere = F.size("v").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("shard")
     member = classes.select(dim, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("shard"), "id", "v")
     graphs = table(member.groupBy("dim", "shard").applyInPandas(build(similarity, recall), GRAPHS), "graphs")
-    blocks = -(-count // QUERIES) or 1
+    blocks = max(-(-count // QUERIES), -(-tasks // n), 1)
     empty = {"part": "int", "beam": "int", "recall": "double", "entry": "int", "ids": "binary", "unit": "binary", "links": "array<binary>"}
     held = graphs.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(0).alias("kind"), *empty, F.lit(None).cast("long").alias("id"), F.lit(None).cast(classes.schema["v"].dataType).alias("v"))
     block = F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int")
