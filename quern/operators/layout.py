@@ -15,32 +15,51 @@ REST_SPEED = 52.0
 EASE, TREMOR = 0.35, 0.35
 
 
-def wrap(text: str, width: int) -> list[str]:
-    """Lines of at most ``width`` characters; a word that is wider is cut; two line ends of a run count at most."""
-    lines, line = [], ""
+def wrap(text: str, width: int, widths: dict[str, int] | None = None, other: int = 1) -> list[str]:
+    """Lines of at most ``width``; a word that is wider is cut; two line ends of a run count at most.
+
+    A character is as wide as ``widths`` says, or as ``other``; without widths all count one. Widths are whole numbers of any
+    unit, so that sums are exact. Blanks at the end of a line count, as they do where a line is measured.
+    """
+
+    def size(part: str) -> int:
+        return len(part) * other if not widths else sum(widths.get(c, other) for c in part)
+
+    def cut(word: str) -> list[str]:
+        if not widths:
+            step = max(1, width // other)
+            return [word[i : i + step] for i in range(0, len(word), step)]
+        parts, held, used = [], "", 0
+        for c in word:
+            if held and used + size(c) > width:
+                parts, held, used = [*parts, held], "", 0
+            held, used = held + c, used + size(c)
+        return [*parts, held]
+
+    lines, line, used = [], "", 0
     for blank, word in re.findall(r"(\s+)|(\S+)", text):
         if "\n" in blank:
             lines += [line, ""][: min(blank.count("\n"), 2)]
-            line = ""
+            line, used = "", 0
         elif blank:
-            line += " " if line else ""
-        elif line and len(line) + len(word) <= width:
-            line += word
+            line, used = (line + " ", used + size(" ")) if line else ("", 0)
+        elif line and used + size(word) <= width:
+            line, used = line + word, used + size(word)
         else:
             if line:
                 lines.append(line)
-            *full, line = [word[i : i + width] for i in range(0, len(word), width)]
-            lines += full
+            *full, line = cut(word)
+            lines, used = lines + full, size(line)
     return [*lines, line] if line else lines
 
 
-def wrapped(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(key, line_no, line) of each text."""
+def wrapped(df: DataFrame, key: str, text: str, width: int, widths: dict[str, int] | None = None, other: int = 1) -> DataFrame:
+    """(key, line_no, line) of each text; ``widths`` is a table of characters, such as a font has."""
 
     @F.pandas_udf("array<string>")
     def lines(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            yield batch.map(lambda t: wrap(t or "", width))
+            yield batch.map(lambda t: wrap(t or "", width, widths, other))
 
     return df.select(key, F.posexplode(lines(F.col(text))).alias("line_no", "line"))
 

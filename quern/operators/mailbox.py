@@ -10,6 +10,8 @@ from .ranges import breaks as breaks_ranged
 
 FLAGGED = "flagged"
 HIDDEN = ("trash", "junk")
+# How a server is asked for attachments, in its own search language and by a header.
+ATTACHED_WORD, ATTACHED_TYPE = "has:attachment", "multipart/mixed"
 
 
 def in_folder(df: DataFrame, folder: str) -> DataFrame:
@@ -56,10 +58,26 @@ def with_attachments(messages: DataFrame, attachments: DataFrame) -> DataFrame:
 def criteria(fields: list[Column], query: str, kind: str, content_type: Column) -> Column:
     """The server-side form of a listing's conditions: any one field has the query; attachments show in the content type."""
     out = any_field_contains(fields, query) if query else F.lit(True)
-    terms = {"unread": ~F.col("seen"), "flagged": F.col("flagged"), "attachments": F.contains(F.lower(F.coalesce(content_type, F.lit(""))), F.lit("multipart/mixed"))}
+    terms = {"unread": ~F.col("seen"), "flagged": F.col("flagged"), "attachments": F.contains(F.lower(F.coalesce(content_type, F.lit(""))), F.lit(ATTACHED_TYPE))}
     return out & terms[kind] if kind in terms else out
 
 
+def asked_criteria(query: Column, kind: Column, raw: Column) -> Column:
+    """What a server is asked for a listing: (raw, text, seen, flagged, content_type), or null where nothing is.
+
+    A server with a search language of its own (``raw``) gets the query as it is, and attachments by a word of that language;
+    others get a text that one of the fields must contain, and a content type.
+    """
+    q = F.nullif(query, F.lit(""))
+    files = kind == "attachments"
+    own = F.nullif(F.concat_ws(" ", q, F.when(files, F.lit(ATTACHED_WORD))), F.lit(""))
+    out = F.struct(
+        F.when(raw, own).alias("raw"), F.when(~raw, q).alias("text"), F.when(kind == "unread", F.lit(False)).alias("seen"),
+        F.when(kind == "flagged", F.lit(True)).alias("flagged"), F.when(files & ~raw, F.lit(ATTACHED_TYPE)).alias("content_type"),
+    )
+    return F.when(F.coalesce(out["raw"], out["text"], out["content_type"]).isNotNull() | kind.isin("unread", "flagged"), out)
+
+
 def summaries(messages: DataFrame, attachments: DataFrame) -> DataFrame:
     """Rows of a listing: no bodies, but a snippet and whether there are attachments that aren't inline."""
     marked = with_attachments(messages, attachments)
@@ -103,11 +121,11 @@ def thread_search(messages: DataFrame, folder: str, message_id, sent: str = "sen
     contains the root's bare one, then those of the same thread subject stay; of copies with one message id the
     first wins, the root's folder before the sent one. The root is in any case part of the result, once.
     """
-    is_root = (F.col("folder") == folder) & (F.col("id") == message_id)
-    root = messages.filter(is_root)
-    base = root.select(thread_subject(F.col("subject")).alias("__base"), F.substring(strip_subject(F.col("subject")), 1, 80).alias("__needle"))
-    places = messages.filter(F.col("folder").isin(folder, sent))
-    hits = places.crossJoin(F.broadcast(base.limit(1))).filter((F.col("__base") != "") & F.contains(F.lower("subject"), F.lower("__needle")))
+    root = messages.filter((F.col("folder") == folder) & (F.col("id") == message_id))
+    subject = root.select("subject").limit(1).scalar()
+    base, needle = thread_subject(subject), F.substring(strip_subject(subject), 1, 80)
+    places = messages.filter(F.col("folder").isin(folder, sent)).withColumns({"__base": base, "__needle": needle})
+    hits = places.filter((F.col("__base") != "") & F.contains(F.lower("subject"), F.lower("__needle")))
     newest = last_of_each(hits, ["folder"], [F.col("id").desc()], each).filter(thread_subject(F.col("subject")) == F.col("__base"))
     key = F.coalesce(F.nullif(F.col("message_id"), F.lit("")), F.concat("folder", F.lit(":"), F.col("id").cast("string")))
     ranked = newest.withColumns({"__key": key, "__place": (F.col("folder") != folder).cast("int")})

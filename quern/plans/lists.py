@@ -130,9 +130,27 @@ def folder_badges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mailbox.folder_badges(counts, 3).select("id", F.col("badge").cast("long").alias("badge"), L.folder_icon(F.col("role"), F.col("name")).alias("icon"))
 
 
-@query(sql=f"SELECT id, name FROM {_FOLDERS} WHERE id <> 'inbox' AND coalesce(role, '') NOT IN ('flagged', 'drafts', 'sent', 'all')")
+@query(
+    sql="""SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_nationkey <> 4 AND n_regionkey NOT IN (0, 1) AND NOT (n_regionkey = 3 AND n_nationkey % 2 = 0)"""
+)
 def move_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mailbox.move_targets(V.folders(spark), "inbox").select("id", "name")
+    """Nations as folders, with roles by their region."""
+    role = F.when(F.col("n_regionkey") == 0, "sent").when(F.col("n_regionkey") == 1, "drafts").when(F.col("n_regionkey") == 2, "archive").when((F.col("n_regionkey") == 3) & (F.col("n_nationkey") % 2 == 0), "all")
+    rows = V.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), role.alias("role"))
+    return mailbox.move_targets(rows, 4).select("id", "name")
+
+
+@query(
+    sql="""SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN nullif(trim(CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_type END || CASE p_size % 4 WHEN 1 THEN ' has:attachment' ELSE '' END), '') END AS raw,
+          CASE WHEN p_partkey % 2 = 1 AND p_partkey % 3 <> 0 THEN p_type END AS text, CASE WHEN p_size % 4 = 2 THEN false END AS seen, CASE WHEN p_size % 4 = 3 THEN true END AS flagged,
+          CASE WHEN p_partkey % 2 = 1 AND p_size % 4 = 1 THEN 'multipart/mixed' END AS content_type FROM part WHERE p_partkey % 3 <> 0 OR p_size % 4 <> 0"""
+)
+def asked_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What servers of two kinds are asked for each part's listing; nothing where there is nothing to ask."""
+    kind = F.element_at(F.array(*map(F.lit, ["all", "attachments", "unread", "flagged"])), (F.col("p_size") % 4 + 1).cast("int"))
+    text = F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.col("p_type"))
+    rows = V.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), mailbox.asked_criteria(text, kind, F.col("p_partkey") % 2 == 0).alias("c"))
+    return rows.filter("c is not null").select("id", "c.*")
 
 
 @query(

@@ -246,6 +246,20 @@ def wrap_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.placed(layout.wrapped(V.spread(V.messages_doc(spark, sf_dir)).select("id", "text"), "id", "text", 60), 25)
 
 
+#: Widths of characters in sixty-fourths of a unit; all others are 36 wide.
+WIDTHS = {**dict.fromkeys("iIjlt.,;:'!|", 18), **dict.fromkeys("mwMW@—", 54), " ": 16}
+
+
+@query()
+def wrap_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines by measured widths, and how far each has come."""
+    lines = layout.wrapped(V.spread(V.messages_doc(spark, sf_dir)).select("id", "text"), "id", "text", 2_400, WIDTHS, 36)
+    known = F.create_map(*[F.lit(x) for kv in WIDTHS.items() for x in kv])
+    chars = F.filter(F.split("line", ""), lambda c: c != "")
+    advance = F.aggregate(chars, F.lit(0), lambda sum_, c: sum_ + F.coalesce(F.try_element_at(known, c), F.lit(36)))
+    return layout.placed(lines.withColumn("advance", advance), 25)
+
+
 @query(
     sql="""WITH RECURSIVE p AS (SELECT user_id, event_id, value / 500.0 AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
         e AS (SELECT user_id, event_id, n, v FROM p WHERE n = 1 UNION ALL SELECT p.user_id, p.event_id, p.n, e.v + (p.v - e.v) * 0.35 FROM e JOIN p ON p.user_id = e.user_id AND p.n = e.n + 1)

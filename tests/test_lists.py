@@ -1,6 +1,7 @@
 """Threads by subject, MIME trees, gated pieces, folds over long strokes, views that are kept, drafts."""
 
 import random
+import re
 from email import message_from_string
 
 import pytest
@@ -98,6 +99,37 @@ def test_wrap_keeps_words(seed):
     assert all(len(x.rstrip(" ")) <= 20 for x in lines) and "".join("".join(lines).split()) == "".join(whole.split())
 
 
+def laid(text, width, size):
+    """Word by word and character by character, each line measured as a whole."""
+    lines = [""]
+    for token in re.split(r"(\s+)", text):
+        if not token.strip():
+            if token.count("\n"):
+                lines += [""] * min(token.count("\n"), 2)
+            elif token and lines[-1]:
+                lines[-1] += " "
+        elif lines[-1] and size(lines[-1] + token) <= width:
+            lines[-1] += token
+        else:
+            if lines[-1]:
+                lines.append("")
+            for c in token:
+                if lines[-1] and size(lines[-1] + c) > width:
+                    lines.append("")
+                lines[-1] += c
+    return lines if lines[-1] else lines[:-1]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_wrap_by_widths(seed):
+    rng = random.Random(seed)
+    widths = {"i": 2, "m": 9, " ": 3, "é": 7}
+    whole = "".join(rng.choice(["im", "mmm", "é", "i" * 30, "mi" * 12, " ", " ", "\t ", "\n", "\n\n\n", "日本"]) for _ in range(200))
+    for known, other in ((widths, 5), (None, 1), (None, 3)):
+        size = lambda part: sum((known or {}).get(c, other) for c in part)  # noqa: B023, E731
+        assert layout.wrap(whole, 60, known, other) == laid(whole, 60, size)
+
+
 def test_bodies(spark):
     row = spark.range(1).select(
         text.plain_to_html(F.lit("Hi <me@x.org>, see http://a.b/c.\n\n> old\n> http://d.e")).alias("both"), text.plain_to_html(F.lit("> all\n> quoted")).alias("all"),
