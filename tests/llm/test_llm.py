@@ -377,6 +377,17 @@ def test_runs_reach_the_recall():
     assert lost.mean() <= 0.0015
 
 
+def test_recall_of_planted_pairs(spark):
+    """A thousand pairs just above the threshold (178 of 222 runs of words shared): all but a few are found."""
+    rows = []
+    for i in range(1_000):
+        words = [f"{i}w{k}" for k in range(204)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:182] + [f"{i}z{k}" for k in range(22)]))]
+    out = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = [r for r in out if r["n_links"] == 1 and r["class_id"] == r["doc_id"] // 2 * 2]
+    assert len(found) >= 2 * 996 and all(r["n_links"] in (0, 1) for r in out) and {r["set_size"] for r in out} == {200}
+
+
 def test_repeated_rows_count_once(spark):
     """Near copies over several blocks, each row five times, some far from the pivot."""
     import random
