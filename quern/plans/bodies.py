@@ -94,15 +94,15 @@ def message_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def part_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The start of each message's text part, read from its first 3,000 bytes as sent."""
-    parts = mime.message_parts(raw_messages(spark, sf_dir), "id", "raw")
-    shown = mime.previews(parts, "id").select("id", "part", F.substring("preview", 1, 500).alias("preview"))
-    return mime.attached(parts, "id").join(shown, "id").select("id", "part", "has_attachments", "preview")
+    rows = mime.previewed(raw_messages(spark, sf_dir), "raw")
+    return rows.select("id", "part", "has_attachments", F.substring("preview", 1, 500).alias("preview"))
 
 
 @query(sql="SELECT CASE id % 3 WHEN 2 THEN '1.1' ELSE '1' END AS part, id // 1000 AS batch, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM d GROUP BY 1, 2", views="d")
 def ids_by_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The messages whose preview is fetched from the same part."""
-    first = mime.text_part(mime.message_parts(raw_messages(spark, sf_dir), "id", "raw", bodies=False), "id")
+    trees = mime.part_arrays(raw_messages(spark, sf_dir), "raw", bodies=False)
+    first = trees.select("id", mime.shown_part(F.col("parts"))["part"].alias("part")).filter("part is not null")
     return mailbox.ids_by(first, "part").select("part", "batch", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 

@@ -10,7 +10,7 @@ from ..operators import folds, layout, mailbox, ranges, threads
 from ..operators.postings import Postings
 from ..sources import mailbox as mailfiles
 from ..sources import views as V
-from ..sources.keyed import Keyed
+from ..sources.keyed import Keyed, settings, settings_store
 from ..sources.shared import fresh_path
 from .mail import _FIELDS, _GROUP, AS_OF
 from .registry import query
@@ -168,3 +168,22 @@ def steady_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three strokes that hold all events, walked in pieces at once."""
     points = V.strokes(spark, sf_dir).select("event_id", (F.col("pointer_id") % 3).alias("pen"), "ts", (F.col("x") / 100).alias("x"), (F.col("event_id") % 3 / 10).cast("double").alias("y"))
     return folds.steady(points, ["pen"], ["ts", "event_id"], layout.TREMOR).select("event_id", "pen")
+
+
+@query(
+    sql="""WITH s AS (SELECT CAST(c_custkey % 40 AS VARCHAR) AS key, max(c_custkey) AS last FROM customer GROUP BY 1),
+        v AS (SELECT key, CASE WHEN key IN ('3', '4') THEN NULL WHEN key = '5' THEN NULL ELSE '{"by":' || last || '}' END AS v FROM s WHERE key <> '6')
+        SELECT coalesce(n.key, v.key) AS key, coalesce(v.v, n.value) AS value FROM (SELECT CAST(n_nationkey AS VARCHAR) AS key, '"' || n_name || '"' AS value FROM nation) n FULL JOIN (SELECT * FROM v WHERE v IS NOT NULL) v ON v.key = n.key"""
+)
+def kept_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings of nations by default, changed by each customer in turn; broken, null and deleted ones fall back."""
+    store = settings_store(spark, fresh_path(spark, "settings"))
+    rows = V.read(spark, sf_dir, "customer").select((F.col("c_custkey") % 40).cast("string").alias("key"), "c_custkey")
+    last = rows.groupBy("key").agg(F.max("c_custkey").alias("n"))
+    store.upsert(last.select("key", F.lit("{}").alias("value")))
+    by = F.concat(F.lit('{"by":'), F.col("n").cast("string"), F.lit("}"))
+    broken = F.when(F.col("key").isin("3", "4"), "{broken").when(F.col("key") == "5", "null").otherwise(by)
+    store.upsert(last.select("key", broken.alias("value")))
+    store.delete(last.filter("key = '6'").select("key"))
+    defaults = V.read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("key"), F.concat(F.lit('"'), "n_name", F.lit('"')).alias("value"))
+    return settings(store, defaults)

@@ -26,7 +26,7 @@ def list_unread_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    sql="""SELECT id, date, (SELECT count(*) FROM m WHERE folder = 'work') AS total, CAST(75 AS INTEGER) AS next
+    sql="""SELECT id, date, (SELECT count(*) FROM m WHERE folder = 'work') AS total, CASE WHEN 75 < (SELECT count(*) FROM m WHERE folder = 'work') THEN 75 END AS next
         FROM m WHERE folder = 'work' ORDER BY date DESC, seq LIMIT 25 OFFSET 50""",
     views="m",
 )

@@ -204,11 +204,24 @@ def folded_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    sql="""SELECT doc_id AS id, text AS decoded FROM documents"""
+    sql=r"""SELECT doc_id AS id, ['base64', '8bit', 'Quoted-Printable', 'BASE64', 'binary'][doc_id % 5 + 1] AS encoding,
+        CASE WHEN doc_id % 5 = 1 THEN regexp_replace(text, '[^\x00-\x{FF}]', '?', 'g') ELSE text END AS decoded FROM documents"""
 )
 def decoded_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.encode(F.concat(F.base64(F.encode("text", "UTF-8")), F.lit("0")), "UTF-8")
-    return V.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), mime.decode_part(raw, F.lit("base64"), F.lit("utf-8"), F.lit(False)).alias("decoded"))
+    """Texts as parts of five kinds: cut base64, Latin bytes, quoted bytes, base64 of another charset, and bytes as they are."""
+    narrow = F.regexp_replace("text", r"[^\x{00}-\x{FF}]", "?")
+    kinds = [
+        ("base64", "utf-8", F.encode(F.concat(F.base64(F.encode("text", "UTF-8")), F.lit("0")), "UTF-8")),
+        ("8bit", "ISO-8859-1", F.encode(narrow, "ISO-8859-1")),
+        ("Quoted-Printable", "UTF-8", F.encode(F.regexp_replace(F.hex(F.encode("text", "UTF-8")), "(..)", "=$1"), "UTF-8")),
+        ("BASE64", "utf-16le", F.encode(F.base64(F.encode("text", "UTF-16LE")), "UTF-8")),
+        ("binary", None, F.encode("text", "UTF-8")),
+    ]
+    sent = F.lit(None).cast("struct<encoding:string,charset:string,raw:binary>")
+    for i, (encoding, charset, raw) in enumerate(kinds):
+        sent = F.when(F.col("doc_id") % len(kinds) == i, F.struct(F.lit(encoding).alias("encoding"), F.lit(charset).alias("charset"), raw.alias("raw"))).otherwise(sent)
+    rows = V.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), sent.alias("s")).select("id", "s.*")
+    return rows.select("id", "encoding", mime.decode_part(F.col("raw"), F.col("encoding"), F.col("charset"), F.col("encoding") == "binary").alias("decoded"))
 
 
 @query(

@@ -104,3 +104,16 @@ class Keyed:
         files = {b: f for b, f in state["files"].items() if b not in heavy} | {b: [f] for b, f in written.items()}
         self._commit({"version": state["version"] + 1, "files": files})
         return state["version"] + 1
+
+
+def settings_store(spark: SparkSession, path: str, buckets: int = 8) -> Keyed:
+    """A store of settings: a JSON value for each key."""
+    return Keyed(spark, path, "key", "key string, value string", buckets)
+
+
+def settings(store: Keyed, defaults: DataFrame) -> DataFrame:
+    """(key, value): what is stored over the defaults; a stored value that isn't JSON, or is null, counts as none."""
+    kept = store.read().filter(F.try_parse_json("value").isNotNull() & (F.trim("value") != "null"))
+    stored = kept.select(F.col("key").alias("__k"), F.col("value").alias("__v"))
+    joined = defaults.join(stored, F.col("key") == F.col("__k"), "full")
+    return joined.select(F.coalesce("key", "__k").alias("key"), F.coalesce("__v", "value").alias("value"))

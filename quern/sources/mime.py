@@ -115,8 +115,8 @@ def numbered_parts(message: Message) -> list[dict]:
     return leaves
 
 
-def message_parts(df: DataFrame, key: str, raw: str, bodies: bool = True) -> DataFrame:
-    """One row for each leaf of a raw message's MIME tree: key, its number, place, type, disposition, name and body as sent.
+def part_arrays(df: DataFrame, raw: str, out: str = "parts", bodies: bool = True) -> DataFrame:
+    """``df`` with the leaves of each raw message's MIME tree in order, as one array.
 
     Without ``bodies`` the tree alone leaves the Python worker, which is all that numbers and types need.
     """
@@ -127,7 +127,35 @@ def message_parts(df: DataFrame, key: str, raw: str, bodies: bool = True) -> Dat
         for batch in batches:
             yield batch.map(lambda x: [p if bodies else {k: v for k, v in p.items() if k != "body"} for p in numbered_parts(message_from_bytes(x or b""))])
 
-    return df.select(key, F.explode(run(F.col(raw))).alias("p")).select(key, "p.*")
+    return df.withColumn(out, run(F.col(raw)))
+
+
+def message_parts(df: DataFrame, key: str, raw: str, bodies: bool = True) -> DataFrame:
+    """One row for each leaf of a raw message's MIME tree: key, its number, place, type, disposition, name and body as sent."""
+    return part_arrays(df, raw, "__parts", bodies).select(key, F.explode("__parts").alias("p")).select(key, "p.*")
+
+
+def _is_text(part: Column) -> Column:
+    return F.lower(part["type"]).startswith("text/") & (F.coalesce(part["disposition"], F.lit("")) != "attachment")
+
+
+def _is_file(part: Column) -> Column:
+    named = (F.coalesce(part["filename"], F.lit("")) != "") & ~F.lower(part["type"]).startswith("text/")
+    return (F.coalesce(part["disposition"], F.lit("")) == "attachment") | named
+
+
+def shown_part(parts: Column) -> Column:
+    """The leaf to preview of an array of leaves: the first text that isn't an attachment."""
+    return F.get(F.filter(parts, _is_text), F.lit(0))
+
+
+def previewed(df: DataFrame, raw: str, most: int = 3000) -> DataFrame:
+    """``df`` with part, type, has_attachments and preview of each raw message, from its own tree and without a shuffle."""
+    trees = part_arrays(df, raw, "__parts").withColumns({"__first": shown_part(F.col("__parts")), "has_attachments": F.exists("__parts", _is_file)})
+    first = F.col("__first")
+    preview = decode_part(F.substring(first["body"], 1, most), first["encoding"], first["charset"], first["binary"])
+    shown = trees.withColumns({"part": first["part"], "type": first["type"], "preview": F.when(first.isNotNull(), preview)})
+    return shown.drop("__parts", "__first")
 
 
 def previews(parts: DataFrame, key: str, most: int = 3000) -> DataFrame:
@@ -142,14 +170,13 @@ def text_part(parts: DataFrame, key: str) -> DataFrame:
 
     ``parts`` has one row for each leaf: key, ord, part, type, disposition, filename.
     """
-    texts = parts.filter(F.lower("type").startswith("text/") & (F.coalesce("disposition", F.lit("")) != "attachment"))
+    texts = parts.filter(_is_text({c: F.col(c) for c in ("type", "disposition")}))
     return texts.groupBy(key).agg(F.min_by("part", "ord").alias("part"), F.min_by("type", "ord").alias("type"))
 
 
 def attached(parts: DataFrame, key: str) -> DataFrame:
     """Whether a message has an attachment: a leaf that says so, or a named leaf that isn't text."""
-    named = (F.coalesce("filename", F.lit("")) != "") & ~F.lower("type").startswith("text/")
-    return parts.groupBy(key).agg(F.bool_or((F.coalesce("disposition", F.lit("")) == "attachment") | named).alias("has_attachments"))
+    return parts.groupBy(key).agg(F.bool_or(_is_file({c: F.col(c) for c in ("type", "disposition", "filename")})).alias("has_attachments"))
 
 
 class _Fold(HTMLParser):
