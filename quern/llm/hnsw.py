@@ -39,8 +39,8 @@ SIMILARITY, RECALL = 0.95, 0.995
 #: Shards at least, and vectors and numbers of a shard at most.
 SHARDS, SHARD_ROWS, SHARD_NUMBERS = 4, 100_000, 12_800_000
 DEGREE, BUILD_BEAM, BEAM = 12, 32, 8
-#: A search of beam b takes as long as comparing with the whole shard where that has about so many times b vectors.
-SCAN = 64
+#: A search of beam b takes as long as comparing with the whole shard where that has about so many times b vectors (measured).
+SCAN = 1_400
 #: Planted queries of an audit, how many of its matches one may count for, and queries searched together.
 PLANTED, EACH, TOGETHER = 1_024, 10, 512
 #: Similarities held at once; numbers of a block of a candidate group, and what a short vector counts for, so that a block is
