@@ -108,7 +108,10 @@ class View(DataSource):
         return FORMAT
 
     def schema(self) -> StructType:
-        kind = lists(self.options["path"])[0]["schema"]
+        known = lists(self.options["path"])
+        if not known:
+            raise ValueError("the view holds no batch yet, so its columns aren't known; give a schema")
+        kind = known[0]["schema"]
         return StructType.fromJson(json.loads(kind)).add("batch", "long")
 
     def reader(self, schema: StructType) -> ViewReader:
