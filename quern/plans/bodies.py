@@ -32,7 +32,7 @@ _MAILED = _ENDED.replace("text ||", "text || ' see https://a.b/c?x=1. or (me@x.o
 def plain_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     end = F.element_at(F.array(*map(F.lit, ["", "\n> a\n>b\n\n> c", "\n-- Original Message --\nold", "\nOn Monday, Ann wrote:\n> x\ny"])), (F.col("id") % 4 + 1).cast("int"))
     text = F.concat("text", F.lit(" see https://a.b/c?x=1. or (me@x.org), ok"), end)
-    return V.spread(V.messages_doc(spark, sf_dir)).select("id", T.plain_to_html(text).alias("html"))
+    return V.messages_doc(spark, sf_dir, wide=True).select("id", T.plain_to_html(text).alias("html"))
 
 
 @query(
@@ -75,7 +75,7 @@ def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     file = F.lit('\r\n--mix\r\nContent-Type: application/pdf; name="a.pdf"\r\nContent-Disposition: attachment; filename="a.pdf"\r\nContent-Transfer-Encoding: base64\r\n\r\nQUJDRA==\r\n--mix--\r\n')
     mixed = F.concat(F.lit("Content-Type: multipart/mixed; boundary=mix\r\n\r\n--mix\r\n"), both, file)
     lone = F.concat(F.lit(_SENT_AS.format("html")), body)
-    return V.spread(V.messages_doc(spark, sf_dir)).select("id", F.encode(F.concat(head, F.when(i % 3 == 0, lone).when(i % 3 == 1, both).otherwise(mixed)), "UTF-8").alias("raw"))
+    return V.messages_doc(spark, sf_dir, wide=True).select("id", F.encode(F.concat(head, F.when(i % 3 == 0, lone).when(i % 3 == 1, both).otherwise(mixed)), "UTF-8").alias("raw"))
 
 
 @query(

@@ -23,7 +23,7 @@ ME = "customer#000000007@example.com"
     views="da",
 )
 def message_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mailbox.summaries(V.spread(V.messages_doc(spark, sf_dir)), V.attachments_rel(spark, sf_dir))
+    rows = mailbox.summaries(V.messages_doc(spark, sf_dir, wide=True), V.attachments_rel(spark, sf_dir))
     return rows.select("id", "folder", "snippet", "subject", "seen", "has_attachments")
 
 

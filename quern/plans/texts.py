@@ -43,7 +43,7 @@ def snippet_sql(text: str, columns: str = "id, ") -> str:
 @query(sql=snippet_sql(_QUOTED), views="d")
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = F.array(*map(F.lit, ["", "\n> quoted\nmore", "\n-- \nSig", "\nOn Tue, somebody wrote:\nold"]))
-    return V.spread(V.messages_doc(spark, sf_dir)).select("id", T.snippet(F.concat("text", F.element_at(ends, (F.col("id") % 4 + 1).cast("int")))).alias("snippet"))
+    return V.messages_doc(spark, sf_dir, wide=True).select("id", T.snippet(F.concat("text", F.element_at(ends, (F.col("id") % 4 + 1).cast("int")))).alias("snippet"))
 
 
 def entities_sql(text: str) -> str:
@@ -193,7 +193,7 @@ def plain_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ended(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, most of them with quoted history at their end."""
     end = F.element_at(F.array(*map(F.lit, ENDINGS)), (F.col("id") % 4 + 1).cast("int"))
-    return V.spread(V.messages_doc(spark, sf_dir)).select("id", F.concat("text", end).alias("t"))
+    return V.messages_doc(spark, sf_dir, wide=True).select("id", F.concat("text", end).alias("t"))
 
 
 @query()
@@ -256,7 +256,7 @@ def data_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def wrap_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.placed(layout.wrapped(V.spread(V.messages_doc(spark, sf_dir)).select("id", "text"), "id", "text", 60), 25)
+    return layout.placed(layout.wrapped(V.messages_doc(spark, sf_dir, wide=True).select("id", "text"), "id", "text", 60), 25)
 
 
 #: Widths of characters in sixty-fourths of a unit; all others are 36 wide.
@@ -266,7 +266,7 @@ WIDTHS = {**dict.fromkeys("iIjlt.,;:'!|", 18), **dict.fromkeys("mwMW@—", 54),
 @query()
 def wrap_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines by measured widths, and how far each has come."""
-    lines = layout.wrapped(V.spread(V.messages_doc(spark, sf_dir)).select("id", "text"), "id", "text", 2_400, WIDTHS, 36)
+    lines = layout.wrapped(V.messages_doc(spark, sf_dir, wide=True).select("id", "text"), "id", "text", 2_400, WIDTHS, 36)
     known = F.create_map(*[F.lit(x) for kv in WIDTHS.items() for x in kv])
     chars = F.filter(F.split("line", ""), lambda c: c != "")
     advance = F.aggregate(chars, F.lit(0), lambda sum_, c: sum_ + F.coalesce(F.try_element_at(known, c), F.lit(36)))

@@ -28,7 +28,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows of few files dealt over all cores, for work that takes long for each row; many files stay as they are read."""
+    """Rows of few files dealt over all cores, for work that takes long for each row; many files stay as they are read.
+
+    ``df`` must come from a table without joins or groups, so that its partitions are known before anything runs.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
@@ -86,9 +89,10 @@ def attachments_rel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def messages_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as messages; the first line is the subject."""
+def messages_doc(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
+    """Documents as messages; the first line is the subject. ``wide`` deals them over all cores (``spread``)."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    docs = spread(docs) if wide else docs
     joined = docs.join(labels, "doc_id", "left")
     return joined.select(
         F.col("doc_id").alias("id"),
