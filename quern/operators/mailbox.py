@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import html_to_text, snippet, strip_subject, thread_subject, trim_all
 from .ranges import breaks as breaks_ranged
+from .ranges import next_known
 
 FLAGGED = "flagged"
 HIDDEN = ("trash", "junk")
@@ -304,9 +305,8 @@ def neighbours(df: DataFrame, order: list[Column], within: list[str], gone: str)
     """Previous and next row, and the row to open when the rows marked ``gone`` leave: the next that stays, else the one before."""
     w = Window.partitionBy(*within).orderBy(*order)
     stays = F.when(~F.col(gone), F.col("id"))
-    after = F.first(stays, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    before = F.last(stays, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumns({"prev_id": F.lag("id").over(w), "next_id": F.lead("id").over(w), "advance_to": F.coalesce(after, before)})
+    before = F.last("__stays", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return df.withColumn("__stays", stays).withColumns({"prev_id": F.lag("id").over(w), "next_id": F.lead("id").over(w), "advance_to": F.coalesce(next_known("__stays", w), before)}).drop("__stays")
 
 
 def between_rows(df: DataFrame, order: list[Column], within: list[str], *ends) -> DataFrame:

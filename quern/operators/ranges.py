@@ -26,6 +26,11 @@ def dealt(df: DataFrame, within: list[str], order: list[Column], pieces: int | N
     return table(ranged.withColumn(PIECE, F.spark_partition_id()), "ranges")
 
 
+def next_known(name: str, w) -> Column:
+    """The next value of a column that isn't null, in one pass: a frame up to the end of the list is folded anew for every row."""
+    return F.expr(f"lead(`{name}`) IGNORE NULLS").over(w)
+
+
 class Carried:
     """Columns that look along each list of ``df`` (rows of equal ``within``, by ``order``).
 
@@ -40,7 +45,8 @@ class Carried:
         self.placed = dealt(df, self.within, order, pieces)
         self.local = Window.partitionBy(*self.within, PIECE).orderBy(*order)
         self.over = Window.partitionBy(*self.within).orderBy(PIECE)
-        self.before_rows, self.after_rows = (Window.unboundedPreceding, -1), (1, Window.unboundedFollowing)
+        self.before_rows = (Window.unboundedPreceding, -1)
+        self.looked: dict[str, Column] = {}
         self.inner: dict[str, Column] = {}
         self.ends: dict[str, Column] = {}
         self.carry: dict[str, Column] = {}
@@ -68,7 +74,8 @@ class Carried:
     def after(self, name: str, value: Column) -> Carried:
         """The next value that isn't null."""
         held = F.when(value.isNotNull(), F.col(PLACE))
-        self._own(name, value, F.first(value, True).over(self.local.rowsBetween(*self.after_rows)), F.min_by(value, held), lambda end: F.first(end, True).over(self.over.rowsBetween(*self.after_rows)))
+        self.looked[f"__v_{name}"] = value
+        self._own(name, value, next_known(f"__v_{name}", self.local), F.min_by(value, held), lambda end: next_known(f"__e_{name}", self.over))
         self.out[name] = F.coalesce(f"__i_{name}", f"__c_{name}")
         return self
 
@@ -89,7 +96,7 @@ class Carried:
         self.carry[f"__c_{name}"] = carry(F.col(f"__e_{name}"))
 
     def rows(self) -> DataFrame:
-        marked = self.placed.withColumn(PLACE, F.row_number().over(self.local)).withColumns(self.inner)
+        marked = self.placed.withColumn(PLACE, F.row_number().over(self.local)).withColumns(self.looked).withColumns(self.inner)
         # One row for each piece of a list.
         numbered = self.placed.withColumn(PLACE, F.row_number().over(self.local))
         ends = numbered.groupBy(*self.within, PIECE).agg(F.count(F.lit(1)).alias("__size"), *[v.alias(k) for k, v in self.ends.items()])

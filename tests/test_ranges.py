@@ -50,6 +50,17 @@ def test_windows_over_ranges(listed, pieces):
     same(carried, listed.withColumns({"n": F.row_number().over(w), "advance": F.sum(F.when(F.col("width") > 0, F.col("width"))).over(w)}), "id", "n", "advance")
 
 
+@pytest.mark.parametrize("neighbours", [ranges.neighbours, mailbox.neighbours])
+def test_neighbours_take_one_pass(spark, neighbours):
+    """One list of 300,000 rows, of which the last one and one in the middle stay: no frame is folded anew for each row."""
+    n = 300_000
+    rows = spark.range(0, n, 1, 4).select("id", F.lit("all").alias("folder"), (~F.col("id").isin(n // 2, n - 1)).alias("gone"))
+    out = neighbours(rows, [F.col("id").asc()], ["folder"], "gone")
+    assert "unboundedfollowing" not in plan(out).lower()
+    got = out.groupBy("advance_to").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).collect()
+    assert sorted(map(tuple, got)) == [(n // 2, n // 2 + 1, 0, n - 1), (n - 1, n // 2 - 1, n // 2, n - 2)]
+
+
 def test_list_of_all_rows(listed):
     order = [F.col("date").desc(), F.col("id").asc()]
     w = Window.orderBy(*order)
