@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_dir
+from ..sources.shared import shared_dir, small_batches  # noqa: F401
 
 #: A word is a run of bytes other than the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -95,16 +95,6 @@ def utf8_len(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
-def small_batches(spark: SparkSession, rows: int = 1024, size: str = "16m") -> None:
-    """Bound what one Arrow batch of whole texts holds: rows, and bytes where Spark knows that setting.
-
-    The settings are read when a plan is run, which is after the operator has returned, so they stay set for the
-    session. They bound memory and change no result.
-    """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
-
-
 def row_key(key: str = "doc_id", text: str = "text") -> Column:
     """A string that orders like ``key`` (null last) and is equal for rows of equal key and text only.
 

@@ -13,9 +13,11 @@ from email.utils import getaddresses
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 PARSED = (
     "subject string, sender struct<name:string,address:string>, to array<struct<name:string,address:string>>, cc array<struct<name:string,address:string>>, "
     "message_id string, in_reply_to string, refs array<string>, date string, text string, html string, "
@@ -39,6 +41,8 @@ def decode_bytes(raw: bytes | None, encoding: str | None, charset: str | None, b
 
 
 def decode_part(raw: Column, encoding: Column, charset: Column, binary: Column) -> Column:
+    small_batches(SparkSession.active())
+
     @F.pandas_udf("string")
     def run(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
         return pd.Series([decode_bytes(*x) for x in zip(a, b, c, d)], dtype=object)
@@ -120,6 +124,7 @@ def part_arrays(df: DataFrame, raw: str, out: str = "parts", bodies: bool = True
 
     Without ``bodies`` the tree alone leaves the Python worker, which is all that numbers and types need.
     """
+    small_batches(df.sparkSession)
     kind = PART if bodies else PART.replace("body binary, ", "")
 
     @F.pandas_udf(f"array<struct<{kind.replace(' ', ':').replace(',:', ',')}>>")
@@ -291,6 +296,7 @@ def lead_of(html: str | None) -> str:
 
 def html_function(fn) -> object:
     """A column function from a function of one text."""
+    small_batches(SparkSession.active())
 
     @F.pandas_udf("string")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
