@@ -84,7 +84,7 @@ def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     views="d",
 )
 def message_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = mime.message_parts(raw_messages(spark, sf_dir), "id", "raw")
+    parts = mime.message_parts(raw_messages(spark, sf_dir), "id", "raw", bodies=False)
     return parts.select("id", "part", "type", "ord", F.coalesce("filename", F.lit("")).alias("filename"))
 
 

@@ -37,3 +37,9 @@ def test_previews_take_small_batches(large_batches):
 def test_bodies_of_html_take_small_batches(large_batches):
     lengths = mime.html_function(lambda x: str(len(x)))
     assert bounded(large_batches) and large_batches.range(3).select(lengths(F.lit("abc")).alias("n")).filter("n = '3'").count() == 3
+
+
+def test_message_tree_leaves_bodies_in_the_worker(large_batches, sf):
+    """Numbers and types need no body, so none comes back from Python."""
+    out = bodies.message_tree(large_batches, sf)
+    assert bounded(large_batches) and "body" not in out._jdf.queryExecution().optimizedPlan().toString()
