@@ -43,3 +43,8 @@ def test_message_tree_leaves_bodies_in_the_worker(large_batches, sf):
     """Numbers and types need no body, so none comes back from Python."""
     out = bodies.message_tree(large_batches, sf)
     assert bounded(large_batches) and "body" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_parsed_mail_takes_small_batches(large_batches):
+    out = mime.parsed_messages(mails(large_batches), "raw")
+    assert bounded(large_batches) and out.filter("text = 'body' and subject = 's'").count() == 3000
