@@ -48,3 +48,9 @@ def test_message_tree_leaves_bodies_in_the_worker(large_batches, sf):
 def test_parsed_mail_takes_small_batches(large_batches):
     out = mime.parsed_messages(mails(large_batches), "raw")
     assert bounded(large_batches) and out.filter("text = 'body' and subject = 's'").count() == 3000
+
+
+def test_ids_by_part_take_small_batches(large_batches, sf):
+    """Its trees come in the same small batches as previews do."""
+    out = bodies.ids_by_part(large_batches, sf)
+    assert bounded(large_batches) and {r["part"] for r in out.collect()} == {"1", "1.1"}
