@@ -9,57 +9,98 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import small_batches
+
 # Rests after a character in milliseconds, and the speed they are meant for.
 RESTS = {",": 120, ";": 150, ":": 150, "—": 160, ".": 250, "!": 250, "?": 250, " ": 18}
 REST_SPEED = 52.0
 EASE, TREMOR = 0.35, 0.35
 
 
-def wrap(text: str, width: int, widths: dict[str, int] | None = None, other: int = 1) -> list[str]:
+class _Sizes(dict):
+    """Widths of words, each measured once; those of characters that ``widths`` leaves out are kept as they come."""
+
+    MOST = 100_000
+
+    def __init__(self, widths: dict[str, int] | None, other: int):
+        self.widths, self.other = dict(widths or {}), other
+
+    def __missing__(self, word: str) -> int:
+        if not self.widths:
+            return len(word) * self.other
+        try:
+            n = sum(map(self.widths.__getitem__, word))
+        except KeyError:
+            self.widths.update((c, self.other) for c in set(word) - self.widths.keys())
+            n = sum(map(self.widths.__getitem__, word))
+        if len(self) >= self.MOST:
+            self.clear()
+        if len(word) <= 64:
+            self[word] = n
+        return n
+
+
+def measured(text: Column, widths: dict[str, int], other: int) -> Column:
+    """The width of a whole text: as if all its characters were ``other`` wide, and for each other width what its characters add."""
+    total = F.char_length(text) * other
+    for width in sorted(set(widths.values()) - {other}):
+        chars = "".join(c for c, w in widths.items() if w == width)
+        total = total + (F.char_length(text) - F.char_length(F.translate(text, chars, ""))) * (width - other)
+    return total
+
+
+def wrap(text: str, width: int, widths: dict[str, int] | None = None, other: int = 1, sizes: _Sizes | None = None) -> list[str]:
     """Lines of at most ``width``; a word that is wider is cut; two line ends of a run count at most.
 
     A character is as wide as ``widths`` says, or as ``other``; without widths all count one. Widths are whole numbers of any
-    unit, so that sums are exact. Blanks at the end of a line count, as they do where a line is measured.
+    unit, so that sums are exact. Blanks at the end of a line count, as they do where a line is measured. ``sizes`` keeps what is
+    measured from one text to the next.
     """
 
-    def size(part: str) -> int:
-        return len(part) * other if not widths else sum(widths.get(c, other) for c in part)
-
     def cut(word: str) -> list[str]:
         if not widths:
             step = max(1, width // other)
             return [word[i : i + step] for i in range(0, len(word), step)]
-        parts, held, used = [], "", 0
-        for c in word:
-            if held and used + size(c) > width:
-                parts, held, used = [*parts, held], "", 0
-            held, used = held + c, used + size(c)
-        return [*parts, held]
+        parts, start, used = [], 0, 0
+        for i, c in enumerate(word):
+            if i > start and used + widths.get(c, other) > width:
+                parts.append(word[start:i])
+                start, used = i, 0
+            used += widths.get(c, other)
+        return [*parts, word[start:]]
 
     lines, line, used = [], "", 0
+    sizes = _Sizes(widths, other) if sizes is None else sizes
+    gap = sizes[" "]
     for blank, word in re.findall(r"(\s+)|(\S+)", text):
         if "\n" in blank:
             lines += [line, ""][: min(blank.count("\n"), 2)]
             line, used = "", 0
         elif blank:
-            line, used = (line + " ", used + size(" ")) if line else ("", 0)
-        elif line and used + size(word) <= width:
-            line, used = line + word, used + size(word)
+            line, used = (line + " ", used + gap) if line else ("", 0)
+        elif line and used + (size := sizes[word]) <= width:
+            line, used = line + word, used + size
         else:
             if line:
                 lines.append(line)
-            *full, line = cut(word)
-            lines, used = lines + full, size(line)
+            if (size := sizes[word]) <= width:
+                line, used = word, size
+            else:
+                *full, line = cut(word)
+                lines += full
+                used = sizes[line]
     return [*lines, line] if line else lines
 
 
 def wrapped(df: DataFrame, key: str, text: str, width: int, widths: dict[str, int] | None = None, other: int = 1) -> DataFrame:
     """(key, line_no, line) of each text; ``widths`` is a table of characters, such as a font has."""
+    small_batches(df.sparkSession)
 
     @F.pandas_udf("array<string>")
     def lines(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        sizes = _Sizes(widths, other)
         for batch in texts:
-            yield batch.map(lambda t: wrap(t or "", width, widths, other))
+            yield batch.map(lambda t: wrap(t or "", width, widths, other, sizes))
 
     return df.select(key, F.posexplode(lines(F.col(text))).alias("line_no", "line"))
 

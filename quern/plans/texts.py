@@ -267,10 +267,7 @@ WIDTHS = {**dict.fromkeys("iIjlt.,;:'!|", 18), **dict.fromkeys("mwMW@—", 54),
 def wrap_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines by measured widths, and how far each has come."""
     lines = layout.wrapped(V.messages_doc(spark, sf_dir, wide=True).select("id", "text"), "id", "text", 2_400, WIDTHS, 36)
-    known = F.create_map(*[F.lit(x) for kv in WIDTHS.items() for x in kv])
-    chars = F.filter(F.split("line", ""), lambda c: c != "")
-    advance = F.aggregate(chars, F.lit(0), lambda sum_, c: sum_ + F.coalesce(F.try_element_at(known, c), F.lit(36)))
-    return layout.placed(lines.withColumn("advance", advance), 25)
+    return layout.placed(lines.withColumn("advance", layout.measured(F.col("line"), WIDTHS, 36)), 25)
 
 
 @query(

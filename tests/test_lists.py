@@ -130,6 +130,28 @@ def test_wrap_by_widths(seed):
         assert layout.wrap(whole, 60, known, other) == laid(whole, 60, size)
 
 
+def test_measured_lines(spark):
+    """Widths of whole lines without a walk over their characters in Spark, and of words that are kept from text to text."""
+    widths, other = {"i": 2, "l": 2, "m": 9, " ": 3, "é": 7, "-": 2, "^": 5}, 5
+    lines = ["", "im l", "日本 é", "𝔘m-^]i", "x", "mmm" * 50]
+    df = spark.createDataFrame(list(enumerate(lines)), "id long, line string").withColumn("n", layout.measured(F.col("line"), widths, other))
+    assert [r["n"] for r in df.orderBy("id").collect()] == [sum(widths.get(c, other) for c in x) for x in lines]
+    kept = layout._Sizes(widths, other)
+    kept.MOST = 3
+    size = lambda part: sum(widths.get(c, other) for c in part)
+    for whole in ("im mmm é 日本 x", "é é im " * 9 + "日" * 200, "new w𝔘rds here im"):
+        assert layout.wrap(whole, 60, widths, other, kept) == laid(whole, 60, size)
+    assert 0 < len(kept) <= 3 and all(n == size(word) for word, n in kept.items())
+
+
+def test_measured_query_has_no_walk_over_characters(spark, sf):
+    from quern.plans.texts import WIDTHS, wrap_measured
+
+    out = wrap_measured(spark, sf)
+    assert "lambdafunction" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert all(r["advance"] == sum(WIDTHS.get(c, 36) for c in r["line"]) for r in out.limit(2000).collect())
+
+
 def test_bodies(spark):
     row = spark.range(1).select(
         text.plain_to_html(F.lit("Hi <me@x.org>, see http://a.b/c.\n\n> old\n> http://d.e")).alias("both"), text.plain_to_html(F.lit("> all\n> quoted")).alias("all"),
