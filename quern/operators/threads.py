@@ -24,32 +24,32 @@ def roots(messages: DataFrame, key: str = "message_id", parent: str = "in_reply_
     linked = links.join(known, F.col("to") == F.col("__k"), "left")
     linked = table(linked.select("key", F.when(F.col("__k") != F.col("key"), F.col("__k")).alias("to")), "links")
     done = linked.filter("to is null").select("key", F.col("key").alias("root"), F.lit(0).cast("long").alias("depth"))
-    open_, left = linked.filter("to is not null").select("key", "to", F.lit(1).cast("long").alias("steps"), F.least("key", "to").alias("low")), None
+    open_ = linked.filter("to is not null").select("key", "to", F.lit(1).cast("long").alias("steps"), F.col("key").alias("low"))
     parts = [done]
     # A message is done when its pointer stands at one that is done; what a round finishes is a table of its own.
     finished = table(done, "roots")
-    jumped = 1
     while True:
         ahead = open_.select(F.col("key").alias("__k"), F.col("to").alias("__to"), F.col("steps").alias("__s"), F.col("low").alias("__low"))
         ends = finished.select(F.col("key").alias("__e"), F.col("root").alias("__r"), F.col("depth").alias("__d"))
         met = open_.join(ends, F.col("to") == F.col("__e"), "left").join(ahead, F.col("to") == F.col("__k"), "left")
-        met = table(met.select("key", "__r", (F.col("steps") + F.col("__d")).alias("depth"), "__to", (F.col("steps") + F.col("__s")).alias("steps"), F.least("low", "__low").alias("low")), "jumps")
-        new = met.filter("__r is not null").select("key", F.col("__r").alias("root"), "depth")
-        parts.append(new)
+        # What lies ahead of the target holds the message itself: it is on a circle, all of which it has seen, and is its smallest key.
+        ring = (F.col("low") == F.col("key")) & F.coalesce(F.col("__low") == F.col("key"), F.lit(False))
+        met = met.select("key", "__r", (F.col("steps") + F.col("__d")).alias("depth"), "__to", (F.col("steps") + F.col("__s")).alias("steps"), F.least("low", "__low").alias("low"), ring.alias("ring"))
+        met = table(met, "jumps")
+        if met.filter("ring").limit(1).count():
+            # Who has seen a circle's smallest key hangs on that circle.
+            circles = met.filter("ring").select(F.col("key").alias("__c"))
+            met = met.join(circles, F.col("low") == F.col("__c"), "left").withColumn("__r", F.coalesce("__r", "__c")).drop("__c")
+            met = table(met, "circles")
+        parts.append(met.filter("__r is not null").select("key", F.col("__r").alias("root"), "depth"))
         open_ = met.filter("__r is null").select("key", F.col("__to").alias("to"), "steps", "low")
-        now = open_.count()
-        jumped *= 2
-        if not now or (now == left and jumped > now):
+        if not open_.limit(1).count():
             break
-        left = now
         finished = parts[0]
         for part in parts[1:]:
             finished = finished.union(part)
-    # What is left after more steps than there are messages hangs on a circle: its pointer is on the circle, and has seen all of it.
-    circle = open_.select(F.col("key").alias("__k"), F.col("low").alias("root"))
-    rings = open_.join(circle, F.col("to") == F.col("__k")).select("key", "root", F.lit(None).cast("long").alias("depth"))
-    out = rings
-    for part in parts:
+    out = parts[0]
+    for part in parts[1:]:
         out = out.union(part)
     return out.select(F.col("key").alias(key), "root", "depth")
 

@@ -4,6 +4,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quern.operators import changes, threads
 from quern.sources.keyed import Keyed
@@ -38,6 +39,37 @@ def test_roots(spark, seed):
     assert {r["message_id"]: (r["root"], r["depth"]) for r in got} == walked(links) and len(got) == len(links)
 
 
+def rings():
+    """Circles of 2 to 9 and of 64 messages, with tails of up to 70 whose keys are smaller or larger than the circle's."""
+    links = {}
+    for n in (2, 3, 4, 5, 7, 8, 9, 64):
+        ring = [f"k{n:02d}-{(i * 37) % n:03d}" for i in range(n)]
+        ring = ring if len(set(ring)) == n else [f"k{n:02d}-{i:03d}" for i in range(n)]
+        links |= dict(zip(ring, ring[1:] + ring[:1]))
+        for name, at in (("a", 0), ("z", n - 1)):
+            tail = [f"{name}{n:02d}-{i:03d}" for i in range(70 if n in (3, 8) else 5)]
+            links |= dict(zip(tail, tail[1:] + [ring[at]]))
+    return links
+
+
+def test_circles_of_any_length(spark):
+    links = rings()
+    got = threads.roots(spark.createDataFrame([*links.items()], "message_id string, in_reply_to string")).collect()
+    assert {r["message_id"]: (r["root"], r["depth"]) for r in got} == walked(links) and len(got) == len(links)
+
+
+def test_rounds_follow_the_longest_way_not_the_number_of_messages(spark, monkeypatch):
+    """Two thousand circles of three are found as soon as a pointer has gone around, in three rounds and not in thirteen."""
+    made = []
+    kept = threads.table
+    monkeypatch.setattr(threads, "table", lambda df, name: made.append(name) or kept(df, name))
+    links = spark.range(6000).select(F.concat(F.lit("m"), "id").alias("message_id"), F.concat(F.lit("m"), F.floor(F.col("id") / 3) * 3 + (F.col("id") + 1) % 3).alias("in_reply_to"))
+    got = threads.roots(links)
+    assert made.count("jumps") <= 3
+    wrong = got.withColumn("n", F.substring("message_id", 2, 9).cast("long")).filter(F.col("depth").isNotNull() | (F.col("root") != F.array_min(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.concat(F.lit("m"), (F.floor(F.col("n") / 3) * 3 + i).cast("string"))))))
+    assert got.count() == 6000 and wrong.count() == 0
+
+
 def test_no_messages(spark):
     assert threads.roots(spark.createDataFrame([], "message_id string, in_reply_to string")).count() == 0
 
