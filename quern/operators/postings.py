@@ -1,8 +1,8 @@
 """Literal search by an index of three-character runs, which reads no text without a chance to hit.
 
 Messages are cut into blocks of neighbouring ``seq``. For each run of three characters of the lower-cased text and each
-block the index has one row: which of the block's messages hold it. A query's runs must all be in a hit, so the rows of
-its rarest runs are intersected block by block, rarest first, and what is left is verified on the texts, of which only
+block the index has one row: which of the block's messages hold it; a block of very long texts has several parts with rows of
+their own. A query's runs must all be in a hit, so the rows of its rarest runs are intersected part by part, rarest first, and what is left is verified on the texts, of which only
 the blocks with candidates are read. A query of one or two characters takes the runs that contain it instead.
 
 The texts are dealt by block once, and blocks are indexed where they are; then the rows of all blocks are sorted by their
@@ -11,12 +11,20 @@ run, so that a query reads the part of the files that holds its runs. New messag
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import small_batches
+
 #: Messages of a block; the rarest runs that are intersected; blocks with candidates up to which only these are read.
 BLOCK, RAREST, SEEKS = 65_536, 6, 10_000
 RUN = 3
+#: Runs of messages that a task holds at once.
+PART = 2_000_000
 
 
 def joined(fields: list[Column]) -> Column:
@@ -25,10 +33,51 @@ def joined(fields: list[Column]) -> Column:
     return F.lower(F.concat_ws(" ", *parts))
 
 
-def runs(text: Column) -> Column:
-    """Each different run of three characters once; a shorter text is its own run."""
-    every = F.regexp_extract_all(text, F.lit(f"(?s)(?=({'.' * RUN}))"), F.lit(1))
-    return F.when(F.char_length(text) < RUN, F.array(text)).otherwise(F.array_distinct(every))
+def _packed(text: str) -> np.ndarray:
+    """Each different run of three characters once, in order, as the 21 bits of each character in one number."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    return np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:])
+
+
+def _posted(block: int, part: int, ats: list[int], codes: list[np.ndarray], short: dict[str, list[int]]) -> pa.RecordBatch:
+    """The rows of some neighbouring messages of a block: the ``ats`` of each run, in order and once."""
+    code, at = np.concatenate([np.empty(0, np.int64), *codes]), np.repeat(np.array(ats, np.int32), [len(c) for c in codes])
+    order = np.argsort(code, kind="stable")  # the messages came in order of their place
+    code, at = code[order], at[order]
+    once = np.ones(len(code), bool)
+    once[1:] = (code[1:] != code[:-1]) | (at[1:] != at[:-1])
+    code, at = code[once], at[once]
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.empty(0, np.int64)
+    found = code[first]
+    text = np.stack([found >> 42, found >> 21 & 0x1FFFFF, found & 0x1FFFFF], 1).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    names = [text[i : i + RUN] for i in range(0, len(text), RUN)] + [*short]
+    whole = [at, *[np.array(sorted(set(x)), np.int32) for x in short.values()]]
+    ends = np.concatenate([first, len(at) + np.cumsum([0, *map(len, whole[1:])])]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(whole)))
+    size = pa.array(np.diff(ends).astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array([block] * len(names), pa.int64()), pa.array([part] * len(names), pa.int32()), pa.array(names, pa.string()), lists, size], ["block", "part", "run", "ats", "n"])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the index from messages (block, at, text) in order; a part ends with its block, or when it holds ``PART`` runs."""
+    block, part, held = None, 0, 0
+    ats, codes, short = [], [], {}
+    for batch in batches:
+        for b, at, text in zip(*(batch.column(c).to_pylist() for c in ("block", "at", "text"))):
+            if b != block or held >= PART:
+                if ats or short:
+                    yield _posted(block, part, ats, codes, short)
+                block, part, held = b, part + 1 if b == block else 0, 0
+                ats, codes, short = [], [], {}
+            if len(text) < RUN:
+                short.setdefault(text, []).append(at)
+                held += 1
+            else:
+                ats.append(at)
+                codes.append(_packed(text))
+                held += len(codes[-1])
+    if ats or short:
+        yield _posted(block, part, ats, codes, short)
 
 
 def runs_of(query: str) -> list[str]:
@@ -50,9 +99,9 @@ class Postings:
         numbered.repartition("block").write.partitionBy("block").parquet(f"{path}/texts")
         texts = spark.read.schema(numbered.schema).parquet(f"{path}/texts")
         found = texts.select("block", "at", joined([F.col(f) for f in fields]).alias("text"))
-        held = found.repartition(n, "block").select("block", "at", F.explode(runs(F.col("text"))).alias("run"))
-        held = held.groupBy("block", "run").agg(F.array_sort(F.collect_set("at")).alias("ats"))
-        held.withColumn("n", F.size("ats")).write.parquet(f"{path}/blocks")
+        small_batches(spark)
+        dealt = found.filter("block is not null").repartition(n, "block").sortWithinPartitions("block", "at")
+        dealt.mapInArrow(_gathered, "block long, part int, run string, ats array<int>, n int").write.parquet(f"{path}/blocks")
         blocks = spark.read.parquet(f"{path}/blocks")
         blocks.repartitionByRange(n, "run", "block").sortWithinPartitions("run", "block").write.parquet(f"{path}/rows")
         known = blocks.groupBy("run").agg(F.sum("n").alias("n"))
@@ -72,7 +121,7 @@ class Postings:
         if len(known) < len(wanted):
             return none
         chosen = sorted(wanted, key=lambda run: (known[run], run))[:RAREST]
-        rows = self.rows.filter(F.col("run").isin(chosen)).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("n", "run", "ats"))).alias("r"))
+        rows = self.rows.filter(F.col("run").isin(chosen)).groupBy("block", "part").agg(F.array_sort(F.collect_list(F.struct("n", "run", "ats"))).alias("r"))
         met = F.aggregate(F.slice("r", 2, RAREST), F.col("r")[0]["ats"], lambda got, row: F.array_intersect(got, row["ats"]))
         return rows.filter(F.size("r") == len(chosen)).select("block", F.explode(met).alias("at"))
 

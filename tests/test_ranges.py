@@ -3,11 +3,12 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quern.operators import mailbox, ranges
+from quern.operators import mailbox, postings, ranges
 from quern.operators.postings import Postings, runs_of
 
 
@@ -104,6 +105,23 @@ def searched(spark, tmp_path_factory):
     return df, Postings.build(df, ["text", "sender"], str(tmp_path_factory.mktemp("index")), 50)
 
 
+@pytest.mark.parametrize("most", [1, 40, 10_000])
+def test_index_rows_are_gathered_part_by_part(monkeypatch, most):
+    """Runs of neighbouring messages against plain sets; a part holds no more than it should, and each message is in one part."""
+    rng = random.Random(4)
+    rows = sorted((rng.randrange(4), rng.randrange(30), "".join(rng.choices("abc日𝔘 \n", k=rng.choice([0, 1, 2, 3, 9, 40])))) for _ in range(120))
+    monkeypatch.setattr(postings, "PART", most)
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 7])], ["block", "at", "text"]) for i in range(0, len(rows), 7)]
+    got = [r for b in postings._gathered(iter(batches)) for r in b.to_pylist()]
+    want = {(b, at, run) for b, at, text in rows for run in ({text[i : i + 3] for i in range(len(text) - 2)} or {text})}
+    assert {(r["block"], at, r["run"]) for r in got for at in r["ats"]} == want
+    assert len({(r["block"], r["part"], r["run"]) for r in got}) == len(got)
+    assert all(r["ats"] == sorted(set(r["ats"])) and r["n"] == len(r["ats"]) for r in got)
+    parts = len({(r["block"], r["part"]) for r in got})
+    assert parts == len({r[0] for r in rows}) if most == 10_000 else parts > 10
+    assert list(postings._gathered(iter([]))) == []
+
+
 @pytest.mark.parametrize("query", ["needle", "NEEDLE IN ALPHA", "a", "q", "ab", "%_", "ü", "γάμ", "x" * 200, "beta ab", "a beta", " ", "  ", "\n ", "'s z", "zzz", "alpha alpha", "日本", "q ", "", "本語 ab"])
 def test_index_finds_what_a_scan_finds(searched, query):
     df, index = searched
