@@ -26,9 +26,11 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import null_safe, public, small_batches
+from .common import null_safe, public, released, small_batches
 
 CHUNK, OVERLAP, GUARD = 65_536, 4_096, 8
+#: Texts and bytes of an Arrow batch: a worker holds a vocabulary beside its batch, and Spark a copy of the batch outside its heap.
+ROWS, SIZE = 256, "4m"
 
 
 @lru_cache(maxsize=2)
@@ -49,6 +51,7 @@ def _encoder(path: str, pattern: str):
         encode = encoding(path, pattern).encode_ordinary
         for batch in texts:
             yield pd.Series([np.array(encode(t), "<u4").tobytes() if t else b"" for t in batch], dtype=object)
+        released()
 
     return encode_piece
 
@@ -110,7 +113,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", o
     if chunk < 2 * overlap + GUARD:
         raise ValueError("a chunk must hold two overlaps")
     docs = public(docs, out)
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, ROWS, SIZE)
     encode_piece = _encoder(vocabulary, pattern)
     long_text = F.coalesce(F.char_length(F.col(text)), F.lit(0)) > chunk
     short = docs.filter(~long_text).withColumn(out, encode_piece(F.coalesce(F.col(text), F.lit(""))))
@@ -133,5 +136,6 @@ def decode(coded: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", ou
         back = encoding(vocabulary, pattern).decode_bytes
         for batch in batches:
             yield pd.Series([back(np.frombuffer(x, "<u4").tolist()) if x else b"" for x in batch], dtype=object)
+        released()
 
     return public(coded, out).withColumn(out, raw(F.col(ids)))

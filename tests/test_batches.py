@@ -54,3 +54,13 @@ def test_ids_by_part_take_small_batches(large_batches, sf):
     """Its trees come in the same small batches as previews do."""
     out = bodies.ids_by_part(large_batches, sf)
     assert bounded(large_batches) and {r["part"] for r in out.collect()} == {"1", "1.1"}
+
+
+def test_bpe_takes_smaller_batches(large_batches, sf):
+    """A worker that holds a vocabulary takes 256 texts and 4 MB at once."""
+    bpe = pytest.importorskip("quern.llm.bpe")
+    import public_tokenizers
+
+    docs = large_batches.read.parquet(f"{sf}/documents.parquet").limit(5)
+    bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert [large_batches.conf.get(name) for name in BATCH] == ["256", "4m"]
