@@ -124,6 +124,8 @@ def part_arrays(df: DataFrame, raw: str, out: str = "parts", bodies: bool = True
     """``df`` with the leaves of each raw message's MIME tree in order, as one array.
 
     Without ``bodies`` the tree alone leaves the Python worker, which is all that numbers and types need.
+    The function is called nondeterministic, though it isn't, for Spark copies any other below a join or under a filter on the tree
+    or its explosion; each mail would then be parsed twice, by two workers for each task.
     """
     small_batches(df.sparkSession)
     kind = PART if bodies else PART.replace("body binary, ", "")
@@ -133,7 +135,7 @@ def part_arrays(df: DataFrame, raw: str, out: str = "parts", bodies: bool = True
         for batch in batches:
             yield batch.map(lambda x: [p if bodies else {k: v for k, v in p.items() if k != "body"} for p in numbered_parts(message_from_bytes(x or b""))])
 
-    return df.withColumn(out, run(F.col(raw)))
+    return df.withColumn(out, run.asNondeterministic()(F.col(raw)))
 
 
 def message_parts(df: DataFrame, key: str, raw: str, bodies: bool = True) -> DataFrame:

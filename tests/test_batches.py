@@ -56,6 +56,13 @@ def test_ids_by_part_take_small_batches(large_batches, sf):
     assert bounded(large_batches) and {r["part"] for r in out.collect()} == {"1", "1.1"}
 
 
+@pytest.mark.parametrize("query", [bodies.ids_by_part, bodies.message_tree])
+def test_each_mail_is_parsed_once(spark, sf, query):
+    """A filter on the tree or its explosion takes no second worker beside each task's own."""
+    plan = query(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_bpe_takes_smaller_batches(large_batches, sf):
     """A worker that holds a vocabulary takes 256 texts and 4 MB at once."""
     bpe = pytest.importorskip("quern.llm.bpe")
