@@ -66,8 +66,11 @@ _HEADERS = 'From: "Ann B" <Ann@X.org>\r\nTo: b@x.org, C <c@x.org>\r\nSubject: Pa
 _SENT_AS = "Content-Type: text/{}; charset=utf-8\r\nContent-Transfer-Encoding: base64\r\n\r\n"
 
 
-def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, raw: a lone text, an alternative, or a mixture of an alternative and a file, by turns."""
+def raw_messages(spark: SparkSession, sf_dir: str, labelled: bool = True) -> DataFrame:
+    """id, raw: a lone text, an alternative, or a mixture of an alternative and a file, by turns.
+
+    Not ``labelled``, they are the bare documents, for what drops the texts and is joined with the labels (``V.labelled``) after that.
+    """
     i, body = F.col("id"), F.base64(F.encode("text", "UTF-8"))
     number = i.cast("string")
     head = F.concat(F.lit(_HEADERS.split("{}")[0]), number, F.lit(_HEADERS.split("{}")[1]))
@@ -75,7 +78,8 @@ def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     file = F.lit('\r\n--mix\r\nContent-Type: application/pdf; name="a.pdf"\r\nContent-Disposition: attachment; filename="a.pdf"\r\nContent-Transfer-Encoding: base64\r\n\r\nQUJDRA==\r\n--mix--\r\n')
     mixed = F.concat(F.lit("Content-Type: multipart/mixed; boundary=mix\r\n\r\n--mix\r\n"), both, file)
     lone = F.concat(F.lit(_SENT_AS.format("html")), body)
-    return V.messages_doc(spark, sf_dir, wide=True).select("id", F.encode(F.concat(head, F.when(i % 3 == 0, lone).when(i % 3 == 1, both).otherwise(mixed)), "UTF-8").alias("raw"))
+    rows = V.messages_doc(spark, sf_dir, wide=True) if labelled else V.spread(V.read(spark, sf_dir, "documents")).withColumnRenamed("doc_id", "id")
+    return rows.select("id", F.encode(F.concat(head, F.when(i % 3 == 0, lone).when(i % 3 == 1, both).otherwise(mixed)), "UTF-8").alias("raw"))
 
 
 @query(
@@ -84,8 +88,8 @@ def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     views="d",
 )
 def message_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = mime.message_parts(raw_messages(spark, sf_dir), "id", "raw", bodies=False)
-    return parts.select("id", "part", "type", "ord", F.coalesce("filename", F.lit("")).alias("filename"))
+    parts = mime.message_parts(raw_messages(spark, sf_dir, labelled=False), "id", "raw", bodies=False)
+    return V.labelled(spark, sf_dir, parts).select("id", "part", "type", "ord", F.coalesce("filename", F.lit("")).alias("filename"))
 
 
 @query(
@@ -101,9 +105,9 @@ def part_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql="SELECT CASE id % 3 WHEN 2 THEN '1.1' ELSE '1' END AS part, id // 1000 AS batch, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM d GROUP BY 1, 2", views="d")
 def ids_by_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The messages whose preview is fetched from the same part."""
-    trees = mime.part_arrays(raw_messages(spark, sf_dir), "raw", bodies=False)
+    trees = mime.part_arrays(raw_messages(spark, sf_dir, labelled=False), "raw", bodies=False)
     first = trees.select("id", mime.shown_part(F.col("parts"))["part"].alias("part")).filter("part is not null")
-    return mailbox.ids_by(first, "part").select("part", "batch", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+    return mailbox.ids_by(V.labelled(spark, sf_dir, first), "part").select("part", "batch", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
 @query(

@@ -106,6 +106,11 @@ def messages_doc(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFr
     )
 
 
+def labelled(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """``rows`` of documents, by their id, as often as ``messages_doc`` has that document: once for each of its labels, or once."""
+    return rows.join(read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), "id", "left")
+
+
 def bodies_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", "html")
 

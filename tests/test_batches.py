@@ -63,6 +63,22 @@ def test_each_mail_is_parsed_once(spark, sf, query):
     assert plan.count("ArrowEvalPython") == 1
 
 
+def test_texts_stay_out_of_the_join_with_labels(spark, sf, tmp_path):
+    """A shuffle for the labels takes numbers and parts alone; a document with two labels still counts twice."""
+    docs = [(1, "a"), (2, "b"), (3, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1,), (1,), (None,), (9,)], "doc_id long").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for query in (bodies.ids_by_part, bodies.message_tree):
+            plan = query(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+            assert plan.index("Join") < plan.index("ArrowEvalPython")
+        assert {(r["part"], r["ids"]) for r in bodies.ids_by_part(spark, str(tmp_path)).collect()} == {("1", "1,1,3"), ("1.1", "2")}
+        assert sorted(r["part"] for r in bodies.message_tree(spark, str(tmp_path)).filter("id = 1").collect()) == ["1", "1", "2", "2"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_bpe_takes_smaller_batches(large_batches, sf):
     """A worker that holds a vocabulary takes 256 texts and 4 MB at once."""
     bpe = pytest.importorskip("quern.llm.bpe")
