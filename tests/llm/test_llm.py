@@ -312,6 +312,67 @@ def test_graphs_find_the_links(sparse):
     assert sum(map(len, found)) >= 0.995 * sum(map(len, want)) and all(f <= {*w.tolist()} for f, w in zip(found, want))
 
 
+def test_questions_do_not_grow_with_the_shards(spark):
+    """Eight times the vectors and shards: each vector still asks a few shards, not eight times as many."""
+    x = np.random.default_rng(12).normal(size=(16_000, 64))
+    asked = []
+    for n in (2_000, 16_000):
+        classes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:n])], "id long, v array<float>")
+        routes = hnsw.routers(classes, 0.95, 2, 250)
+        assert len(routes[64].pivots) == n // 250
+        rows = hnsw.dealt(classes, routes, 250)
+        assert rows.filter("kind = 0").count() == n
+        asked.append(rows.count() / n)
+    assert asked[0] < asked[1] < 10
+
+
+def test_pairs_meet_in_a_shard():
+    """Pairs at the threshold, of a table with many pivots in one dense place: nearly all ask each other's shard, certainly where a pivot is near."""
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(6_000, 48))
+    x[:1_500] = x[0] + rng.normal(size=(1_500, 48)) * 0.1
+    order = rng.permutation(len(x))
+    router = hnsw.Router(x[order[:120]], x[order[120:2_000]], 0.95)
+    a = hnsw.unit_rows(x)
+    b = hnsw.turned(a, rng.normal(size=a.shape), 0.95, rng)
+    left, right = router.shards(a), router.shards(b)
+    met = np.array([p[0] in q or q[0] in p for p, q in zip(left, right)])
+    assert met.mean() >= 0.998 and np.mean([len(p) for p in left[1_500:]]) < 15
+    assert all(len(set(p.tolist())) == len(p) for p in left + right)
+
+
+def test_links_over_many_shards(spark, monkeypatch):
+    """Shards of 64 with pairs, a group that is cut into pieces, questions in blocks, and vectors between two groups, against brute force."""
+    monkeypatch.setattr(hnsw, "QUERIES", 150)
+    rng = np.random.default_rng(14)
+    x = hnsw.unit_rows(rng.normal(size=(3_000, 32)))
+    pairs = hnsw.turned(x[:300], rng.normal(size=(300, 32)), 0.95, rng)
+    dense = x[400] + rng.normal(size=(500, 32)) * 0.01
+    other = hnsw.turned(x[400:401], rng.normal(size=(1, 32)), 0.85, rng)[0]
+    ring = other + rng.normal(size=(300, 32)) * 0.01
+    between = hnsw.unit_rows(x[400] + other + rng.normal(size=(30, 32)) * 0.02)
+    y = np.concatenate([x, pairs, dense, ring, between, -np.zeros((1, 32)) + [[0.0] * 31 + [1.0]], [[-0.0] * 31 + [1.0]]])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "vec_id long, embedding array<double>")
+    out = hnsw.near_vectors(df, shard_rows=64).toPandas().set_index("vec_id").sort_index()
+    u = hnsw.unit_rows(y)
+    want = (u @ u.T >= 0.95).sum(1) - 1
+    got = out["n_links"].to_numpy()
+    assert len(out) == len(y) and (got <= want).all() and (got != want).sum() <= 2
+    first = out["component_id"].to_numpy()
+    assert len(set(first[3_300:4_130])) == 1 and first[-1] == first[-2] == len(y) - 2
+
+
+def test_near_copies_do_not_hide_a_shard():
+    """Near copies that fill any beam: the audit gives the graph up soon, and the shard is compared in full."""
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(1_800, 64))
+    x[:600] = x[0] + rng.normal(size=(600, 64)) * 0.2 * rng.random((600, 1))
+    x[1_700:] = x[700:800] + rng.normal(size=(100, 64)) * 0.1
+    shard = hnsw.Shard(np.arange(1_800), x, 0.95, 0.999)
+    assert shard.beam <= 8 * hnsw.BEAM or shard.beam == 1_800
+    assert shard.recall >= 0.999 and sum(map(len, shard.matches(shard.unit))) >= 0.999 * (shard.unit @ shard.unit.T >= 0.95).sum()
+
+
 def test_graph_forest():
     """One large group of near copies gives a forest, not pairs."""
     rng = np.random.default_rng(2)
