@@ -231,10 +231,13 @@ class Graph:
             live = live[open_[live].any(1)]
         return ids, sims
 
-    def descend(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    def descend(self, q: np.ndarray, beam: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Search from the top; points of the graph, whose numbers are ``own``, start from themselves too."""
         start = np.full((len(q), 1), self.entry)
         for lv in range(self.top, 0, -1):
             start = self.search(q, start, lv, 1)[0]
+        if own is not None:
+            start = np.concatenate([np.where(start == own[:, None], -1, start), own[:, None]], 1)
         return self.search(q, start, 0, beam)
 
 
@@ -276,8 +279,8 @@ class Shard:
         step = max(1, CELLS // max(1, len(self.ids)))
         return [np.flatnonzero(f) for low in range(0, len(q), step) for f in q[low : low + step] @ self.unit.T >= self.similarity]
 
-    def matches(self, q: np.ndarray) -> list[np.ndarray]:
-        """For each unit row, the places in the shard at the similarity or above it, in double precision."""
+    def matches(self, q: np.ndarray, own: np.ndarray | None = None) -> list[np.ndarray]:
+        """For each unit row, the places in the shard at the similarity or above it, in double precision; ``own``: the rows' places, if they are members."""
         out: list = [None] * len(q)
         rows, beam = np.arange(len(q)), self.beam
         while len(rows) and beam < len(self.ids) and beam * SCAN <= max(len(self.ids), self.beam * SCAN):
@@ -285,7 +288,7 @@ class Shard:
             together = max(8, min(TOGETHER, 20_000_000 // len(self.ids)))
             for low in range(0, len(rows), together):
                 some = rows[low : low + together]
-                ids, sims = self.graph.descend(q[some].astype(np.float32), beam)
+                ids, sims = self.graph.descend(q[some].astype(np.float32), beam, None if own is None else own[some])
                 near = sims >= self.similarity - 1e-5
                 full += some[near.all(1)].tolist()
                 near[near.all(1)] = False
@@ -352,10 +355,10 @@ def search(similarity: float, recall: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, held, shard, parent = None, [], None, None
 
-        def answered(ids: np.ndarray, unit: np.ndarray) -> Iterator[pd.DataFrame]:
+        def answered(ids: np.ndarray, unit: np.ndarray, own: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
             step = max(1, CELLS // 4 // len(shard.ids))
             for low in range(0, len(ids), step):
-                left, right = joined(parent, shard.ids, ids[low : low + step], shard.matches(unit[low : low + step]))
+                left, right = joined(parent, shard.ids, ids[low : low + step], shard.matches(unit[low : low + step], None if own is None else own[low : low + step]))
                 if len(left):
                     yield filled({"a": np.minimum(left, right), "b": np.maximum(left, right)})
 
@@ -368,7 +371,7 @@ def search(similarity: float, recall: float):
             held, shard = [], Shard(ids, vectors, similarity, recall)
             parent = np.arange(len(ids))
             yield filled({**{k: [x] for k, x in zip(PLACE, key)}, "members": [len(ids)], "beam": [shard.beam], "recall": [shard.recall]})
-            yield from answered(ids[asks], shard.unit[asks])
+            yield from answered(ids[asks], shard.unit[asks], np.flatnonzero(asks))
 
         for batch in batches:
             if not len(batch):

@@ -362,6 +362,15 @@ def test_links_over_many_shards(spark, monkeypatch):
     assert len(set(first[3_300:4_130])) == 1 and first[-1] == first[-2] == len(y) - 2
 
 
+def test_members_find_themselves():
+    """Some points of a graph are hard to reach from its top; its own points start where they are."""
+    rng = np.random.default_rng(16)
+    shard = hnsw.Shard(np.arange(2_048), rng.normal(size=(2_048, 64)), 0.95, 0)
+    found = shard.matches(shard.unit, np.arange(2_048))
+    assert all(f.tolist() == [i] for i, f in enumerate(found))
+    assert sum(len(f) for f in shard.matches(shard.unit)) < 2_048
+
+
 def test_near_copies_do_not_hide_a_shard():
     """Near copies that fill any beam: the audit gives the graph up soon, and the shard is compared in full."""
     rng = np.random.default_rng(15)
